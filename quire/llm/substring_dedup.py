@@ -9,7 +9,9 @@ the words that suffice to make it appear. A window of ``width`` words is keyed
 by the highest symbol whose context it contains, which depends on the words of
 the window alone. Two equal windows therefore share a key, and only the keys
 (about one for every four words) are shuffled to find out which ones occur in
-two different texts. Windows under such a key are then compared by 128-bit
+two different texts; what a slice of the input can settle itself reaches the
+shuffle as one row, so a passage that a third of all documents share does not
+gather in a task. Windows under such a key are then compared by 128-bit
 fingerprints of all their words, over the whole corpus.
 
 Defined results: a null or empty text has no words and keeps nothing
@@ -21,17 +23,17 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textblocks as tb
 
 ROUNDS = 6
+_NO_ID = -(1 << 63)
 _FAR = np.int64(1) << np.int64(60)
 
 
@@ -118,11 +120,25 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _id_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(column.fill_null(np.iinfo(np.int64).min)), column.is_valid()
+def _combine(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (keys, ids); for each row in that order: whether it opens its key's group, and whether the group has more than one id."""
+    order = np.lexsort([ids, *keys[::-1]])
+    opens = np.ones(len(order), dtype=bool)
+    same = np.ones(max(len(order) - 1, 0), dtype=bool)
+    for k in keys:
+        k = k[order]
+        same &= k[1:] == k[:-1]
+    opens[1:] = ~same
+    begin = np.flatnonzero(opens)
+    last = np.append(begin[1:], len(order)) - 1
+    sorted_ids = ids[order]
+    several = np.repeat(sorted_ids[begin] != sorted_ids[last], np.diff(np.append(begin, len(order))))
+    return order, opens, several
 
 
 def _anchors(width: int):
+    """Keys of each text. Those that a slice sees in several texts are settled there: one row stands for them in the comparison."""
+
     def run(batches):
         for batch in batches:
             for part, data, offsets in tb.slices(batch, "text"):
@@ -130,16 +146,20 @@ def _anchors(width: int):
                 starts, keys = window_keys(words.hashes(), words.first, width)
                 if not len(starts):
                     continue
-                doc = np.searchsorted(words.first, starts, side="right") - 1
+                ids = np.asarray(part.column("id"))[np.searchsorted(words.first, starts, side="right") - 1]
                 change = np.ones(len(keys), dtype=bool)
-                change[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                keys, doc = keys[change], doc[change]
-                order = np.lexsort((keys, doc))
-                keys, doc = keys[order], doc[order]
-                change = np.ones(len(keys), dtype=bool)
-                change[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                rows = pa.array(doc[change])
-                yield pa.RecordBatch.from_arrays([_signed(keys[change]), part.column("id").take(rows), part.column("content").take(rows)], ["key", "id", "content"])
+                change[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+                keys, ids = keys[change], ids[change]
+                order, opens, several = _combine([keys], ids)
+                keys, ids = keys[order], ids[order]
+                again = np.zeros(len(keys), dtype=bool)
+                again[1:] = (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1])
+                settled = several & ~again
+                send = opens
+                slot = np.concatenate([keys[send], tb.mix(ids[settled].view(np.uint64))])
+                key = np.concatenate([keys[send], keys[settled]])
+                kind = np.concatenate([several[send].astype(np.int8), np.full(int(settled.sum()), 2, np.int8)])
+                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(key), pa.array(np.concatenate([ids[send], ids[settled]])), pa.array(kind)], ["slot", "key", "id", "kind"])
 
     return run
 
@@ -176,9 +196,14 @@ def _windows(width: int):
                     continue
                 high = tb.rolling(names, width)[starts[hit]]
                 low = tb.rolling(words.hashes(1), width)[starts[hit]]
-                rows = doc[hit]
-                at = starts[hit] - words.first[rows]
-                yield pa.RecordBatch.from_arrays([_signed(high), _signed(low), part.column("id").take(pa.array(rows)), pa.array(at.astype(np.int32))], ["high", "low", "id", "at"])
+                at = (starts[hit] - words.first[doc[hit]]).astype(np.int32)
+                ids = np.asarray(part.column("id"))[doc[hit]]
+                order, opens, _ = _combine([high, low], ids)
+                high, low, ids, at = high[order], low[order], ids[order], at[order]
+                least = ids[np.maximum.accumulate(np.where(opens, np.arange(len(ids)), 0))]
+                late = ids > least  # a smaller id of this slice has the window
+                slot = np.where(late, tb.mix(ids.view(np.uint64)), high)
+                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(low), pa.array(ids), pa.array(at), pa.array(late)], ["slot", "low", "id", "at", "late"])
 
     return run
 
@@ -187,24 +212,24 @@ def _cut(width: int):
     def run(batches):
         for batch in batches:
             for part, data, offsets in tb.slices(batch, "text"):
-                words = tb.words_of(data, offsets)
                 n, removed, kept = [], [], []
+                raw = data.tobytes()
                 copies = part.column("copy").to_pylist()
                 found = part.column("found")
                 for i in range(part.num_rows):
-                    a, b = int(words.first[i]), int(words.first[i + 1])
-                    gone = np.zeros(b - a + 1, dtype=np.int32)
-                    if copies[i] and b - a >= width:
-                        gone[0], gone[-1] = 1, -1
+                    words = raw[offsets[i] : offsets[i + 1]].split()
+                    n.append(len(words))
+                    if copies[i] and len(words) >= width:
+                        words = []
                     elif found[i].is_valid:
                         at = np.unique(np.asarray(found[i].values))
-                        at = at[at + width <= b - a]
+                        at = at[at + width <= len(words)]
+                        gone = np.zeros(len(words) + 1, dtype=np.int32)
                         np.add.at(gone, at, 1)
                         np.add.at(gone, at + width, -1)
-                    keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
-                    n.append(b - a)
-                    removed.append(b - a - len(keep))
-                    kept.append(b" ".join(words.text(words.start[k], words.end[k]) for k in keep).decode("utf-8"))
+                        words = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
+                    removed.append(n[-1] - len(words))
+                    kept.append(b" ".join(words).decode("utf-8"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     return run
@@ -216,21 +241,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes when a window of ``width`` words covers it that also starts in
     a document with a smaller id. ``kept`` holds the other words joined by a space.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    content = F.xxhash64("text", F.lit("content"))
-    keyed = texts.withColumn("content", content).mapInArrow(_anchors(width), "key long, id long, content long")
-    # keys that two different contents have
-    shared = keyed.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("key")
-    wanted = keyed.select("key", "id").join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = texts.select("id", F.md5("text").alias("print"))
     first = prints.where("print is not null").groupBy("print").agg(F.min("id").alias("first"))
     copies = prints.join(first, "print").where("id > first").select("id").distinct().withColumn("copy", F.lit(True))
-    marked = texts.join(wanted.join(copies, "id", "left_anti"), "id")
-    windows = marked.mapInArrow(_windows(width), "high long, low long, id long, at int")
-    owners = windows.groupBy("high", "low").agg(F.min("id").alias("owner"), F.max("id").alias("other")).where("owner < other").select("high", "low", "owner")
-    found = windows.join(owners, ["high", "low"]).where("id > owner").groupBy("id").agg(F.collect_set("at").alias("found"))
+    originals = texts.join(copies, "id", "left_anti")
+    # kind 0: one text of a slice has the key; 1: several; 2: a text of which that is known
+    keyed = originals.mapInArrow(_anchors(width), "slot long, key long, id long, kind byte")
+    slot = Window.partitionBy("slot")
+    one = F.when(F.col("kind") < 2, F.col("id"))
+    keyed = keyed.select("key", "id", "kind", F.min(one).over(slot).alias("a"), F.max(one).over(slot).alias("b"), F.max(F.col("kind") == 1).over(slot).alias("known"))
+    wanted = keyed.where("kind = 2 or known or a < b").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    windows = texts.join(wanted, "id").mapInArrow(_windows(width), "slot long, low long, id long, at int, late boolean")
+    alike = Window.partitionBy("slot", "low")
+    owned = windows.withColumn("owner", F.min(F.when(~F.col("late"), F.col("id"))).over(alike))
+    found = owned.where("late or id > owner").groupBy("id").agg(F.collect_set("at").alias("found"))
     whole = texts.join(found, "id", "left").join(copies, "id", "left")
-    return whole.mapInArrow(_cut(width), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    cut = whole.mapInArrow(_cut(width), "id long, n_words long, n_removed long, kept string")
+    return cut.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
 
 def digest(docs: DataFrame) -> DataFrame:
