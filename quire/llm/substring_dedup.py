@@ -6,12 +6,12 @@ unpaired and repeats becomes a run. Names are content fingerprints, so they are
 global without a dictionary: equal substrings get equal symbols wherever they
 stand, except near their ends. For every symbol the rounds track its context,
 the words that suffice to make it appear. A window of ``width`` words is keyed
-by the highest symbol whose context it contains, which depends on the words of
+by the longest symbol whose context it contains, which depends on the words of
 the window alone. Two equal windows therefore share a key, and only the keys
 (about one for every four words) are shuffled to find out which ones occur in
 two different texts; what a slice of the input can settle itself reaches the
 shuffle as one row, so a passage that a third of all documents share does not
-gather in a task. Windows under such a key are then compared by 128-bit
+gather in a task. Windows under such a key are then compared by 96-bit
 fingerprints of all their words, over the whole corpus.
 
 Defined results: a null or empty text has no words and keeps nothing
@@ -37,11 +37,12 @@ _NO_ID = -(1 << 63)
 _FAR = np.int64(1) << np.int64(60)
 
 
-def _rounds(names: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """New symbols of each round as (name, context start, context end), shorter than ``width`` words."""
+def _rounds(names: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """New symbols of each round as (name, words, context start, context end), for contexts of at most ``width`` words."""
     n = len(names)
     lo = np.arange(n, dtype=np.int64)
     hi = lo + 1
+    size = np.ones(n, dtype=np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for level in range(1, ROUNDS + 1):
         if len(names) < 2:
@@ -52,15 +53,14 @@ def _rounds(names: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[
         paired = np.zeros(len(names), dtype=bool)
         paired[head] = True
         paired[head + 1] = True
-        # what stays unpaired is only certain together with both neighbours
-        left_lo = np.where(same, lo[:-1], -_FAR)
-        right_hi = np.where(same, hi[1:], _FAR)
-        free_lo, free_hi = lo.copy(), hi.copy()
-        free_lo[1:] = np.minimum(lo[1:], left_lo)
-        free_lo[0] = -_FAR
-        free_hi[:-1] = np.maximum(hi[:-1], right_hi)
-        free_hi[-1] = _FAR
-        joined = same & ~paired[:-1] & ~paired[1:] & (names[:-1] == names[1:])
+        # what stays unpaired is only certain together with both neighbours, and with the partner of an equal neighbour
+        both_lo, both_hi = lo.copy(), hi.copy()
+        both_lo[head + 1] = np.minimum(lo[head], lo[head + 1])
+        both_hi[head] = np.maximum(hi[head], hi[head + 1])
+        equal = same & (names[:-1] == names[1:])
+        free_lo = np.concatenate([[-_FAR], np.minimum(lo[1:], np.where(same, np.where(equal, both_lo[:-1], lo[:-1]), -_FAR))])
+        free_hi = np.concatenate([np.maximum(hi[:-1], np.where(same, np.where(equal, both_hi[1:], hi[1:]), _FAR)), [_FAR]])
+        joined = equal & ~paired[:-1] & ~paired[1:]
         begins = np.ones(len(names), dtype=bool)
         begins[head + 1] = False
         begins[1:] &= ~joined
@@ -69,51 +69,44 @@ def _rounds(names: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[
         last = at + length - 1
         is_pair = paired[at]
         run = ~is_pair & (length > 1)
-        new_lo = np.where(is_pair, np.minimum(lo[at], lo[last]), free_lo[at])
-        new_hi = np.where(is_pair, np.maximum(hi[at], hi[last]), free_hi[last])
+        lo, hi = np.where(is_pair, np.minimum(lo[at], lo[last]), free_lo[at]), np.where(is_pair, np.maximum(hi[at], hi[last]), free_hi[last])
         named = names[at]
         salt = np.uint64(level * 0xD1342543DE82EF95 & tb._MASK)
         named = np.where(is_pair, tb.mix(named * np.uint64(0x2545F4914F6CDD1D) + tb.mix(names[last] + salt)), named)
         named = np.where(run, tb.mix(named ^ tb.mix(length.astype(np.uint64) + ~salt)), named)
-        names, lo, hi, doc = named, new_lo, new_hi, doc[at]
-        fresh = (is_pair | run) & (hi - lo <= width)
-        if not fresh.any():
-            return
-        yield names[fresh], lo[fresh], hi[fresh]
+        names, size, doc = named, np.add.reduceat(size, at), doc[at]
+        fresh = np.flatnonzero((is_pair | run) & (hi - lo <= width))
+        yield names[fresh], size[fresh], lo[fresh], hi[fresh]
 
 
 def window_keys(names: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows and the key of each: its highest symbol, the smallest name among equals."""
+    """Starts of all windows and the key of each: its longest symbol, the smallest name among equals."""
     n = len(names)
     starts = tb.inside(first, width)
     top = np.uint64(tb._MASK)
     if not len(starts):
         return starts, np.zeros(0, dtype=np.uint64)
     best = np.full(n, top, dtype=np.uint64)
-    for level, (name, lo, hi) in enumerate(_rounds(names, first, width), 1):
-        found = np.full(n, top, dtype=np.uint64)
-        rank = tb.mix(name + np.uint64(level))
+    for name, size, lo, hi in _rounds(names, first, width):
+        rank = (np.uint64(width + 1) - size.astype(np.uint64)) << np.uint64(58) | tb.mix(name) >> np.uint64(6)
         tied = np.zeros(len(hi), dtype=bool)
         tied[1:] = hi[1:] == hi[:-1]
-        alone = np.flatnonzero(~tied)
-        for pick, put in ((alone, False), (np.flatnonzero(tied), True)):
+        for pick, put in ((np.flatnonzero(~tied), False), (np.flatnonzero(tied), True)):
             far, span, own = hi[pick] - width, (lo - hi)[pick] + width, rank[pick]
             for k in range(width - 1):
-                ok = np.flatnonzero(span >= k) if k else np.flatnonzero(far >= 0)
+                ok = np.flatnonzero((span >= k) & (far >= -k))
                 at = far[ok] + k
-                ok, at = (ok, at) if not k else (ok[at >= 0], at[at >= 0])
                 if not len(at):
                     continue
                 if put:
-                    np.minimum.at(found, at, own[ok])
+                    np.minimum.at(best, at, own[ok])
                 else:
-                    found[at] = np.minimum(found[at], own[ok])
-        best = np.where(found != top, found, best)
+                    best[at] = np.minimum(best[at], own[ok])
     bare = starts[best[starts] == top]  # no pair or run fits: the smallest word stands for the window
     if len(bare):
         ranks = tb.mix(names)
         best[bare] = ranks[bare[:, None] + np.arange(width)].min(axis=1)
-    return starts, best[starts]
+    return starts, tb.mix(best[starts]) | np.uint64(2)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -155,11 +148,10 @@ def _anchors(width: int):
                 again = np.zeros(len(keys), dtype=bool)
                 again[1:] = (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1])
                 settled = several & ~again
-                send = opens
-                slot = np.concatenate([keys[send], tb.mix(ids[settled].view(np.uint64))])
-                key = np.concatenate([keys[send], keys[settled]])
-                kind = np.concatenate([several[send].astype(np.int8), np.full(int(settled.sum()), 2, np.int8)])
-                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(key), pa.array(np.concatenate([ids[send], ids[settled]])), pa.array(kind)], ["slot", "key", "id", "kind"])
+                # mark 0: one text of the slice has the key in slot; 1: several; else the key, of which text id is known to share it
+                slot = np.concatenate([keys[opens], tb.mix(ids[settled].view(np.uint64))])
+                mark = np.concatenate([several[opens].astype(np.uint64), keys[settled]])
+                yield pa.RecordBatch.from_arrays([_signed(slot), pa.array(np.concatenate([ids[opens], ids[settled]])), _signed(mark)], ["slot", "id", "mark"])
 
     return run
 
@@ -203,7 +195,8 @@ def _windows(width: int):
                 least = ids[np.maximum.accumulate(np.where(opens, np.arange(len(ids)), 0))]
                 late = ids > least  # a smaller id of this slice has the window
                 slot = np.where(late, tb.mix(ids.view(np.uint64)), high)
-                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(low), pa.array(ids), pa.array(at), pa.array(late)], ["slot", "low", "id", "at", "late"])
+                tail = np.where(late, np.uint64(1 << 63), low & np.uint64(0xFFFFFFFF)) | at.astype(np.uint64) << np.uint64(32)
+                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(tail), pa.array(ids)], ["slot", "tail", "id"])
 
     return run
 
@@ -246,13 +239,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = prints.where("print is not null").groupBy("print").agg(F.min("id").alias("first"))
     copies = prints.join(first, "print").where("id > first").select("id").distinct().withColumn("copy", F.lit(True))
     originals = texts.join(copies, "id", "left_anti")
-    # kind 0: one text of a slice has the key; 1: several; 2: a text of which that is known
-    keyed = originals.mapInArrow(_anchors(width), "slot long, key long, id long, kind byte")
+    keyed = originals.mapInArrow(_anchors(width), "slot long, id long, mark long")
     slot = Window.partitionBy("slot")
-    one = F.when(F.col("kind") < 2, F.col("id"))
-    keyed = keyed.select("key", "id", "kind", F.min(one).over(slot).alias("a"), F.max(one).over(slot).alias("b"), F.max(F.col("kind") == 1).over(slot).alias("known"))
-    wanted = keyed.where("kind = 2 or known or a < b").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    windows = texts.join(wanted, "id").mapInArrow(_windows(width), "slot long, low long, id long, at int, late boolean")
+    one = F.when(F.col("mark").isin(0, 1), F.col("id"))
+    keyed = keyed.select("slot", "id", "mark", F.min(one).over(slot).alias("a"), F.max(one).over(slot).alias("b"), F.max(F.col("mark") == 1).over(slot).alias("known"))
+    key = F.when(F.col("mark").isin(0, 1), F.col("slot")).otherwise(F.col("mark"))
+    wanted = keyed.where("mark not in (0, 1) or known or a < b").groupBy("id").agg(F.collect_set(key).alias("keys"))
+    windows = texts.join(wanted, "id").mapInArrow(_windows(width), "slot long, tail long, id long").repartition("slot")
+    windows = windows.select("slot", F.col("tail").bitwiseAND(0xFFFFFFFF).alias("low"), F.shiftright("tail", 32).bitwiseAND(0x7FFFFFFF).cast("int").alias("at"), (F.col("tail") < 0).alias("late"), "id")
     alike = Window.partitionBy("slot", "low")
     owned = windows.withColumn("owner", F.min(F.when(~F.col("late"), F.col("id"))).over(alike))
     found = owned.where("late or id > owner").groupBy("id").agg(F.collect_set("at").alias("found"))
