@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dart_minhash, packing, substring_dedup
+from quire.llm import dart_minhash, ngram_quality, packing, site_quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -25,8 +29,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_dart_minhash, op3_substring_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op8_packing, op10_ngram_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
