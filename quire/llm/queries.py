@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dart_minhash, ngram_quality, packing, site_quality, substring_dedup
+from quire.llm import dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, site_quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -34,8 +46,8 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op8_packing, op10_ngram_quality)}
+    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op8_packing, op10_ngram_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_weighted_mix": mixing.ORACLE_SQL}
