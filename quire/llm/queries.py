@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, site_quality, substring_dedup
+from quire.llm import ball_tree, dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, site_quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op9_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op8_packing, op10_ngram_quality)}
+    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op8_packing, op9_ball_tree, op10_ngram_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
