@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textblocks as tb
@@ -219,3 +219,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = components(links)
     named = firsts.join(classes, firsts["first"] == classes["id"], "left").select("print", F.coalesce("root", "first").alias("class_id"))
     return sketch.select("id", "print").join(named, "print", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, the one with the smallest id, with all columns; rows without an id stay as they are."""
+    classes = near_classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    kept = classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)) == 1
+    named = docs.join(kept, id_col, "left_semi").withColumn("_first", first).where("_first").drop("_first")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

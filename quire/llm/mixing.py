@@ -73,11 +73,12 @@ def _cut(rows: DataFrame, bin_col: str, rest: str, at: str, before: str) -> Data
     return sums.withColumn("b", upto).where("b < r and r <= b + s").select("source", F.col(bin_col).alias(at), F.col("b").alias(before))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), and the columns in ``carry``."""
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    slim = docs.select(*carried, F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    slim = checkpointed(slim.select("id", "source", "size", (-F.log(u) / quality_weight(F.col("text"), F.col("size"))).alias("key")))
+    slim = checkpointed(slim.select(*(f"carried_{i}" for i in range(len(carry))), "id", "source", "size", (-F.log(u) / quality_weight(F.col("text"), F.col("size"))).alias("key")))
     plan = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     quota = F.least(F.round("target").cast("long"), most * F.col("source_size"))
     plan = plan.withColumn("quota", quota).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0))
@@ -97,7 +98,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = both.where(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), room)))
     ahead = (F.col("wide") < F.col("at_wide")) | ((F.col("wide") == F.col("at_wide")) & (F.col("fine") < F.col("at_fine")))
     clear = both.where(~edge).withColumn("part", F.when(ahead, F.col("size")).otherwise(0))
-    return last.unionByName(clear).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return last.unionByName(clear).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """The mix itself: each document as often as it is taken whole, the last one of a source cut to its first words.
+
+    Rows that agree in id, source and text are one document here, emitted as often as their shares ask for.
+    """
+    columns = docs.columns
+    marked = docs.withColumn("_h", F.xxhash64(text_col))
+    shares = mix(marked, id_col, text_col, source_col, carry=("_h", source_col)).where("taken > 0")
+    key = [F.col(id_col).alias("k_id"), F.col("_h").alias("k_h"), F.col(source_col).alias("k_source")]
+    shares = shares.groupBy(*key).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    same = marked[id_col].eqNullSafe(shares["k_id"]) & marked["_h"].eqNullSafe(shares["k_h"]) & marked[source_col].eqNullSafe(shares["k_source"])
+    one = F.row_number().over(Window.partitionBy("k_id", "k_h", "k_source").orderBy("k_id")) == 1
+    joined = marked.join(shares, same).withColumn("_one", one).where("_one")
+    whole = F.expr("CASE WHEN _taken >= _size THEN sequence(1L, _taken div _size) ELSE array() END")
+    part = F.col("_taken") % F.col("_size")
+    pieces = joined.withColumn("_words", F.explode(F.concat(F.transform(whole, lambda _: F.lit(0).cast("long")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    pieces = pieces.withColumn("_cut", F.when(F.col("_words") > 0, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")))
+    out = {text_col: F.coalesce("_cut", text_col)}
+    if length_col in columns:
+        out[length_col] = F.when(F.col("_words") > 0, F.char_length("_cut")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return pieces.select(*(out[c].alias(c) if c in out else F.col(c) for c in columns))
 
 
 ORACLE_SQL = r"""

@@ -141,3 +141,9 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
         F.col("id").alias(id_col), open_site("host"), open_site("path"), F.col("own").alias("evidence"), "host_posterior", "path_posterior", "probability",
         (F.col("probability") >= KEEP_FROM).alias("kept"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)),
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is kept, with all columns; rows without an id, on which nothing can be decided, stay."""
+    kept = assess(docs.where(F.col(id_col).isNotNull()), labels, id_col=id_col).where("kept").select(id_col).distinct()
+    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
