@@ -1,10 +1,49 @@
-"""Corpus preparation: quality classifier, near-dedup, secret scan, mixing, packing."""
+"""Corpus preparation in five stages: quality classifier, near-dedup, secret scan, mixing, packing.
+
+Every stage takes the documents that its predecessor kept, whole, and all but
+the last return the columns of ``documents``. ``STAGES`` is meant to be run with
+each result written and read again; ``run`` does the same with checkpoints.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import dart_minhash, mixing, packing, secret_scan, site_quality
+from quire.llm.recovery import checkpointed
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the site-shrunk classifier rejects go."""
+    return site_quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays."""
+    return dart_minhash.representatives(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; no document goes."""
+    return secret_scan.cleaned(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources reach their target weights: documents repeat by complete epochs, the rest is sampled."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("pack", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
