@@ -1,5 +1,5 @@
 """Queries over the driver's tables, one module per operator family."""
 
-from quire.plans import events
+from quire.plans import audit, catalog, events, status
 
-MODULES = (events,)
+MODULES = (events, catalog, status, audit)
