@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TEXT_LIMIT = 500
+
 
 def keep_latest(events: DataFrame, task: str, at: str, key: str, n: int) -> DataFrame:
     """The newest ``n`` events of each task; events without a task share one group."""
     newest = Window.partitionBy(F.coalesce(F.col(task).cast("string"), F.lit("_global"))).orderBy(F.col(at).desc(), F.col(key).desc())
     return events.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def first_of_kind(events: DataFrame, task: str, kind: str, value: str, at: str, key: str) -> DataFrame:
+    """Of each task's events of one kind the earliest stays; other events are left alone."""
+    is_kind = F.coalesce(F.col(kind) == value, F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(task, is_kind).orderBy(at, key))
+    return events.withColumn("_nth", nth).where(~is_kind | (F.col("_nth") == 1)).drop("_nth")
+
+
+def changes_only(events: DataFrame, task: str, at: str, key: str, parts: list[Column]) -> DataFrame:
+    """Events whose semantic key differs from the one before in their task."""
+    meaning = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    before = F.lag("_meaning").over(Window.partitionBy(task).orderBy(at, key))
+    return events.withColumn("_meaning", meaning).withColumn("_before", before).where(~F.col("_meaning").eqNullSafe(F.col("_before"))).drop("_meaning", "_before")
+
+
+def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int, newest: list[Column]) -> DataFrame:
+    """The last row of each key, of these the newest ``n``."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth").orderBy(*newest).limit(n)
+
+
+def slim(payload: Column, limit: int, keep: tuple[str, ...]) -> dict[str, Column]:
+    """JSON payloads over ``limit`` characters cut down to a white list of short texts, and whether that happened."""
+    long = F.length(payload) > limit
+    short = F.to_json(F.struct(*(F.left(F.get_json_object(payload, f"$.{k}"), F.lit(TEXT_LIMIT)).alias(k) for k in keep)))
+    return {"payload": F.when(long, short).otherwise(payload), "truncated": F.coalesce(long, F.lit(False))}

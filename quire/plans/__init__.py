@@ -1,5 +1,5 @@
 """Queries over the driver's tables, one module per operator family."""
 
-from quire.plans import audit, catalog, events, status
+from quire.plans import audit, catalog, events, logs, status
 
-MODULES = (events, catalog, status, audit)
+MODULES = (events, catalog, status, audit, logs)
