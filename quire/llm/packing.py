@@ -18,6 +18,7 @@ between sentences. Extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from itertools import chain
@@ -37,7 +38,7 @@ SENTENCE_CUT, WORD_CUT = 2, 8
 STEP = 64
 SMALLEST = 64
 STRETCH = 64 * WINDOW
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 700_000
 
 
 def tokenizer_file() -> str:
@@ -69,32 +70,59 @@ class WordEncoder:
         self.ends = np.array([t.replace("</w>", "")[-1:] in tuple(".!?") for t in tokens])
         self.stretches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, stretches: list[str]) -> None:
-        plain = [s for s in stretches if not self._exotic.search(s)]
-        other = list(set(stretches).difference(plain))
-        split = [self._piece.findall(s.lower()) for s in plain]
+    def _merge(self, piece: str) -> bytes:
+        """One normalised pre-token straight through the tokenizer's model."""
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        find = self._piece.findall
+        split = [find(s.lower()) for s in plain]
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.clear()
-        fresh = list(set(chain.from_iterable(split)) - self.pieces.keys())
-        self.pieces.update(zip(fresh, self._encode(fresh), strict=True))
-        get = self.pieces.__getitem__
-        self.stretches.update(zip(plain, [b"".join(map(get, p)) for p in split], strict=True))
+        pieces = self.pieces
+        for piece in set(chain.from_iterable(split)) - pieces.keys():
+            pieces[piece] = self._merge(piece)
+        get = pieces.__getitem__
+        self.stretches.update(zip(plain, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split], strict=True))
         self.stretches.update(zip(other, self._encode(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.specials) else self._stretch.findall(t) if self._exotic.search(t) else t.split() for t in texts]
-        if len(self.stretches) > CACHE_ENTRIES:
-            self.stretches.clear()
-        self._learn(list(set().union(*(x for x in split if x is not None)) - self.stretches.keys()))
+        split, plain, other = [], set(), set()
+        for t in texts:
+            if any(s in t for s in self.specials):
+                split.append(None)
+            elif self._exotic.search(t):
+                split.append(self._stretch.findall(t))
+                other.update(split[-1])
+            else:
+                split.append(t.split())
+                plain.update(split[-1])
+        plain.update([s for s in other if not self._exotic.search(s)])
+        other -= plain
+        fresh, strange = plain - self.stretches.keys(), other - self.stretches.keys()
+        if len(self.stretches) + len(fresh) > CACHE_ENTRIES:  # what these texts use stays
+            self.stretches = {w: self.stretches[w] for w in (plain | other) - fresh - strange}
+        self._learn(list(fresh), list(strange))
         get = self.stretches.__getitem__
         return [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for t, x in zip(texts, split, strict=True)]
 
 
+def byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable bytes for themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 def cuts_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cuts within one document as (position, penalty); the last is its end and costs nothing."""
     n = len(ids)
