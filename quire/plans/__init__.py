@@ -1,5 +1,5 @@
 """Queries over the driver's tables, one module per operator family."""
 
-from quire.plans import audit, catalog, events, logs, status, text
+from quire.plans import audit, catalog, events, logs, semistructured, status, store, text
 
-MODULES = (events, catalog, status, audit, logs, text)
+MODULES = (events, catalog, status, audit, logs, text, store, semistructured)
