@@ -1 +1,23 @@
+"""Structured Streaming forms of the event operators."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.streaming.folders import shared_folder
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events as a stream of Parquet files, with the schema of those that are there; a pattern also takes a single file."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything that is there now, through a file sink in the shared folder."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
