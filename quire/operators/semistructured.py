@@ -76,3 +76,12 @@ def distinct_artifacts(files: DataFrame, keys: list[str], ordinal: str) -> DataF
 def artifact_flags(names: Column) -> dict[str, Column]:
     any_of = lambda end: F.exists(names, lambda n: n.endswith(end))
     return {"has_middle": any_of("_middle.json"), "has_model": any_of("_model.json"), "has_pdf": any_of(".pdf")}
+
+
+def fallback(reason: Column, parsed: Column) -> dict[str, Column]:
+    """Flags and signals of the skeleton that stands for a failed classification; the fallback flag occurs twice among the signals."""
+    low = F.lower(F.coalesce(reason, F.lit("")))
+    parse = low.contains("json") | low.contains("parse") | low.contains("解析失败")
+    repair = low.contains("repair") | low.contains("修复失败")
+    flags = F.array_compact(F.array(F.lit("skeleton_fallback"), F.when(parse, "ai_provider_json_parse_failed"), F.when(repair, "ai_provider_json_repair_failed")))
+    return {"risk_flags": flags, "risk": F.concat(flags, F.array(*map(F.lit, ("skeleton_fallback", "low_confidence", "needs_human_review")))), "quality": F.when(F.coalesce(parsed, F.lit(0)) == 0, "no_parsed_artifacts")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +89,21 @@ def load(spark, folder: str, names: tuple[str, ...] = COLLECTIONS) -> dict[str,
 def totals(collections: dict[str, DataFrame]) -> DataFrame:
     """Rows per collection."""
     return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(n).alias("collection"), "n") for n, df in collections.items()))
+
+
+def read_store(spark, path: str, schema) -> DataFrame:
+    """A collection from JSON lines; a damaged file stops the job instead of losing rows, a missing one falls back to its ``.bak``."""
+    try:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path + ".bak")
+
+
+def replace_all(collections: dict[str, DataFrame], folder: str) -> None:
+    """Import: the given collections are replaced, the others stay."""
+    unknown = set(collections) - set(COLLECTIONS)
+    if unknown:
+        raise ValueError(f"unknown collections: {sorted(unknown)}")
+    save(collections, folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions.json_tree import has_dangerous_key, redacted
 from quire.operators import semistructured as semi
 from quire.operators import taxonomy
 from quire.plans.proxies import collection, with_collections
@@ -114,7 +115,43 @@ def flattened(spark, sf_dir):
     return m.select("id", F.concat_ws(" · ", F.nullif("subject", F.lit("")), F.nullif("ai_status", F.lit("")), F.col("status")).alias("summary"), F.coalesce(F.nullif("ai_job_id", F.lit("")), F.nullif("markdown_object_name", F.lit("")), F.col("title")).alias("fact"))
 
 
+def _nested(spark, sf_dir):
+    json = F.to_json(F.struct(F.struct(F.col("n_name").alias("apiKey"), F.array(F.struct(F.col("n_name").alias("Token_x"), F.col("n_name").alias("b"))).alias("list")).alias("a"), F.col("n_nationkey").alias(("id"))))
+    return table(spark, sf_dir, "nation").select("n_nationkey", json.alias("json"))
+
+
+def redaction(spark, sf_dir):
+    return _nested(spark, sf_dir).select("n_nationkey", redacted("json").alias("json"))
+
+
+def dangerous(spark, sf_dir):
+    json = F.when(F.col("n_nationkey") % 3 == 0, '{"a":{"b":[{"__proto__":1}]}}').when(F.col("n_nationkey") % 3 == 1, "not json").otherwise(F.col("json"))
+    return _nested(spark, sf_dir).select("n_nationkey", has_dangerous_key(json).alias("dangerous"))
+
+
+def skeletons(spark, sf_dir):
+    n = F.col("n_nationkey") % 3
+    got = semi.fallback(F.when(n == 0, "json_parse_failed").when(n == 1, "Repair error"), F.col("n_regionkey"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(got["risk_flags"], ",").alias("risk_flags"), F.array_join(got["risk"], ",").alias("risk"), got["quality"].alias("quality"))
+
+
+def percent(spark, sf_dir):
+    done, total = F.col("o_orderkey") % 40, F.col("o_custkey") % 4 * 16
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.round(F.try_divide(done, F.when(total > 0, total)) * 100).cast("bigint"), F.lit(0)).alias("percent"))
+
+
 QUERIES = {
+    "f12_redaction": (
+        redaction,
+        """SELECT n_nationkey, '{"a":{"apiKey":"<redacted>","list":[{"Token_x":"<redacted>","b":"' || n_name || '"}]},"id":' || n_nationkey || '}' AS json FROM nation""",
+    ),
+    "f13_dangerous_keys": (dangerous, "SELECT n_nationkey, n_nationkey % 3 = 0 AS dangerous FROM nation"),
+    "n5_fallback_skeleton": (
+        skeletons,
+        """WITH f AS (SELECT *, 'skeleton_fallback' || CASE n_nationkey % 3 WHEN 0 THEN ',ai_provider_json_parse_failed' WHEN 1 THEN ',ai_provider_json_repair_failed' ELSE '' END AS risk_flags FROM nation)
+           SELECT n_nationkey, risk_flags, risk_flags || ',skeleton_fallback,low_confidence,needs_human_review' AS risk, CASE WHEN n_regionkey = 0 THEN 'no_parsed_artifacts' END AS quality FROM f""",
+    ),
+    "d6_progress_percent": (percent, "SELECT o_orderkey, coalesce(CAST(round(CASE WHEN o_custkey % 4 > 0 THEN (o_orderkey % 40)::DOUBLE / (o_custkey % 4 * 16) * 100 END) AS BIGINT), 0) AS percent FROM orders"),
     "n1_extract_json": (
         extracted,
         """WITH r AS (SELECT event_id, props FROM events) SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 2) THEN props END AS json FROM r""",
