@@ -121,7 +121,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)), F.col(text_col).cast("string").alias("text"),
     )
     scored = slim.mapInArrow(_evidence(model), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text") + ", own double")
-    scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("own"))))
+    scored = checkpointed(scored.withColumn("p", 1 / (1 + F.exp(-F.col("own")))))  # no texts: a few numbers for each document
     paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     overall = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).select((F.col("s") / F.col("n")).alias("prior"))
