@@ -64,9 +64,9 @@ def contexts(spark, sf_dir):
 
 
 def thinking(spark, sf_dir):
-    raw = F.concat(F.lit("<think>a\nb</think> {"), F.left("text", F.lit(50)), F.when(F.col("doc_id") % 2 == 0, "}").otherwise("<THINK> open"))
+    raw = F.concat(F.lit("<think>a\nb</think> {"), "text", F.when(F.col("doc_id") % 2 == 0, "}").otherwise("<THINK> open"))
     got = text.without_thinking(raw)
-    return _d(spark, sf_dir).select("doc_id", got.alias("text"), text.looks_truncated(got).alias("truncated"), F.md5(text.one_line(F.col("text"))).alias("one_line"))
+    return _d(spark, sf_dir).select("doc_id", F.md5(got).alias("text"), text.looks_truncated(got).alias("truncated"), F.md5(text.one_line(F.col("text"))).alias("one_line"))
 
 
 def names(spark, sf_dir):
@@ -117,9 +117,9 @@ QUERIES = {
     "t15_context": (contexts, f"WITH {_ROWS}, r AS (SELECT doc_id, repeat(text, 6) AS t FROM d), c AS (SELECT doc_id, CASE WHEN length(t) <= 10000 THEN t ELSE left(t, 6000) || chr(10) || chr(10) || '...[内容已截断]...' || chr(10) || chr(10) || right(t, 4000 - 17) END AS t FROM r) SELECT doc_id, CAST(length(t) AS INT) AS chars, md5(t) AS context FROM c"),
     "t16_t17_t18_clean_output": (
         thinking,
-        rf"""WITH {_ROWS}, r AS (SELECT doc_id, text AS whole, '<think>a' || chr(10) || 'b</think> {{' || left(text, 50) || CASE WHEN doc_id % 2 = 0 THEN '}}' ELSE '<THINK> open' END AS raw FROM d),
+        rf"""WITH {_ROWS}, r AS (SELECT doc_id, text AS whole, '<think>a' || chr(10) || 'b</think> {{' || text || CASE WHEN doc_id % 2 = 0 THEN '}}' ELSE '<THINK> open' END AS raw FROM d),
         c AS (SELECT doc_id, whole, trim(regexp_replace(raw, '(?is)<think>.*?(?:</think>|$)', '', 'g'), {_TRIM}) AS text FROM r)
-        SELECT doc_id, text, contains(text, '{{') AND right(text, 1) NOT IN ('}}', ']') AS truncated, md5(trim(regexp_replace(whole, '\s+', ' ', 'g'))) AS one_line FROM c""",
+        SELECT doc_id, md5(text) AS text, contains(text, '{{') AND right(text, 1) NOT IN ('}}', ']') AS truncated, md5(trim(regexp_replace(whole, '\s+', ' ', 'g'))) AS one_line FROM c""",
     ),
     "t2_t6_names": (
         names,
