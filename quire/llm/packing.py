@@ -18,10 +18,11 @@ between sentences. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
 from collections import deque
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ STEP = 64
 SMALLEST = 64
 STRETCH = 64 * WINDOW
 CACHE_ENTRIES = 700_000
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def tokenizer_file() -> str:
@@ -57,8 +59,9 @@ class WordEncoder:
     """
 
     _piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    _exotic = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
-    _stretch = regex.compile(r"[^\t\n\r\x20]+")
+    _exotic = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+    _stretch = re.compile(r"[^\t\n\r\x20]+")
+    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which opens pieces of its own
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -81,19 +84,27 @@ class WordEncoder:
         """One normalised pre-token straight through the tokenizer's model."""
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
         ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, plain: list[str], other: list[str]) -> None:
-        find = self._piece.findall
-        split = [find(s.lower()) for s in plain]
+        """``plain`` holds lower-case stretches without exotic characters; most are letters and marks after them."""
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.clear()
-        pieces = self.pieces
-        for piece in set(chain.from_iterable(split)) - pieces.keys():
-            pieces[piece] = self._merge(piece)
-        get = pieces.__getitem__
-        self.stretches.update(zip(plain, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split], strict=True))
-        self.stretches.update(zip(other, self._encode(other), strict=True))
+        pieces, known, merge, marks = self.pieces, self.stretches, self._merge, self._marks
+
+        def of(piece: str) -> bytes:
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = pieces[piece] = merge(piece)
+            return ids
+
+        for s in plain:
+            if s.isalpha():
+                known[s] = of(s)
+                continue
+            core = s.rstrip(marks)
+            known[s] = of(core) + of(s[len(core) :]) if core.isalpha() and len(core) < len(s) else b"".join(map(of, self._piece.findall(s)))
+        known.update(zip(other, self._encode(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split, plain, other = [], set(), set()
@@ -104,18 +115,26 @@ class WordEncoder:
                 split.append(self._stretch.findall(t))
                 other.update(split[-1])
             else:
-                split.append(t.split())
+                split.append(t.lower().split())
                 plain.update(split[-1])
-        plain.update([s for s in other if not self._exotic.search(s)])
-        other -= plain
+        mixed = {s for s in other if not self._exotic.search(s)}
+        other -= mixed
+        plain.update(map(str.lower, mixed))
         fresh, strange = plain - self.stretches.keys(), other - self.stretches.keys()
         if len(self.stretches) + len(fresh) > CACHE_ENTRIES:  # what these texts use stays
             self.stretches = {w: self.stretches[w] for w in (plain | other) - fresh - strange}
         self._learn(list(fresh), list(strange))
+        self.stretches.update([(s, self.stretches[s.lower()]) for s in mixed])
         get = self.stretches.__getitem__
         return [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for t, x in zip(texts, split, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: its caches stay warm between partitions."""
+    return WordEncoder(path)
+
+
 def byte_letters() -> list[str]:
     """The letter that a byte-level vocabulary writes for each byte: printable bytes for themselves, the others from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -139,19 +158,20 @@ def cuts_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def best_cuts(at: list[int], cost: list[int], window: int) -> list[int]:
     """The cheapest chain of cuts from 0 with steps of at most ``window``, up to a cut that leaves less than a window."""
-    points, prices = [0, *at], [0, *cost]
-    total, back = [0] * len(points), [0] * len(points)
-    queue = deque([0])
-    for j in range(1, len(points)):
-        while points[j] - points[queue[0]] > window:
-            queue.popleft()
+    points, total, back, keys = [0, *at], [0], [0], [0]  # keys: total + point, all that a start contributes
+    queue, keep, drop, shift = deque([0]), deque.append, deque.pop, deque.popleft
+    for j, (here, price) in enumerate(zip(at, cost, strict=True), 1):
+        while here - points[queue[0]] > window:
+            shift(queue)
         i = queue[0]
-        total[j] = total[i] + points[i] + window - points[j] + prices[j]
-        back[j] = i
-        key = total[j] + points[j]
-        while queue and total[queue[-1]] + points[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
+        best = keys[i] + window - here + price
+        total.append(best)
+        back.append(i)
+        key = best + here
+        keys.append(key)
+        while queue and keys[queue[-1]] >= key:
+            drop(queue)
+        keep(queue, j)
     j = min((i for i in range(len(points)) if points[-1] - points[i] < window), key=lambda i: (total[i], -i))
     out = []
     while j:
@@ -224,7 +244,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack(path: str, window: int, keep_ids: bool):
     def run(batches):
-        encoder, packer = WordEncoder(path), None
+        encoder, packer = _encoder(path), None
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             packer = packer or Packer(TaskContext.get().partitionId(), encoder.ends, window)
