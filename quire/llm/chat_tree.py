@@ -25,6 +25,7 @@ conv_id form one conversation. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -74,7 +75,9 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=1)
 def _load(path: str):
+    """One tokenizer for all groups that a Python worker sees."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
