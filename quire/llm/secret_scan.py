@@ -2,15 +2,18 @@
 
 Three fixed patterns give the base findings. Beyond them a lexer reads
 name-literal pairs of source and configuration syntax (``name = "literal"``,
-``name: literal``, ``"name": "literal"``, ``name := other_name``), joins literals
-concatenated by ``+``, propagates constants to the names that refer to them, and
-scores every literal by how sensitive the name it ends up in is and how much it
-looks like key material. Literals at ``THRESHOLD`` or more that no base finding
-covers are added as kind ``named``.
+``name: literal``, ``"name": "literal"``, ``name := other_name``; literals in
+single, double, triple quotes or backticks), joins literals concatenated by ``+``,
+propagates constants to the names that refer to them, and scores every literal by
+the most sensitive name it ends up in and how much it looks like key material.
+Literals at ``THRESHOLD`` or more that no base finding covers are added as kind
+``named``. Neither names nor literals have a longest length.
 
 Defined results: a null text is empty; offsets count code points, ends are
 exclusive; rows that share a doc_id are scanned each for itself. Extra columns
-are ignored.
+are ignored. The order of definitions does not matter; every literal that a name
+is given counts for the names that refer to it. Pairs inside a literal are read
+too. A quote that is not closed opens no literal.
 """
 
 from __future__ import annotations
@@ -33,13 +36,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of 32 characters or more
 
 THRESHOLD = 0.5
+#: Possessive, as a character that ends a part never begins the next: no backtracking, whatever the length.
+_LITERAL_FORM = r"""(?:\"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]++|\\[\s\S]|'(?!''))*+'{3}|"(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`)"""
+_LITERAL = re.compile(_LITERAL_FORM)
 _PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?[\ \t]*(?::=|=>|=(?!=)|:(?!:))[\ \t]*
-        (?P<value>(?:"(?:\\.|[^"\\\n]){0,4096}"|'(?:\\.|[^'\\\n]){0,4096}')(?:[\ \t]*\+[\ \t]*(?:"(?:\\.|[^"\\\n]){0,4096}"|'(?:\\.|[^'\\\n]){0,4096}'))*
-        |[A-Za-z0-9+/_.=\-]+)""",
+    rf"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?[\ \t]*+(?::=|=>|=(?!=)|:(?!:))[\ \t]*+
+        (?P<value>(?P<quoted>{_LITERAL_FORM}(?:[\ \t]*+\+[\ \t]*+{_LITERAL_FORM})*+)|[A-Za-z0-9+/_.=\-]++)""",
     re.VERBOSE,
 )
-_LITERAL = re.compile(r"""(["'])((?:\\.|(?!\1)[^\\\n])*)\1""")
+_PEM_MARK = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]{1,40}-----")
+_LINE_END = re.compile(r"\\?\n[\ \t]*")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: How sensitive a word in a name is.
 SENSITIVE = {
@@ -58,6 +64,8 @@ def name_score(name: str) -> float:
 
 
 def literal_score(text: str) -> float:
+    if "-----" in text or "\n" in text:  # key material over several lines
+        text = _LINE_END.sub("", _PEM_MARK.sub("", text)).strip()
     if len(text) < 8 or _PLACEHOLDER.match(text) or " " in text:
         return 0.0
     n = len(text)
@@ -78,23 +86,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _pairs(text: str) -> list[tuple[str, int, int, bool]]:
+    """(name, start of the value, its end, whether it is quoted) of all pairs; those inside a literal are pairs as well."""
+    found, at = [], 0
+    while m := _PAIR.search(text, at):
+        s, e = m.span("value")
+        quoted = m["quoted"] is not None
+        found.append((m["name"], s, e, quoted))
+        at = s + 1 if quoted else e
+    return found
+
+
+def _parts(text: str, s: int, e: int, quoted: bool) -> list[tuple[int, int]]:
+    """The literals of a value, without their quotes."""
+    if not quoted:
+        return [(s, e)]
+    edge = lambda m: 3 if m.end() - m.start() >= 6 and m[0][:3] in ('"""', "'''") else 1
+    return [(m.start() + edge(m), m.end() - edge(m)) for m in _LITERAL.finditer(text, s, e)]
+
+
+def _reached(starts, steps: dict[str, set[str]], seen: set[str]) -> list[str]:
+    """What ``starts`` lead to, themselves included, besides ``seen``, which takes it in."""
+    new, todo = [], list(starts)
+    while todo:
+        n = todo.pop()
+        if n not in seen:
+            seen.add(n)
+            new.append(n)
+            todo.extend(steps.get(n, ()))
+    return new
+
+
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that sensitive names receive, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int, str]]] = {}
-    found = set()
-    for m in _PAIR.finditer(text):
-        name, value, at = m["name"], m["value"], m.start("value")
-        if value[0] in "\"'":
-            parts = [(at + x.start(2), at + x.end(2), x[2]) for x in _LITERAL.finditer(value)]
-        elif value in constants:
-            parts = constants[value]
+    pairs = _pairs(text)
+    scores = {n: name_score(n) for n in {p[0] for p in pairs}}
+    if not any(scores.values()):
+        return []
+    # bare values that name something with a literal are references
+    gives: dict[str, set[str]] = {}
+    literal = set()
+    for name, s, e, quoted in pairs:
+        if not quoted and (value := text[s:e]) in scores and value != name:
+            gives.setdefault(value, set()).add(name)
         else:
-            parts = [(at, at + len(value), value)]
-        constants[name] = parts
-        if name_score(name) * literal_score("".join(p[2] for p in parts)) >= THRESHOLD:
-            found.update((s, 3, e) for s, e, _ in parts if e > s)
+            literal.add(name)
+    grounded: set[str] = set()
+    _reached(literal, gives, grounded)
+    takes: dict[str, set[str]] = {}
+    for value in gives.keys() & grounded:
+        for name in gives[value]:
+            takes.setdefault(name, set()).add(value)
+    # a constant is as sensitive as the most sensitive name that it ends up in
+    seen: set[str] = set()
+    for name, score in sorted(scores.items(), key=lambda x: -x[1]):
+        for n in _reached([name], takes, seen):
+            scores[n] = score
+    found = set()
+    for name, s, e, quoted in pairs:
+        if scores[name] < THRESHOLD or not quoted and text[s:e] in takes.get(name, ()):
+            continue
+        parts = _parts(text, s, e, quoted)
+        if scores[name] * literal_score("".join(text[i:j] for i, j in parts)) >= THRESHOLD:
+            found.update((i, 3, j) for i, j in parts if j > i)
     return sorted(found)
 
 
