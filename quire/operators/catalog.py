@@ -34,6 +34,11 @@ def newest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.coalesce("update_time", F.lit(0)).desc(), F.coalesce("create_time", F.lit(0)).desc(), F.col("id").desc())
 
 
+def tasks_newest_first(rows: DataFrame) -> DataFrame:
+    """By creation time, descending, and id; missing times come last."""
+    return rows.orderBy(F.col("created_at").desc_nulls_last(), F.col("id"))
+
+
 #: Sort keys of the material list.
 ORDERS = {
     "newest": lambda: [F.coalesce("create_time", F.lit(0)).desc(), F.col("id")],

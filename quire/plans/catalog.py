@@ -125,4 +125,13 @@ QUERIES = {
     ),
     "u4_ids_gone": (lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(s, d, "orders").select("o_custkey")), "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders"),
     "d_flag_texts": _q("materials", ["*"], lambda m: m.select("id", is_flag(F.col("parsed_files_count")).alias("flag")), "SELECT id, coalesce(parsed_files_count IN ('true', '1'), false) AS flag FROM materials"),
+    # the whole sorts; what ends in a limit above is a report's first rows
+    "o1_all_newest_first": (
+        lambda s, d: catalog.newest_first(_m(s, d)).select("id", "update_time", "create_time"),
+        with_collections("materials", "SELECT id, update_time, create_time FROM materials ORDER BY coalesce(update_time, 0) DESC, coalesce(create_time, 0) DESC, id DESC"),
+    ),
+    "o2_all_by_size": (lambda s, d: catalog.ordered(_m(s, d), "size").select("id", "size_bytes"), with_collections("materials", "SELECT id, size_bytes FROM materials ORDER BY coalesce(size_bytes, 0) DESC, id")),
+    "o3_all_products": (lambda s, d: table(s, d, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").select("p_partkey", "p_retailprice"), "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey"),
+    "o4_all_tasks": _q("tasks", ["id", "created_at"], catalog.tasks_newest_first, "SELECT id, created_at FROM tasks ORDER BY created_at DESC NULLS LAST, id"),
+    "o6_all_numeric_ids": (lambda s, d: table(s, d, "supplier").orderBy(F.col("s_suppkey").desc()).select("s_suppkey"), "SELECT s_suppkey FROM supplier ORDER BY s_suppkey DESC"),
 }
