@@ -22,6 +22,9 @@ HEADING = r"^(#{1,6}|\d+\.)\s+(.+)"
 TOC_START = "(?i)(目录|TOC|Table of Contents|CONTENTS)"
 CUT_MARK = "\n\n...[内容已截断]...\n\n"
 PACK_LIMIT = 30_000
+SAMPLE_LIMIT = 80_000
+#: Beyond one of these a document is large: characters, parsed files.
+LARGE_CHARS, LARGE_FILES = 150_000, 1000
 PACK_SUFFIX = "\\n...[Evidence Pack Truncated]"
 
 
@@ -55,8 +58,8 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.split(clean, r"[_\-()\[\]\s]+"), lambda t: F.length(t) > 2)
 
 
-def evidence_pack(text: Column, name: Column, limit: int = PACK_LIMIT) -> dict[str, Column]:
-    """Front matter, outline, contents, snippets and tail of a long text under one cap, with its fingerprint."""
+def pack_text(text: Column, name: Column, limit: int = PACK_LIMIT) -> Column:
+    """Front matter, outline, contents, snippets and tail of a long text under one cap."""
     outline, signals, block = headings(text), F.array_join(name_tokens(name), " | "), toc(text)
     parts = [
         ("FILENAME SIGNALS", signals),
@@ -65,11 +68,16 @@ def evidence_pack(text: Column, name: Column, limit: int = PACK_LIMIT) -> dict[s
         ("EARLY BODY", snippet(text, 0.1)), ("MIDDLE CHAPTER", snippet(text, 0.5)), ("LATE CHAPTER", snippet(text, 0.8)), ("TAIL", tail(text)),
     ]
     pack = F.concat(*[x for title, body in parts for x in (F.lit(f"=== {title} ===\n"), body, F.lit("\n\n"))])
-    pack = F.when(F.length(pack) > limit, F.concat(F.left(pack, F.lit(limit)), F.lit(PACK_SUFFIX))).otherwise(pack)
+    return F.when(F.length(pack) > limit, F.concat(F.left(pack, F.lit(limit)), F.lit(PACK_SUFFIX))).otherwise(pack)
+
+
+def evidence_pack(text: Column, name: Column, limit: int = PACK_LIMIT) -> dict[str, Column]:
+    """Length and fingerprint of ``pack_text``."""
+    pack = pack_text(text, name, limit)
     return {"pack_chars": F.length(pack), "input_hash": F.concat(F.lit("sha256:"), F.sha2(pack, 256))}
 
 
-def sample(text: Column, header: Column, limit: int) -> Column:
+def sample(text: Column, header: Column, limit: int = SAMPLE_LIMIT) -> Column:
     """Header and, if the text does not fit, its head, contents, middle and tail."""
     room = F.lit(limit) - F.length(header) - 150
     n = F.length(text)
@@ -85,6 +93,14 @@ def sample(text: Column, header: Column, limit: int) -> Column:
     return F.when(blank(text), "").when(room <= 0, header).when(n <= room, F.concat(header, text)).otherwise(whole)
 
 
+def model_input(text: Column, name: Column, header: Column, files: Column) -> dict[str, Column]:
+    """Mode, content and whether it is cut: the evidence pack of a large document, else its sample."""
+    text = F.coalesce(text, F.lit(""))
+    large = (F.length(text) > LARGE_CHARS) | (F.coalesce(files, F.lit(0)) > LARGE_FILES)
+    content = F.when(large, pack_text(text, name)).otherwise(sample(text, header))
+    return {"mode": F.when(large, "evidence-pack-v0.3").otherwise("legacy-sampler-v0.2"), "content": content, "truncated": large | (F.length(text) > F.length(content))}
+
+
 def context(text: Column, limit: int) -> Column:
     """Head and tail around a marker; limits are kept between 10,000 and 200,000."""
     limit = max(10_000, min(200_000, limit))

@@ -53,9 +53,27 @@ def packs(spark, sf_dir):
     return _d(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in got.items()))
 
 
+def _header():
+    return F.concat(F.lit("=== FILE METADATA ===\nFilename: "), "source", F.lit("\n=== END METADATA ===\n\n"))
+
+
 def samples(spark, sf_dir):
-    header = F.concat(F.lit("=== FILE METADATA ===\nFilename: "), "source", F.lit("\n=== END METADATA ===\n\n"))
-    return _d(spark, sf_dir).select("doc_id", F.md5(text.sample(F.col("text"), header, _LIMIT)).alias("sampled"))
+    return _d(spark, sf_dir).select("doc_id", F.md5(text.sample(F.col("text"), _header(), _LIMIT)).alias("sampled"))
+
+
+def whole_packs(spark, sf_dir):
+    got = text.evidence_pack(F.col("text"), F.col("name"))
+    return _d(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in got.items()))
+
+
+def whole_samples(spark, sf_dir):
+    return _d(spark, sf_dir).select("doc_id", F.md5(text.sample(F.col("text"), _header())).alias("sampled"))
+
+
+def choices(spark, sf_dir):
+    got = text.model_input(F.col("text"), F.col("name"), _header(), F.col("doc_id") * 37 % 2000)
+    d = _d(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in got.items()))
+    return d.select("doc_id", "mode", F.length("content").alias("chars"), F.md5("content").alias("content"), "truncated")
 
 
 def contexts(spark, sf_dir):
@@ -99,20 +117,39 @@ def expiry(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.unix_timestamp(at) + F.parse_url(url, F.lit("QUERY"), F.lit("X-Amz-Expires")).try_cast("bigint")).alias("expires"))
 
 
-_ROOM = f"({_LIMIT} - length(header) - 150)"
+
+
+def _packed(limit):
+    return rf"p AS (SELECT doc_id, {_PACK} AS p FROM d), c AS (SELECT doc_id, CASE WHEN length(p) > {limit} THEN left(p, {limit}) || '\n...[Evidence Pack Truncated]' ELSE p END AS p FROM p)"
+
+
+def _sampled(limit):
+    """The steps of the sampler, and its result over the last of them."""
+    room = f"({limit} - length(header) - 150)"
+    return (
+        f"""h AS (SELECT *, '=== FILE METADATA ===' || chr(10) || 'Filename: ' || source || chr(10) || '=== END METADATA ===' || chr(10) || chr(10) AS header FROM d),
+        s AS (SELECT *, {room} AS room, length(text) AS n, CAST(floor({room} * 0.2::DOUBLE) AS BIGINT) AS head, CAST(floor({room} * 0.1::DOUBLE) AS BIGINT) AS tenth, regexp_extract(text, '(?i)(目录|TOC|Table of Contents|CONTENTS)', 1) AS hit FROM h),
+        a AS (SELECT *, room - head - 2 * tenth AS middle, CASE WHEN hit = '' THEN -1 ELSE instr(text, hit) - 1 END AS pos FROM s),
+        b AS (SELECT *, greatest(0, pos - CAST(floor(tenth / 4) AS BIGINT)) AS near FROM a)""",
+        """CASE WHEN n = 0 THEN '' WHEN n <= room THEN header || text ELSE array_to_string([header, '=== HEAD ===', left(text, head), chr(10) || '=== TOC/NEAR HEAD ===',
+          CASE WHEN pos >= 0 THEN substr(text, near + 1, least(n, pos + CAST(floor(tenth * 0.75::DOUBLE) AS BIGINT)) - near) ELSE substr(text, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) + 1, tenth) END, chr(10) || '=== MIDDLE ===',
+          substr(text, CAST(floor(n / 2 - middle / 2) AS BIGINT) + 1, middle), chr(10) || '=== TAIL ===', right(text, tenth), chr(10) || '=== ARTIFACT SIGNAL ===' || chr(10) || '[sampled representation]'], chr(10)) END""",
+    )
+
+
 QUERIES = {
     "t7_t8_t9_outline": (outline, f"WITH {_ROWS} SELECT doc_id, coalesce(array_to_string({_HEADS}, '|'), '') AS headings, md5({_TOC}) AS toc, array_to_string({_TOKENS}, '|') AS tokens FROM d"),
     "t10_t11_snippets": (snippets, f"WITH {_ROWS} SELECT doc_id, md5({_SNIP(0.1)}) AS early, md5({_SNIP(0.5)}) AS middle, md5({_SNIP(0.8)}) AS late, md5({_TAIL}) AS tail FROM d"),
-    "t12_t14_evidence_pack": (packs, rf"WITH {_ROWS}, p AS (SELECT doc_id, {_PACK} AS p FROM d), c AS (SELECT doc_id, CASE WHEN length(p) > 6000 THEN left(p, 6000) || '\n...[Evidence Pack Truncated]' ELSE p END AS p FROM p) SELECT doc_id, CAST(length(p) AS INT) AS pack_chars, 'sha256:' || sha256(p) AS input_hash FROM c"),
-    "t13_sampler": (
-        samples,
-        f"""WITH {_ROWS}, h AS (SELECT *, '=== FILE METADATA ===' || chr(10) || 'Filename: ' || source || chr(10) || '=== END METADATA ===' || chr(10) || chr(10) AS header FROM d),
-        s AS (SELECT *, {_ROOM} AS room, length(text) AS n, CAST(floor({_ROOM} * 0.2::DOUBLE) AS BIGINT) AS head, CAST(floor({_ROOM} * 0.1::DOUBLE) AS BIGINT) AS tenth, regexp_extract(text, '(?i)(目录|TOC|Table of Contents|CONTENTS)', 1) AS hit FROM h),
-        a AS (SELECT *, room - head - 2 * tenth AS middle, CASE WHEN hit = '' THEN -1 ELSE instr(text, hit) - 1 END AS pos FROM s),
-        b AS (SELECT *, greatest(0, pos - CAST(floor(tenth / 4) AS BIGINT)) AS near FROM a)
-        SELECT doc_id, md5(CASE WHEN n = 0 THEN '' WHEN n <= room THEN header || text ELSE array_to_string([header, '=== HEAD ===', left(text, head), chr(10) || '=== TOC/NEAR HEAD ===',
-          CASE WHEN pos >= 0 THEN substr(text, near + 1, least(n, pos + CAST(floor(tenth * 0.75::DOUBLE) AS BIGINT)) - near) ELSE substr(text, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) + 1, tenth) END, chr(10) || '=== MIDDLE ===',
-          substr(text, CAST(floor(n / 2 - middle / 2) AS BIGINT) + 1, middle), chr(10) || '=== TAIL ===', right(text, tenth), chr(10) || '=== ARTIFACT SIGNAL ===' || chr(10) || '[sampled representation]'], chr(10)) END) AS sampled FROM b""",
+    # small caps, so that short texts are cut as well
+    "t12_t14_evidence_pack": (packs, f"WITH {_ROWS}, {_packed(6000)} SELECT doc_id, CAST(length(p) AS INT) AS pack_chars, 'sha256:' || sha256(p) AS input_hash FROM c"),
+    "t13_sampler": (samples, "WITH {}, {}\n        SELECT doc_id, md5({}) AS sampled FROM b".format(_ROWS, *_sampled(_LIMIT))),
+    # the caps of the reference
+    "t12_whole_evidence_pack": (whole_packs, f"WITH {_ROWS}, {_packed(30_000)} SELECT doc_id, CAST(length(p) AS INT) AS pack_chars, 'sha256:' || sha256(p) AS input_hash FROM c"),
+    "t13_whole_sampler": (whole_samples, "WITH {}, {}\n        SELECT doc_id, md5({}) AS sampled FROM b".format(_ROWS, *_sampled(80_000))),
+    "t14_sampler_choice": (
+        choices,
+        "WITH {}, {}, {}, e AS (SELECT *, {} AS sampled, n > 150000 OR doc_id * 37 % 2000 > 1000 AS large FROM b), f AS (SELECT doc_id, n, large, CASE WHEN large THEN p ELSE sampled END AS content FROM e JOIN c USING (doc_id))\n"
+        "        SELECT doc_id, CASE WHEN large THEN 'evidence-pack-v0.3' ELSE 'legacy-sampler-v0.2' END AS mode, CAST(length(content) AS INT) AS chars, md5(content) AS content, large OR n > length(content) AS truncated FROM f".format(_ROWS, _packed(30_000), *_sampled(80_000)),
     ),
     "t15_context": (contexts, f"WITH {_ROWS}, r AS (SELECT doc_id, repeat(text, 6) AS t FROM d), c AS (SELECT doc_id, CASE WHEN length(t) <= 10000 THEN t ELSE left(t, 6000) || chr(10) || chr(10) || '...[内容已截断]...' || chr(10) || chr(10) || right(t, 4000 - 17) END AS t FROM r) SELECT doc_id, CAST(length(t) AS INT) AS chars, md5(t) AS context FROM c"),
     "t16_t17_t18_clean_output": (
