@@ -19,7 +19,7 @@ def of_task(spark, sf_dir):
 
 def changes(spark, sf_dir):
     meaning = F.concat_ws("|", "event_type", (F.col("value") > 50).cast("string"))
-    return run_now(events.changes_only(_stream(spark, sf_dir), "user_id", "ts", "event_id", meaning)).select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
+    return events.changes_only(_stream(spark, sf_dir), "user_id", "ts", "event_id", meaning).select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
 
 
 def attributed(spark, sf_dir):

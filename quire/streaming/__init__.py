@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.streaming.folders import shared_folder
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+#: Files of a micro-batch.
+BATCH_FILES = 64
+
+
+def read_events(spark: SparkSession, path: str, files: int = BATCH_FILES) -> DataFrame:
     """Events as a stream of Parquet files, with the schema of those that are there; a pattern also takes a single file."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -2,37 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators import events
+from quire.streaming.folders import shared_folder
 
 
 def of_task(stream: DataFrame, task: str, value) -> DataFrame:
     return stream.where(F.col(task) == value)
 
 
-def changes_only(stream: DataFrame, task: str, at: str, key: str, meaning: Column) -> DataFrame:
-    """Events (task, at, key) whose meaning differs from the last one of their task; one text of state per task.
+def changes_of_batch(ranged: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fresh rows of a batch, and the last meanings after it.
 
-    Within a micro-batch events are taken in the order of their time; what
-    arrives late is compared with what was seen last.
+    ``ranged`` has (task, at, key, meaning, range) with the ranges in the order of
+    task, at and key, so a large task lies in many of them; ``last`` has (task, meaning).
     """
-    slim = stream.select(F.col(task).alias("task"), F.col(at).alias("at"), F.col(key).alias("key"), meaning.alias("meaning"))
+    within = Window.partitionBy("range", "task").orderBy("at", "key")
+    ends = ranged.groupBy("range", "task").agg(F.max_by(F.struct("meaning"), F.struct("at", "key")).alias("end"))
+    ends = ends.withColumn("before_range", F.lag("end").over(Window.partitionBy("task").orderBy("range")))
+    known = last.select(F.col("task").alias("known_task"), F.struct("meaning").alias("known"))
+    starts = ends.join(known, F.col("task").eqNullSafe(F.col("known_task")), "left")
+    starts = starts.select(F.col("range").alias("r"), F.col("task").alias("t"), F.coalesce("before_range", "known").alias("before_range"))
+    rows = ranged.withColumn("before", F.lag(F.struct("meaning")).over(within)).withColumn("nth", F.row_number().over(within))
+    later = rows.where("nth > 1").where(~F.col("meaning").eqNullSafe(F.col("before.meaning"))).select("task", "at", "key")
+    first = rows.where("nth = 1").join(starts, (F.col("range") == F.col("r")) & F.col("task").eqNullSafe(F.col("t")))
+    first = first.where(F.col("before_range").isNull() | ~F.col("meaning").eqNullSafe(F.col("before_range.meaning"))).select("task", "at", "key")
+    newest = ends.groupBy("task").agg(F.max_by("end", "range").alias("end"))
+    kept = last.join(newest.select(F.col("task").alias("t")), F.col("task").eqNullSafe(F.col("t")), "left_anti")
+    return later.unionAll(first), newest.select("task", F.col("end.meaning").alias("meaning")).unionAll(kept)
+
 
-    def keep(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(parts).sort_values(["at", "key"])
-        last = state.get[0] if state.exists else None
-        fresh = rows["meaning"].ne(rows["meaning"].shift(fill_value=last))
-        state.update((rows["meaning"].iloc[-1],))
-        yield rows.loc[fresh, ["task", "at", "key"]]
+def changes_only(stream: DataFrame, task: str, at: str, key: str, meaning: Column) -> DataFrame:
+    """Events (task, at, key) whose meaning differs from the last one of their task; one text a task is kept between batches.
 
+    Runs over everything that is there now. Within a micro-batch events are taken
+    in the order of their time; what arrives late is compared with what was seen
+    last. No group is held by one task of Spark: a batch is cut into ranges of task
+    and time. The first event of a task counts as a change; null is a meaning.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    slim = stream.select(F.col(task).alias("task"), F.col(at).alias("at"), F.col(key).alias("key"), meaning.alias("meaning"))
+    states = slim.select("task", "meaning").schema
+    done = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        # a batch that is run again finds what it found the first time: the two states take turns
+        session = batch.sparkSession
+        parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+        batch.repartitionByRange(parts, "task", "at", "key").withColumn("range", F.spark_partition_id()).write.mode("overwrite").parquet(f"{base}/ranged")
+        ranged = session.read.parquet(f"{base}/ranged")
+        last = session.read.schema(states).parquet(f"{base}/last-{(number - 1) % 2}") if number else session.createDataFrame([], states)
+        fresh, after = changes_of_batch(ranged, last)
+        fresh.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        after.write.mode("overwrite").parquet(f"{base}/last-{number % 2}")
+        done.append(number)
+
+    slim.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     schema = slim.select("task", "at", "key").schema
-    return slim.groupBy("task").applyInPandasWithState(keep, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names) if done else spark.createDataFrame([], schema)
 
 
 def attributed(stream: DataFrame, tasks: DataFrame, task: str, at: str) -> DataFrame:

@@ -1,0 +1,42 @@
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.streaming import events, read_events
+
+
+def brute(batches):
+    last, out = {}, []
+    for rows in batches:
+        for task, at, key, meaning in sorted(rows, key=lambda r: r[1:3]):
+            if task not in last or last[task] != meaning:
+                out.append(key)
+            last[task] = meaning
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 2, 10])
+def test_changes_over_batches(spark, tmp_path, files):
+    rng = random.Random(files)
+    keys = iter(range(10**6))
+    # one task has most of the rows, some have no number, a task or two come late
+    batches = [[(rng.choice([7] * 20 + [1, 2, None, 10 + i]), rng.randint(0, 50) + 40 * i, next(keys), rng.choice(["a", "a", "b", None])) for _ in range(400)] for i in range(3)]
+    path = str(tmp_path / "events.parquet")
+    for rows in batches:
+        spark.createDataFrame(rows, "task long, at long, key long, meaning string").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.1)
+    got = events.changes_only(read_events(spark, path, files), "task", "at", "key", F.col("meaning"))
+    together = [sum(batches[i : i + files], []) for i in range(0, 3, files)]
+    assert sorted(r.key for r in got.collect()) == brute(together)
+
+
+def test_a_large_task_lies_in_many_ranges(spark):
+    rows = spark.range(10_000).select(F.lit(1).alias("task"), F.col("id").alias("at"), F.col("id").alias("key"), (F.col("id") / 7).cast("long").cast("string").alias("meaning"))
+    ranged = rows.repartitionByRange(8, "task", "at", "key").withColumn("range", F.spark_partition_id()).localCheckpoint()
+    assert ranged.groupBy("range").count().agg(F.max("count")).first()[0] < 3000
+    fresh, after = events.changes_of_batch(ranged, spark.createDataFrame([(1, "0"), (2, "x")], "task int, meaning string"))
+    assert sorted(r.key for r in fresh.collect()) == list(range(7, 10_000, 7))
+    assert sorted(map(tuple, after.collect())) == [(1, str(9999 // 7)), (2, "x")]
+    assert "Python" not in fresh._jdf.queryExecution().executedPlan().toString()
