@@ -8,8 +8,8 @@ penalty(j); padding is window - (j - i), so f(i) + i is all that i contributes
 and a monotone queue gives each minimum in constant amortised time. The program
 runs over a bounded stretch of the stream, emits the windows that are settled
 and goes on from the last of them, so memory does not follow the partition.
-What remains at the end of a partition is split into powers of two down to
-``SMALLEST``, which need no padding, and one padded rest.
+What remains at the end of a partition is split into powers of two down to one
+token, which need no padding, so padding does not follow the number of partitions.
 
 Defined results: a null or empty text is the end token alone; rows that share a
 doc_id are separate documents; a text longer than a window is cut, preferably
@@ -37,7 +37,6 @@ WINDOW = 4096
 END = 2
 SENTENCE_CUT, WORD_CUT = 2, 8
 STEP = 64
-SMALLEST = 64
 STRETCH = 64 * WINDOW
 CACHE_ENTRIES = 700_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -181,13 +180,11 @@ def best_cuts(at: list[int], cost: list[int], window: int) -> list[int]:
 
 
 def tail_cuts(n: int) -> list[int]:
-    """Ends of the pieces of the last, incomplete window: powers of two that need no padding, then one rest."""
+    """Ends of the pieces of the last, incomplete window: powers of two, which need no padding."""
     out, at = [], 0
-    while n - at >= SMALLEST:
+    while at < n:
         at += 1 << ((n - at).bit_length() - 1)
         out.append(at)
-    if at < n:
-        out.append(n)
     return out
 
 

@@ -72,5 +72,16 @@ def test_every_id_once_and_little_padding(spark):
     assert padding < 0.02 * total + 2 * 4096
 
 
+def test_many_partitions_need_no_more_padding(spark):
+    rows = [(i, "word " * (20 + 7 * i) + "end.") for i in range(120)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(60, "doc_id")).collect()
+    lengths = {}
+    for p in pieces:
+        lengths[p.sequence_id] = lengths.get(p.sequence_id, 0) + p.length
+    assert sum(lengths.values()) == sum(n for _, n in {(p.doc_id, p.doc_tokens) for p in pieces})
+    assert len({p.sequence_id >> 32 for p in pieces}) > 30
+    assert sum(0 if n & (n - 1) == 0 else 4096 - n for n in lengths.values()) == 0
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
