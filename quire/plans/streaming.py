@@ -42,6 +42,11 @@ def compacted(spark, sf_dir):
     return events.compact(e.where("event_id % 2 = 0"), e.where("event_id % 3 <> 0"), "user_id", "ts", "event_id", 10).select("event_id", "user_id")
 
 
+def all_compacted(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return events.compact(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0 or event_id % 3 = 0"), "user_id", "ts", "event_id", 10).select("event_id", "user_id")
+
+
 def tail(spark, sf_dir):
     return events.tail(collection(spark, sf_dir, "log_lines"), 5).select("source", "seq")
 
@@ -61,5 +66,6 @@ QUERIES = {
     ),
     "r6_stream_once": (once, "SELECT DISTINCT user_id FROM events"),
     "r2_compaction_of_a_batch": (compacted, "SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"),
+    "r2_compaction_of_all": (all_compacted, "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"),
     "s9_log_tail": (tail, with_collections("log_lines", "SELECT source, seq FROM log_lines QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC) <= 5")),
 }
