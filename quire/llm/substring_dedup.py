@@ -9,15 +9,20 @@ the words that suffice to make it appear. A window of ``width`` words is keyed
 by the longest symbol whose context it contains, which depends on the words of
 the window alone. Two equal windows therefore share a key, and only the keys
 (about one for every four words) are shuffled to find out which ones occur in
-two different texts; what a slice of the input can settle itself reaches the
-shuffle as one row, so a passage that a third of all documents share does not
-gather in a task. Windows under such a key are then compared by 96-bit
-fingerprints of all their words, over the whole corpus.
+two different texts. A key that a task has seen in several texts reaches the shuffle
+as one row of that task, whatever their number, so a passage that a third of all
+documents share does not gather in one place. Windows under such a key are then
+compared by 96-bit fingerprints of all their words, over the whole corpus; runs
+of windows that a slice has settled travel as one row.
+
+A row of the table is known by its id and, where several texts share an id, by
+the text's hash (``dup``, 0 elsewhere), so texts under one id do not mix.
 
 Defined results: a null or empty text has no words and keeps nothing
 (``kept`` is the empty string); texts shorter than the window lose nothing; of
-equal texts the one with the smallest id is kept; rows that share a doc_id do
-not remove words from each other; a null doc_id sorts before every id. Extra
+equal texts the one with the smallest id is kept; rows that share a doc_id are
+each judged by their own text and do not remove words from each other; a null
+doc_id sorts before every id; a very long text is a slice of its own. Extra
 columns are ignored.
 """
 
@@ -31,8 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textblocks as tb
+from quire.llm.recovery import checkpointed
 
 ROUNDS = 6
+WIDEST = 63  # a symbol's rank has six bits for its length
+SEEN_KEYS = 1 << 18  # keys that a task remembers to have met in several texts
+BROADCAST_IDS = 100_000
 _NO_ID = -(1 << 63)
 _FAR = np.int64(1) << np.int64(60)
 
@@ -129,17 +138,35 @@ def _combine(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, opens, several
 
 
+class _Met:
+    """The latest keys that a task has met in several texts, at most ``SEEN_KEYS`` of them."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, dtype=np.uint64)
+
+    def split(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the sorted ``keys`` were met before."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys), dtype=bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[place] == keys
+
+    def add(self, keys: np.ndarray) -> None:
+        self.keys = np.union1d(self.keys, keys) if len(self.keys) + len(keys) <= SEEN_KEYS else np.unique(keys[-SEEN_KEYS:])
+
+
 def _anchors(width: int):
-    """Keys of each text. Those that a slice sees in several texts are settled there: one row stands for them in the comparison."""
+    """Keys of each text. Those that a task sees in several texts are settled there: one row stands for them in the comparison."""
 
     def run(batches):
+        met = _Met()
         for batch in batches:
             for part, data, offsets in tb.slices(batch, "text"):
                 words = tb.words_of(data, offsets)
                 starts, keys = window_keys(words.hashes(), words.first, width)
                 if not len(starts):
                     continue
-                ids = np.asarray(part.column("id"))[np.searchsorted(words.first, starts, side="right") - 1]
+                ids = np.asarray(part.column("rid"))[np.searchsorted(words.first, starts, side="right") - 1]
                 change = np.ones(len(keys), dtype=bool)
                 change[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
                 keys, ids = keys[change], ids[change]
@@ -147,11 +174,14 @@ def _anchors(width: int):
                 keys, ids = keys[order], ids[order]
                 again = np.zeros(len(keys), dtype=bool)
                 again[1:] = (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1])
-                settled = several & ~again
-                # mark 0: one text of the slice has the key in slot; 1: several; else the key, of which text id is known to share it
-                slot = np.concatenate([keys[opens], tb.mix(ids[settled].view(np.uint64))])
+                known = met.split(keys)  # their row is on its way
+                settled = (several | known) & ~again
+                opens &= ~known
+                met.add(keys[opens & several])
+                # mark 0: one text of the slice has the key in slot; 1: several; else the key, of which text rid is known to share it
+                slot = np.concatenate([keys[opens], tb.mix(ids[settled].view(np.uint64) ^ keys[settled])])
                 mark = np.concatenate([several[opens].astype(np.uint64), keys[settled]])
-                yield pa.RecordBatch.from_arrays([_signed(slot), pa.array(np.concatenate([ids[opens], ids[settled]])), _signed(mark)], ["slot", "id", "mark"])
+                yield pa.RecordBatch.from_arrays([_signed(slot), pa.array(np.concatenate([ids[opens], ids[settled]])), _signed(mark)], ["slot", "rid", "mark"])
 
     return run
 
@@ -189,14 +219,25 @@ def _windows(width: int):
                 high = tb.rolling(names, width)[starts[hit]]
                 low = tb.rolling(words.hashes(1), width)[starts[hit]]
                 at = (starts[hit] - words.first[doc[hit]]).astype(np.int32)
-                ids = np.asarray(part.column("id"))[doc[hit]]
+                row = doc[hit]
+                ids = np.asarray(part.column("id"))[row]
                 order, opens, _ = _combine([high, low], ids)
-                high, low, ids, at = high[order], low[order], ids[order], at[order]
+                high, low, ids, at, row = high[order], low[order], ids[order], at[order], row[order]
                 least = ids[np.maximum.accumulate(np.where(opens, np.arange(len(ids)), 0))]
                 late = ids > least  # a smaller id of this slice has the window
-                slot = np.where(late, tb.mix(ids.view(np.uint64)), high)
-                tail = np.where(late, np.uint64(1 << 63), low & np.uint64(0xFFFFFFFF)) | at.astype(np.uint64) << np.uint64(32)
-                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(tail), pa.array(ids)], ["slot", "tail", "id"])
+                # settled windows need no comparison: a run of them is one row, its length in the lower half of tail
+                by = np.lexsort((at[late], row[late]))
+                at_late, row_late = at[late][by], row[late][by]
+                fresh = np.ones(len(by), dtype=bool)
+                fresh[1:] = (row_late[1:] != row_late[:-1]) | (at_late[1:] != at_late[:-1] + 1)
+                begin = np.flatnonzero(fresh)
+                length = np.diff(np.append(begin, len(by))).astype(np.uint64)
+                at_late, row_late = at_late[begin], row_late[begin]
+                spread = tb.mix(np.asarray(part.column("id"))[row_late].view(np.uint64) ^ tb.mix(at_late.astype(np.uint64)))
+                slot = np.concatenate([high[~late], spread])
+                tail = np.concatenate([low[~late] & np.uint64(0xFFFFFFFF), np.uint64(1 << 63) | length]) | np.concatenate([at[~late], at_late]).astype(np.uint64) << np.uint64(32)
+                rows = np.concatenate([row[~late], row_late])
+                yield pa.RecordBatch.from_arrays([_signed(slot), _signed(tail), part.column("id").take(pa.array(rows)), part.column("dup").take(pa.array(rows))], ["slot", "tail", "id", "dup"])
 
     return run
 
@@ -215,11 +256,10 @@ def _cut(width: int):
                     if copies[i] and len(words) >= width:
                         words = []
                     elif found[i].is_valid:
-                        at = np.unique(np.asarray(found[i].values))
-                        at = at[at + width <= len(words)]
+                        both = np.asarray(found[i].values)
                         gone = np.zeros(len(words) + 1, dtype=np.int32)
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + width, -1)
+                        np.add.at(gone, both >> 32, 1)
+                        np.add.at(gone, (both >> 32) + (both & 0xFFFFFFFF) - 1 + width, -1)
                         words = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
                     removed.append(n[-1] - len(words))
                     kept.append(b" ".join(words).decode("utf-8"))
@@ -234,23 +274,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes when a window of ``width`` words covers it that also starts in
     a document with a smaller id. ``kept`` holds the other words joined by a space.
     """
+    if not 2 <= width <= WIDEST:
+        raise ValueError(f"width is from 2 to {WIDEST}")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = texts.select("id", F.md5("text").alias("print"))
-    first = prints.where("print is not null").groupBy("print").agg(F.min("id").alias("first"))
-    copies = prints.join(first, "print").where("id > first").select("id").distinct().withColumn("copy", F.lit(True))
-    originals = texts.join(copies, "id", "left_anti")
-    keyed = originals.mapInArrow(_anchors(width), "slot long, id long, mark long")
+    prints = checkpointed(texts.where("text is not null").select("id", F.unhex(F.md5("text")).alias("print")).groupBy("id", "print").agg(F.count("*").alias("n")))
+    several = prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
+    many = several.count()
+    if many:
+        several = F.broadcast(several) if many <= BROADCAST_IDS else several
+        texts = texts.join(several, "id", "left").withColumn("dup", F.when(F.col("several") & F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
+    else:
+        texts = texts.withColumn("dup", F.lit(0).cast("long"))
+    # one name for (id, dup): the id itself where that is enough
+    texts = texts.withColumn("rid", F.when(F.col("dup") == 0, F.col("id")).otherwise(F.xxhash64("id", "dup")))
+    first = prints.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
+    copies = prints.join(first, "print").where("id > first").select("id", "print")
+    if many:
+        # the copies' names need the hash of the text, which the texts have
+        marked = texts.where("text is not null").select("id", "rid", F.unhex(F.md5("text")).alias("print")).distinct()
+        copies = marked.join(copies, ["id", "print"], "left_semi").select("rid").distinct()
+    else:
+        copies = copies.select(F.col("id").alias("rid"))
+    copies = copies.withColumn("copy", F.lit(True))
+    originals = texts.join(copies, "rid", "left_anti")
+    keyed = originals.mapInArrow(_anchors(width), "slot long, rid long, mark long")
     slot = Window.partitionBy("slot")
-    one = F.when(F.col("mark").isin(0, 1), F.col("id"))
-    keyed = keyed.select("slot", "id", "mark", F.min(one).over(slot).alias("a"), F.max(one).over(slot).alias("b"), F.max(F.col("mark") == 1).over(slot).alias("known"))
+    one = F.when(F.col("mark").isin(0, 1), F.col("rid"))
+    keyed = keyed.select("slot", "rid", "mark", F.min(one).over(slot).alias("a"), F.max(one).over(slot).alias("b"), F.max(F.col("mark") == 1).over(slot).alias("known"))
     key = F.when(F.col("mark").isin(0, 1), F.col("slot")).otherwise(F.col("mark"))
-    wanted = keyed.where("mark not in (0, 1) or known or a < b").groupBy("id").agg(F.collect_set(key).alias("keys"))
-    windows = texts.join(wanted, "id").mapInArrow(_windows(width), "slot long, tail long, id long").repartition("slot")
-    windows = windows.select("slot", F.col("tail").bitwiseAND(0xFFFFFFFF).alias("low"), F.shiftright("tail", 32).bitwiseAND(0x7FFFFFFF).cast("int").alias("at"), (F.col("tail") < 0).alias("late"), "id")
+    wanted = keyed.where("mark not in (0, 1) or known or a < b").groupBy("rid").agg(F.collect_set(key).alias("keys"))
+    windows = texts.join(wanted, "rid").mapInArrow(_windows(width), "slot long, tail long, id long, dup long").repartition("slot")
+    windows = windows.select(
+        "slot", F.col("tail").bitwiseAND(0xFFFFFFFF).alias("low"), F.shiftrightunsigned("tail", 32).bitwiseAND(0x7FFFFFFF).alias("at"), (F.col("tail") < 0).alias("late"), "id", "dup"
+    )
     alike = Window.partitionBy("slot", "low")
     owned = windows.withColumn("owner", F.min(F.when(~F.col("late"), F.col("id"))).over(alike))
-    found = owned.where("late or id > owner").groupBy("id").agg(F.collect_set("at").alias("found"))
-    whole = texts.join(found, "id", "left").join(copies, "id", "left")
+    run = F.shiftleft("at", 32) + F.when(F.col("late"), F.col("low")).otherwise(1)
+    rid = F.when(F.col("dup") == 0, F.col("id")).otherwise(F.xxhash64("id", "dup")).alias("rid")
+    found = owned.where("late or id > owner").groupBy(rid).agg(F.collect_set(run).alias("found"))
+    whole = texts.join(found, "rid", "left").join(copies, "rid", "left")
     cut = whole.mapInArrow(_cut(width), "id long, n_words long, n_removed long, kept string")
     return cut.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
@@ -258,3 +320,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_words, n_removed, kept_sha256."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(doc_id, -9223372036854775808) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rn, id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+k AS (SELECT rn, id, i, array_to_string(w[i:i + 12], ' ') AS words FROM p),
+m AS (SELECT words, min(id) AS owner FROM k GROUP BY words),
+g AS (SELECT DISTINCT rn, unnest(range(i, i + 13)) AS j FROM k JOIN m USING (words) WHERE id > owner),
+t AS (SELECT rn, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+s AS (SELECT rn, string_agg(word, ' ' ORDER BY j) AS kept FROM t ANTI JOIN g USING (rn, j) GROUP BY rn),
+r AS (SELECT rn, count(*) AS n FROM g GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (rn) LEFT JOIN s USING (rn)
+"""

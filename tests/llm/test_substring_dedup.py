@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from quire.llm import substring_dedup
 
 SCHEMA = "doc_id long, text string, source string, id string, keys int"
@@ -57,3 +59,37 @@ def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(tuple(r) for r in substring_dedup.digest(docs).collect()) == brute(rows)
+
+
+def test_texts_under_one_id_do_not_mix(spark):
+    a = " ".join(f"t{i}" for i in range(20))
+    b = " ".join(f"u{i}" for i in range(20))
+    c = " ".join(f"t{i}" for i in range(4, 18)) + " " + b
+    rows = [(1, a), (2, a), (2, b), (2, None), (3, c), (3, a), (3, b), (4, c), (4, c), (5, b)]
+    assert run(spark, rows) == brute(rows)
+    rng = random.Random(11)
+    pool = [" ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(10, 60))) for _ in range(20)]
+    rows = [(rng.randrange(30), " ".join(rng.choices(pool, k=rng.randint(0, 3)))) for _ in range(200)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_null_id_comes_first_and_a_long_text_is_whole(spark):
+    long = " ".join(f"x{i % 4001}" for i in range(300_000))  # a slice of its own
+    tail = " ".join(long.split()[1000:1100])
+    rows = [(None, tail), (7, long), (8, "new " + tail)]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.digest(spark.createDataFrame([(i, t, "s", "x", 1) for i, t in rows], SCHEMA)).collect()), key=str)
+    assert got == sorted([(None, 100, 0), (7, 300_000, 75 * 100), (8, 101, 100)], key=str)
+
+
+def test_width_is_checked(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA), width=64)
+
+
+@pytest.mark.parametrize("keys", [4])
+def test_few_remembered_keys(spark, monkeypatch, keys):
+    monkeypatch.setattr(substring_dedup, "SEEN_KEYS", keys)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(90)], k=8)) + " " + passage) for i in range(90)]
+    assert run(spark, rows) == brute(rows)
