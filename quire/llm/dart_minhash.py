@@ -9,37 +9,42 @@ earliest per coordinate; where a coordinate stays empty it looks up to twice the
 rank. Two documents agree in a coordinate with the probability of their weighted
 Jaccard similarity.
 
-Documents that agree in a band are joined to the smallest id of that band's
-bucket, so a bucket of m rows gives m - 1 rows. The components of these links
-hold every pair that shares a bucket. Inside each of them all pairs are compared
-exactly, in blocks of bounded size, and only links that join two classes are
-returned. Similarity is at least 0.8 by default. With ``weights="set"`` (the
-production value) each distinct shingle weighs one, with ``"count"`` as often as
-it occurs.
+Equal texts are one node. Nodes that agree in a band share a bucket. Every node
+of a bucket is first compared exactly with the bucket's lead, its smallest node:
+a bucket of m rows gives m - 1 comparisons, and those alike form classes. Only in
+buckets that still hold several classes the pairs between classes are compared
+too, in blocks of bounded size, so candidates meet through a band they share and
+never through a chain of others. Similarity is at least 0.8 by default. With
+``weights="set"`` (the production value) each distinct shingle weighs one, with
+``"count"`` as often as it occurs.
 
 Defined results: a null text is alone in its class; equal texts, empty ones
 included, share a class; a text of one to four words is one shingle; a class is
-named by its smallest doc_id; rows that share a doc_id share a class. A pair at
-similarity 0.8 shares no band with probability below 0.0001. Extra columns are
-ignored.
+named by its smallest doc_id; rows that share a doc_id are classed each by its
+own text (classes that have that id as their smallest share its name), a null
+doc_id sorts first; a very long text is a slice of its own. A
+pair at similarity 0.8 shares no band with probability below 0.0001. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textblocks as tb
 from quire.llm.components import components
 from quire.llm.recovery import checkpointed
+from quire.llm.skew import hot_keys, spread_join
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 BLOCK_SHINGLES = 500_000
 _GOLD = 0x9E3779B97F4A7C15
+_NO_ID = -(1 << 63)
 
 
 def shingles(words: tb.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +57,10 @@ def shingles(words: tb.Words) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(int(first[-1]), dtype=np.uint64)
     short = np.zeros(len(out), dtype=bool)
     for i in np.flatnonzero((count > 0) & (count < SHINGLE)):
-        h = np.uint64(count[i])
+        h = np.array([count[i]], dtype=np.uint64)
         for name in names[words.first[i] : words.first[i + 1]]:
-            h = tb.mix(np.array([h * np.uint64(0x9FB21C651E98DF25) + name]))[0]
-        out[first[i]] = h
+            h = tb.mix(h * np.uint64(0x9FB21C651E98DF25) + name)
+        out[first[i]] = h[0]
         short[first[i]] = True
     out[~short] = full
     return out, first
@@ -139,11 +144,30 @@ def _elements(batches):
     for batch in batches:
         for part, data, offsets in tb.slices(batch, "text"):
             elements, first = shingles(tb.words_of(data, offsets))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("root"), part.column("groups"), _list(elements, np.diff(first))], ["id", "root", "groups", "elements"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("class"), part.column("places"), _list(elements, np.diff(first))], ["node", "class", "places", "elements"])
 
 
-def joined_pairs(ids: np.ndarray, elements: np.ndarray, first: np.ndarray, similarity: float, weights: str) -> list[tuple[int, int]]:
-    """Links that build the classes of pairs with at least this similarity among the given documents (a spanning forest)."""
+def star_pairs(lead: int, nodes: np.ndarray, elements: np.ndarray, first: np.ndarray, similarity: float, weights: str) -> list[tuple[int, int]]:
+    """(node, lead) of the nodes with at least this similarity to the lead, which is among them."""
+    doc, strip = _strips(elements, first, weights)
+    order = np.lexsort((strip, doc))
+    doc, strip = doc[order], strip[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (strip[1:] != strip[:-1])
+    doc, strip = doc[new], strip[new]
+    own = np.flatnonzero(nodes == lead)
+    if not len(own):
+        return []
+    mine = strip[doc == own[0]]
+    size = np.bincount(doc, minlength=len(nodes))
+    at = np.minimum(np.searchsorted(mine, strip), max(len(mine) - 1, 0))
+    both = np.bincount(doc[mine[at] == strip], minlength=len(nodes)) if len(mine) else np.zeros(len(nodes))
+    near = (size > 0) & (both >= similarity * (size + len(mine) - both) - 1e-9) & (nodes != lead)
+    return [(int(x), int(lead)) for x in nodes[near]]
+
+
+def joined_pairs(ids: np.ndarray, classes: np.ndarray, elements: np.ndarray, first: np.ndarray, similarity: float, weights: str) -> list[tuple[int, int]]:
+    """Links between the given classes whose documents have at least this similarity (a spanning forest)."""
     m = len(ids)
     doc, strip = _strips(elements, first, weights)
     name, inverse = np.unique(strip, return_inverse=True)
@@ -158,7 +182,7 @@ def joined_pairs(ids: np.ndarray, elements: np.ndarray, first: np.ndarray, simil
     by = np.argsort(place[doc], kind="stable")
     inverse, size = inverse[by], size[order]
     begin = np.concatenate([[0], np.cumsum(size)])
-    label = np.arange(m)
+    label = np.unique(classes, return_inverse=True)[1][order]
     mark = np.zeros(len(name), dtype=np.int32)
     links = []
     for x in range(m - 1):
@@ -178,19 +202,19 @@ def joined_pairs(ids: np.ndarray, elements: np.ndarray, first: np.ndarray, simil
     return links
 
 
-def _verify(similarity: float, weights: str):
+def _verify(similarity: float, weights: str, stars: bool):
     def run(table: pa.Table) -> pa.Table:
         a, b = [], []
-        table = table.combine_chunks().sort_by("root")
-        root = np.asarray(table.column("root"))
-        ids = np.asarray(table.column("id"))
+        table = table.combine_chunks().sort_by([("root", "ascending"), ("node", "ascending")])
+        root, nodes, classes = (np.asarray(table.column(c)) for c in ("root", "node", "class"))
         listed = table.column("elements").combine_chunks()
         listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
         begin = np.asarray(listed.offsets).astype(np.int64)
         values = np.asarray(listed.values).view(np.uint64)
         cuts = np.concatenate([[0], np.flatnonzero(root[1:] != root[:-1]) + 1, [len(root)]])
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            for x, y in joined_pairs(ids[s:e], values[begin[s] : begin[e]], begin[s : e + 1] - begin[s], similarity, weights):
+            own = values[begin[s] : begin[e]], begin[s : e + 1] - begin[s], similarity, weights
+            for x, y in star_pairs(root[s], nodes[s:e], *own) if stars else joined_pairs(nodes[s:e], classes[s:e], *own):
                 a.append(x)
                 b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -198,33 +222,96 @@ def _verify(similarity: float, weights: str):
     return run
 
 
+def _links(texts: DataFrame, nodes: DataFrame, met: DataFrame, stars: bool, similarity: float, weights: str) -> DataFrame:
+    """Verified links (a, b) among the nodes that meet under a root: (node, class, root, n) in ``met``.
+
+    The nodes of a root are cut into parts of about ``BLOCK_SHINGLES`` shingles. With
+    ``stars`` the root itself comes to every part, otherwise every two parts meet.
+    """
+    whole = met.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"), F.count("*").alias("rows"))
+    whole = checkpointed(whole)
+    bins = int(met.agg(F.ceil(F.sum("n") / BLOCK_SHINGLES)).first()[0] or 1) * 4
+    placed = spread_join(met, whole, "root", hot_keys(whole, "root", "rows"), F.col("node"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    if stars:
+        parts = F.when(F.col("node") == F.col("root"), F.transform(every, lambda j: F.xxhash64("root", j))).otherwise(F.array(F.xxhash64("root", part)))
+    else:
+        parts = F.transform(every, lambda j: F.xxhash64("root", F.least(part, j), F.greatest(part, j)))
+    small = F.array(F.pmod(F.xxhash64("root"), F.lit(bins)))
+    places = F.transform(F.when(F.col("parts") > 1, parts).otherwise(small), lambda g: F.struct(g.alias("group"), F.col("root").alias("root")))
+    placed = placed.select("node", "class", places.alias("places")).groupBy("node").agg(F.any_value("class").alias("class"), F.flatten(F.collect_list("places")).alias("places"))
+    named = placed.join(nodes.select("node", "first", "print"), "node")
+    members = texts.join(named, (texts["id"] == named["first"]) & (texts["print"] == named["print"])).select("node", "class", "places", "text")
+    members = members.mapInArrow(_elements, "node long, class long, places array<struct<group:long,root:long>>, elements array<long>")
+    members = members.select("node", "class", F.explode("places").alias("place"), "elements").select("node", "class", F.col("place.group").alias("group"), F.col("place.root").alias("root"), "elements")
+    return checkpointed(members.groupBy("group").applyInArrow(_verify(similarity, weights, stars), "a long, b long").distinct())
+
+
+def _nodes(sketch: DataFrame) -> DataFrame:
+    """(print, first, n, keys, node): distinct texts, the smallest id of each, and a number for the text, which is that id wherever it names one text only."""
+    found = checkpointed(sketch.where("print is not null").groupBy("print").agg(F.min("id").alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")))
+    shared = found.groupBy("first").agg(F.count("*").alias("same")).where("same > 1")
+    if shared.isEmpty():
+        return found.withColumn("node", F.col("first"))
+    node = F.when(F.col("same").isNull(), F.col("first")).otherwise(F.xxhash64("first", "print"))
+    return checkpointed(found.join(shared, "first", "left").withColumn("node", node).drop("same"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, weights: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, print) of ``docs``, and (print, first, root, class_id) of every distinct text; root is another number for the class."""
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("print", F.unhex(F.md5("text")))
+    sketch = checkpointed(texts.mapInArrow(_sketch(weights), "id long, print binary, n long, keys array<long>"))
+    if not sketch.groupBy("id", "print").agg(F.count("*").alias("same")).where("same > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "print"])  # repeated rows count once in the comparison
+    nodes = _nodes(sketch)
+    banded = nodes.select("node", "n", F.explode("keys").alias("key"))
+    buckets = checkpointed(banded.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("last"), F.count("*").alias("rows")).where("root < last").drop("last"))
+    hot = hot_keys(buckets, "key", "rows")
+    banded = checkpointed(spread_join(banded, buckets.select("key", "root"), "key", hot, F.col("node")))
+    own = F.col("node").alias("class")
+    met = checkpointed(banded.select("node", own, "root", "n").distinct())
+    links = _links(texts, nodes, met, True, similarity, weights)
+    first = components(links).withColumnRenamed("id", "node")
+    classed = checkpointed(banded.join(first.withColumnRenamed("root", "class"), "node", "left").select("key", "node", "n", F.coalesce("class", "node").alias("class")))
+    # of buckets with equal members one is enough
+    mixed = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    mixed = checkpointed(mixed.where("a < b and rows > 2").groupBy("rows", "x", "y").agg(F.min("key").alias("key")))
+    met = checkpointed(spread_join(classed, mixed.select("key"), "key", hot_keys(mixed, "key", "rows"), F.col("node"), "left_semi").select("node", "class", F.col("key").alias("root"), "n"))
+    more = _links(texts, nodes, met, False, similarity, weights)
+    classes = components(links.unionByName(more)) if not more.isEmpty() else first.withColumnRenamed("node", "id")
+    named = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("print", "first", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("rows"))
+    named = spread_join(named, least.select("root", "class_id"), "root", hot_keys(least, "root", "rows"), F.col("print"))
+    return sketch.select("id", "print"), checkpointed(named.select("print", "first", "root", "class_id"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
     """One row (doc_id, class_id) per row of ``docs``; class_id is the smallest doc_id of its near-duplicate class."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = checkpointed(texts.withColumn("print", F.md5("text")).mapInArrow(_sketch(weights), "id long, print string, n long, keys array<long>"))
-    firsts = sketch.where("print is not null").groupBy("print").agg(F.min("id").alias("first"))
-    reps = sketch.join(firsts, "print").where("id = first")
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    leads = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    maybe = components(banded.join(leads, "key").select(F.col("id").alias("a"), F.col("lead").alias("b")))
-    sized = checkpointed(maybe.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id"))
-    whole = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    bins = int(sized.agg(F.ceil(F.sum("n") / BLOCK_SHINGLES)).first()[0] or 1) * 4
-    block = F.pmod(F.xxhash64("id"), F.col("parts"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.concat_ws(":", F.col("root"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
-    groups = F.when(F.col("parts") > 1, others).otherwise(F.array(F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")))
-    placed = sized.join(whole, "root").withColumn("block", block).select("id", "root", groups.alias("groups"))
-    members = texts.join(placed, "id").mapInArrow(_elements, "id long, root long, groups array<string>, elements array<long>")
-    links = members.select("id", "root", F.explode("groups").alias("group"), "elements").groupBy("group").applyInArrow(_verify(similarity, weights), "a long, b long")
-    classes = components(links)
-    named = firsts.join(classes, firsts["first"] == classes["id"], "left").select("print", F.coalesce("root", "first").alias("class_id"))
-    return sketch.select("id", "print").join(named, "print", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    rows, named = _classes(docs, id_col, text_col, similarity, weights)
+    hot = hot_keys(rows.where("print is not null").groupBy("print").agg(F.count("*").alias("n")), "print")
+    known = spread_join(rows.where("print is not null"), named.select("print", "class_id"), "print", hot, F.col("id")).select("id", "class_id")
+    known = known.unionByName(rows.where("print is null").select("id", F.col("id").alias("class_id")))
+    given = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    return known.select(given("id").alias(id_col), given("class_id").alias("class_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id, with all columns; rows without an id stay as they are."""
-    classes = near_classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)) == 1
-    named = docs.join(kept, id_col, "left_semi").withColumn("_first", first).where("_first").drop("_first")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each class with all columns: of those with the smallest id and, among these, the smallest text hash, the first.
+
+    Rows whose id or text is null stay as they are. Rows that share the id of a
+    class but belong to another class are judged there.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    bare = F.col(own_id).isNull() | F.col(own_text).isNull()
+    _, named = _classes(rows.where(~bare), own_id, own_text, SIMILARITY, "set")
+    best = named.where("first = class_id").groupBy("root", "class_id").agg(F.min("print").alias("print")).select("class_id", "print")
+    kept = rows.where(~bare).withColumn("print", F.unhex(F.md5(F.col(own_text).cast("string")))).withColumn("class_id", F.col(own_id).cast("long")).join(best, ["class_id", "print"], "left_semi")
+    # repeated rows are rare: only they are grouped
+    times = checkpointed(kept.groupBy("class_id", "print").agg(F.count("*").alias("times")).where("times > 1"))
+    if not times.isEmpty():
+        again = kept.join(times, ["class_id", "print"], "left_semi").groupBy("class_id", "print").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row")).select("row.*")
+        kept = kept.join(times, ["class_id", "print"], "left_anti").select(*names).unionByName(again)
+    return kept.select(*names).unionByName(rows.where(bare)).toDF(*docs.columns)

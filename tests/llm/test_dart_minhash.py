@@ -80,3 +80,52 @@ def test_coordinates_agree_as_the_weighted_similarity():
     for weights, want in (("set", 60 / 110), ("count", 60 / 130)):
         s = dm.signatures(both, first, 4000, weights)
         assert abs((s[0] == s[1]).mean() - want) < 0.03
+
+
+def test_texts_under_one_id_and_null_ids(spark):
+    a = " ".join(f"t{i}" for i in range(60))
+    near = a.replace("t7 ", "other ")
+    b = " ".join(f"u{i}" for i in range(60))
+    rows = [(2, a), (2, b), (3, near), (4, b), (2, None), (None, b + " end"), (9, a)]
+    got = sorted(map(tuple, dm.near_classes(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(2, 2), (2, None), (3, 2), (4, None), (2, 2), (None, None), (9, 2)], key=str)
+
+
+def test_representatives_keep_rows_as_rows(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "tu")
+    schema = "_first int, doc_id long, text string, print string, node long, class_id long"
+    rows = [(1, 2, a, "p", 5, 6), (2, 2, b, "q", 5, 6), (3, 3, a, "p", 5, 6), (4, 4, b, "p", 5, 6), (5, None, a, "p", 5, 6), (6, 7, None, "p", 5, 6), (7, 7, None, "p", 5, 6), (8, 9, "x", "p", 1, 1), (8, 9, "x", "p", 1, 1), (9, 9, "x", "p", 1, 1)]
+    got = dm.representatives(spark.createDataFrame(rows, schema))
+    assert got.columns == ["_first", "doc_id", "text", "print", "node", "class_id"]
+    assert sorted(r[0] for r in got.collect()) == [1, 2, 5, 6, 7, 8]
+
+
+def test_stars_alone_do_not_decide(spark):
+    """Two documents that are alike, but not like the lead of the bucket they share, still meet."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 60):
+        words = list(base)
+        for _ in range(14):
+            words[rng.randrange(400)] = f"x{i}"
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words[:-1], "y"]))]
+    got = {r.doc_id: r.class_id for r in dm.near_classes(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_recall_of_planted_copies_above_the_limit(spark):
+    """Every planted pair at 0.8 or more is found; the share is stated in the README."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for i in range(150):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(rng.randint(60, 300))]
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 50))):
+            other[rng.randrange(len(other))] = "edit"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * i, 2 * i + 1))
+    got = {r.doc_id: r.class_id for r in dm.near_classes(frame(spark, rows)).collect()}
+    assert len(pairs) > 100 and all(got[a] == got[b] for a, b in pairs)
