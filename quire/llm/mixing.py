@@ -14,8 +14,8 @@ in 65,536, are ordered one by one.
 
 Defined results: a null text has no words; documents without words take none; a
 null doc_id draws its key as the text ``null``; equal keys are taken by smaller
-doc_id; of rows that agree in everything an arbitrary one is cut. Extra columns
-are ignored.
+doc_id; of rows that agree in everything an arbitrary one is cut; a text is
+counted whole, however long. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,28 +101,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return last.unionByName(clear).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash over all columns of a row; maps and variants by their JSON text."""
+    hashed = [F.to_json(F.struct(f.name)) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f.name) for f in docs.schema]
+    return F.xxhash64(*hashed)
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
     """The mix itself: each document as often as it is taken whole, the last one of a source cut to its first words.
 
-    Rows that agree in id, source and text are one document here, emitted as often as their shares ask for.
+    Rows are rows: those that agree in some columns only are mixed each for
+    itself. Rows that agree in every column cannot be told apart; they are emitted
+    together as often as their shares ask for. A cut text has single spaces.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_h", F.xxhash64(text_col))
-    shares = mix(marked, id_col, text_col, source_col, carry=("_h", source_col)).where("taken > 0")
-    key = [F.col(id_col).alias("k_id"), F.col("_h").alias("k_h"), F.col(source_col).alias("k_source")]
-    shares = shares.groupBy(*key).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    same = marked[id_col].eqNullSafe(shares["k_id"]) & marked["_h"].eqNullSafe(shares["k_h"]) & marked[source_col].eqNullSafe(shares["k_source"])
-    one = F.row_number().over(Window.partitionBy("k_id", "k_h", "k_source").orderBy("k_id")) == 1
-    joined = marked.join(shares, same).withColumn("_one", one).where("_one")
-    whole = F.expr("CASE WHEN _taken >= _size THEN sequence(1L, _taken div _size) ELSE array() END")
-    part = F.col("_taken") % F.col("_size")
-    pieces = joined.withColumn("_words", F.explode(F.concat(F.transform(whole, lambda _: F.lit(0).cast("long")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pieces = pieces.withColumn("_cut", F.when(F.col("_words") > 0, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")))
-    out = {text_col: F.coalesce("_cut", text_col)}
-    if length_col in columns:
-        out[length_col] = F.when(F.col("_words") > 0, F.char_length("_cut")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
-    return pieces.select(*(out[c].alias(c) if c in out else F.col(c) for c in columns))
+    # columns are renamed by position, so that no name of the table can clash
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = {c: names[i] for i, c in enumerate(docs.columns)}
+    text = own[text_col]
+    marked = docs.toDF(*names)
+    marked = marked.withColumn("row", _row_hash(marked))
+    shares = mix(marked, own[id_col], text, own[source_col], carry=("row",)).where("taken > 0")
+    shares = shares.groupBy(F.col(own[id_col]).alias("k_id"), F.col("row").alias("k_row")).agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("times"))
+    shares = checkpointed(shares)
+    same = marked[own[id_col]].cast("long").eqNullSafe(shares["k_id"]) & (marked["row"] == shares["k_row"])
+    joined = marked.join(shares, same)
+    if not shares.where("times > 1").isEmpty():
+        # of equal rows one stands for all; partial sums keep them apart from each other's tasks
+        first = [F.any_value(c).alias(c) for c in names]
+        joined = joined.where("times = 1").select(*names, "taken", "size").unionByName(joined.where("times > 1").groupBy("row", "k_id", "taken", "size").agg(*first).select(*names, "taken", "size"))
+    whole = F.expr("CASE WHEN taken >= size THEN sequence(1L, taken div size) ELSE array() END")
+    part = F.col("taken") % F.col("size")
+    pieces = joined.withColumn("words", F.explode(F.concat(F.transform(whole, lambda _: F.lit(0).cast("long")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    split = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    pieces = pieces.withColumn("cut", F.when(F.col("words") > 0, F.array_join(F.slice(split, F.lit(1), F.col("words").cast("int")), " ")))
+    out = {text: F.coalesce("cut", text)}
+    if length_col in own:
+        out[own[length_col]] = F.when(F.col("words") > 0, F.char_length("cut")).otherwise(F.col(own[length_col])).cast(docs.schema[length_col].dataType)
+    return pieces.select(*(out[c].alias(c) if c in out else F.col(c) for c in names)).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

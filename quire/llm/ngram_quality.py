@@ -3,13 +3,17 @@
 Word unigrams, word bigrams and character trigrams (of UTF-8 bytes) are hashed
 into tables of weights; a text's score is the sum over the three families of the
 mean weight of its n-grams. The weights are logistic regression on labelled
-quality rows, a bounded sample of ``SAMPLE`` documents. A fifth of it is held
-out to turn scores into probabilities. All texts are scored whole, in Arrow
-batches, against fixed thresholds.
+quality rows, a bounded sample of ``SAMPLE`` documents, whose n-grams are hashed
+in the tasks; only these lists, of at most 3 x 2^17 entries a document, reach the
+driver. A fifth of the sample is held out to turn scores into probabilities. All
+texts are scored whole, in Arrow batches, against fixed thresholds. A score is
+summed in whole numbers (units of 2^-32), so it does not depend on how the table
+is cut into batches.
 
 Defined results: a null or empty text has no words, fails the base rules and is
 not kept; without labels of both kinds the base rules alone decide; rows that
-share a doc_id are scored each for itself. Extra columns are ignored.
+share a doc_id are scored each for itself; a very long text is a slice of its
+own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,7 @@ KEEP_FROM = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 FAMILIES = 3
+UNIT = 2.0**32
 _STUTTER = np.uint64(0xB5297A4D3F84D5B5)
 
 
@@ -62,7 +68,8 @@ class Model:
     def scores(self, words: tb.Words, hashes: np.ndarray) -> np.ndarray:
         total = np.full(len(words.first) - 1, self.bias)
         for table, (bucket, first) in zip(self.weights, grams(words, hashes), strict=True):
-            total += textstats.per_text(table[bucket].astype(np.float64), first) / np.maximum(np.diff(first), 1)
+            exact = textstats.per_text(np.round(table[bucket].astype(np.float64) * UNIT).astype(np.int64), first)
+            total += exact / UNIT / np.maximum(np.diff(first), 1)
         return total
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
@@ -82,26 +89,35 @@ def calibration(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if np.isfinite(w).all() and w[0] > 0 else (1.0, 0.0)
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model | None:
-    """A model from labelled texts, or None where one of the two labels is missing."""
-    y = np.array(labels, dtype=float)
+def _hashed(batches):
+    """The n-grams of each text as (bucket, share of the family's n-grams)."""
+    for batch in batches:
+        for part, data, offsets in tb.slices(batch, "text"):
+            words = tb.words_of(data, offsets)
+            index, value, row = [], [], []
+            for family, (bucket, first) in enumerate(grams(words, words.hashes())):
+                n = np.diff(first)
+                doc = np.repeat(np.arange(len(n)), n)
+                key, times = np.unique(doc.astype(np.int64) << BITS | bucket, return_counts=True)
+                doc = key >> BITS
+                index.append(((key & ((1 << BITS) - 1)) + (family << BITS)).astype(np.int32))
+                value.append((times / n[doc]).astype(np.float32))
+                row.append(doc)
+            row = np.concatenate(row)
+            by = np.argsort(row, kind="stable")
+            bounds = pa.array(np.searchsorted(row[by], np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x)[by])) for x in (index, value)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *lists], ["id", "y", "bucket", "share"])
+
+
+def fit(rows: pa.Table) -> Model | None:
+    """A model from labelled (id, y, bucket, share), or None where one of the two labels is missing."""
+    rows = rows.sort_by("id").combine_chunks()
+    y = rows.column("y").to_numpy().astype(float)
     if len(y) < 10 or y.min() == y.max():
         return None
-    column = pa.array(texts, pa.large_string())
-    index, value, row = [], [], []
-    done = 0
-    for part, data, offsets in tb.slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-        words = tb.words_of(data, offsets)
-        for family, (bucket, first) in enumerate(grams(words, words.hashes())):
-            n = np.diff(first)
-            doc = np.repeat(np.arange(len(n)), n)
-            key, times = np.unique(doc.astype(np.int64) << BITS | bucket, return_counts=True)
-            doc = key >> BITS
-            index.append(((key & ((1 << BITS) - 1)) + (family << BITS)).astype(np.int32))
-            value.append((times / n[doc]).astype(np.float32))
-            row.append((doc + done).astype(np.int32))
-        done += part.num_rows
-    index, value, row = np.concatenate(index), np.concatenate(value), np.concatenate(row)
+    index, value = (pa.concat_arrays([c.flatten() for c in rows.column(name).chunks]).to_numpy() for name in ("bucket", "share"))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(rows.column("bucket")).to_numpy())
     held = np.arange(len(y)) % 5 == 4
     if y[~held].min() == y[~held].max():
         held[:] = False
@@ -148,9 +164,8 @@ def _score(model):
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "quality") -> DataFrame:
     """One row per document: the base counts, base_failed, kept, and the calibrated probability of good quality."""
-    rows = labelled.sample(docs, labels, target, SAMPLE, id_col, text_col).toArrow()
-    order = rows.sort_by("id").to_pydict()
-    model = docs.sparkSession.sparkContext.broadcast(fit(order["text"], order["y"]))
+    rows = labelled.sample(docs, labels, target, SAMPLE, id_col, text_col).mapInArrow(_hashed, "id long, y int, bucket array<int>, share array<float>").toArrow()
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, " + "".join(f"{c} long, " for c in COLUMNS) + "base_failed boolean, kept boolean, probability double"
     return texts.mapInArrow(_score(model), schema).withColumnRenamed("id", id_col)

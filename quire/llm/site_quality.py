@@ -16,8 +16,8 @@ For ``documents`` the source is the host and source with language the path;
 Defined results: a null or empty text is scored by the features of an empty text
 and its site; null hosts form one host, null paths one path of their host;
 without labels of both kinds documents carry no evidence of their own and all
-are kept; rows that share a doc_id are scored each for itself. Extra columns
-are ignored.
+are kept; rows that share a doc_id are scored each for itself; a very long text
+is a slice of its own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from quire.llm import labelled, textstats
 from quire.llm import textblocks as tb
 from quire.llm.recovery import checkpointed
+from quire.llm.skew import hot_keys, spread_join
 
 SAMPLE = 4000
 KEEP_FROM = 0.5
+#: A site's prior counts for at least so many documents, however far sites differ: a handful of documents never decides.
 LEAST_STRENGTH, MOST_STRENGTH = 50.0, 1e6
 _NONE = "\x00"
 
@@ -130,7 +132,10 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     k_host = hosts.agg(_strength(F.col("host_s") / F.col("host_n"), F.col("host_n"), prior).alias("k")).first()["k"] or MOST_STRENGTH
     sites = paths.join(hosts, "host")
     k_path = sites.agg(_strength(F.col("s") / F.col("n"), F.col("n"), F.col("host_s") / F.col("host_n")).alias("k")).first()["k"] or MOST_STRENGTH
-    both = scored.join(sites, ["host", "path"])
+    sites = checkpointed(sites.withColumn("site", F.xxhash64("host", "path")))
+    hot = hot_keys(sites, "site", "n")  # equal hashes only share their spreading
+    site = scored.withColumn("site", F.xxhash64("host", "path"))
+    both = spread_join(site, sites.withColumnRenamed("host", "site_host").withColumnRenamed("path", "site_path"), "site", hot, F.col("id")).where("host = site_host and path = site_path")
     host_post = (F.col("host_s") - F.col("p") + k_host * prior) / (F.col("host_n") - 1 + k_host)
     path_post = (F.col("s") - F.col("p") + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)
     both = both.withColumn("host_posterior", host_post).withColumn("path_posterior", path_post)
@@ -143,7 +148,17 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     )
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is kept, with all columns; rows without an id, on which nothing can be decided, stay."""
-    kept = assess(docs.where(F.col(id_col).isNotNull()), labels, id_col=id_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all columns; rows without an id, on which nothing can be decided, stay.
+
+    Rows that share an id are decided each by its own text and site.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = {c: F.col(names[i]) for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names).withColumn("row", F.xxhash64(own[text_col].cast("string"), own[source_col].cast("string"), own[lang_col].cast("string")))
+    known = rows.where(own[id_col].isNotNull())
+    judged = known.select(own[id_col].cast("long").alias("id"), own[text_col].alias("text"), own[source_col].alias("source"), own[lang_col].alias("lang"), "row")
+    found = assess(judged, labels.withColumnRenamed(id_col, "id"), id_col="id", carry=("row",)).where("kept")
+    kept = found.select("id", "row").distinct()
+    known = known.withColumn("id", own[id_col].cast("long")).join(kept, ["id", "row"], "left_semi")
+    return known.select(*names).unionByName(rows.where(own[id_col].isNull()).select(*names)).toDF(*docs.columns)

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from quire.llm import chat_tree as ct
+from quire.llm import skew
 
 SCHEMA = "conv_id long, turn long, role string, text string, path string, depth int"
 
@@ -41,9 +42,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("limit", [64, 5])
-def test_read_back_equals_the_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr(ct, "TREE_PATHS", limit)
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_read_back_equals_the_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rows = corpus()
     got = ct.digest(frame(spark, rows)).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows)
@@ -52,7 +53,7 @@ def test_read_back_equals_the_rows(spark, monkeypatch, limit):
 
 def test_shared_turns_once_with_positions_and_stretches(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "d"), (3, 0, "user", "a"), (3, 1, "assistant", "e")]
-    trees, members = ct.build(frame(spark, rows))
+    trees, chains, members = ct.build(frame(spark, rows))
     nodes = sorted(trees.collect(), key=lambda r: r.seq)
     assert len(nodes) == 5 and members.count() == 3  # a, b, c, d, e once each
     by_start = {r.start: r for r in nodes}
@@ -75,3 +76,22 @@ def test_escape_round_trip():
         opened, closed = ct.marks(role)
         assert ct.unescape(ct.escape(text)) == text
         assert ct.read_turns(opened + ct.escape(text) + closed) == [(role, text)]
+
+
+def test_a_crowd_shares_its_first_turns_once(spark):
+    rows = [(c, t, ("user", "assistant", "user")[t], ("first", "second", f"own {c % 250}")[t]) for c in range(500) for t in range(3)]
+    trees, chains, members = ct.build(frame(spark, rows))
+    nodes = trees.collect()
+    assert len(nodes) == 252 and len({r.tree for r in nodes}) == 1 and members.count() == 500
+    at = 0
+    for r in sorted(nodes, key=lambda r: r.seq):
+        assert r.start == at
+        at += r.length
+    shared = sum(r.length for r in nodes if r.depth < 3)
+    assert all(r.position == shared and r.ancestors == [0, shared] for r in nodes if r.depth == 3)
+
+
+def test_length_in_characters(spark):
+    rows = [(1, 0, "user", "a[b"), (1, 1, "assistant", "é🎉"), (2, 0, "system", None), (2, 1, "x]", "")]
+    got = {r.conv_id: r.formatted_chars for r in ct.digest(frame(spark, rows)).collect()}
+    assert got == {1: len("[INST] a\\[b [/INST] é🎉</s>"), 2: len("<<SYS>><</SYS>>\n[ROLE x\\]][/ROLE]")}

@@ -51,3 +51,16 @@ def test_held_out_accuracy(spark):
     # calibrated: among texts given p, about that share is good
     low = [r.quality for r in got if r.probability < 0.5]
     assert sum(low) <= 0.1 * len(low)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    runs = [{r.doc_id: r.probability for r in ngram_quality.assess(d, labels).collect()} for d in (docs, docs.repartition(7, "text"))]
+    assert runs[0] == runs[1] and len(runs[0]) == docs.count()
+
+
+def test_a_long_text_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "good words here " * 200_000, "k", 0), (1, None, "k", 0), (1, None, "k", 0)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r.n_words, r.kept) for r in ngram_quality.assess(docs, labels).collect())
+    assert got == [(0, False), (0, False), (600_000, False)]

@@ -61,3 +61,33 @@ def test_repeated_and_null_rows(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert packing.pack(docs).count() >= docs.count()
     assert mixing.mixed(docs.limit(0)).collect() == []
+
+
+def test_rows_stay_rows_whatever_the_columns_are_called(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _h long, _first int, _taken long, _size int, row string, words array<int>, node long, class_id long, spans string, m map<string,int>"
+    a = " ".join(f"word{i}" for i in range(40))
+    b = " ".join(f"other{i}" for i in range(40))
+    more = (7, 8, 9, 10, "r", [1], 5, 6, "s", {"k": 1})
+    rows = [(1, a, "en", "s", 1, *more), (2, a, "en", "s", 1, *more), (2, b, "en", "s", 1, *more), (3, b, "fr", "s", 1, *more), (5, None, "en", "s", 0, *more), (5, "", "en", "t", 0, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        seen[name] = [(r.doc_id, r.text, r.lang, r._h, r._first, r._taken, r._size, r.row, r.node, r.class_id, r.spans, r.m["k"]) for r in out.collect()]
+    assert {x[3:] for rows in seen.values() for x in rows} == {(7, 8, 9, 10, "r", 5, 6, "s", 1)}
+    assert sorted((x[0], x[1]) for x in seen["near_dedup"] if x[1]) == [(1, a), (2, b)] and len(seen["near_dedup"]) == 4
+    assert len(seen["secrets"]) == len(rows)
+    # rows equal in id, source and text, but not in another column, are mixed each for itself
+    twins = spark.createDataFrame([(1, a, "en", "s", 1, *more), (1, a, "fr", "s", 1, *more)], schema)
+    assert sorted(r.lang for r in mixing.mixed(twins).collect()) == ["en", "fr"]
+
+
+def test_one_text_of_an_id_is_rejected_and_another_kept(spark):
+    labelled = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    verdicts = site_quality.assess(labelled, labels).select("doc_id", "kept").collect()
+    good, bad = (next(r.doc_id for r in verdicts if r.kept == k) for k in (True, False))
+    both = labelled.selectExpr("*", f"IF(doc_id = {bad}, {good}, doc_id) AS new_id").drop("doc_id").withColumnRenamed("new_id", "doc_id")
+    kept = site_quality.kept_documents(both, labels.where(f"doc_id <> {good}"))
+    assert kept.where(f"doc_id = {good}").count() == 1
