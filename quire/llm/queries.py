@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op5_weighted_mix": mixing.ORACLE_SQL}
+    return {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op5_weighted_mix": mixing.ORACLE_SQL, "op9_ball_tree": ball_tree.ORACLE_SQL}

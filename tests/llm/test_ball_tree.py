@@ -7,17 +7,12 @@ from quire.llm import ball_tree
 
 
 def brute(rows, every=50, k=5):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(256 * x) for x in v]
-        best[i] = min(best.get(i, v), v)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in best.items():
+    for n, (q, a) in enumerate(whole):
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in best.items() if i != q)
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(whole) if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -49,3 +44,20 @@ def test_whole_small_table(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{path}'").fetchall()
     got = sorted(map(tuple, ball_tree.top_k(spark.read.parquet(path)).collect()))
     assert got == brute(rows)
+
+
+def test_several_rows_of_an_id_are_rows(spark):
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (50, [2.0, 0.0]), (7, [1.5, 1.0]), (7, [0.5, 0.0])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_few_shards_are_asked_where_vectors_lie_in_groups(spark, monkeypatch):
+    """After two passes most cells of grouped vectors cannot reach the k-th score."""
+    rng = random.Random(3)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(16)]
+    rows = [(i, [m + rng.gauss(0, 0.02) for m in middles[i % 16]]) for i in range(3000)]
+    sent = []
+    plain = ball_tree._pass
+    monkeypatch.setattr(ball_tree, "_pass", lambda vectors, queries, k: (sent.append(queries.count()), plain(vectors, queries, k))[1])
+    assert run(spark, rows, every=10) == brute(rows, 10)
+    assert sum(sent) < 300 * 16 / 2
