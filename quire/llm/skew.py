@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 HOT_KEYS = 1000
-HOT_ROWS = 10_000
+HOT_ROWS = 2_000
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list:

@@ -42,7 +42,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [10_000, 5])
+@pytest.mark.parametrize("hot", [2_000, 5])
 def test_read_back_equals_the_rows(spark, monkeypatch, hot):
     monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rows = corpus()
