@@ -33,3 +33,8 @@ def is_flag(c: Column) -> Column:
 
 def within(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def stripped(c: Column) -> Column:
+    """``c`` without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c\u00a0\u3000\ufeff"))

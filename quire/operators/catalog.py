@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import blank, text_or
+from quire.functions import blank, json_map, text_or, truthy
 
 
 def equals(rows: DataFrame, **wanted: str) -> DataFrame:
@@ -92,16 +92,123 @@ def storage(objects: DataFrame) -> DataFrame:
     return objects.rollup("bucket").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
 
 
-def migration(objects: DataFrame) -> DataFrame:
-    """Per owner: which artifacts it has, what could be removed, and the first five removable names."""
-    zipped, main = F.col("name").like("%.zip"), F.col("name").like("%/full.md")
-    extra = ~zipped & ~main
-    nth = F.row_number().over(Window.partitionBy("owner", extra).orderBy("name", "nr"))
-    rows = objects.withColumn("_extra", extra).withColumn("_nth", nth)
-    got = rows.groupBy("owner").agg(
-        F.max(F.when(zipped, 1).otherwise(0)).alias("z"), F.max(F.when(F.col("_extra"), 1).otherwise(0)).alias("e"), F.count_if("_extra").alias("removable"),
-        F.coalesce(F.sum(F.when(F.col("_extra"), F.col("size"))), F.lit(0)).alias("removable_bytes"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_extra") & (F.col("_nth") <= 5), F.col("name")))), ",").alias("samples"),
+#: The files that a parse result is kept in.
+ARCHIVE, MAIN_FILE, MANIFEST = "mineru-result.zip", "full.md", "artifact-manifest.json"
+SAMPLES = 5
+
+
+def migration(owners: DataFrame, objects: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Per owner (id): how its parse result is stored, what could be removed, and whether that is safe.
+
+    ``objects`` (name, size) lie under ``parsed/<id>/``; ``entries`` (id, entry) are
+    the files inside the archives. Only a result that is stored both ways has
+    removable objects, and it is safe to remove them if the archive has them all.
+    """
+    prefix = F.substring_index("name", "/", 2)
+    placed = objects.where(F.col("name").startswith("parsed/") & (F.size(F.split("name", "/")) > 2)).select(F.substring_index(prefix, "/", -1).alias("id"), F.expr("substring(name, length(substring_index(name, '/', 2)) + 2)").alias("file"), F.coalesce("size", F.lit(0)).alias("size"))
+    placed = placed.withColumn("expanded", ~F.col("file").isin(ARCHIVE, MAIN_FILE, MANIFEST))
+    first = placed.where("expanded").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("file"))).where(F.col("nth") <= SAMPLES)
+    samples = first.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("samples"))
+    found = placed.groupBy("id").agg(
+        F.bool_or(F.col("file") == ARCHIVE).alias("has_archive"), F.bool_or(F.col("file") == MAIN_FILE).alias("has_main"), F.count_if("expanded").alias("expanded"),
+        F.coalesce(F.sum(F.when(F.col("expanded"), F.col("size"))), F.lit(0)).alias("bytes"),
     )
-    kind = F.when((F.col("z") == 1) & (F.col("e") == 1), "legacy-mixed").when(F.col("z") == 1, "zip-source").when(F.col("e") == 1, "expanded-only").otherwise("missing-artifacts")
-    return got.select("owner", kind.alias("kind"), "removable", "removable_bytes", "samples")
+    rows = owners.select("id").join(found, "id", "left").join(samples, "id", "left")
+    kind = F.when(F.col("has_archive").isNull(), "missing-artifacts").when(~F.col("has_archive"), "expanded-only").when(F.col("expanded") == 0, "zip-source").otherwise("legacy-mixed")
+    rows = rows.withColumn("kind", kind)
+    mixed = F.col("kind") == "legacy-mixed"
+    rows = rows.select(
+        "id", "kind", F.coalesce("has_main", F.lit(False)).alias("has_main"), F.coalesce("expanded", F.lit(0)).alias("expanded"), F.when(mixed, F.col("expanded")).otherwise(0).alias("removable"),
+        F.when(mixed, F.col("bytes")).otherwise(0).alias("removable_bytes"), F.when(mixed, F.col("samples")).otherwise("").alias("samples"),
+    )
+    if entries is None:
+        return rows
+    lost = placed.where("expanded").join(entries.select("id", F.col("entry").alias("file")), ["id", "file"], "left_anti").groupBy("id").agg(F.count("*").alias("not_in_archive"))
+    rows = rows.join(lost, "id", "left").withColumn("not_in_archive", F.when(mixed, F.coalesce("not_in_archive", F.lit(0))).otherwise(0))
+    return rows.withColumn("safe", mixed & (F.col("not_in_archive") == 0))
+
+
+def migration_summary(rows: DataFrame) -> DataFrame:
+    """Counts of each kind and what could safely be removed, from ``migration`` with archive entries."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    safe = lambda c: F.coalesce(F.sum(F.when(F.col("safe"), F.col(c))), F.lit(0))
+    return rows.agg(F.count("*").alias("scanned"), n("legacy-mixed").alias("legacy_mixed"), n("zip-source").alias("zip_source"), n("expanded-only").alias("expanded_only"), safe("removable").alias("removable"), safe("removable_bytes").alias("removable_bytes"))
+
+
+def persistable(materials: DataFrame) -> DataFrame:
+    """Materials worth persisting, by their metadata: no local drafts, and none still processing without a stored original."""
+    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
+    draft = F.coalesce(meta("localDraft") == "true", F.lit(False))
+    stored = F.trim(F.coalesce(meta("objectName"), F.lit(""))) != ""
+    return materials.where(~draft & (stored | F.coalesce(F.col("status") != "processing", F.lit(True))))
+
+
+def suppressed(metadata: Column, asset: bool = False) -> Column:
+    """Metadata without links that stored names replace; assets also lose previews that only live in a browser."""
+    meta = lambda k: F.get_json_object(metadata, f"$.{k}")
+    gone = [("fileUrl", F.coalesce(meta("provider") == "minio", F.lit(False)) & truthy(meta("objectName"))), ("markdownUrl", truthy(meta("markdownObjectName")))]
+    if asset:
+        gone.append(("previewUrl", F.coalesce(meta("previewUrl").startswith("blob:"), F.lit(False))))
+    dropped = F.array_compact(F.array(*(F.when(cond, F.lit(k)) for k, cond in gone)))
+    return json_map.text(F.map_filter(json_map.entries(metadata), lambda k, _: ~F.array_contains(dropped, k)))
+
+
+def lasting_preview(url: Column) -> Column:
+    """A preview address, empty where it only lives in a browser."""
+    return F.when(url.startswith("blob:"), "").otherwise(url)
+
+
+#: The keys that settings and secrets may have.
+SETTINGS_KEYS = ("aiConfig", "aiRuleSettings", "mineruConfig", "minioConfig", "uiPreferences", "systemConfig", "backupConfig", "initialized", "batchProcessing", "batchProcessingUpdatedAt", "serverBatchQueue")
+SECRET_KEYS = ("aiKeys", "mineruKey", "minioCredentials", "aiConfig_apiKey", "mineru_apiKey", "minio_accessKey", "minio_secretKey")
+PROVIDER_SECRET = "^aiProvider_.*_apiKey$"
+
+
+def setting_allowed(key: Column) -> Column:
+    return F.coalesce(key.isin(*SETTINGS_KEYS), F.lit(False))
+
+
+def secret_allowed(key: Column) -> Column:
+    return F.coalesce(key.isin(*SECRET_KEYS) | key.rlike(PROVIDER_SECRET), F.lit(False))
+
+
+def workspace_counts(buckets: DataFrame) -> DataFrame:
+    """The workspace's filters over (bucket): canceled counts as failed, queued as pending, what is under review or unknown as processing."""
+    key = F.when(F.col("bucket").isin("failed", "canceled"), "failed").when(F.col("bucket") == "completed", "completed").when(F.col("bucket") == "queued", "pending").otherwise("processing")
+    return counts_of(buckets.select(key.alias("filter")), "filter", ("pending", "processing", "failed", "completed"))
+
+
+def statistics(materials: DataFrame, size: str, collections: dict[str, DataFrame]) -> DataFrame:
+    """One row: bytes of all materials, and rows of each collection."""
+    one = materials.agg(F.coalesce(F.sum(F.coalesce(size, F.lit(0))), F.lit(0)).alias("bytes"))
+    for name, rows in collections.items():
+        one = one.crossJoin(rows.agg(F.count("*").alias(name)))  # rows of one total each
+    return one
+
+
+def list_page(objects: DataFrame, prefix: str, after: str = "", size: int = 500) -> DataFrame:
+    """One page of the keys under a prefix in rising order, those after the last key of the page before."""
+    return objects.where(F.col("name").startswith(prefix) & (F.col("name") > after)).orderBy("name").limit(size)
+
+
+def without_list(rows: DataFrame, heavy: str, count: str) -> DataFrame:
+    """A heavy array replaced by its length; null counts as empty."""
+    return rows.withColumn(count, F.greatest(F.size(heavy), F.lit(0))).drop(heavy)
+
+
+def under_prefix(name: Column, top: str, owner: Column) -> Column:
+    """Whether a key lies in its owner's folder."""
+    return name.startswith(F.concat(F.lit(f"{top}/"), owner, F.lit("/")))
+
+
+def archive_files(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """Entries of archives without the folders."""
+    return entries.where(~F.col(entry).endswith("/"))
+
+
+def unpacked_check(entries: DataFrame, objects: DataFrame) -> DataFrame:
+    """Per owner: expanded objects that its archive lacks, entries that were never expanded, and whether removing the expanded ones is safe. Both have (id, file)."""
+    sides = objects.select("id", "file", F.lit(1).alias("o"), F.lit(0).alias("e")).unionByName(entries.select("id", "file", F.lit(0).alias("o"), F.lit(1).alias("e")))
+    both = sides.groupBy("id", "file").agg(F.max("o").alias("o"), F.max("e").alias("e"))
+    rows = both.groupBy("id").agg(F.count_if((F.col("o") == 1) & (F.col("e") == 0)).alias("only_objects"), F.count_if((F.col("o") == 0) & (F.col("e") == 1)).alias("only_entries"))
+    return rows.withColumn("safe", F.col("only_objects") == 0)

@@ -39,3 +39,19 @@ def slim(payload: Column, limit: int, keep: tuple[str, ...]) -> dict[str, Column
     long = F.length(payload) > limit
     short = F.to_json(F.struct(*(F.left(F.get_json_object(payload, f"$.{k}"), F.lit(TEXT_LIMIT)).alias(k) for k in keep)))
     return {"payload": F.when(long, short).otherwise(payload), "truncated": F.coalesce(long, F.lit(False))}
+
+
+#: What a slimmed historic payload keeps, besides what it takes out of its metadata.
+OLD_LIMIT = 8192
+FROM_METADATA = ("parsedFilesCount", "parsedPrefix", "artifactManifestObjectName", "mineruTaskId")
+KEPT = ("state", "stage", "progress")
+CUT_TEXTS = ("message", "error", "errorMessage")
+
+
+def slim_historic(payload: Column) -> dict[str, Column]:
+    """The start-up form of ``slim``: payloads that are long or carry metadata or parsed artifacts keep a few keys, some taken out of the metadata."""
+    at = lambda path: F.get_json_object(payload, f"$.{path}")
+    heavy = (F.length(payload) > OLD_LIMIT) | at("metadata").isNotNull() | at("parsedArtifacts").isNotNull()
+    falsy = lambda c: c.isNull() | c.isin("", "0", "false")
+    parts = [F.when(falsy(at(k)), at(f"metadata.{k}")).otherwise(at(k)).alias(k) for k in FROM_METADATA] + [at(k).alias(k) for k in KEPT] + [F.left(at(k), F.lit(TEXT_LIMIT)).alias(k) for k in CUT_TEXTS]
+    return {"payload": F.when(heavy, F.to_json(F.struct(*parts))).otherwise(payload), "slimmed": F.coalesce(heavy, F.lit(False))}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import blank, truthy
+from quire.functions import blank, json_map, stripped, text_or, truthy
 from quire.operators.text import without_thinking
 
 #: Evidence types, confidence levels.
@@ -85,3 +85,159 @@ def fallback(reason: Column, parsed: Column) -> dict[str, Column]:
     repair = low.contains("repair") | low.contains("修复失败")
     flags = F.array_compact(F.array(F.lit("skeleton_fallback"), F.when(parse, "ai_provider_json_parse_failed"), F.when(repair, "ai_provider_json_repair_failed")))
     return {"risk_flags": flags, "risk": F.concat(flags, F.array(*map(F.lit, ("skeleton_fallback", "low_confidence", "needs_human_review")))), "quality": F.when(F.coalesce(parsed, F.lit(0)) == 0, "no_parsed_artifacts")}
+
+
+VARIANTS = "array<variant>"
+
+
+def _texts(v: Column, path: str = "$") -> Column:
+    """The value at a path if it is a string."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _list(v: Column, path: str = "$") -> Column:
+    """The value at a path if it is an array, else an empty array."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(kind.startswith("ARRAY"), F.try_variant_get(v, path, VARIANTS)).otherwise(F.from_json(F.lit("[]"), VARIANTS))
+
+
+def evidence_of(json: Column, most: int = 20) -> Column:
+    """Evidence (type, quote, supports) from a JSON array of texts and objects: texts have an unknown type, unknown types become ``unknown``, blank quotes go."""
+    one = lambda v: F.struct(
+        F.when(_texts(v, "$.type").isin(*EVIDENCE_TYPES), _texts(v, "$.type")).otherwise("unknown").alias("type"),
+        stripped(F.coalesce(_texts(v), _texts(v, "$.quote_or_summary"), F.lit(""))).alias("quote"), F.coalesce(F.try_variant_get(v, "$.supports", "array<string>"), F.array().cast("array<string>")).alias("supports"),
+    )
+    return F.slice(F.filter(F.transform(_list(F.try_parse_json(json)), one), lambda e: e["quote"] != ""), 1, most)
+
+
+#: Where the text of a parse result may stand, in order.
+MARKDOWN_KEYS = ("md_content", "mdcontent", "mdContent", "md_text", "markdown", "text")
+MARKDOWN_PATHS = (*(f"$.{k}" for k in MARKDOWN_KEYS), *(f"$.data.{k}" for k in MARKDOWN_KEYS), "$.output.md_text", "$.output.markdown")
+
+
+def markdown_of(json: Column) -> Column:
+    """The trimmed Markdown of a parse result: a JSON text, that of the first named result, the text of the first listed part, else the first non-blank text at the known paths or in a list under ``data``."""
+    v = F.try_parse_json(json)
+    results = F.try_variant_get(v, "$.results", "variant")
+    first = F.try_element_at(F.map_values(F.try_variant_get(results, "$", json_map.MAP)), F.lit(1))
+    named = F.when(F.schema_of_variant(results).startswith("OBJECT"), F.coalesce(*(_texts(first, f"$.{k}") for k in MARKDOWN_KEYS[:3])))
+    part = F.try_element_at(_list(v), F.lit(1))
+    listed = F.try_element_at(F.filter(_list(v, "$.data"), lambda x: F.schema_of_variant(x) == "STRING"), F.lit(1))
+    filled = lambda c: F.when(stripped(c) != "", stripped(c))
+    return F.coalesce(stripped(_texts(v)), filled(named), stripped(_texts(part, "$.text")), *(filled(_texts(v, p)) for p in MARKDOWN_PATHS), filled(_texts(listed)), F.lit(""))
+
+
+#: Under what keys an artifact's parts may stand, in order.
+ARTIFACT_NAMES = ("relativePath", "path", "name", "filename", "file_name")
+ARTIFACT_TYPES = ("mimeType", "mimetype", "contentType", "Content-Type")
+ARTIFACT_BYTES = ("base64", "content_base64", "data_base64", "contentBase64", "dataBase64")
+ARTIFACT_URLS = ("url", "download_url", "downloadUrl", "presignedUrl")
+
+
+def artifacts_of(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """One row per artifact of a parse result (key, path, media_type, source, content): those of eight lists, one after the other, with a path and with bytes or an address."""
+    v = F.try_parse_json(json)
+    inner = lambda path: F.flatten(F.transform(_list(v, path), lambda r: F.when(F.size(_list(r, "$.artifacts")) > 0, _list(r, "$.artifacts")).otherwise(_list(r, "$.files"))))
+    lists = [_list(v, p) for p in ("$.artifacts", "$.files", "$.data.artifacts", "$.data.files", "$.results.artifacts", "$.results.files")]
+    every = rows.select(key, F.posexplode(F.concat(*lists, inner("$.results"), inner("$.data"))).alias("nth", "v"))
+    pick = lambda names: F.coalesce(*(F.when(_texts(F.col("v"), f"$['{n}']") != "", _texts(F.col("v"), f"$['{n}']")) for n in names))
+    found = every.select(key, "nth", pick(ARTIFACT_NAMES).alias("path"), F.nullif(F.trim(pick(ARTIFACT_TYPES)), F.lit("")).alias("media_type"), pick(ARTIFACT_BYTES).alias("bytes"), pick(ARTIFACT_URLS).alias("url"))
+    whole = F.trim("bytes") != ""
+    source = F.when(whole, "bytes").when(F.col("url").rlike(r"(?i)^https?://"), "url")
+    found = found.withColumn("source", source).where(F.col("source").isNotNull() & (F.trim("path") != ""))
+    return found.select(key, "nth", "path", "media_type", "source", F.when(F.col("source") == "bytes", F.col("bytes")).otherwise(F.col("url")).alias("content"))
+
+
+FACET_NAMES = ("domain", "collection", "curriculum", "stage", "level", "subject", "resource_type", "component_role")
+
+
+def facet_values(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, name, value) of the facets of a result, whose values are texts or {zh, en}."""
+    v = F.try_parse_json(json)
+    path = lambda f, end="": F.nullif(_texts(v, f"$.primary_facets.{f}{end}"), F.lit(""))
+    pairs = F.array(*(F.struct(F.lit(f).alias("name"), F.coalesce(path(f), path(f, ".zh"), path(f, ".en")).alias("value")) for f in FACET_NAMES))
+    return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.name", "p.value").where(F.trim("value") != "")
+
+
+def flattened(json: Column) -> dict[str, Column]:
+    """What the catalog shows of a classification: controlled values before raw ones, a summary, one list of tags, a confidence in percent and whether to review."""
+    v = F.try_parse_json(json)
+    got = lambda p: F.coalesce(_texts(v, p), F.lit(""))
+    zh = lambda f: text_or(got(f"$.controlled_classification.{f}.zh"), got(f"$.primary_facets.{f}.zh"))
+    subject, stage, level, kind = (zh(f) for f in ("subject", "stage", "level", "resource_type"))
+    summary = F.array_join(F.filter(F.array(subject, stage, level, kind), lambda x: x != ""), " · ")
+    name = lambda x: F.coalesce(_texts(x), F.nullif(_texts(x, "$.zh"), F.lit("")), _texts(x, "$.en"))
+    lists = ("$.normalized_tags.topic_tags", "$.normalized_tags.skill_tags", "$.system_tags.format_tags", "$.system_tags.engine_tags", "$.system_tags.artifact_tags")
+    level_of = got("$.governance.confidence")
+    asked = F.coalesce(F.try_variant_get(v, "$.governance.human_review_required", "boolean"), F.lit(False))
+    return {
+        "title": text_or(got("$.descriptive_metadata.series_title"), text_or(summary, subject)),
+        "subject": subject, "grade": text_or(level, stage), "material_type": text_or(kind, zh("component_role")), "language": text_or(got("$.descriptive_metadata.language"), "中文"), "curriculum": zh("curriculum"),
+        "tags": F.concat(*(F.transform(_list(v, p), name) for p in lists)), "summary": summary,
+        "confidence": F.when(level_of == "high", 90).when(level_of == "medium", 60).otherwise(30), "needs_review": asked | (level_of != "high"),
+    }
+
+
+def source_facts(jobs: DataFrame, materials: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Each job with the facts on its source, from its material's columns and metadata, its task's and its own, in the order in which they count."""
+    m = materials.select(F.col("id").alias("material_id"), F.struct(*(c for c in materials.columns if c != "id")).alias("m"))
+    t = tasks.select(F.col("id").alias("parse_task_id"), F.struct(*(c for c in tasks.columns if c != "id")).alias("t"))
+    rows = jobs.join(m, "material_id", "left").join(t, "parse_task_id", "left")
+    has = {"m": set(materials.columns), "t": set(tasks.columns)}
+
+    def first(*places: str) -> Column:
+        """``m.x`` is a column, ``m:x`` a path in the metadata."""
+        found = []
+        for p in places:
+            table, path = p[0], p[2:]
+            if p[1] == ":":
+                c = F.get_json_object(f"{table}.metadata", f"$.{path}")
+            elif table == "j" or path in has[table]:
+                c = F.col(path if table == "j" else f"{table}.{path}").cast("string")
+            else:
+                continue
+            found.append(F.when(~(blank(c) | (c == "0")), c))
+        return F.coalesce(*found)
+
+    facts = {
+        "filename": F.coalesce(first("m.file_name", "m.title", "t:originalFilename", "t.original_filename"), F.lit("unknown")),
+        "file_size": F.coalesce(first("m:fileSize", "m.file_size", "t:mineruExecutionProfile.fileSize", "t:fileSize", "t:originalFileSize", "t.original_file_size").try_cast("bigint"), F.lit(0)),
+        "mime_type": F.coalesce(first("m.mime_type", "m:mimeType", "t:mimeType", "t.mime_type"), F.lit("")),
+        "raw_object_name": F.coalesce(first("m:objectName", "t:objectName"), F.lit("")),
+        "parsed_prefix": F.coalesce(first("t:parsedPrefix", "m:parsedPrefix"), F.lit("")),
+        "markdown_object_name": F.coalesce(first("t:markdownObjectName", "m:markdownObjectName", "j.input_markdown_object_name"), F.lit("")),
+        "parsed_files_count": F.coalesce(first("t:parsedFilesCount", "m:parsedFilesCount").try_cast("bigint"), F.lit(0)),
+        "execution_profile": F.coalesce(first("t:mineruExecutionProfile", "m:mineruExecutionProfile"), F.lit("{}")),
+    }
+    return rows.select(F.col("id").alias("job_id"), "material_id", *(c.alias(k) for k, c in facts.items()))
+
+
+def skeleton(reason: Column, parsed: Column, level: Column, source: dict[str, Column]) -> Column:
+    """The whole result that stands for a failed classification, as a struct; ``source`` has the facts on the file.
+
+    Fixed values: the names of its parts and their contents.
+    """
+    failed = F.coalesce((level == "low") & (reason != ""), F.lit(False))
+    got = fallback(reason, parsed)
+    none = F.array().cast("array<string>")
+    signals = F.concat(F.when(failed, F.concat(got["risk_flags"], F.array(F.lit("skeleton_fallback")))).otherwise(none), F.when(level == "low", F.array(F.lit("low_confidence"))).otherwise(none), F.array(F.lit("needs_human_review")), F.when(failed, none).otherwise(F.array(F.lit("evidence_missing"))))
+    empty = lambda *names: F.struct(*(F.lit("").alias(n) for n in names))
+    lists = lambda *names: F.struct(*(none.alias(n) for n in names))
+    said = F.struct(F.lit("system").alias("type"), F.lit("AI provider failed; fallback skeleton generated").alias("quote_or_summary"), F.array(F.lit("human_review_required")).alias("supports"))
+    return F.struct(
+        F.struct(*(c.alias(k) for k, c in source.items())).alias("source"),
+        F.struct(*(empty("zh", "en").alias(f) for f in FACET_NAMES)).alias("primary_facets"),
+        empty("series_title", "edition", "year", "publisher_org", "language").alias("descriptive_metadata"),
+        lists("topic_tags", "skill_tags").alias("search_tags"),
+        lists("topic_tags", "skill_tags").alias("normalized_tags"),
+        none.alias("proposed_new_tags"),
+        F.struct(F.lit(True).alias("required"), F.array(F.lit("skeleton_fallback")).alias("reasons")).alias("classification_review"),
+        F.struct(
+            level.alias("confidence"), F.lit(True).alias("human_review_required"), F.coalesce(reason, F.lit("")).alias("human_review_reason"), F.lit("partial").alias("markdown_quality"), F.lit(False).alias("duplicate_candidate"),
+            F.lit("keep_pending_review").alias("retention_policy"), F.when(failed, got["risk_flags"]).otherwise(none).alias("risk_flags"),
+        ).alias("governance"),
+        F.when(failed, F.array(said)).otherwise(F.array().cast("array<struct<type:string,quote_or_summary:string,supports:array<string>>>")).alias("evidence"),
+        F.struct(F.when(F.coalesce(parsed, F.lit(0)) == 0, F.array(F.lit("no_parsed_artifacts"))).otherwise(none).alias("quality"), none.alias("relationship"), none.alias("retention"), signals.alias("risk")).alias("governance_signals"),
+        F.lit("").alias("recommended_catalog_path"), F.lit("needs_human_review").alias("catalog_change_type"),
+    )

@@ -8,16 +8,29 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import blank
+from quire.functions import blank, json_map, truthy
 
 COLLECTIONS = ("materials", "assetDetails", "processTasks", "tasks", "parseTasks", "aiMetadataJobs", "taskEvents", "products", "flexibleTags", "aiRules", "settings")
 #: Profile keys that blanks do not overwrite.
+PROFILE = "mineruExecutionProfile"
 PROTECTED = ("backendEffective", "backendEffectiveReason", "backendRequested", "parseMethod", "enableOcr", "enableFormula", "enableTable", "ocrLanguage", "maxPages")
 
+#: What a new parse run clears from the metadata.
+RUN_KEYS = (
+    "mineruTaskId", "mineruStatus", "mineruSubmittedAt", "mineruQueuedAhead", "mineruStartedAt", "mineruLastStatusAt", "mineruObservedProgress", "localTimeoutOccurred", "localTimeoutAt",
+    "_synthetic_warn", "_synthetic_warn_msg", "submitRetries", "lastSubmitError", "recoveredFromMisjudgedFailed", "previousState", "previousErrorMessage", "recoveredAt", "markdownObjectName",
+    "parsedPrefix", "parsedFilesCount", "artifactManifestObjectName", "zipObjectName", "artifactIncomplete", "parsedAt", "aiJobId", "emptyMarkdownRetryAttempted", "emptyMarkdownRetryMineruTaskId",
+    "emptyMarkdownRetryError", "emptyMarkdownRetryProfile",
+)
+RECOVERED_STATES = ("completed", "review-pending", "ai-pending", "running")
+RUNNING_STATES = ("running", "mineru-processing", "ai-running")
+_DONE = "_COMPLETE"
+
 
 def upsert(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``changes`` replace or join those of ``rows``."""
-    return rows.join(changes.select(key), key, "left_anti").unionByName(changes)
+    """Rows of ``changes`` replace or join those of ``rows``; of several changes to a key the largest row counts."""
+    last = changes.groupBy(key).agg(F.max(F.struct(*(c for c in changes.columns if c != key))).alias("_row")).select(key, "_row.*").select(*changes.columns)
+    return rows.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def patch(rows: DataFrame, changes: DataFrame, columns: list[str], key: str = "id", insert: bool = False) -> DataFrame:
@@ -55,6 +68,97 @@ def insert_unless_active(incoming: DataFrame, tasks: DataFrame, active: tuple[st
     return incoming.join(busy, owner, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
+def patch_json(rows: DataFrame, changes: DataFrame, key: str = "id", body: str = "body", metadata: str = "metadata", insert: bool = False) -> DataFrame:
+    """JSON patches (key, body): a top-level key of the body overwrites the text column of its name, also with null.
+
+    A metadata object is merged one level deep; with ``insert`` unknown keys make
+    new rows and metadata is merged even where the body has none.
+    """
+    new = changes.select(F.col(key), F.col(body).alias("_body"))
+    joined = rows.join(new, key, "full" if insert else "left")
+    given = F.get_json_object("_body", f"$.{metadata}")
+    kept = json_map.merged(F.col(metadata), given)
+    if not insert:
+        # what is null or no object replaces the metadata whole
+        kept = F.when(~json_map.has_key(F.col("_body"), metadata), F.col(metadata)).when(given.startswith("{"), kept).otherwise(given)
+    pick = lambda c: F.when(json_map.has_key(F.col("_body"), c), F.get_json_object("_body", f"$.{c}")).otherwise(F.col(c))
+    return joined.select(*(F.col(c) if c == key else kept.alias(c) if c == metadata else pick(c).alias(c) for c in rows.columns))
+
+
+def task_metadata(old: Column, new: Column) -> Column:
+    """Task metadata merged one level deep; inside the execution profile blanks do not overwrite the protected keys."""
+    profiles = [F.get_json_object(j, f"$.{PROFILE}") for j in (old, new)]
+    empty = lambda v: blank(F.try_variant_get(v, "$", "string"))
+    given = F.map_filter(json_map.entries(profiles[1]), lambda k, v: ~(k.isin(*PROTECTED) & empty(v)))
+    profile = json_map.text(json_map.over(json_map.entries(profiles[0]), given))
+    both = profiles[0].startswith("{") & profiles[1].startswith("{")
+    whole = json_map.over(json_map.entries(old), json_map.entries(new))
+    return json_map.text(F.when(both, json_map.over(whole, F.create_map(F.lit(PROFILE), F.parse_json(profile)))).otherwise(whole))
+
+
+def new_run(metadata: Column, extra: Column | None = None) -> Column:
+    """Metadata at the start of a new parse run: the run's keys go, those of ``extra`` come."""
+    return json_map.without(metadata, RUN_KEYS, extra)
+
+
+def recovered(tasks: DataFrame) -> DataFrame:
+    """Left-over errors of tasks that recovered from a wrong failure move into the metadata, unless an earlier error is kept there."""
+    flag = F.get_json_object("metadata", "$.recoveredFromMisjudgedFailed") == "true"
+    hit = F.coalesce(F.col("state").isin(*RECOVERED_STATES) & flag & (F.trim("error_message") != ""), F.lit(False))
+    earlier = F.get_json_object("metadata", "$.previousErrorMessage")
+    keep = F.when(F.trim(earlier) != "", earlier).otherwise(F.col("error_message"))
+    moved = json_map.merged(F.col("metadata"), F.to_json(F.create_map(F.lit("previousErrorMessage"), keep)))
+    marked = tasks.withColumn("_hit", hit).withColumn("metadata", F.when(F.col("_hit"), moved).otherwise(F.col("metadata")))  # the message moves before it is cleared
+    return marked.withColumn("error_message", F.when(F.col("_hit"), "").otherwise(F.col("error_message"))).drop("_hit")
+
+
+def residue(materials: DataFrame) -> DataFrame:
+    """Completed materials that still show a running parse, and the stage they go to."""
+    stage = F.when(F.col("ai_status") == "analyzed", "completed").when(F.col("ai_status") == "failed", "ai-failed").otherwise("mineru-completed")
+    return materials.where("status = 'completed' and mineru_status = 'processing'").select("id", stage.alias("stage"))
+
+
+def with_tags(tags: Column, more: tuple[str, ...]) -> Column:
+    """An array of tags with others behind it, each once, in order."""
+    return F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.array(*map(F.lit, more)))
+
+
+def ui_cascade(ids: DataFrame, tasks: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks and products (source, lineage) that stay when materials (numeric id) go: tasks without a numeric material and products neither made from one nor descended from one."""
+    gone = ids.select(F.col("id").try_cast("bigint").alias("gone")).where("gone is not null").distinct()
+    kept = tasks.join(gone, F.col("material_id").try_cast("bigint") == F.col("gone"), "left_anti")
+    source = F.regexp_replace(F.coalesce("source", F.lit("")), "^material:", "").try_cast("bigint")
+    made = products.join(gone, source == F.col("gone"), "left_anti")
+    descended = made.select("id", F.explode("lineage").alias("parent")).join(gone, F.col("parent").try_cast("bigint") == F.col("gone"), "left_semi").select("id")
+    return kept, made.join(descended, "id", "left_anti")
+
+
+def related(ids: DataFrame, tasks: DataFrame, jobs: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """Tasks of the materials, jobs and events of these tasks."""
+    own = tasks.join(ids.select(F.col("id").alias("material_id")).distinct(), "material_id", "left_semi")
+    linked = own.select(F.col("id").alias("parse_task_id"))
+    return {"tasks": own, "jobs": jobs.join(linked, "parse_task_id", "left_semi"), "events": events.join(linked.withColumnRenamed("parse_task_id", "task_id"), "task_id", "left_semi")}
+
+
+def cascade_summary(ids: DataFrame, materials: DataFrame, tasks: DataFrame, jobs: DataFrame, events: DataFrame, objects: DataFrame, force: bool = False) -> DataFrame:
+    """One row: what deleting the materials takes along in every collection and bucket, and whether running tasks block it.
+
+    A stored original counts once for its name in the material and once for its
+    place under the material's prefix.
+    """
+    own = materials.join(ids.select("id").distinct(), "id", "left_semi")
+    more = related(ids, tasks, jobs, events)
+    parts = F.split("name", "/")
+    placed = objects.select("bucket", F.get(parts, F.lit(0)).alias("top"), F.get(parts, F.lit(1)).alias("id"), (F.size(parts) > 2).alias("inside")).where("inside").join(own.select("id"), "id", "left_semi")
+    n = lambda df, **named: df.agg(*(c.alias(k) for k, c in named.items()))
+    one = n(own, materials=F.count("*"), asset_details=F.count("*"), named=F.count_if(truthy(F.col("object_name"))))
+    one = one.crossJoin(n(more["tasks"], tasks=F.count("*"), running_tasks=F.count_if(F.col("state").isin(*RUNNING_STATES))))
+    one = one.crossJoin(n(more["jobs"], jobs=F.count("*"))).crossJoin(n(more["events"], events=F.count("*")))
+    stored = n(placed, originals=F.count_if((F.col("bucket") == "raw") & (F.col("top") == "originals")), parsed_objects=F.count_if((F.col("bucket") == "parsed") & (F.col("top") == "parsed")))
+    one = one.crossJoin(stored)  # five rows of totals
+    return one.select("materials", "asset_details", "tasks", "jobs", "events", (F.col("named") + F.col("originals")).alias("original_objects"), "parsed_objects", "running_tasks", ((F.col("running_tasks") > 0) & ~F.lit(force)).alias("blocked"))
+
+
 def cascade(ids: DataFrame, tasks: DataFrame, jobs: DataFrame, running: tuple[str, ...]) -> DataFrame:
     """What deleting these materials would take along, and whether running tasks block it."""
     own = tasks.join(ids.select(F.col("id").alias("material_id")), "material_id", "left_semi")
@@ -76,14 +180,54 @@ def without_keys(json_map: Column, gone: tuple[str, ...], extra: Column) -> Colu
     return F.map_concat(F.map_filter(json_map, lambda k, _: ~k.isin(*gone)), extra)
 
 
-def save(collections: dict[str, DataFrame], folder: str) -> None:
-    """Every collection as a table; the commit protocol makes each switch atomic."""
+def _files(spark, folder: str):
+    """The file system of a folder, and its path class."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def versions(spark, folder: str, name: str | None = None) -> list[int]:
+    """Numbers of the complete versions in ``folder``, of those that hold the collection ``name`` if given; rising."""
+    files, path = _files(spark, folder)
+    if not files.exists(path(folder)):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(path(folder))]
+    numbers = sorted(int(f[1:]) for f in found if f[:1] == "v" and f[1:].isdigit() and files.exists(path(f"{folder}/{f}/{_DONE}")))
+    return [v for v in numbers if name is None or files.exists(path(f"{folder}/v{v:08d}/{name}"))]
+
+
+def save(collections: dict[str, DataFrame], folder: str) -> int:
+    """The collections as the next version of the store; its number.
+
+    A version is written beside the others and counts once its marker is there,
+    so what is being read is never overwritten, a failed write changes nothing and
+    the version before is the backup.
+    """
+    spark = next(iter(collections.values())).sparkSession
+    files, path = _files(spark, folder)
+    started = [s.getPath().getName() for s in files.listStatus(path(folder))] if files.exists(path(folder)) else []
+    number = 1 + max((int(f[1:]) for f in started if f[:1] == "v" and f[1:].isdigit()), default=0)
     for name, rows in collections.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.write.mode("error").parquet(f"{folder}/v{number:08d}/{name}")
+    files.create(path(f"{folder}/v{number:08d}/{_DONE}"), False).close()
+    return number
 
 
-def load(spark, folder: str, names: tuple[str, ...] = COLLECTIONS) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+def load(spark, folder: str, names: tuple[str, ...] = COLLECTIONS, back: int = 0) -> dict[str, DataFrame]:
+    """Each collection from the newest complete version that holds it, or from the one ``back`` versions before."""
+    out = {}
+    for name in names:
+        have = versions(spark, folder, name)
+        if len(have) <= back:
+            raise FileNotFoundError(f"{name} has {len(have)} complete versions in {folder}")
+        out[name] = spark.read.parquet(f"{folder}/v{have[-1 - back]:08d}/{name}")
+    return out
+
+
+def export(collections: dict[str, DataFrame], folder: str) -> None:
+    """Every collection as JSON lines in a folder of its own."""
+    for name, rows in collections.items():
+        rows.write.mode("error").json(f"{folder}/{name}")
 
 
 def totals(collections: dict[str, DataFrame]) -> DataFrame:
@@ -101,9 +245,9 @@ def read_store(spark, path: str, schema) -> DataFrame:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path + ".bak")
 
 
-def replace_all(collections: dict[str, DataFrame], folder: str) -> None:
-    """Import: the given collections are replaced, the others stay."""
+def replace_all(collections: dict[str, DataFrame], folder: str) -> int:
+    """Import: the given collections are replaced, the others stay; the versions before are the backup."""
     unknown = set(collections) - set(COLLECTIONS)
     if unknown:
         raise ValueError(f"unknown collections: {sorted(unknown)}")
-    save(collections, folder)
+    return save(collections, folder)

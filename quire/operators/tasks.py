@@ -90,3 +90,114 @@ def fifo(tasks: DataFrame, slots: int) -> DataFrame:
     """The next tasks: those with an external id first, then the oldest, then by id; canceled ones are left out."""
     waiting = tasks.where(F.col("canceled_at").isNull() & F.coalesce(F.col("state") != "canceled", F.lit(True)))
     return waiting.orderBy(truthy(F.col("mineru_task_id")).desc(), F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp")), "id").limit(slots)
+
+
+#: What the operational sets name.
+LOCAL_ENGINE = "local-mineru"
+WORKING_STAGES = ("mineru-processing", "mineru-queued", "result-fetching")
+RETRY_MARK = "可重试"
+LIVE_STATES = ("pending", "running", "ai-pending", "ai-running")
+HYBRID = "hybrid-auto-engine"
+
+
+def _meta(key: str) -> Column:
+    return F.get_json_object("metadata", f"$.{key}")
+
+
+def _nothing(c: Column) -> Column:
+    """Null, empty or zero."""
+    return c.isNull() | c.isin("", "0", "false")
+
+
+def operational_sets(tasks: DataFrame) -> DataFrame:
+    """Each task with the operational sets that it is in, from engine, state, stage, message and the metadata."""
+    state, stage = F.col("state"), F.col("stage")
+    own = (F.col("engine") == LOCAL_ENGINE) & _nothing(_meta("canceledAt"))
+    external, done = ~_nothing(_meta("mineruTaskId")), _meta("mineruStatus") == "completed"
+    sets = {
+        "running_external": (state == "running") & external & stage.isin(*WORKING_STAGES),
+        "drifting": external & ((state == "pending") | ((state == "running") & stage.isin("upload", "process"))),
+        "not_ingested": (state != "canceled") & external & done & _nothing(_meta("parsedFilesCount")),
+        "retryable": (state != "canceled") & ((stage == "submit-failed-retryable") | F.coalesce(F.col("message").contains(RETRY_MARK), F.lit(False))),
+        "takeover": (state != "canceled") & done & (((state == "failed") & external) | ((state == "running") & (stage == "mineru-processing"))),
+    }
+    flagged = tasks.withColumns({k: F.coalesce(own & v, F.lit(False)) for k, v in sets.items()})
+    return flagged.withColumns({"queued": F.col("running_external") & (stage == "mineru-queued"), "current": F.col("running_external") & (stage == "mineru-processing")})
+
+
+def waiting_tasks(tasks: DataFrame) -> DataFrame:
+    """The queued ones of the operational sets, the oldest first."""
+    return operational_sets(tasks).where("queued").orderBy(F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp")), "id")
+
+
+def active_task(tasks: DataFrame) -> DataFrame:
+    """One row: the only running task, or without any the only drifting one, else null."""
+    only = lambda flag: F.max(F.when(F.col(flag), F.col("id")))
+    sets = operational_sets(tasks).agg(F.count_if("running_external").alias("running"), F.count_if("drifting").alias("drift"), only("running_external").alias("a"), only("drifting").alias("b"))
+    return sets.select("running", "drift", F.when(F.col("running") == 1, F.col("a")).when((F.col("running") == 0) & (F.col("drift") == 1), F.col("b")).alias("active"))
+
+
+def diagnostic_sets(tasks: DataFrame) -> DataFrame:
+    """The sets as the service diagnosis defines them; unlike ``operational_sets`` they ignore engine and cancellation."""
+    state, stage = F.col("state"), F.col("stage")
+    external, status = ~_nothing(_meta("mineruTaskId")), _meta("mineruStatus")
+    sets = {
+        "active": state.isin("pending", "running", "result-store", "ai-pending", "ai-running"),
+        "queued": stage == "mineru-queued",
+        "processing": stage == "mineru-processing",
+        "not_ingested": (state == "failed") & external & (status == "completed") & _nothing(_meta("parsedFilesCount")),
+        "retryable": state.isin("failed", "pending") & ~external & ((stage == "submit-failed-retryable") | F.coalesce(F.col("message").contains(RETRY_MARK), F.lit(False))),
+        "takeover": (state == "failed") & external & F.coalesce(~status.isin("failed", "completed", "not_found", "artifact-empty"), F.lit(True)),
+    }
+    return tasks.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in sets.items()})
+
+
+def diagnosis(reachable: Column, processing: Column, own_processing: Column, found: Column, found_state: Column) -> dict[str, Column]:
+    """Status and kind of the external service, from whether it answers, how many tasks it works on, whether a task of ours is one of them, and otherwise which of ours it was found to work on, and in what state."""
+    idle = F.coalesce(processing, F.lit(0)) == 0
+    ended = found.isNotNull() & F.coalesce(found_state.isin("failed", "canceled"), F.lit(False))
+    known = own_processing | found.isNotNull()
+    kind = F.when(~reachable, "unknown").when(idle, "idle").when(own_processing, "known-task-processing").when(ended, "known-failed-but-mineru-processing").when(known, "known-task-processing").otherwise("orphan-processing-blocker")
+    return {"status": F.when(~reachable, "unreachable").when(idle, "healthy").when(own_processing | (known & ~ended), "busy").otherwise("blocked"), "kind": kind}
+
+
+def failure(text: Column) -> dict[str, Column]:
+    """Category of a failure, the engine it is laid to, and whether another backend may be tried."""
+    category = failure_category(text)
+    return {"category": category, "engine": F.when(category.isNotNull(), HYBRID), "fallback": category.isNotNull()}
+
+
+def adjudicated(raw: Column, startup: bool = False) -> dict[str, Column]:
+    """What an external status makes of a stale task and its material; null where nothing changes.
+
+    At start-up a finished task goes straight to storing its result, and an
+    unknown status fails like a lost one.
+    """
+    status = external_status(raw)
+    working = F.coalesce(status.isin("queued", "processing"), F.lit(False))
+    lost = F.lower(raw) == "not_found"
+    if startup:
+        lost = lost | (raw.isNotNull() & (raw != "") & status.isNull())
+    done = status == "done"
+    return {
+        "task_state": F.when(working, "running").when(done, "result-store" if startup else "running").when((status == "failed") | lost, "failed"),
+        "task_stage": F.when(working, external_stage(status)).when(done, "store" if startup else "result-fetching").when(status == "failed", "mineru-failed"),
+        "external": F.when(done, "completed").when(status == "failed", "failed").when(lost, F.lower(raw)).otherwise(status if startup else F.when(working, F.lower(raw))),
+        "material_status": F.when(status == "failed", "failed").when((working | done) & F.lit(not startup), "processing"),
+    }
+
+
+def live_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks that a reset would cancel."""
+    return tasks.where(F.col("state").isin(*LIVE_STATES))
+
+
+def live_counts(tasks: DataFrame) -> DataFrame:
+    """How many live tasks there are, in all and by state."""
+    return live_tasks(tasks).agg(F.count("*").alias("live"), *(F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in LIVE_STATES))
+
+
+def overdue(updated: Column, now: Column, timeout_seconds: Column | int, grace_seconds: int = 60) -> Column:
+    """Whether the last update is longer ago than the timeout and the grace."""
+    limit = timeout_seconds if isinstance(timeout_seconds, Column) else F.lit(timeout_seconds)
+    return F.unix_timestamp(now) - F.unix_timestamp(updated) > limit + grace_seconds

@@ -1,5 +1,5 @@
 """Queries over the driver's tables, one module per operator family."""
 
-from quire.plans import audit, catalog, events, logs, semistructured, status, store, streaming, text
+from quire.plans import audit, catalog, events, logs, rules, semistructured, status, store, streaming, text
 
-MODULES = (events, catalog, status, audit, logs, text, store, semistructured, streaming)
+MODULES = (events, catalog, status, audit, logs, text, store, semistructured, streaming, rules)

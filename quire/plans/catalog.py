@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import blank, is_flag
-from quire.operators import catalog
+from quire.operators import catalog, tasks
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
 
@@ -20,19 +20,6 @@ def _q(names, fields, run, body):
     return (lambda spark, sf_dir: run(collection(spark, sf_dir, first)).select(*fields), with_collections(names, body))
 
 
-def operational_sets(t):
-    """The operational task sets as flags."""
-    running = F.col("state").isin("running", "result-store")
-    return t.select(
-        "id", (running & (F.col("mineru_task_id") != "")).alias("running_external"), (running & (F.col("mineru_status") == "completed")).alias("drifting"),
-        ((F.col("state") == "failed") & (F.col("mineru_status") == "completed") & (F.col("parsed_files_count") == 0)).alias("not_ingested"),
-        ((F.col("state") == "failed") & (F.col("stage") == "submit-failed-retryable")).alias("retryable"), ((F.col("state") == "pending") | (F.col("stage") == "mineru-queued")).alias("queued"),
-    )
-
-
-_OPS = """SELECT id, state IN ('running', 'result-store') AND mineru_task_id <> '' AS running_external, state IN ('running', 'result-store') AND mineru_status = 'completed' AS drifting,
-  state = 'failed' AND mineru_status = 'completed' AND parsed_files_count = 0 AS not_ingested, state = 'failed' AND stage = 'submit-failed-retryable' AS retryable, state = 'pending' OR stage = 'mineru-queued' AS queued FROM tasks"""
-
 QUERIES = {
     "s3_scan": (lambda s, d: table(s, d, "nation"), "SELECT * FROM nation"),
     "s4_point_lookup": _q("materials", ["id", "title"], lambda m: m.where(F.col("id") == "8"), "SELECT id, title FROM materials WHERE id = '8'"),
@@ -47,15 +34,14 @@ QUERIES = {
         lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.get_json_object("props", "$.missing").alias("missing")),
         "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events",
     ),
-    "f7_f8_operational_sets": _q("tasks", ["*"], operational_sets, _OPS),
     "f9_a10_live_counts": _q(
-        "tasks", ["*"], lambda t: t.where(F.col("state").isin("pending", "running", "ai-pending", "ai-running")).agg(F.count("*").alias("live"), *(F.count_if(F.col("state") == v).alias(n) for v, n in (("pending", "pending"), ("running", "running"), ("ai-pending", "ai_pending"), ("ai-running", "ai_running")))),
+        "tasks", ["*"], tasks.live_counts,
         "SELECT count(*) AS live, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'ai-pending') AS ai_pending, count(*) FILTER (state = 'ai-running') AS ai_running FROM tasks WHERE state IN ('pending', 'running', 'ai-pending', 'ai-running')",
     ),
     "f11_foreign_key": _q("tasks", ["id", "material_id"], lambda t: t.where(F.col("material_id") == "10"), "SELECT id, material_id FROM tasks WHERE material_id = '10'"),
     "f14_heavy_field_to_count": (
-        lambda s, d: collection(s, d, "objects").groupBy("owner").agg(F.collect_list("name").alias("artifacts")).select("owner", F.size("artifacts").alias("parsed_files_count")),
-        with_collections("objects", "SELECT owner, CAST(count(name) AS INT) AS parsed_files_count FROM objects GROUP BY owner"),
+        lambda s, d: catalog.without_list(_m(s, d).select("id", F.when(F.col("tags") != "", F.split("tags", ",")).alias("tag_list")), "tag_list", "n_tags"),
+        with_collections("materials", "SELECT id, CAST(CASE WHEN tags = '' THEN 0 ELSE len(string_split(tags, ',')) END AS INT) AS n_tags FROM materials"),
     ),
     "f15_key_prefix": _q(
         "materials", ["*"], lambda m: m.select("id", (~F.col("object_name").startswith(F.concat(F.lit("originals/"), "id", F.lit("/")))).alias("bad_original"), (~blank(F.col("markdown_object_name")) & ~F.col("markdown_object_name").startswith(F.concat(F.lit("parsed/"), "id", F.lit("/")))).alias("bad_parsed")),
@@ -66,10 +52,6 @@ QUERIES = {
         lambda s, d: catalog.last_rows(table(s, d, "events").where("ts >= timestamp'1997-01-01' and event_type = 'click'"), "ts", "event_id", 40).select("event_id", "user_id"),
         "SELECT event_id, user_id FROM (SELECT * FROM events WHERE ts >= TIMESTAMP '1997-01-01' AND event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 40)",
     ),
-    "f19_f20_persistable": _q(
-        "materials", ["*"], lambda m: m.where(~((F.coalesce("status", F.lit("")) == "processing") & blank(F.col("markdown_object_name")))).select("id", F.when(blank(F.col("object_name")), F.col("title")).alias("url")),
-        "SELECT id, CASE WHEN coalesce(object_name, '') = '' THEN title END AS url FROM materials WHERE NOT (coalesce(status, '') = 'processing' AND coalesce(markdown_object_name, '') = '')",
-    ),
     "o1_newest_first": (
         lambda s, d: catalog.newest_first(_m(s, d)).select("id", "update_time", "create_time").limit(60),
         with_collections("materials", "SELECT id, update_time, create_time FROM materials ORDER BY coalesce(update_time, 0) DESC, coalesce(create_time, 0) DESC, id DESC LIMIT 60"),
@@ -96,16 +78,6 @@ QUERIES = {
         with_collections("materials", "SELECT CAST(coalesce(sum(coalesce(size_bytes, 0)), 0) AS BIGINT) AS bytes, count(DISTINCT nullif(subject, '')) AS labels FROM materials WHERE mineru_status = 'completed'"),
     ),
     "a7_storage": (lambda s, d: catalog.storage(collection(s, d, "objects")), with_collections("objects", "SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM objects GROUP BY ROLLUP (bucket)")),
-    "a9_migration_estimate": (
-        lambda s, d: catalog.migration(collection(s, d, "objects").withColumn("name", F.when(F.col("nr") == 1, F.concat("name", F.lit(".zip"))).otherwise(F.col("name")))),
-        with_collections(
-            "objects",
-            """WITH o AS (SELECT owner, size, nr, CASE WHEN nr = 1 THEN name || '.zip' ELSE name END AS name FROM objects), x AS (SELECT *, NOT name LIKE '%.zip' AND NOT name LIKE '%/full.md' AS extra, name LIKE '%.zip' AS z FROM o),
-            n AS (SELECT *, row_number() OVER (PARTITION BY owner, extra ORDER BY name, nr) AS nth FROM x)
-            SELECT owner, CASE WHEN bool_or(z) AND bool_or(extra) THEN 'legacy-mixed' WHEN bool_or(z) THEN 'zip-source' WHEN bool_or(extra) THEN 'expanded-only' ELSE 'missing-artifacts' END AS kind,
-              count(*) FILTER (extra) AS removable, CAST(coalesce(sum(size) FILTER (extra), 0) AS BIGINT) AS removable_bytes, coalesce(string_agg(name, ',' ORDER BY name) FILTER (extra AND nth <= 5), '') AS samples FROM n GROUP BY owner""",
-        ),
-    ),
     "a12_facet_values": (lambda s, d: catalog.facet(_m(s, d), "subject"), with_collections("materials", "SELECT DISTINCT trim(subject) AS value FROM materials WHERE trim(subject) <> ''")),
     "a13_grouped_any": (
         lambda s, d: collection(s, d, "jobs").where("parse_task_id <> ''").groupBy("parse_task_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.bool_or(F.col("state").isin("pending", "running")).alias("active")),

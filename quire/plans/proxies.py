@@ -64,17 +64,60 @@ SQL = {
             WHEN 8 THEN 'Layout Predict: ' || CAST(o_orderkey % 100 AS STRING) || '%|#| ' || CAST(o_orderkey % 50 AS STRING) || '/50 [x]'
             ELSE 'some random text ' || o_orderpriority END AS line
         FROM {orders}""",
+    "runs": """
+        SELECT 't' || CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS material_id, o_orderkey AS seq, CASE WHEN o_orderkey % 9 = 0 THEN 'cloud' ELSE 'local-mineru' END AS engine,
+          CASE o_orderkey % 8 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'running' WHEN 3 THEN 'failed' WHEN 4 THEN 'canceled' WHEN 5 THEN 'completed' WHEN 6 THEN 'review-pending' ELSE 'ai-running' END AS state,
+          CASE o_custkey % 6 WHEN 0 THEN 'mineru-processing' WHEN 1 THEN 'mineru-queued' WHEN 2 THEN 'result-fetching' WHEN 3 THEN 'upload' WHEN 4 THEN 'process' ELSE 'submit-failed-retryable' END AS stage,
+          CASE WHEN o_orderkey % 10 = 0 THEN '提交失败，可重试' ELSE o_orderpriority END AS message, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE 'timeout' END AS error_message, o_orderdate AS created_at,
+          '{"keep":"' || o_orderpriority || '"' || CASE WHEN o_custkey % 4 <> 0 THEN ',"mineruTaskId":"m' || CAST(o_orderkey AS STRING) || '"' ELSE '' END
+            || CASE o_custkey % 3 WHEN 0 THEN ',"mineruStatus":"completed"' WHEN 1 THEN ',"mineruStatus":"processing"' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN ',"canceledAt":"2026-01-01"' ELSE '' END
+            || CASE o_custkey % 5 WHEN 0 THEN ',"parsedFilesCount":0' WHEN 1 THEN ',"parsedFilesCount":3' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN ',"recoveredFromMisjudgedFailed":true' ELSE '' END
+            || CASE o_custkey % 7 WHEN 0 THEN ',"previousErrorMessage":"older"' WHEN 1 THEN ',"previousErrorMessage":" "' ELSE '' END || '}' AS metadata
+        FROM {orders}""",
+    "drafts": """
+        SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'completed' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'blob:x' ELSE 'http://p/' || CAST(c_custkey AS STRING) END AS preview,
+          '{"provider":"' || CASE WHEN c_custkey % 2 = 0 THEN 'minio' ELSE 'other' END || '","objectName":"' || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'originals/' || CAST(c_custkey AS STRING) END || '","fileUrl":"f","markdownUrl":"m"'
+            || CASE WHEN c_custkey % 7 < 3 THEN ',"markdownObjectName":"' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'parsed' END || '"' ELSE '' END || CASE WHEN c_custkey % 11 = 0 THEN ',"localDraft":true' ELSE '' END
+            || CASE WHEN c_custkey % 4 = 1 THEN ',"previewUrl":"blob:y"' ELSE ',"previewUrl":"z"' END || '}' AS metadata
+        FROM {customer}""",
+    "results": """
+        SELECT DISTINCT id, file, 'parsed/' || id || '/' || file AS name, CASE WHEN file = 'full.md' THEN 10 ELSE length(file) * 7 END AS size,
+          CASE WHEN file = 'mineru-result.zip' THEN n % 3 <> 0 WHEN file LIKE 'images/%' THEN n % 5 <> 0 ELSE TRUE END AS stored, file LIKE 'images/%' AND (n % 2 = 0 OR file NOT LIKE '%7.jpg') AS inside
+        FROM (SELECT CAST(l_partkey % 400 AS STRING) AS id, l_partkey % 400 AS n,
+            CASE l_linenumber WHEN 1 THEN 'mineru-result.zip' WHEN 2 THEN 'full.md' WHEN 3 THEN 'artifact-manifest.json' ELSE 'images/' || CAST(l_suppkey % 40 AS STRING) || '.jpg' END AS file FROM {lineitem}) AS files""",
+    "papers": """
+        SELECT 'p' || CAST(o_orderkey AS STRING) AS id, o_orderkey AS k,
+          '{"primary_facets":{"domain":"' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'D' || CAST(o_orderkey % 7 AS STRING) END || '","subject":{"zh":"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '数学' END || '","en":"Math ' || CAST(o_custkey % 9 AS STRING)
+            || '"},"stage":{"zh":"初中","en":""},"level":' || CASE WHEN o_orderkey % 4 = 0 THEN '{"zh":"","en":""}' ELSE '{"zh":"七' || CAST(o_custkey % 3 AS STRING) || '","en":"x"}' END || ',"component_role":{"en":"role"},"curriculum":" "},'
+            || '"controlled_classification":{"subject":' || CASE WHEN o_custkey % 2 = 0 THEN 'null' ELSE '{"id":"s","zh":"科' || CAST(o_custkey % 11 AS STRING) || '"}' END || '},"descriptive_metadata":{"series_title":"' || CASE WHEN o_orderkey % 6 = 0 THEN o_orderpriority ELSE '' END || '","language":"'
+            || CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE '' END || '"},"governance":{"confidence":"' || CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'odd' END || '","human_review_required":' || CASE WHEN o_custkey % 4 = 0 THEN 'true' ELSE 'false' END
+            || '},"normalized_tags":{"topic_tags":["t' || CAST(o_custkey AS STRING) || '",{"zh":"标","en":"tag"},{"zh":"","en":"only"}]},"system_tags":{"format_tags":["pdf"]},"evidence":[' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '" plain ' || CAST(o_orderkey AS STRING) || ' ",' END
+            || '{"type":"' || CASE o_custkey % 3 WHEN 0 THEN 'toc' WHEN 1 THEN 'odd' ELSE 'body' END || '","quote_or_summary":"' || CASE WHEN o_custkey % 4 = 0 THEN '  ' ELSE ' q ' || CAST(o_custkey AS STRING) END || '","supports":["a","b"]},3,null,""'
+            || CASE WHEN o_orderkey % 8 = 0 THEN repeat(',{"type":"system","quote_or_summary":"again"}', 25) ELSE '' END || ']'
+            || CASE WHEN o_orderkey % 3 <> 0 THEN ',"artifacts":[{"path":"a' || CAST(o_orderkey AS STRING) || '","base64":"QQ==","mimetype":"image/png"},{"path":"no content"}],"data":{"files":[{"name":"d' || CAST(o_orderkey AS STRING) || '","url":"HTTP://h/' || CAST(o_orderkey AS STRING)
+              || '"}]},"results":[{"artifacts":[{"file_name":"r1","contentBase64":"Qg=="}],"files":[{"path":"hidden","url":"http://x"}]},{"files":[{"filename":"r2","Content-Type":" x/y ","downloadUrl":"https://h/r"},{"path":"bad","url":"ftp://x"}]}]' ELSE '' END || '}' AS body,
+          CASE o_orderkey % 17 WHEN 0 THEN '" text ' || CAST(o_orderkey AS STRING) || ' "' WHEN 1 THEN '{"results":{"first":{"mdContent":"text ' || CAST(o_orderkey AS STRING) || '"},"second":{"md_content":"no"}}}' WHEN 2 THEN '[{"text":" text ' || CAST(o_orderkey AS STRING) || ' "}]'
+            WHEN 3 THEN '{"data":[1,"text ' || CAST(o_orderkey AS STRING) || '","later"]}' WHEN 4 THEN '{"md_content":" ","data":{"text":7}}' WHEN 5 THEN '{"md_content":" ","output":{"markdown":"text ' || CAST(o_orderkey AS STRING) || '"}}'
+            ELSE CASE WHEN o_orderkey % 2 = 0 THEN '{"data":{' ELSE '{' END || '"other":1,"' || CASE o_orderkey % 6 WHEN 0 THEN 'md_content' WHEN 1 THEN 'mdcontent' WHEN 2 THEN 'mdContent' WHEN 3 THEN 'md_text' WHEN 4 THEN 'markdown' ELSE 'text' END || '":"text ' || CAST(o_orderkey AS STRING) || '"'
+              || CASE WHEN o_orderkey % 2 = 0 THEN '}}' ELSE '}' END END AS parsed
+        FROM {orders}""",
 }
 
 
 def collection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = [t for t in ("customer", "orders", "lineitem") if "{" + t + "}" in SQL[name]]
-    return spark.sql(SQL[name], **{t: table(spark, sf_dir, t) for t in used})
+    query = SQL[name]
+    for brace in "{}":
+        query = query.replace(brace, brace * 2)
+    for t in used:
+        query = query.replace("{{" + t + "}}", "{" + t + "}")
+    return spark.sql(query, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def with_collections(names: str, body: str) -> str:
     """``body`` with the named stand-ins in front, for DuckDB."""
-    parts = [f"{n} AS ({SQL[n].format(customer='customer', orders='orders', lineitem='lineitem')})" for n in names.split()]
+    plain = lambda text: text.replace("{customer}", "customer").replace("{orders}", "orders").replace("{lineitem}", "lineitem")
+    parts = [f"{n} AS ({plain(SQL[n])})" for n in names.split()]
     rest = body.strip()
     if rest[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + rest[5:]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import store
+from quire.operators import catalog, store
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
 
@@ -31,12 +31,6 @@ def settled(t):
     return t.select("id", F.when(done, "").otherwise(F.col("error_message")).alias("error_message"), F.when(done & (F.col("error_message") != ""), F.col("error_message")).alias("previous_error"))
 
 
-def residue(m):
-    """Completed materials that still show a running parse, and the stage they go to."""
-    stage = F.when(F.col("ai_status") == "analyzed", "completed").when(F.col("ai_status") == "failed", "ai-failed").otherwise("mineru-completed")
-    return m.where("status = 'completed' and mineru_status = 'processing'").select("id", stage.alias("stage"))
-
-
 def reset_keys(spark, sf_dir):
     m = collection(spark, sf_dir, "tasks")
     meta = F.create_map(F.lit("mineruTaskId"), F.col("mineru_task_id"), F.lit("stage"), F.col("stage"), F.lit("submitRetries"), F.col("retries").cast("string"))
@@ -83,10 +77,6 @@ QUERIES = {
         lambda s, d: store.insert_unless_active(collection(s, d, "materials").select(F.col("id").alias("material_id")), collection(s, d, "tasks"), _ACTIVE),
         with_collections("materials tasks", f"SELECT id AS material_id, id IN (SELECT material_id FROM tasks WHERE state IN {_ACTIVE}) AS conflict FROM materials"),
     ),
-    "m11_union_tags": (
-        lambda s, d: collection(s, d, "materials").select("id", F.array_join(F.array_union(F.split("tags", ","), F.array(F.lit("n3"), F.lit("extra"))), ",").alias("tags")),
-        with_collections("materials", "SELECT id, CASE WHEN list_contains(string_split(tags, ','), 'n3') THEN tags || ',extra' ELSE tags || ',n3,extra' END AS tags FROM materials"),
-    ),
     "m12_reset_metadata": (reset_keys, with_collections("tasks", "SELECT id, 'stage=' || stage || ';submitRetries=0' AS metadata FROM tasks")),
     "m13_differential_upsert": (
         lambda s, d: store.changed(store.upsert(_c(s, d), _new(s, d), "c_custkey").where("c_custkey % 5 <> 0"), _c(s, d), "c_custkey"),
@@ -96,7 +86,7 @@ QUERIES = {
     ),
     "m14_clear_recovered_errors": (lambda s, d: settled(collection(s, d, "tasks")), with_collections("tasks", f"SELECT id, {_SETTLE} FROM tasks")),
     "m15_clear_residue": (
-        lambda s, d: residue(collection(s, d, "materials")),
+        lambda s, d: store.residue(collection(s, d, "materials")),
         with_collections("materials", "SELECT id, CASE ai_status WHEN 'analyzed' THEN 'completed' WHEN 'failed' THEN 'ai-failed' ELSE 'mineru-completed' END AS stage FROM materials WHERE status = 'completed' AND mineru_status = 'processing'"),
     ),
     "s7_restore_missing": (lambda s, d: store.insert_missing(_c(s, d), _new(s, d), "c_custkey"), f"WITH {_NEW} SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM c)"),
@@ -109,7 +99,7 @@ QUERIES = {
         with_collections("objects", "SELECT owner, string_agg(nr || ':' || name || ':' || size, '|' ORDER BY nr || ':' || name || ':' || size) AS manifest FROM objects GROUP BY owner"),
     ),
     "s10_archive_entries": (
-        lambda s, d: collection(s, d, "objects").groupBy("owner").agg(F.collect_list("name").alias("entries")).select("owner", F.explode("entries").alias("entry")).where(~F.col("entry").endswith("/") & F.col("entry").contains("/")),
+        lambda s, d: catalog.archive_files(collection(s, d, "objects").select("owner", F.col("name").alias("entry")).where(F.col("entry").contains("/"))),
         with_collections("objects", "SELECT owner, name AS entry FROM objects WHERE NOT ends_with(name, '/') AND contains(name, '/')"),
     ),
     "j9_startup_sync": (
