@@ -283,10 +283,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if many:
         several = F.broadcast(several) if many <= BROADCAST_IDS else several
         texts = texts.join(several, "id", "left").withColumn("dup", F.when(F.col("several") & F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
+        # one name for (id, dup): the id itself where that is enough
+        texts = texts.withColumn("rid", F.when(F.col("dup") == 0, F.col("id")).otherwise(F.xxhash64("id", "dup")))
+        named = lambda df: df
     else:
-        texts = texts.withColumn("dup", F.lit(0).cast("long"))
-    # one name for (id, dup): the id itself where that is enough
-    texts = texts.withColumn("rid", F.when(F.col("dup") == 0, F.col("id")).otherwise(F.xxhash64("id", "dup")))
+        # the name is the id, and all that is joined has the same two columns, so one exchange of the texts serves every join
+        texts = texts.select(F.col("id").alias("rid"), "text")
+        named = lambda df: df.withColumns({"id": F.col("rid"), "dup": F.lit(0).cast("long")})
     first = prints.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
     copies = prints.join(first, "print").where("id > first").select("id", "print")
     if many:
@@ -303,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = keyed.select("slot", "rid", "mark", F.min(one).over(slot).alias("a"), F.max(one).over(slot).alias("b"), F.max(F.col("mark") == 1).over(slot).alias("known"))
     key = F.when(F.col("mark").isin(0, 1), F.col("slot")).otherwise(F.col("mark"))
     wanted = keyed.where("mark not in (0, 1) or known or a < b").groupBy("rid").agg(F.collect_set(key).alias("keys"))
-    windows = texts.join(wanted, "rid").mapInArrow(_windows(width), "slot long, tail long, id long, dup long").repartition("slot")
+    windows = named(texts.join(wanted, "rid")).mapInArrow(_windows(width), "slot long, tail long, id long, dup long").repartition("slot")
     windows = windows.select(
         "slot", F.col("tail").bitwiseAND(0xFFFFFFFF).alias("low"), F.shiftrightunsigned("tail", 32).bitwiseAND(0x7FFFFFFF).alias("at"), (F.col("tail") < 0).alias("late"), "id", "dup"
     )
@@ -313,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rid = F.when(F.col("dup") == 0, F.col("id")).otherwise(F.xxhash64("id", "dup")).alias("rid")
     found = owned.where("late or id > owner").groupBy(rid).agg(F.collect_set(run).alias("found"))
     whole = texts.join(found, "rid", "left").join(copies, "rid", "left")
-    cut = whole.mapInArrow(_cut(width), "id long, n_words long, n_removed long, kept string")
+    cut = named(whole).mapInArrow(_cut(width), "id long, n_words long, n_removed long, kept string")
     return cut.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
 
