@@ -160,7 +160,9 @@ def build(turns: DataFrame, tokenizer: str | None = None, **columns: str) -> tup
     # the ways: a child of a parent with several children adds its own label
     forks = nodes.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children")).where("children > 1")
     sized = nodes.drop("role", "text", "wide").join(coded.select("node", "length"), "node")
-    labelled = spread_join(sized, forks, "parent", hot_keys(forks, "parent", "children"), F.col("node"), "left")
+    # first turns have no parent; names of their own keep them from meeting in one task
+    sized = sized.withColumn("fork", F.coalesce("parent", F.concat(F.lit("none "), "node")))
+    labelled = spread_join(sized, forks.withColumnRenamed("parent", "fork"), "fork", hot_keys(forks, "parent", "children"), F.col("node"), "left")
     labelled = labelled.withColumn("label", F.when(F.col("children").isNotNull(), F.lpad(F.hex(F.xxhash64("node")), 16, "0"))).select("node", "owner", "parent", "tree", "length", "label")
     along = Window.partitionBy("path").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = spread_join(chains, labelled, "node", hot, F.col("path")).withColumns({"way": F.array_join(F.collect_list("label").over(along), ""), "position": F.sum("length").over(along) - F.col("length")})
