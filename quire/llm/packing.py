@@ -5,12 +5,18 @@ partition's token stream are chosen among document ends, sentence ends and, in
 long sentences, every ``STEP`` tokens. With f(j) the least cost of the stream up
 to cut j, f(j) = min over i within one window of f(i) + padding(i, j) +
 penalty(j); padding is window - (j - i), so f(i) + i is all that i contributes
-and a monotone queue gives each minimum in constant amortised time. The program
-runs over a bounded stretch of the stream, emits the windows that are settled
-and goes on from the last of them, so memory does not follow the partition.
+and a monotone queue gives each minimum in constant amortised time. Only what is
+in that queue can begin a later window, so a cut that the chains of all its
+members share is settled: such cuts are emitted after every ``STRETCH`` tokens
+and the program goes on with what is left, so the chain is the best one over the
+whole partition while memory does not follow the partition. Where chains have
+not met within ``HORIZON`` tokens, the first half of one of them is taken as it is.
 What remains at the end of a partition is split into powers of two down to one
 token, which need no padding, so padding does not follow the number of partitions.
 
+The fast way to token ids holds for one normaliser and pre-tokenizer, which are
+compared with those of the file; any other file's tokenizer gets whole texts.
+
 Defined results: a null or empty text is the end token alone; rows that share a
 doc_id are separate documents; a text longer than a window is cut, preferably
 between sentences. Extra columns are ignored.
@@ -19,6 +25,7 @@ between sentences. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -38,7 +45,9 @@ END = 2
 SENTENCE_CUT, WORD_CUT = 2, 8
 STEP = 64
 STRETCH = 64 * WINDOW
-CACHE_ENTRIES = 700_000
+HORIZON = 4 * STRETCH
+#: Bounds of the caches: entries, and the characters of one, so that they are bounded in bytes too.
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 64
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -54,9 +63,15 @@ class WordEncoder:
     The tokenizer never joins what white space separates, so stretches between
     spaces are cached; plain Latin ones are built from the tokenizer's own
     pre-tokens, others go to it as they are. Texts that hold one of its special
-    strings go to it whole.
+    strings go to it whole, and so does every text if the tokenizer is of another
+    kind (``plain`` is false).
     """
 
+    # The parts of the tokenizer's file that the fast way relies on.
+    _normalizer = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    _split = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False}
+
     _piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     _exotic = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
     _stretch = re.compile(r"[^\t\n\r\x20]+")
@@ -74,6 +89,17 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.plain = self._known_kind()
+
+    def _known_kind(self) -> bool:
+        parts = json.loads(self.tokenizer.to_str())
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers") or []
+        if parts["normalizer"] != self._normalizer or len(steps) != 2 or parts["truncation"] or parts["padding"]:
+            return False
+        split, letters = steps
+        splits = split.get("type") == "Split" and split.get("pattern") == {"Regex": self._split} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        by_bytes = letters.get("type") == "ByteLevel" and not letters.get("add_prefix_space") and not letters.get("use_regex")
+        return splits and by_bytes and all(parts["model"].get(k) == v for k, v in self._model.items())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -94,7 +120,9 @@ class WordEncoder:
         def of(piece: str) -> bytes:
             ids = pieces.get(piece)
             if ids is None:
-                ids = pieces[piece] = merge(piece)
+                ids = merge(piece)
+                if len(piece) <= CACHE_CHARS:
+                    pieces[piece] = ids
             return ids
 
         for s in plain:
@@ -106,6 +134,8 @@ class WordEncoder:
         known.update(zip(other, self._encode(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._encode(texts)
         split, plain, other = [], set(), set()
         for t in texts:
             if any(s in t for s in self.specials):
@@ -125,7 +155,10 @@ class WordEncoder:
         self._learn(list(fresh), list(strange))
         self.stretches.update([(s, self.stretches[s.lower()]) for s in mixed])
         get = self.stretches.__getitem__
-        return [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for t, x in zip(texts, split, strict=True)]
+        out = [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for t, x in zip(texts, split, strict=True)]
+        for s in {s for some in (fresh, strange, mixed) for s in some if len(s) > CACHE_CHARS}:
+            del self.stretches[s]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -155,28 +188,75 @@ def cuts_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[order], cost[order]
 
 
+class Chains:
+    """The cheapest chains of cuts from 0 with steps of at most ``window``, over a stream of cuts that goes on."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.points, self.total, self.back, self.keys = [0], [0], [0], [0]  # keys: total + point, all that a start contributes
+        self.queue = deque([0])  # the starts that can still begin a window, by rising point and rising key
+
+    def extend(self, at: list[int], cost: list[int]) -> None:
+        window, points, total, back, keys, queue = self.window, self.points, self.total, self.back, self.keys, self.queue
+        keep, drop, shift = queue.append, queue.pop, queue.popleft
+        for j, (here, price) in enumerate(zip(at, cost, strict=True), len(points)):
+            while here - points[queue[0]] > window:
+                shift()
+            i = queue[0]
+            best = keys[i] + window - here + price
+            points.append(here)
+            total.append(best)
+            back.append(i)
+            key = best + here
+            keys.append(key)
+            while queue and keys[queue[-1]] >= key:
+                drop()
+            keep(j)
+
+    def _chain(self, j: int) -> list[int]:
+        out = []
+        while j:
+            out.append(j)
+            j = self.back[j]
+        return out[::-1]
+
+    def _take(self, chain: list[int]) -> list[int]:
+        """The cuts of ``chain``, the beginning of all live chains; the last of them is where the rest begins."""
+        cuts = [self.points[j] for j in chain]
+        if chain:
+            at = chain[-1]
+            self.points, self.total, self.keys = self.points[at:], self.total[at:], self.keys[at:]
+            self.back = [max(i - at, 0) for i in self.back[at:]]
+            self.queue = deque(i - at for i in self.queue)
+        return cuts
+
+    def settled(self) -> list[int]:
+        """The cuts that all live chains share."""
+        live = {*self.queue}
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(self.back[last])
+        return self._take(self._chain(live.pop()))
+
+    def forced(self) -> list[int]:
+        """The first half of the chain of the latest cut; chains that do not share it end here."""
+        chain = self._chain(len(self.points) - 1)
+        half = chain[: max(1, len(chain) // 2)]
+        self.queue = deque(i for i in self.queue if half[-1] == i or half[-1] in self._chain(i))
+        return self._take(half)
+
+    def best(self) -> list[int]:
+        """The cuts of the cheapest chain that leaves less than a window; what is not in the queue is never cheaper."""
+        j = min((i for i in self.queue if self.points[-1] - self.points[i] < self.window), key=lambda i: (self.total[i], -i))
+        return [self.points[j] for j in self._chain(j)]
+
+
 def best_cuts(at: list[int], cost: list[int], window: int) -> list[int]:
     """The cheapest chain of cuts from 0 with steps of at most ``window``, up to a cut that leaves less than a window."""
-    points, total, back, keys = [0, *at], [0], [0], [0]  # keys: total + point, all that a start contributes
-    queue, keep, drop, shift = deque([0]), deque.append, deque.pop, deque.popleft
-    for j, (here, price) in enumerate(zip(at, cost, strict=True), 1):
-        while here - points[queue[0]] > window:
-            shift(queue)
-        i = queue[0]
-        best = keys[i] + window - here + price
-        total.append(best)
-        back.append(i)
-        key = best + here
-        keys.append(key)
-        while queue and keys[queue[-1]] >= key:
-            drop(queue)
-        keep(queue, j)
-    j = min((i for i in range(len(points)) if points[-1] - points[i] < window), key=lambda i: (total[i], -i))
-    out = []
-    while j:
-        out.append(points[j])
-        j = back[j]
-    return out[::-1]
+    chains = Chains(window)
+    chains.extend(at, cost)
+    return chains.best()
 
 
 def tail_cuts(n: int) -> list[int]:
@@ -191,49 +271,48 @@ def tail_cuts(n: int) -> list[int]:
 class Packer:
     """Packs one partition's stream of documents; ``rows`` gathers finished pieces."""
 
-    def __init__(self, partition: int, ends: np.ndarray, window: int):
-        self.ends, self.window = ends, window
+    def __init__(self, partition: int, ends: np.ndarray, window: int, stretch: int = STRETCH, horizon: int = HORIZON):
+        self.ends, self.stretch, self.horizon = ends, stretch, horizon
         self.sequence = partition << 32
         self.docs: list[tuple] = []  # (doc_id, ids as bytes, tokens, first token not packed yet)
-        self.at: list[int] = []
-        self.cost: list[int] = []
-        self.held = 0
+        self.chains = Chains(window)
+        self.seen = self.packed = 0  # tokens of the stream so far
+        self.due = stretch
         self.rows: list[tuple] = []
 
     def add(self, doc_id, blob: bytes) -> None:
         ids = np.frombuffer(blob, dtype="<u4")
         at, cost = cuts_of(ids, self.ends)
         self.docs.append((doc_id, blob, len(ids), 0))
-        self.at.extend((at + self.held).tolist())
-        self.cost.extend(cost.tolist())
-        self.held += len(ids)
-        if self.held >= STRETCH:
-            self._emit(best_cuts(self.at, self.cost, self.window))
+        self.chains.extend((at + self.seen).tolist(), cost.tolist())
+        self.seen += len(ids)
+        if self.seen >= self.due:
+            self._emit(self.chains.settled())
+            while self.seen - self.packed >= self.horizon:
+                self._emit(self.chains.forced())
+            self.due = self.seen + self.stretch
 
     def close(self) -> None:
-        if not self.held:
-            return
-        cuts = best_cuts(self.at, self.cost, self.window)
-        last = cuts[-1] if cuts else 0
-        self._emit(cuts + [last + x for x in tail_cuts(self.held - last)])
+        if self.seen > self.packed:
+            cuts = self.chains.best()
+            last = cuts[-1] if cuts else self.packed
+            self._emit(cuts + [last + x for x in tail_cuts(self.seen - last)])
 
     def _emit(self, cuts: list[int]) -> None:
-        begin, k = 0, 0
+        at, k = self.packed, 0
         for cut in cuts:
             offset = 0
-            while begin < cut:
+            while at < cut:
                 doc_id, blob, total, used = self.docs[k]
-                n = min(total - used, cut - begin)
+                n = min(total - used, cut - at)
                 self.rows.append((doc_id, used, n, zlib.crc32(memoryview(blob)[4 * used : 4 * (used + n)]), total, self.sequence, offset, blob[4 * used : 4 * (used + n)]))
                 offset += n
-                begin += n
+                at += n
                 self.docs[k] = (doc_id, blob, total, used + n)
                 k += used + n == total
             self.sequence += 1
         self.docs = self.docs[k:]
-        gone = int(np.searchsorted(self.at, begin, side="right"))
-        self.at, self.cost = [x - begin for x in self.at[gone:]], self.cost[gone:]
-        self.held -= begin
+        self.packed = at
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

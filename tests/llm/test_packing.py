@@ -85,3 +85,62 @@ def test_many_partitions_need_no_more_padding(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stretches_do_not_change_the_cheapest_chain():
+    rng = random.Random(8)
+    ends = np.array([False, True, False])
+    for trial in range(12):
+        docs = [(i, np.array(rng.choices([0, 1, 2], weights=[40, rng.choice([1, 6]), 0], k=rng.choice([1, 3, 30, 200])) + [2], dtype="<u4")) for i in range(300)]
+        packer = packing.Packer(0, ends, 128, stretch=512, horizon=1 << 30)
+        at, cost, n, early = [], [], 0, 0
+        for i, ids in docs:
+            packer.add(i, ids.tobytes())
+            early = max(early, len(packer.rows))
+            a, c = packing.cuts_of(ids, ends)
+            at, cost, n = at + (a + n).tolist(), cost + c.tolist(), n + len(ids)
+            assert packer.seen - packer.packed < 8000
+        assert early > 100
+        packer.close()
+        sizes = {}
+        for row in packer.rows:
+            sizes[row[5]] = sizes.get(row[5], 0) + row[2]
+        want = packing.best_cuts(at, cost, 128)
+        assert np.cumsum([sizes[i] for i in sorted(sizes)])[: len(want)].tolist() == want
+        assert packer.seen == packer.packed == n
+
+
+def test_horizon_bounds_what_is_held():
+    ends = np.zeros(3, bool)
+    packer = packing.Packer(0, ends, 128, stretch=256, horizon=512)
+    packer.chains.settled = lambda: []  # chains that never meet
+    for i in range(400):
+        packer.add(i, np.array([0] * (i % 97) + [2], dtype="<u4").tobytes())
+        assert packer.seen - packer.packed < 512 + 256
+    packer.close()
+    sizes = {}
+    for row in packer.rows:
+        sizes[row[5]] = sizes.get(row[5], 0) + row[2]
+    assert max(sizes.values()) <= 128 and sum(sizes.values()) == sum(i % 97 + 1 for i in range(400))
+
+
+def test_caches_hold_no_long_stretches():
+    encoder = packing.WordEncoder(packing.tokenizer_file())
+    assert encoder.plain
+    long = ["漢字かな" * 5000, "X" * 9000, "ÀÉ" * 400 + "漢", "Ab" * 50 + " 漢 aB", "." * 300]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in long]
+    for _ in range(2):
+        assert encoder(long) == want
+        assert max(map(len, [*encoder.stretches, *encoder.pieces])) <= packing.CACHE_CHARS
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import normalizers
+
+    other = Tokenizer.from_file(packing.tokenizer_file())
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    encoder = packing.WordEncoder(str(tmp_path / "other.json"))
+    assert not encoder.plain
+    texts = ["The Hall of ÉCOLE", "", "a  b"]
+    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(texts, add_special_tokens=False)]
