@@ -10,7 +10,7 @@ in that queue can begin a later window, so a cut that the chains of all its
 members share is settled: such cuts are emitted after every ``STRETCH`` tokens
 and the program goes on with what is left, so the chain is the best one over the
 whole partition while memory does not follow the partition. Where chains have
-not met within ``HORIZON`` tokens, the first half of one of them is taken as it is.
+not met within ``HORIZON`` tokens, most of the cheapest one is taken as it is.
 What remains at the end of a partition is split into powers of two down to one
 token, which need no padding, so padding does not follow the number of partitions.
 
@@ -240,16 +240,24 @@ class Chains:
         return self._take(self._chain(live.pop()))
 
     def forced(self) -> list[int]:
-        """The first half of the chain of the latest cut; chains that do not share it end here."""
-        chain = self._chain(len(self.points) - 1)
-        half = chain[: max(1, len(chain) // 2)]
-        self.queue = deque(i for i in self.queue if half[-1] == i or half[-1] in self._chain(i))
-        return self._take(half)
+        """All but the last eighth of the cheapest chain; the others end here, and what follows is weighed anew."""
+        chain = self._chain(self._cheapest())
+        if not chain:
+            return []
+        taken = chain[: max(1, len(chain) - len(chain) // 8)]
+        cuts, at = [self.points[j] for j in taken], taken[-1]
+        points, prices = self.points[at:], [t - self.keys[i] - self.window + p for t, i, p in zip(self.total[at + 1 :], self.back[at + 1 :], self.points[at + 1 :], strict=True)]
+        self.points, self.total, self.back, self.keys, self.queue = points[:1], [0], [0], [points[0]], deque([0])
+        self.extend(points[1:], prices)
+        return cuts
+
+    def _cheapest(self) -> int:
+        """The start that leaves less than a window at the least cost so far; what is not in the queue is never cheaper."""
+        return min((i for i in self.queue if self.points[-1] - self.points[i] < self.window), key=lambda i: (self.total[i], -i))
 
     def best(self) -> list[int]:
-        """The cuts of the cheapest chain that leaves less than a window; what is not in the queue is never cheaper."""
-        j = min((i for i in self.queue if self.points[-1] - self.points[i] < self.window), key=lambda i: (self.total[i], -i))
-        return [self.points[j] for j in self._chain(j)]
+        """The cuts of the cheapest chain that leaves less than a window."""
+        return [self.points[j] for j in self._chain(self._cheapest())]
 
 
 def best_cuts(at: list[int], cost: list[int], window: int) -> list[int]:
