@@ -3,7 +3,9 @@
 Three fixed patterns give the base findings. Beyond them a lexer reads
 name-literal pairs of source and configuration syntax (``name = "literal"``,
 ``name: literal``, ``"name": "literal"``, ``name := other_name``; literals in
-single, double, triple quotes or backticks), joins literals concatenated by ``+``,
+single, double, triple quotes or backticks; ``<name>text</name>``, attributes
+``key="name" value="literal"``, arguments ``"name", "literal"``, calls
+``set_name("literal")``, here-documents and YAML blocks), joins literals concatenated by ``+``,
 propagates constants to the names that refer to them, and scores every literal by
 the most sensitive name it ends up in and how much it looks like key material.
 Literals at ``THRESHOLD`` or more that no base finding covers are added as kind
@@ -19,8 +21,10 @@ too. A quote that is not closed opens no literal.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -44,6 +48,19 @@ _PAIR = re.compile(
         (?P<value>(?P<quoted>{_LITERAL_FORM}(?:[\ \t]*+\+[\ \t]*+{_LITERAL_FORM})*+)|[A-Za-z0-9+/_.=\-]++)""",
     re.VERBOSE,
 )
+_NAME_FORM = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: Pairs that need no assignment sign: their name and their one literal.
+_CALL = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<name>{_NAME_FORM})\([\ \t\n]*+(?P<value>{_LITERAL_FORM})[\ \t\n]*+\)")
+_ARGUMENTS = re.compile(rf"""(?P<q>["'])(?P<name>{_NAME_FORM})(?P=q)[\ \t\n]*+,[\ \t\n]*+(?P<value>{_LITERAL_FORM})""")
+_ATTRIBUTES = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?:name|key|id)[\ \t]*+=[\ \t]*+(?P<q>["'])(?P<name>{_NAME_FORM})(?P=q)[\ \t\n]++value[\ \t]*+=[\ \t]*+(?P<value>{_LITERAL_FORM})""")
+_ELEMENT = re.compile(rf"<(?P<name>{_NAME_FORM})(?:[\ \t\n][^<>]*+)?>(?P<value>[^<>]++)</(?P=name)[\ \t\n]*+>")
+#: Where a here-document or a YAML block begins; its lines follow.
+_HEREDOC = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<name>{_NAME_FORM})[\ \t]*+(?:=|:=|:)[\ \t]*+(?:[\"']?\$\([\ \t]*+cat[\ \t]*+)?<<<?[\ \t]*+[-~]?[\"']?(?P<mark>[A-Za-z_][A-Za-z0-9_]*+)[\"']?[^\n]*+\n")
+_LONE_WORD = re.compile(r"^[\ \t]*+([A-Za-z_][A-Za-z0-9_]*+)[;),\"'\ \t\r]*+$", re.MULTILINE)
+_BLOCK = re.compile(rf"^(?P<indent>[\ ]*+)(?:-[\ ]++)?[\"']?(?P<name>{_NAME_FORM})[\"']?:[\ \t]*+[|>][-+0-9]*+[\ \t\r]*+\n", re.MULTILINE)
+_BLOCK_LINE = re.compile(r"([\ ]*+)[^\n]*+(?:\n|$)")
+#: What a call that stores its argument begins with.
+SETTERS = {"set", "with", "use", "put", "add", "define", "export", "init", "login", "auth", "authenticate"}
 _PEM_MARK = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]{1,40}-----")
 _LINE_END = re.compile(r"\\?\n[\ \t]*")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -52,6 +69,7 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.8, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 1.0, "credentials": 1.0,
     "bearer": 0.9, "auth": 0.7, "authorization": 0.9, "signature": 0.6, "salt": 0.6, "session": 0.5, "cookie": 0.5, "key": 0.5, "pin": 0.5,
 }
+_ANY_SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE)
 #: Words that make a key sensitive.
 _KEY_WORDS = {"api", "access", "private", "signing", "encryption", "master", "account", "client", "shared", "service"}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|changeme|change_me|example.*|your[_-].*|todo|none|null|true|false|redacted|placeholder|test|dummy|https?[:/].*)$|^\$\{.*\}$|^<.*>$|^%.*%$")
@@ -86,20 +104,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _pairs(text: str) -> list[tuple[str, int, int, bool]]:
-    """(name, start of the value, its end, whether it is quoted) of all pairs; those inside a literal are pairs as well."""
+def _stores(name: str) -> bool:
+    """Whether a call of this name keeps its argument: ``set_pwd``, ``withToken``, ``Password``; not ``get_token``."""
+    parts = [p.lower() for p in _NAME_PART.findall(name.rsplit(".", 1)[-1])]
+    return bool(parts) and (parts[0] in SETTERS or all(p in SENSITIVE or p in _KEY_WORDS for p in parts))
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and text[s].isspace():
+        s += 1
+    while e > s and text[e - 1].isspace():
+        e -= 1
+    return s, e
+
+
+def _blocks(text: str) -> list[tuple[str, int, int]]:
+    """(name, start, end) of the lines that here-documents and YAML blocks give to names."""
+    found = []
+    if "<<" in text:
+        lone: dict[str, list[int]] = {}
+        opened = list(_HEREDOC.finditer(text))
+        if opened:
+            for m in _LONE_WORD.finditer(text):
+                lone.setdefault(m[1], []).append(m.start())
+        for m in opened:
+            places = lone.get(m["mark"], [])
+            at = bisect_left(places, m.end())
+            if at < len(places):
+                found.append((m["name"], m.end(), places[at]))
+    at = 0
+    while "|" in text or ">" in text:
+        m = _BLOCK.search(text, at)
+        if not m:
+            break
+        at = e = m.end()
+        while (line := _BLOCK_LINE.match(text, e)) and line.end() > e and (len(line[1]) > len(m["indent"]) or not line[0].strip()):
+            e = line.end()
+        if e > at:
+            found.append((m["name"], at, e))
+            at = e
+    return found
+
+
+def _pairs(text: str) -> list[tuple[str, int, int, str]]:
+    """(name, start of the value, its end, form) of all pairs; those inside a literal are pairs as well.
+
+    A value is ``quoted``, ``bare`` (it may refer to another name) or ``raw`` text.
+    """
     found, at = [], 0
     while m := _PAIR.search(text, at):
         s, e = m.span("value")
         quoted = m["quoted"] is not None
-        found.append((m["name"], s, e, quoted))
+        found.append((m["name"], s, e, "quoted" if quoted else "bare"))
         at = s + 1 if quoted else e
-    return found
+    for form, sign in ((_CALL, "("), (_ARGUMENTS, ","), (_ATTRIBUTES, "value")):
+        if sign in text:
+            found += [(m["name"], *m.span("value"), "quoted") for m in form.finditer(text) if form is not _CALL or _stores(m["name"])]
+    raw = _blocks(text)
+    if "</" in text:
+        raw += [(m["name"], *m.span("value")) for m in _ELEMENT.finditer(text)]
+    return found + [(n, *_trimmed(text, s, e), "raw") for n, s, e in raw]
 
 
-def _parts(text: str, s: int, e: int, quoted: bool) -> list[tuple[int, int]]:
+def _parts(text: str, s: int, e: int, form: str) -> list[tuple[int, int]]:
     """The literals of a value, without their quotes."""
-    if not quoted:
+    if form != "quoted":
         return [(s, e)]
     edge = lambda m: 3 if m.end() - m.start() >= 6 and m[0][:3] in ('"""', "'''") else 1
     return [(m.start() + edge(m), m.end() - edge(m)) for m in _LITERAL.finditer(text, s, e)]
@@ -119,7 +188,7 @@ def _reached(starts, steps: dict[str, set[str]], seen: set[str]) -> list[str]:
 
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that sensitive names receive, directly or through constants."""
-    if "=" not in text and ":" not in text:
+    if not _ANY_SENSITIVE.search(text):
         return []
     pairs = _pairs(text)
     scores = {n: name_score(n) for n in {p[0] for p in pairs}}
@@ -128,8 +197,8 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
     # bare values that name something with a literal are references
     gives: dict[str, set[str]] = {}
     literal = set()
-    for name, s, e, quoted in pairs:
-        if not quoted and (value := text[s:e]) in scores and value != name:
+    for name, s, e, form in pairs:
+        if form == "bare" and (value := text[s:e]) in scores and value != name:
             gives.setdefault(value, set()).add(name)
         else:
             literal.add(name)
@@ -145,10 +214,10 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
         for n in _reached([name], takes, seen):
             scores[n] = score
     found = set()
-    for name, s, e, quoted in pairs:
-        if scores[name] < THRESHOLD or not quoted and text[s:e] in takes.get(name, ()):
+    for name, s, e, form in pairs:
+        if scores[name] < THRESHOLD or form == "bare" and text[s:e] in takes.get(name, ()):
             continue
-        parts = _parts(text, s, e, quoted)
+        parts = _parts(text, s, e, form)
         if scores[name] * literal_score("".join(text[i:j] for i, j in parts)) >= THRESHOLD:
             found.update((i, 3, j) for i, j in parts if j > i)
     return sorted(found)
@@ -157,7 +226,10 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base findings, and these with the additional ones, by start and kind."""
     base = base_spans(text)
-    extra = [x for x in named_spans(text) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, _, e in base), max))  # the furthest end of the first ones
+    covered = lambda s, e: (i := bisect_right(starts, s)) > 0 and reach[i - 1] >= e
+    extra = [x for x in named_spans(text) if not covered(x[0], x[2])]
     return base, sorted([*base, *extra])
 
 
