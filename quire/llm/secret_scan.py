@@ -54,6 +54,7 @@ _CALL = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<name>{_NAME_FORM})\([\ \t\n]*+(?P<
 _ARGUMENTS = re.compile(rf"""(?P<q>["'])(?P<name>{_NAME_FORM})(?P=q)[\ \t\n]*+,[\ \t\n]*+(?P<value>{_LITERAL_FORM})""")
 _ATTRIBUTES = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?:name|key|id)[\ \t]*+=[\ \t]*+(?P<q>["'])(?P<name>{_NAME_FORM})(?P=q)[\ \t\n]++value[\ \t]*+=[\ \t]*+(?P<value>{_LITERAL_FORM})""")
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME_FORM})(?:[\ \t\n][^<>]*+)?>(?P<value>[^<>]++)</(?P=name)[\ \t\n]*+>")
+_OPENED, _NEXT, _VALUE = re.compile(r"\([ \t\n]*+[\"'`]"), re.compile(r"[\"'][ \t\n]*+,"), re.compile(r"value[ \t]*+=")
 #: Where a here-document or a YAML block begins; its lines follow.
 _HEREDOC = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<name>{_NAME_FORM})[\ \t]*+(?:=|:=|:)[\ \t]*+(?:[\"']?\$\([\ \t]*+cat[\ \t]*+)?<<<?[\ \t]*+[-~]?[\"']?(?P<mark>[A-Za-z_][A-Za-z0-9_]*+)[\"']?[^\n]*+\n")
 _LONE_WORD = re.compile(r"^[\ \t]*+([A-Za-z_][A-Za-z0-9_]*+)[;),\"'\ \t\r]*+$", re.MULTILINE)
@@ -69,7 +70,8 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.8, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 1.0, "credentials": 1.0,
     "bearer": 0.9, "auth": 0.7, "authorization": 0.9, "signature": 0.6, "salt": 0.6, "session": 0.5, "cookie": 0.5, "key": 0.5, "pin": 0.5,
 }
-_ANY_SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE)
+#: The sensitive words that hold no shorter one: a text without any of them has no sensitive name.
+_SEEDS = [w for w in SENSITIVE if not any(v in w for v in SENSITIVE if v != w)]
 #: Words that make a key sensitive.
 _KEY_WORDS = {"api", "access", "private", "signing", "encryption", "master", "account", "client", "shared", "service"}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|changeme|change_me|example.*|your[_-].*|todo|none|null|true|false|redacted|placeholder|test|dummy|https?[:/].*)$|^\$\{.*\}$|^<.*>$|^%.*%$")
@@ -152,15 +154,16 @@ def _pairs(text: str) -> list[tuple[str, int, int, str]]:
     A value is ``quoted``, ``bare`` (it may refer to another name) or ``raw`` text.
     """
     found, at = [], 0
-    while m := _PAIR.search(text, at):
+    assigns = "=" in text or ":" in text
+    while assigns and (m := _PAIR.search(text, at)):
         s, e = m.span("value")
         quoted = m["quoted"] is not None
         found.append((m["name"], s, e, "quoted" if quoted else "bare"))
         at = s + 1 if quoted else e
-    for form, sign in ((_CALL, "("), (_ARGUMENTS, ","), (_ATTRIBUTES, "value")):
-        if sign in text:
+    for form, sign in ((_CALL, _OPENED), (_ARGUMENTS, _NEXT), (_ATTRIBUTES, _VALUE)):
+        if sign.search(text):
             found += [(m["name"], *m.span("value"), "quoted") for m in form.finditer(text) if form is not _CALL or _stores(m["name"])]
-    raw = _blocks(text)
+    raw = _blocks(text) if assigns else []
     if "</" in text:
         raw += [(m["name"], *m.span("value")) for m in _ELEMENT.finditer(text)]
     return found + [(n, *_trimmed(text, s, e), "raw") for n, s, e in raw]
@@ -188,7 +191,8 @@ def _reached(starts, steps: dict[str, set[str]], seen: set[str]) -> list[str]:
 
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that sensitive names receive, directly or through constants."""
-    if not _ANY_SENSITIVE.search(text):
+    low = text.lower()
+    if not any(w in low for w in _SEEDS):
         return []
     pairs = _pairs(text)
     scores = {n: name_score(n) for n in {p[0] for p in pairs}}
