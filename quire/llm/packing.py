@@ -46,8 +46,8 @@ SENTENCE_CUT, WORD_CUT = 2, 8
 STEP = 64
 STRETCH = 64 * WINDOW
 HORIZON = 4 * STRETCH
-#: Bounds of the caches: entries, and the characters of one, so that they are bounded in bytes too.
-CACHE_ENTRIES, CACHE_CHARS = 700_000, 64
+#: Bounds of the caches: entries, and the bytes of their keys (four a character at most) and ids.
+CACHE_ENTRIES, CACHE_BYTES = 700_000, 96 << 20
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -87,6 +87,7 @@ class WordEncoder:
         self.ends = np.array([t.replace("</w>", "")[-1:] in tuple(".!?") for t in tokens])
         self.stretches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.size = 0
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.plain = self._known_kind()
@@ -113,16 +114,12 @@ class WordEncoder:
 
     def _learn(self, plain: list[str], other: list[str]) -> None:
         """``plain`` holds lower-case stretches without exotic characters; most are letters and marks after them."""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
         pieces, known, merge, marks = self.pieces, self.stretches, self._merge, self._marks
 
         def of(piece: str) -> bytes:
             ids = pieces.get(piece)
             if ids is None:
-                ids = merge(piece)
-                if len(piece) <= CACHE_CHARS:
-                    pieces[piece] = ids
+                ids = pieces[piece] = merge(piece)
             return ids
 
         for s in plain:
@@ -133,6 +130,16 @@ class WordEncoder:
             known[s] = of(core) + of(s[len(core) :]) if core.isalpha() and len(core) < len(s) else b"".join(map(of, self._piece.findall(s)))
         known.update(zip(other, self._encode(other), strict=True))
 
+    def _bounded(self, used: tuple[set[str], ...], new: list[str]) -> None:
+        """Caches beyond their bounds keep what the last texts used, or, if that is too much, nothing."""
+        self.size += sum(map(len, new)) * 4 + sum(len(self.stretches[s]) for s in new)
+        if len(self.stretches) > CACHE_ENTRIES or self.size > CACHE_BYTES:
+            self.stretches = {s: self.stretches[s] for some in used for s in some}
+            self.size = sum(map(len, self.stretches)) * 4 + sum(map(len, self.stretches.values()))
+            if len(self.stretches) > CACHE_ENTRIES or self.size > CACHE_BYTES:
+                self.stretches, self.size = {}, 0
+            self.pieces = {}  # every piece is part of a stretch, so what is new in them is bounded as well
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return self._encode(texts)
@@ -149,15 +156,13 @@ class WordEncoder:
         mixed = {s for s in other if not self._exotic.search(s)}
         other -= mixed
         plain.update(map(str.lower, mixed))
-        fresh, strange = plain - self.stretches.keys(), other - self.stretches.keys()
-        if len(self.stretches) + len(fresh) > CACHE_ENTRIES:  # what these texts use stays
-            self.stretches = {w: self.stretches[w] for w in (plain | other) - fresh - strange}
-        self._learn(list(fresh), list(strange))
-        self.stretches.update([(s, self.stretches[s.lower()]) for s in mixed])
+        fresh, strange = list(plain - self.stretches.keys()), list(other - self.stretches.keys())
+        self._learn(fresh, strange)
+        capital = [s for s in mixed if s not in self.stretches]
+        self.stretches.update([(s, self.stretches[s.lower()]) for s in capital])
         get = self.stretches.__getitem__
         out = [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for t, x in zip(texts, split, strict=True)]
-        for s in {s for some in (fresh, strange, mixed) for s in some if len(s) > CACHE_CHARS}:
-            del self.stretches[s]
+        self._bounded((plain, other, mixed), fresh + strange + capital)
         return out
 
 

@@ -124,14 +124,18 @@ def test_horizon_bounds_what_is_held():
     assert max(sizes.values()) <= 128 and sum(sizes.values()) == sum(i % 97 + 1 for i in range(400))
 
 
-def test_caches_hold_no_long_stretches():
+def test_caches_are_bounded_in_bytes(monkeypatch):
     encoder = packing.WordEncoder(packing.tokenizer_file())
     assert encoder.plain
-    long = ["漢字かな" * 5000, "X" * 9000, "ÀÉ" * 400 + "漢", "Ab" * 50 + " 漢 aB", "." * 300]
-    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in long]
-    for _ in range(2):
-        assert encoder(long) == want
-        assert max(map(len, [*encoder.stretches, *encoder.pieces])) <= packing.CACHE_CHARS
+    texts = ["漢字かな" * 5000, "X" * 9000, "ÀÉ" * 400 + "漢", "Ab" * 50 + " 漢 aB", "." * 300, "the hall"]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for bound in (96 << 20, 100_000, 1000, 0):
+        monkeypatch.setattr(packing, "CACHE_BYTES", bound)
+        for _ in range(2):
+            assert encoder(texts) == want
+            assert [encoder([t])[0] for t in texts] == want
+            assert encoder.size == sum(4 * len(s) + len(ids) for s, ids in encoder.stretches.items()) <= bound
+            assert bound or not encoder.pieces
 
 
 def test_other_tokenizers_get_whole_texts(tmp_path):
