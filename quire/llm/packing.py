@@ -132,7 +132,7 @@ class WordEncoder:
 
     def _bounded(self, used: tuple[set[str], ...], new: list[str]) -> None:
         """Caches beyond their bounds keep what the last texts used, or, if that is too much, nothing."""
-        self.size += sum(map(len, new)) * 4 + sum(len(self.stretches[s]) for s in new)
+        self.size += sum(map(len, new)) * 4 + sum(map(len, map(self.stretches.__getitem__, new)))
         if len(self.stretches) > CACHE_ENTRIES or self.size > CACHE_BYTES:
             self.stretches = {s: self.stretches[s] for some in used for s in some}
             self.size = sum(map(len, self.stretches)) * 4 + sum(map(len, self.stretches.values()))
@@ -198,25 +198,25 @@ class Chains:
 
     def __init__(self, window: int):
         self.window = window
-        self.points, self.total, self.back, self.keys = [0], [0], [0], [0]  # keys: total + point, all that a start contributes
+        self.points, self.back, self.keys = [0], [0], [0]  # keys: cost + point, all that a start contributes
         self.queue = deque([0])  # the starts that can still begin a window, by rising point and rising key
 
     def extend(self, at: list[int], cost: list[int]) -> None:
-        window, points, total, back, keys, queue = self.window, self.points, self.total, self.back, self.keys, self.queue
-        keep, drop, shift = queue.append, queue.pop, queue.popleft
-        for j, (here, price) in enumerate(zip(at, cost, strict=True), len(points)):
+        window, points, back, keys, queue = self.window, self.points, self.back, self.keys, self.queue
+        keep, drop, shift, came, worth = queue.append, queue.pop, queue.popleft, back.append, keys.append
+        j = len(points)
+        points.extend(at)
+        for here, price in zip(at, cost, strict=True):
             while here - points[queue[0]] > window:
                 shift()
             i = queue[0]
-            best = keys[i] + window - here + price
-            points.append(here)
-            total.append(best)
-            back.append(i)
-            key = best + here
-            keys.append(key)
+            key = keys[i] + window + price  # the padding takes off what the point adds
+            came(i)
+            worth(key)
             while queue and keys[queue[-1]] >= key:
                 drop()
             keep(j)
+            j += 1
 
     def _chain(self, j: int) -> list[int]:
         out = []
@@ -230,7 +230,7 @@ class Chains:
         cuts = [self.points[j] for j in chain]
         if chain:
             at = chain[-1]
-            self.points, self.total, self.keys = self.points[at:], self.total[at:], self.keys[at:]
+            self.points, self.keys = self.points[at:], self.keys[at:]
             self.back = [max(i - at, 0) for i in self.back[at:]]
             self.queue = deque(i - at for i in self.queue)
         return cuts
@@ -251,14 +251,14 @@ class Chains:
             return []
         taken = chain[: max(1, len(chain) - len(chain) // 8)]
         cuts, at = [self.points[j] for j in taken], taken[-1]
-        points, prices = self.points[at:], [t - self.keys[i] - self.window + p for t, i, p in zip(self.total[at + 1 :], self.back[at + 1 :], self.points[at + 1 :], strict=True)]
-        self.points, self.total, self.back, self.keys, self.queue = points[:1], [0], [0], [points[0]], deque([0])
+        points, prices = self.points[at:], [key - self.keys[i] - self.window for key, i in zip(self.keys[at + 1 :], self.back[at + 1 :], strict=True)]
+        self.points, self.back, self.keys, self.queue = points[:1], [0], [points[0]], deque([0])
         self.extend(points[1:], prices)
         return cuts
 
     def _cheapest(self) -> int:
         """The start that leaves less than a window at the least cost so far; what is not in the queue is never cheaper."""
-        return min((i for i in self.queue if self.points[-1] - self.points[i] < self.window), key=lambda i: (self.total[i], -i))
+        return min((i for i in self.queue if self.points[-1] - self.points[i] < self.window), key=lambda i: (self.keys[i] - self.points[i], -i))
 
     def best(self) -> list[int]:
         """The cuts of the cheapest chain that leaves less than a window."""
