@@ -46,8 +46,8 @@ SENTENCE_CUT, WORD_CUT = 2, 8
 STEP = 64
 STRETCH = 64 * WINDOW
 HORIZON = 4 * STRETCH
-#: Bounds of the caches: entries, and the bytes of their keys (four a character at most) and ids.
-CACHE_ENTRIES, CACHE_BYTES = 700_000, 96 << 20
+#: Bounds of the caches: entries, and the bytes of their keys (four a character at most) and ids; longer stretches than ``SHORT`` go first.
+CACHE_ENTRIES, CACHE_BYTES, SHORT = 700_000, 192 << 20, 64
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -119,7 +119,9 @@ class WordEncoder:
         def of(piece: str) -> bytes:
             ids = pieces.get(piece)
             if ids is None:
-                ids = pieces[piece] = merge(piece)
+                ids = merge(piece)
+                if len(piece) <= SHORT:
+                    pieces[piece] = ids
             return ids
 
         for s in plain:
@@ -131,14 +133,20 @@ class WordEncoder:
         known.update(zip(other, self._encode(other), strict=True))
 
     def _bounded(self, used: tuple[set[str], ...], new: list[str]) -> None:
-        """Caches beyond their bounds keep what the last texts used, or, if that is too much, nothing."""
+        """Caches beyond their bounds keep short stretches, or those that the last texts used, or, if that is too much, nothing."""
         self.size += sum(map(len, new)) * 4 + sum(map(len, map(self.stretches.__getitem__, new)))
+        if self.size > CACHE_BYTES:
+            self._keep(s for s in self.stretches if len(s) <= SHORT)
         if len(self.stretches) > CACHE_ENTRIES or self.size > CACHE_BYTES:
-            self.stretches = {s: self.stretches[s] for some in used for s in some}
-            self.size = sum(map(len, self.stretches)) * 4 + sum(map(len, self.stretches.values()))
+            self._keep(s for some in used for s in some if len(s) <= SHORT)
             if len(self.stretches) > CACHE_ENTRIES or self.size > CACHE_BYTES:
-                self.stretches, self.size = {}, 0
-            self.pieces = {}  # every piece is part of a stretch, so what is new in them is bounded as well
+                self._keep(())
+        if len(self.pieces) > CACHE_ENTRIES or not self.stretches:
+            self.pieces = {}
+
+    def _keep(self, kept) -> None:
+        self.stretches = {s: self.stretches[s] for s in kept if s in self.stretches}
+        self.size = sum(map(len, self.stretches)) * 4 + sum(map(len, self.stretches.values()))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
