@@ -19,10 +19,13 @@ SIGNALS = (
 )
 BUSINESS = ("window", "document-shape", "engine-config")
 
+#: Lines of a source are grouped by ranges of ``seq`` of this width, so that a long log is not one task's.
+RANGE = 1_000_000
+
 
 def signal(line: Column) -> Column:
     """The class of a line, or null."""
-    out = F.when(line.rlike(PROGRESS), "progress")
+    out = F.when(line.contains("%|") & line.rlike(PROGRESS), "progress")
     for name, pattern in SIGNALS:
         out = out.when(line.rlike(pattern), name)
     return F.when(F.trim(line) != "", out)
@@ -35,12 +38,36 @@ def progress(line: Column) -> dict[str, Column]:
     return {"phase": F.when(hit, F.trim(F.regexp_extract(line, PROGRESS, 1))), "percent": number(2), "current": number(3), "total": number(4)}
 
 
+def _stamp(line: Column) -> Column:
+    return F.nullif(F.regexp_extract(line, TIMESTAMP, 1), F.lit(""))
+
+
+def _range() -> Column:
+    return F.floor(F.col("seq") / RANGE)
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """Lines with a class, their parts and their own time stamp. A line's class is found once: a filter on it would be run again below."""
+    line = F.col("line")
+    rows = lines.select("*", F.explode(F.array_compact(F.array(signal(line)))).alias("signal"))
+    hit = F.col("signal") == "progress"
+    return rows.withColumns({"stamp": _stamp(line), **{name: F.when(hit, part) for name, part in progress(line).items()}})
+
+
 def classified(lines: DataFrame) -> DataFrame:
-    """Lines with a class, their parts, their own time stamp and the last one seen in their source (``context``)."""
-    own = F.regexp_extract("line", TIMESTAMP, 1)
-    rows = lines.withColumns({"signal": signal(F.col("line")), "stamp": F.when(own != "", own), **progress(F.col("line"))}).where("signal is not null")
-    upto = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("context", F.last("stamp", ignorenulls=True).over(upto))
+    """``marked`` lines and the last time stamp seen in their source (``context``).
+
+    Windows hold one range of lines each; what earlier ranges end with is joined to them.
+    """
+    line = F.col("line")
+    kept = F.when(_stamp(line).isNotNull(), signal(line).isNotNull())
+    ends = lines.groupBy("source", _range().alias("_range")).agg(F.max_by(_stamp(line), F.when(kept, F.col("seq"))).alias("_end"))
+    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    upto = Window.partitionBy("source", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marked(lines).withColumn("_range", _range()).withColumn("context", F.last("stamp", ignorenulls=True).over(upto))
+    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_of")), "left")
+    return rows.withColumn("context", F.coalesce("context", "_before")).drop("_range", "_source", "_of", "_before")
 
 
 def segment(rows: DataFrame, since: str) -> DataFrame:
@@ -50,24 +77,38 @@ def segment(rows: DataFrame, since: str) -> DataFrame:
 
 def phase_changes(rows: DataFrame) -> DataFrame:
     """Progress lines whose phase differs from the one before in their source."""
-    before = F.lag("phase").over(Window.partitionBy("source").orderBy("seq"))
-    return rows.where("signal = 'progress'").withColumn("before", before).where("before <> phase").drop("before")
+    lines = rows.where("signal = 'progress'").withColumn("_range", _range())
+    ends = lines.groupBy("source", "_range").agg(F.max_by("phase", "seq").alias("_end"))
+    ends = ends.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.lag("_end").over(Window.partitionBy("source").orderBy("_range")).alias("_before"))
+    inside = F.lag("phase").over(Window.partitionBy("source", "_range").orderBy("seq"))
+    lines = lines.withColumn("_last", inside).join(ends, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_of")), "left")
+    return lines.where(F.coalesce("_last", "_before") != F.col("phase")).drop("_range", "_last", "_source", "_of", "_before")
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Per source: counts of each kind of signal, the last progress and the pages of the last window or shape line."""
+    """Per source: counts of each kind of signal, the last progress and the pages of the last window or shape line.
+
+    Lines are summed by ranges first; a source then has one row a range.
+    """
+    hit = F.col("signal") == "progress"
     n = lambda *kinds: F.count_if(F.col("signal").isin(*kinds))
-    changed = F.lag(F.when(F.col("signal") == "progress", F.col("phase")), 1).over(Window.partitionBy("source", F.col("signal") == "progress").orderBy("seq"))
-    rows = rows.withColumn("changed", (F.col("signal") == "progress") & F.coalesce(changed != F.col("phase"), F.lit(False)))
-    last = lambda value, kind: F.max_by(value, F.when(kind, F.col("seq")))
-    shape = F.regexp_extract("line", r"(?i)page_count\s*=\s*(\d+)", 1)
-    window_pages = last(F.regexp_extract("line", WINDOW_LINE, 5).try_cast("bigint"), F.col("signal") == "window")
-    return rows.groupBy("source").agg(
-        n("progress").alias("n_progress"), F.count_if("changed").alias("n_changes"), n(*BUSINESS).alias("n_business"), n("api-noise").alias("n_noise"), n("error").alias("n_error"), n("error-signal").alias("n_error_signal"),
-        last(F.col("phase"), F.col("signal") == "progress").alias("phase"), last(F.col("percent"), F.col("signal") == "progress").alias("percent"), last(F.col("current"), F.col("signal") == "progress").alias("current"),
-        last(F.col("total"), F.col("signal") == "progress").alias("total"),
-        F.coalesce(window_pages, last(shape.try_cast("bigint"), (F.col("signal") == "document-shape") & (shape != ""))).alias("total_pages"),
+    last = lambda kind, *parts: F.max(F.when(kind, F.struct("seq", *parts)))
+    before = F.lag("phase").over(Window.partitionBy("source", "_range", hit).orderBy("seq"))
+    pages = F.regexp_extract("line", r"(?i)page_count\s*=\s*(\d+)", 1)
+    window_pages = F.regexp_extract("line", WINDOW_LINE, 5).try_cast("bigint").alias("pages")
+    kinds = {"n_progress": ("progress",), "n_business": BUSINESS, "n_noise": ("api-noise",), "n_error": ("error",), "n_error_signal": ("error-signal",)}
+    ranges = rows.withColumn("_range", _range()).withColumn("_changed", hit & (before != F.col("phase"))).groupBy("source", "_range").agg(
+        *(n(*k).alias(name) for name, k in kinds.items()), F.count_if("_changed").alias("n_changes"), F.min(F.when(hit, F.struct("seq", "phase"))).alias("first"), last(hit, "phase", "percent", "current", "total").alias("last"),
+        last(F.col("signal") == "window", window_pages).alias("window"), last((F.col("signal") == "document-shape") & (pages != ""), pages.try_cast("bigint").alias("pages")).alias("shape"),
     )
+    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.last("last.phase", ignorenulls=True).over(earlier) != F.col("first.phase")
+    whole = ranges.withColumn("_step", step).groupBy("source").agg(
+        *(F.sum(name).alias(name) for name in kinds), (F.sum("n_changes") + F.count_if("_step")).alias("n_changes"), F.max("last").alias("last"), F.max("window").alias("window"), F.max("shape").alias("shape")
+    )
+    return whole.select(
+        "source", "n_progress", "n_changes", "n_business", "n_noise", "n_error", "n_error_signal", "last.phase", "last.percent", "last.current", "last.total", F.coalesce("window.pages", "shape.pages").alias("total_pages")
+    )
 
 
 def activity(unchanged: Column) -> Column:

@@ -34,6 +34,10 @@ def _rows(spark, sf_dir):
     return logs.classified(collection(spark, sf_dir, "log_lines"))
 
 
+def _marked(spark, sf_dir):
+    return logs.marked(collection(spark, sf_dir, "log_lines"))
+
+
 def classes(spark, sf_dir):
     return _rows(spark, sf_dir).select("seq", "signal", "stamp", "phase", "percent", "current", "total", "context")
 
@@ -43,21 +47,21 @@ def segments(spark, sf_dir):
 
 
 def changes(spark, sf_dir):
-    return logs.phase_changes(_rows(spark, sf_dir)).select("source", "seq", "phase")
+    return logs.phase_changes(_marked(spark, sf_dir)).select("source", "seq", "phase")
 
 
 def levels(spark, sf_dir):
     level = logs.activity(F.coalesce(F.col("source") % 3 == 0, F.lit(False)))
-    return logs.summary(_rows(spark, sf_dir)).withColumn("level", logs.reported(level))
+    return logs.summary(_marked(spark, sf_dir)).withColumn("level", logs.reported(level))
 
 
 def quiet_levels(spark, sf_dir):
-    quiet = _rows(spark, sf_dir).where("signal not in ('error', 'progress') and (source % 4 <> 1 or signal = 'api-noise')")
+    quiet = _marked(spark, sf_dir).where("signal not in ('error', 'progress') and (source % 4 <> 1 or signal = 'api-noise')")
     return logs.summary(quiet).select("source", logs.reported(logs.activity(F.lit(False))).alias("level"))
 
 
 def unit_types(spark, sf_dir):
-    rows = logs.summary(_rows(spark, sf_dir))
+    rows = logs.summary(_marked(spark, sf_dir))
     profile = F.when(F.col("source") % 2 == 0, "hybrid-auto-engine").otherwise("pipeline")
     return rows.select("source", logs.units(profile, F.col("phase"), F.col("total"), F.lit(4), F.lit(27), F.col("total_pages")).alias("unit"))
 
