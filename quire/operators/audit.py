@@ -1,4 +1,4 @@
-"""Consistency audit: each rule is a frame of findings, the audit their union in rule order."""
+"""Consistency audit: each rule is a frame of findings, the audit the findings of all rules."""
 
 from __future__ import annotations
 
@@ -11,62 +11,134 @@ from quire.functions import blank
 from quire.operators.status import CANONICAL_JOB_STATES, CANONICAL_TASK_STATES
 
 
-def _finding(rows: DataFrame, no: int, kind: Column | str, severity: str, target: Column | str, key: str, repair: Column | None = None) -> DataFrame:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return rows.select(F.lit(no).alias("rule_no"), lit(kind).alias("kind"), F.lit(severity).alias("severity"), lit(target).alias("target_type"), F.col(key).alias("target_id"), (F.lit(None).cast("string") if repair is None else repair).alias("repair"))
+DONE = ("completed", "review-pending")
+
+
+def _found(when: Column, no: int, kind: str, severity: str, target: str, key: str = "id", repair: Column | None = None) -> Column:
+    """A finding where ``when`` holds, else null."""
+    repair = F.lit(None).cast("string") if repair is None else repair
+    return F.when(when, F.struct(F.lit(no).alias("rule_no"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(target).alias("target_type"), F.col(key).alias("target_id"), repair.alias("repair")))
+
+
+def _findings(rows: DataFrame, *found: Column) -> DataFrame:
+    return rows.select(F.inline(F.array_compact(F.array(*found))))
+
+
+def _flagged(rows: DataFrame, key: str, known: DataFrame, flag: str) -> DataFrame:
+    """Rows with ``flag`` true where ``key`` is among the first column of ``known``, else null; no row is repeated."""
+    keys = known.select(F.col(known.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    return rows.join(keys, key, "left")
+
+
+def _lacks(key: str, flag: str) -> Column:
+    return ~blank(F.col(key)) & F.col(flag).isNull()
+
+
+def _bad_state(states: tuple[str, ...], kind: str, target: str, repair: Column | None = None) -> Column:
+    return _found(~blank(F.col("state")) & ~F.col("state").isin(*states), 1, kind, "warn", target, repair=repair)
+
+
+def _bad_task_state() -> Column:
+    return _bad_state(CANONICAL_TASK_STATES, "non-canonical-task-state", "ParseTask")
+
+
+def _bad_job_state() -> Column:
+    return _bad_state(CANONICAL_JOB_STATES, "non-canonical-ai-state", "AiMetadataJob", F.when(F.col("state") == "succeeded", "PATCH confirmed"))
+
+
+def _orphan_task() -> Column:
+    repair = F.when(F.col("state").isin(*DONE), "PATCH canceled").when(F.col("state") == "failed", "DELETE").otherwise("PATCH failed")
+    return _found(_lacks("material_id", "_material"), 2, "orphan-task", "error", "ParseTask", repair=repair)
+
+
+def _orphan_job() -> Column:
+    return _found(_lacks("parse_task_id", "_task"), 3, "orphan-ai-job", "error", "AiMetadataJob", repair=F.when(F.col("state") == "failed", "DELETE").otherwise("PATCH failed"))
+
+
+def _dangling_job() -> Column:
+    return _found(_lacks("ai_job_id", "_job"), 4, "dangling-material-ai-job", "warn", "Material", repair=F.lit("PATCH pending"))
+
+
+def _idle_task() -> Column:
+    return _found((F.col("state") == "ai-running") & F.col("_live").isNull(), 5, "ai-running-without-active-job", "warn", "ParseTask", repair=F.lit("PATCH ai-pending"))
+
+
+def _bad_prefix() -> tuple[Column, Column]:
+    off = lambda c, top: ~blank(F.col(c)) & ~F.col(c).startswith(F.concat(F.lit(top), "id", F.lit("/")))
+    return _found(off("object_name", "originals/"), 6, "bad-original-prefix", "info", "Material"), _found(off("markdown_object_name", "parsed/"), 6, "bad-parsed-prefix", "info", "Material")
+
+
+def _lost_files() -> tuple[Column, Column]:
+    """Of materials: the original is gone and no finished task will tell, the parsed file is gone."""
+    original = _lacks("object_name", "_raw") & ~F.coalesce("_done", F.lit(False))
+    return (
+        _found(original, 7, "original-file-missing", "error", "Material", repair=F.lit("DELETE")),
+        _found(_lacks("markdown_object_name", "_parsed"), 7, "parsed-file-missing", "warn", "Material", repair=F.when(F.col("_complete"), "PATCH canceled")),
+    )
+
+
+def _lost_original() -> Column:
+    """Of finished tasks: the original of their material is gone."""
+    return _found(F.col("state").isin(*DONE) & F.col("_lost"), 7, "original-file-missing-with-completed-task", "error", "ParseTask", repair=F.lit("PATCH canceled"))
+
+
+def _names(objects: DataFrame, bucket: str) -> DataFrame:
+    return objects.where(F.col("bucket") == bucket).select("name")
+
+
+def _live(jobs: DataFrame) -> DataFrame:
+    return jobs.where(F.col("state").isin("pending", "running")).select("parse_task_id")
+
+
+def _with_files(materials: DataFrame, tasks: DataFrame, objects: DataFrame) -> DataFrame:
+    """Materials with what is known of their files and of their finished tasks."""
+    done = tasks.where(F.col("state").isin(*DONE)).groupBy(F.col("material_id").alias("id")).agg(F.lit(True).alias("_done"), F.bool_or(F.col("state") == "completed").alias("_complete"))
+    rows = _flagged(materials, "object_name", _names(objects, "raw"), "_raw")
+    return _flagged(rows, "markdown_object_name", _names(objects, "parsed"), "_parsed").join(done, "id", "left")
+
+
+def _with_material(tasks: DataFrame, materials: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """Tasks that know whether their material exists and, given the objects, whether its original is gone."""
+    lost = F.lit(False)
+    if objects is not None:
+        materials, lost = _flagged(materials.select("id", "object_name"), "object_name", _names(objects, "raw"), "_raw"), _lacks("object_name", "_raw")
+    known = materials.groupBy(F.col("id").alias("material_id")).agg(F.lit(True).alias("_material"), F.bool_or(lost).alias("_lost"))
+    return tasks.join(known, "material_id", "left")
 
 
 def task_states(tasks: DataFrame) -> DataFrame:
-    return _finding(tasks.where(~blank(F.col("state")) & ~F.col("state").isin(*CANONICAL_TASK_STATES)), 1, "non-canonical-task-state", "warn", "ParseTask", "id")
+    return _findings(tasks, _bad_task_state())
 
 
 def job_states(jobs: DataFrame) -> DataFrame:
-    repair = F.when(F.col("state") == "succeeded", "PATCH confirmed")
-    return _finding(jobs.where(~blank(F.col("state")) & ~F.col("state").isin(*CANONICAL_JOB_STATES)), 1, "non-canonical-ai-state", "warn", "AiMetadataJob", "id", repair)
+    return _findings(jobs, _bad_job_state())
 
 
 def orphan_tasks(tasks: DataFrame, materials: DataFrame) -> DataFrame:
     """Tasks of materials that do not exist: finished ones lose their resource, failed ones go, the rest fail."""
-    lost = tasks.where(~blank(F.col("material_id"))).join(materials.select(F.col("id").alias("material_id")), "material_id", "left_anti")
-    repair = F.when(F.col("state").isin("completed", "review-pending"), "PATCH canceled").when(F.col("state") == "failed", "DELETE").otherwise("PATCH failed")
-    return _finding(lost, 2, "orphan-task", "error", "ParseTask", "id", repair)
+    return _findings(_with_material(tasks, materials), _orphan_task())
 
 
 def orphan_jobs(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
-    lost = jobs.where(~blank(F.col("parse_task_id"))).join(tasks.select(F.col("id").alias("parse_task_id")), "parse_task_id", "left_anti")
-    return _finding(lost, 3, "orphan-ai-job", "error", "AiMetadataJob", "id", F.when(F.col("state") == "failed", "DELETE").otherwise("PATCH failed"))
+    return _findings(_flagged(jobs, "parse_task_id", tasks.select("id"), "_task"), _orphan_job())
 
 
 def dangling_jobs(materials: DataFrame, jobs: DataFrame) -> DataFrame:
-    lost = materials.where(~blank(F.col("ai_job_id"))).join(jobs.select(F.col("id").alias("ai_job_id")), "ai_job_id", "left_anti")
-    return _finding(lost, 4, "dangling-material-ai-job", "warn", "Material", "id", F.lit("PATCH pending"))
+    return _findings(_flagged(materials, "ai_job_id", jobs.select("id"), "_job"), _dangling_job())
 
 
 def idle_ai_tasks(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
-    live = jobs.where(F.col("state").isin("pending", "running")).select(F.col("parse_task_id").alias("id"))
-    return _finding(tasks.where("state = 'ai-running'").join(live, "id", "left_anti"), 5, "ai-running-without-active-job", "warn", "ParseTask", "id", F.lit("PATCH ai-pending"))
+    return _findings(_flagged(tasks.where("state = 'ai-running'"), "id", _live(jobs), "_live"), _idle_task())
 
 
 def bad_prefixes(materials: DataFrame) -> DataFrame:
-    off = lambda c, top: ~blank(F.col(c)) & ~F.col(c).startswith(F.concat(F.lit(top), "id", F.lit("/")))
-    first = _finding(materials.where(off("object_name", "originals/")), 6, "bad-original-prefix", "info", "Material", "id")
-    return first.unionByName(_finding(materials.where(off("markdown_object_name", "parsed/")), 6, "bad-parsed-prefix", "info", "Material", "id"))
+    return _findings(materials, *_bad_prefix())
 
 
 def missing_files(materials: DataFrame, tasks: DataFrame, objects: DataFrame) -> DataFrame:
     """Originals without an object: their finished tasks lose the resource, or else the material goes. Parsed files likewise."""
-    raw = objects.where("bucket = 'raw'").select(F.col("name").alias("object_name")).distinct()
-    parsed = objects.where("bucket = 'parsed'").select(F.col("name").alias("markdown_object_name")).distinct()
-    gone = materials.where(~blank(F.col("object_name"))).join(raw, "object_name", "left_anti")
-    done = tasks.where(F.col("state").isin("completed", "review-pending")).select(F.col("material_id").alias("id"), F.col("id").alias("task_id"))
-    by_task = gone.join(done, "id", "left")
-    has = F.col("task_id").isNotNull()
-    by_task = by_task.withColumn("target", F.coalesce("task_id", "id"))
-    kind = F.when(has, "original-file-missing-with-completed-task").otherwise("original-file-missing")
-    first = _finding(by_task, 7, kind, "error", F.when(has, "ParseTask").otherwise("Material"), "target", F.when(has, "PATCH canceled").otherwise("DELETE"))
-    complete = tasks.where("state = 'completed'").select(F.col("material_id").alias("id")).distinct().withColumn("has_done", F.lit(True))
-    lost = materials.where(~blank(F.col("markdown_object_name"))).join(parsed, "markdown_object_name", "left_anti").join(complete, "id", "left")
-    return first.unionByName(_finding(lost, 7, "parsed-file-missing", "warn", "Material", "id", F.when(F.col("has_done"), "PATCH canceled")))
+    done = tasks.where(F.col("state").isin(*DONE))
+    return _findings(_with_files(materials, tasks, objects), *_lost_files()).unionByName(_findings(_with_material(done, materials, objects), _lost_original()))
 
 
 def orphan_objects(objects: DataFrame, materials: DataFrame) -> DataFrame:
@@ -76,10 +148,19 @@ def orphan_objects(objects: DataFrame, materials: DataFrame) -> DataFrame:
 
 
 def audit(materials: DataFrame, tasks: DataFrame, jobs: DataFrame, objects: DataFrame) -> DataFrame:
-    """All findings, rule by rule."""
-    loose = _finding(orphan_objects(objects, materials), 8, "orphan-object", "warn", "MinIOObject", "name", F.lit("DELETE_ORPHAN"))
-    rules = [task_states(tasks), job_states(jobs), orphan_tasks(tasks, materials), orphan_jobs(jobs, tasks), dangling_jobs(materials, jobs), idle_ai_tasks(tasks, jobs), bad_prefixes(materials), missing_files(materials, tasks, objects), loose]
-    return reduce(DataFrame.unionByName, rules)
+    """The findings of all rules. Each collection is gone through once for its rules, the others come in as keys; only the few tasks in AI are read by themselves."""
+    of_tasks = _with_material(tasks, materials, objects)
+    of_jobs = _flagged(jobs, "parse_task_id", tasks.select("id"), "_task")
+    of_materials = _flagged(_with_files(materials, tasks, objects), "ai_job_id", jobs.select("id"), "_job")
+    loose = _found(F.lit(True), 8, "orphan-object", "warn", "MinIOObject", "name", F.lit("DELETE_ORPHAN"))
+    parts = [
+        _findings(of_tasks, _bad_task_state(), _orphan_task(), _lost_original()),
+        idle_ai_tasks(tasks, jobs),
+        _findings(of_jobs, _bad_job_state(), _orphan_job()),
+        _findings(of_materials, _dangling_job(), *_bad_prefix(), *_lost_files()),
+        _findings(orphan_objects(objects, materials), loose),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distribution(findings: DataFrame) -> DataFrame:
