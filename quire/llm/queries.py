@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ball_tree, chat_tree, dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, site_quality, substring_dedup
+from quire.llm import ball_tree, chat_tree, dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, simhash_tree, site_quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_simhash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tree.near_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op7_chat_tree, op8_packing, op9_ball_tree, op10_ngram_quality)}
+    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op7_chat_tree, op8_packing, op9_ball_tree, op10_ngram_quality, op11_simhash_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
