@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ball_tree, chat_tree, dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, simhash_tree, site_quality, substring_dedup
+from quire.llm import alignment, ball_tree, chat_tree, dart_minhash, mixing, ngram_quality, packing, secret_scan, sharding, simhash_tree, site_quality, spelling, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,17 @@ def op11_simhash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tree.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op7_chat_tree, op8_packing, op9_ball_tree, op10_ngram_quality, op11_simhash_tree)}
+    return {f.__name__: f for f in (op1_site_quality, op2_dart_minhash, op3_substring_dedup, op4_bounded_ring, op5_weighted_mix, op6_secret_scan, op7_chat_tree, op8_packing, op9_ball_tree, op10_ngram_quality, op11_simhash_tree, op12_spelling_variants, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op5_weighted_mix": mixing.ORACLE_SQL, "op9_ball_tree": ball_tree.ORACLE_SQL}
+    return {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op5_weighted_mix": mixing.ORACLE_SQL, "op9_ball_tree": ball_tree.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL}
