@@ -150,7 +150,7 @@ def suppressed(metadata: Column, asset: bool = False) -> Column:
     if asset:
         gone.append(("previewUrl", F.coalesce(meta("previewUrl").startswith("blob:"), F.lit(False))))
     dropped = F.array_compact(F.array(*(F.when(cond, F.lit(k)) for k, cond in gone)))
-    return json_map.text(F.map_filter(json_map.entries(metadata), lambda k, _: ~F.array_contains(dropped, k)))
+    return json_map.kept(metadata, F.map_filter(json_map.entries(metadata), lambda k, _: ~F.array_contains(dropped, k)))
 
 
 def lasting_preview(url: Column) -> Column:

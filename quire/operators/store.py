@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import blank, json_map, truthy
+from quire.functions.skew import lookup
 
 COLLECTIONS = ("materials", "assetDetails", "processTasks", "tasks", "parseTasks", "aiMetadataJobs", "taskEvents", "products", "flexibleTags", "aiRules", "settings")
 #: Profile keys that blanks do not overwrite.
@@ -27,15 +28,22 @@ RUNNING_STATES = ("running", "mineru-processing", "ai-running")
 _DONE = "_COMPLETE"
 
 
-def upsert(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``changes`` replace or join those of ``rows``; of several changes to a key the largest row counts."""
-    last = changes.groupBy(key).agg(F.max(F.struct(*(c for c in changes.columns if c != key))).alias("_row")).select(key, "_row.*").select(*changes.columns)
+def _in_order(changes: DataFrame, order: str | None) -> DataFrame:
+    """Changes with the place of each in ``order_``: a column of theirs, or the order in which Spark reads them."""
+    return changes.withColumn("order_", F.col(order) if order else F.monotonically_increasing_id())
+
+
+def upsert(rows: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows of ``changes`` replace or join those of ``rows``; of several changes to a key the last counts."""
+    columns = [c for c in changes.columns if c != order or c in rows.columns]
+    last = _in_order(changes, order).groupBy(key).agg(F.max_by(F.struct(*columns), "order_").alias("_row")).select("_row.*")
     return rows.join(last.select(key), key, "left_anti").unionByName(last)
 
 
-def patch(rows: DataFrame, changes: DataFrame, columns: list[str], key: str = "id", insert: bool = False) -> DataFrame:
-    """Non-null values of ``changes`` overwrite; other columns stay; unknown keys are ignored, or added with ``insert``."""
-    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in columns))
+def patch(rows: DataFrame, changes: DataFrame, columns: list[str], key: str = "id", insert: bool = False, order: str | None = None) -> DataFrame:
+    """Non-null values of ``changes`` overwrite, of several the last; other columns stay; unknown keys are ignored, or added with ``insert``."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("order_"))).alias(f"_new_{c}")
+    new = _in_order(changes, order).groupBy(key).agg(*map(last, columns))
     joined = rows.join(new, key, "full" if insert else "left")
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
@@ -62,38 +70,98 @@ def insert_missing(rows: DataFrame, incoming: DataFrame, key: str = "id") -> Dat
     return incoming.join(rows.select(key), key, "left_anti")
 
 
-def insert_unless_active(incoming: DataFrame, tasks: DataFrame, active: tuple[str, ...], owner: str = "material_id") -> DataFrame:
-    """``incoming`` with whether its owner already has an active task."""
-    busy = tasks.where(F.col("state").isin(*active)).select(owner).distinct().withColumn("conflict", F.lit(True))
-    return incoming.join(busy, owner, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-
+def insert_unless_active(incoming: DataFrame, tasks: DataFrame, active: tuple[str, ...], key: str = "id", owner: str = "material_id", at: str = "created_at") -> DataFrame:
+    """``incoming`` with whether it conflicts: at most one task of an owner is active.
 
-def patch_json(rows: DataFrame, changes: DataFrame, key: str = "id", body: str = "body", metadata: str = "metadata", insert: bool = False) -> DataFrame:
+    Tasks are taken in the order of (``at``, key), null times first. A new task
+    conflicts if its owner has an active task in ``tasks`` or if an active one came
+    earlier in the batch, which is the owner's first, as an earlier one could only be
+    inactive. What overwrites a task that is there, or that came before under the same
+    key, never conflicts, nor does a task without an owner. Firsts are minima per
+    owner and key; an owner with many rows is spread.
+    """
+    is_active = F.col("state").isin(*active)
+    ordered = incoming.withColumn("place_", F.struct(F.col(at), F.col(key))).withColumn("owner_", F.when(~blank(F.col(owner)), F.col(owner)))
+    busy = tasks.where(is_active & ~blank(F.col(owner))).select(F.col(owner).alias("owner_")).distinct().withColumn("busy_", F.lit(True))
+    owners = ordered.where("owner_ is not null").groupBy("owner_").agg(F.min(F.when(is_active, F.col("place_"))).alias("winner_"), F.count("*").alias("rows_")).join(busy, "owner_", "left")
+    there = tasks.select(key).distinct().withColumn("there_", F.lit(True))
+    judged = lookup(ordered, owners, "owner_", F.col(key))
+    late = F.coalesce(F.col("busy_"), F.lit(False)) | F.coalesce(F.col("place_") > F.col("winner_"), F.lit(False))
+    judged = judged.withColumn("late_", F.col("owner_").isNotNull() & late)
+    first = judged.groupBy(key).agg(F.min_by("late_", F.struct("place_", "late_")).alias("refused_"), F.count("*").alias("rows_")).join(there, key, "left")
+    found = lookup(judged, first, key, F.xxhash64(*incoming.columns))
+    return found.select(*incoming.columns, (F.coalesce("refused_", F.lit(False)) & F.col("there_").isNull()).alias("conflict"))
+
+
+def _bodies(changes: DataFrame, key: str, body: str, metadata: str, insert: bool, order: str | None) -> DataFrame:
+    """All bodies of a key as one, applied one after another: (key, given, replaced, added, touched), maps of JSON texts.
+
+    ``given`` are the top keys but the metadata with their last values. ``replaced`` is
+    what the last value of the metadata that is no object puts in its place (null if
+    none does, as with ``insert``), ``added`` the metadata keys that came after it, and ``touched`` whether an object did. Values are told apart
+    before they are grouped, so a key with many changes is summed up like any other.
+    """
+    read = _in_order(changes, order).withColumn("_map", json_map.entries(F.col(body))).where(F.col("_map").isNotNull())
+    top = read.select(key, "order_", F.explode("_map").alias("name", "value")).withColumn("value", F.to_json("value"))
+    is_object = F.coalesce(F.col("value").startswith("{"), F.lit(False))
+    resets = F.when(~is_object & F.lit(not insert), F.col("order_"))
+    whole = top.where(F.col("name") == metadata).groupBy(key).agg(F.max(resets).alias("_reset"), F.max_by("value", resets).alias("replaced"), F.max(F.when(is_object, F.col("order_"))).alias("_object"))
+    whole = whole.withColumn("touched", F.col("_object").isNotNull() & (F.col("_reset").isNull() | (F.col("_object") > F.col("_reset")))).drop("_object")
+    inner = top.where((F.col("name") == metadata) & is_object).select(key, "order_", F.explode(json_map.entries(F.col("value"))).alias("name", "value")).withColumn("value", F.to_json("value"))
+    inner = inner.join(whole.select(key, "_reset"), key, "left").where(F.col("_reset").isNull() | (F.col("order_") > F.col("_reset"))).drop("_reset")
+    flat = top.where(F.col("name") != metadata).withColumn("level", F.lit("given")).unionByName(inner.withColumn("level", F.lit("added")))
+    last = flat.groupBy(key, "level", "name").agg(F.max_by("value", "order_").alias("value"))
+    pair = F.struct("name", "value")
+    maps = last.groupBy(key).agg(*(F.map_from_entries(F.collect_list(F.when(F.col("level") == level, pair))).alias(level) for level in ("given", "added")))
+    return read.select(key).distinct().withColumn("changed_", F.lit(True)).join(maps, key, "left").join(whole.drop("_reset"), key, "left")
+
+
+def patch_json(rows: DataFrame, changes: DataFrame, key: str = "id", body: str = "body", metadata: str = "metadata", insert: bool = False, order: str | None = None) -> DataFrame:
     """JSON patches (key, body): a top-level key of the body overwrites the text column of its name, also with null.
 
-    A metadata object is merged one level deep; with ``insert`` unknown keys make
-    new rows and metadata is merged even where the body has none.
+    A metadata object is merged one level deep, any other value replaces the metadata
+    whole; with ``insert`` unknown keys make new rows and the metadata stays an object
+    whatever the body has. Several bodies of a key are applied one after another, in
+    ``order``. Nothing is lost to what cannot be read: such a body changes nothing, and
+    metadata that cannot be read keeps its text; ``unreadable`` lists both.
     """
-    new = changes.select(F.col(key), F.col(body).alias("_body"))
-    joined = rows.join(new, key, "full" if insert else "left")
-    given = F.get_json_object("_body", f"$.{metadata}")
-    kept = json_map.merged(F.col(metadata), given)
-    if not insert:
-        # what is null or no object replaces the metadata whole
-        kept = F.when(~json_map.has_key(F.col("_body"), metadata), F.col(metadata)).when(given.startswith("{"), kept).otherwise(given)
-    pick = lambda c: F.when(json_map.has_key(F.col("_body"), c), F.get_json_object("_body", f"$.{c}")).otherwise(F.col(c))
-    return joined.select(*(F.col(c) if c == key else kept.alias(c) if c == metadata else pick(c).alias(c) for c in rows.columns))
+    joined = rows.join(_bodies(changes, key, body, metadata, insert, order), key, "full" if insert else "left")
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    given, added = (F.coalesce(F.col(c), empty) for c in ("given", "added"))
+    more = F.transform_values(added, lambda _, v: F.parse_json(v))
+    base = F.when(F.col("replaced").isNotNull(), F.from_json(F.lit("{}"), json_map.MAP)).otherwise(json_map.entries(F.col(metadata)))
+    as_text = lambda v: F.try_variant_get(F.parse_json(v), "$", "string")
+    changed = F.when(F.col("touched"), json_map.kept(F.col(metadata), json_map.over(base, more))).when(F.col("replaced").isNotNull(), as_text(F.col("replaced"))).otherwise(F.col(metadata))
+    if insert:
+        changed = F.coalesce(changed, F.when(F.col("changed_"), "{}"))
+    pick = lambda c: F.when(F.map_contains_key(given, F.lit(c)), as_text(F.element_at(given, c))).otherwise(F.col(c))
+    return joined.select(*(F.col(c) if c == key else changed.alias(c) if c == metadata else pick(c).alias(c) for c in rows.columns))
+
+
+def unreadable(rows: DataFrame, changes: DataFrame, key: str = "id", body: str = "body", metadata: str = "metadata") -> DataFrame:
+    """(key, what, text) of the bodies and, for keys that changes name, the metadata that ``patch_json`` cannot read."""
+    bodies = changes.where(~json_map.readable(F.col(body))).select(key, F.lit("body").alias("what"), F.col(body).alias("text"))
+    named = rows.where(~json_map.readable(F.col(metadata))).join(changes.select(key).distinct(), key, "left_semi")
+    return bodies.unionByName(named.select(key, F.lit("metadata").alias("what"), F.col(metadata).alias("text")))
 
 
 def task_metadata(old: Column, new: Column) -> Column:
-    """Task metadata merged one level deep; inside the execution profile blanks do not overwrite the protected keys."""
-    profiles = [F.get_json_object(j, f"$.{PROFILE}") for j in (old, new)]
+    """Task metadata merged one level deep; inside the execution profile blanks do not overwrite the protected keys.
+
+    Where either cannot be read the old text stays; a profile that is no object is a value like any other.
+    """
     empty = lambda v: blank(F.try_variant_get(v, "$", "string"))
-    given = F.map_filter(json_map.entries(profiles[1]), lambda k, v: ~(k.isin(*PROTECTED) & empty(v)))
-    profile = json_map.text(json_map.over(json_map.entries(profiles[0]), given))
-    both = profiles[0].startswith("{") & profiles[1].startswith("{")
-    whole = json_map.over(json_map.entries(old), json_map.entries(new))
-    return json_map.text(F.when(both, json_map.over(whole, F.create_map(F.lit(PROFILE), F.parse_json(profile)))).otherwise(whole))
+    inner = lambda m: F.when(F.schema_of_variant(F.element_at(m, PROFILE)).startswith("OBJECT"), F.to_json(F.element_at(m, PROFILE)))
+
+    def profile(was: Column, now: Column) -> Column:
+        given = F.map_filter(json_map.entries(now), lambda k, v: ~(k.isin(*PROTECTED) & empty(v)))
+        return F.parse_json(json_map.text(json_map.over(json_map.entries(was), given)))
+
+    def merged(m: Column, n: Column) -> Column:
+        both = json_map.let(F.struct(inner(m).alias("was"), inner(n).alias("now")), lambda p: F.when(p["was"].isNotNull() & p["now"].isNotNull(), F.create_map(F.lit(PROFILE), profile(p["was"], p["now"]))))
+        return json_map.let(both, lambda p: F.when(p.isNull(), json_map.over(m, n)).otherwise(json_map.over(json_map.over(m, n), p)))
+
+    return json_map.kept(old, json_map.let(json_map.entries(old), lambda m: json_map.let(json_map.entries(new), lambda n: merged(m, n))))
 
 
 def new_run(metadata: Column, extra: Column | None = None) -> Column:
@@ -102,9 +170,9 @@ def new_run(metadata: Column, extra: Column | None = None) -> Column:
 
 
 def recovered(tasks: DataFrame) -> DataFrame:
-    """Left-over errors of tasks that recovered from a wrong failure move into the metadata, unless an earlier error is kept there."""
+    """Left-over errors of tasks that recovered from a wrong failure move into the metadata, unless an earlier error is kept there; metadata that cannot be read leaves both as they are."""
     flag = F.get_json_object("metadata", "$.recoveredFromMisjudgedFailed") == "true"
-    hit = F.coalesce(F.col("state").isin(*RECOVERED_STATES) & flag & (F.trim("error_message") != ""), F.lit(False))
+    hit = F.coalesce(F.col("state").isin(*RECOVERED_STATES) & flag & (F.trim("error_message") != "") & json_map.readable(F.col("metadata")), F.lit(False))
     earlier = F.get_json_object("metadata", "$.previousErrorMessage")
     keep = F.when(F.trim(earlier) != "", earlier).otherwise(F.col("error_message"))
     moved = json_map.merged(F.col("metadata"), F.to_json(F.create_map(F.lit("previousErrorMessage"), keep)))

@@ -74,6 +74,12 @@ SQL = {
             || CASE o_custkey % 5 WHEN 0 THEN ',"parsedFilesCount":0' WHEN 1 THEN ',"parsedFilesCount":3' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN ',"recoveredFromMisjudgedFailed":true' ELSE '' END
             || CASE o_custkey % 7 WHEN 0 THEN ',"previousErrorMessage":"older"' WHEN 1 THEN ',"previousErrorMessage":" "' ELSE '' END || '}' AS metadata
         FROM {orders}""",
+    "patches": """
+        SELECT 't' || CAST(l_orderkey AS STRING) AS id, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey AS nr,
+          CASE l_partkey % 9 WHEN 0 THEN '{"stage":"s' || CAST(l_suppkey AS STRING) || '","metadata":{"mineruStatus":null,"extra":' || CAST(l_partkey AS STRING) || '}}' WHEN 1 THEN '{"message":null}' WHEN 2 THEN '{"metadata":null,"stage":""}'
+            WHEN 3 THEN '{"stage":"a","metadata":{"keep":"k' || CAST(l_suppkey AS STRING) || '","extra":{"x":[1,"' || CAST(l_partkey AS STRING) || '"]}},"stage":"b' || CAST(l_partkey AS STRING) || '"}' WHEN 4 THEN '{"stage":"cut off'
+            WHEN 5 THEN '{"message":"m","metadata":{"extra":1}}{"message":"second"}' WHEN 6 THEN '{"metadata":"text","unknown":1}' WHEN 7 THEN ' {"metadata":{"mineruTaskId":123456789012345678901234567890}} ' ELSE '["stage"]' END AS body
+        FROM {lineitem} WHERE l_orderkey % 3 <> 0""",
     "drafts": """
         SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'completed' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'blob:x' ELSE 'http://p/' || CAST(c_custkey AS STRING) END AS preview,
           '{"provider":"' || CASE WHEN c_custkey % 2 = 0 THEN 'minio' ELSE 'other' END || '","objectName":"' || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'originals/' || CAST(c_custkey AS STRING) END || '","fileUrl":"f","markdownUrl":"m"'

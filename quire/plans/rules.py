@@ -59,6 +59,37 @@ def _patch_sql(insert):
     )
 
 
+_META = ("keep", "mineruTaskId", "mineruStatus", "extra")
+
+
+def _patches_in_order(spark, sf_dir, insert):
+    """Several bodies a key, some of them unreadable, over metadata of which some is cut off."""
+    r = collection(spark, sf_dir, "runs").select("id", "seq", "stage", "message", F.expr("IF(seq % 13 = 0, left(metadata, 9), metadata)").alias("metadata"))
+    base = (r.where("seq % 6 <> 3") if insert else r).drop("seq")
+    got = store.patch_json(base, collection(spark, sf_dir, "patches"), insert=insert, order="nr")
+    return got.select("id", "stage", "message", F.when(F.get_json_object("metadata", "$").isNull(), F.col("metadata")).alias("unread"), *(F.get_json_object("metadata", f"$.{k}").alias(k) for k in _META))
+
+
+def _in_order_sql(insert):
+    reset = "NULL" if insert else "max(nr)"
+    row = "coalesce(r.id, q.id)" if insert else "r.id"
+    joins = (f"FULL JOIN (SELECT DISTINCT id FROM e) q ON q.id = r.id " if insert else "") + " ".join(f"LEFT JOIN {x} ON {x}.id = {row}" for x in "tnx")
+    old = lambda k: f"json_extract_string(CASE WHEN NOT cut THEN metadata END, '$.{k}')"
+    meta = lambda k: f"""CASE WHEN list_contains(names, '{k}') AND NOT (reset IS NULL AND cut) THEN {k}_new WHEN reset IS NULL AND NOT cut THEN {old(k)} END AS "{k}" """
+    return with_collections(
+        "runs patches",
+        f"""WITH r AS (SELECT id, stage, message, CASE WHEN seq % 13 = 0 THEN left(metadata, 9) ELSE metadata END AS metadata, seq % 13 = 0 AS cut FROM runs {"WHERE seq % 6 <> 3" if insert else ""}),
+        e AS (SELECT p.id, p.nr * 1000 + j.id AS nr, j.key, j.value, j.type FROM (SELECT id, nr, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body ELSE '{{}}' END AS body FROM patches) p, json_each(p.body) j),
+        x AS (SELECT id, {reset} AS reset, arg_max_null(value ->> '$', nr) AS instead FROM e WHERE key = 'metadata' AND type <> 'OBJECT' GROUP BY id),
+        m AS (SELECT e.id, e.nr, j.key, j.value ->> '$' AS value FROM (SELECT e.* FROM e LEFT JOIN x USING (id) WHERE key = 'metadata' AND type = 'OBJECT' AND nr > coalesce(reset, -1)) e, json_each(e.value) j),
+        n AS (SELECT id, list(DISTINCT key) AS names, {", ".join(f"arg_max_null(value, nr) FILTER (key = '{k}') AS {k}_new" for k in _META)} FROM m GROUP BY id),
+        t AS (SELECT id, count(*) FILTER (key = 'stage') AS stages, arg_max_null(value ->> '$', nr) FILTER (key = 'stage') AS stage_new, count(*) FILTER (key = 'message') AS messages, arg_max_null(value ->> '$', nr) FILTER (key = 'message') AS message_new FROM e GROUP BY id),
+        k AS (SELECT {row} AS id, coalesce(cut, false) AS cut, metadata, stage, message, stages, stage_new, messages, message_new, coalesce(names, []) AS names, reset, instead, {", ".join(f"{k}_new" for k in _META)} FROM r {joins})
+        SELECT id, CASE WHEN stages > 0 THEN stage_new ELSE stage END AS stage, CASE WHEN messages > 0 THEN message_new ELSE message END AS message,
+          CASE WHEN reset IS NOT NULL AND len(names) = 0 THEN instead WHEN reset IS NULL AND cut THEN metadata END AS unread, {", ".join(map(meta, _META))} FROM k""",
+    )
+
+
 def profiles(runs):
     old = F.expr("""CASE WHEN seq % 5 = 0 THEN '{"a":1}' ELSE concat('{"a":1,"mineruExecutionProfile":{"parseMethod":"auto","maxPages":', seq, ',"note":"old"}}') END""")
     new = F.expr("""CASE seq % 4 WHEN 0 THEN '{"mineruExecutionProfile":{"parseMethod":"","note":""}}' WHEN 1 THEN '{"b":2,"mineruExecutionProfile":{"parseMethod":null,"maxPages":5}}'
@@ -207,6 +238,12 @@ QUERIES = {
     ),
     "m2_json_patch": (lambda s, d: _patched(s, d, False), _patch_sql(False)),
     "m4_json_merge_put": (lambda s, d: _patched(s, d, True), _patch_sql(True)),
+    "m2_json_patches_in_order": (lambda s, d: _patches_in_order(s, d, False), _in_order_sql(False)),
+    "m4_json_puts_in_order": (lambda s, d: _patches_in_order(s, d, True), _in_order_sql(True)),
+    "m2_unreadable_changes": (
+        lambda s, d: store.unreadable(collection(s, d, "runs").select("id", F.expr("IF(seq % 13 = 0, left(metadata, 9), metadata)").alias("metadata")), collection(s, d, "patches")),
+        with_collections("runs patches", "SELECT id, 'body' AS what, body AS text FROM patches WHERE NOT json_valid(body) OR json_type(body) <> 'OBJECT' UNION ALL SELECT id, 'metadata', left(metadata, 9) FROM runs WHERE seq % 13 = 0 AND id IN (SELECT id FROM patches)"),
+    ),
     "m5_protected_profile": (_of("runs", profiles), with_collections("runs", _PROFILES)),
     "m8_cascade_summary": (
         cascade,
