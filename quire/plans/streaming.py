@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
-from quire.streaming import events, read_events, run_now
+from quire.streaming import events, keep_state, new_folder, poll, polled, read_events, replayed, run_now, stateful
+
+
+def _tenth():
+    """Which ten days of the month."""
+    return F.expr("CAST(floor((least(day(ts), 30) - 1) / 10) AS INT)")
 
 
 def _stream(spark, sf_dir):
@@ -19,7 +24,51 @@ def of_task(spark, sf_dir):
 
 def changes(spark, sf_dir):
     meaning = F.concat_ws("|", "event_type", (F.col("value") > 50).cast("string"))
-    return events.changes_only(_stream(spark, sf_dir), "user_id", "ts", "event_id", meaning).select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
+    return run_now(stateful.changes_only(_stream(spark, sf_dir), "user_id", "ts", "event_id", meaning)).select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
+
+
+def changes_over_batches(spark, sf_dir):
+    meaning = F.concat_ws("|", "event_type", (F.col("value") > 50).cast("string"))
+    stream = replayed(table(spark, sf_dir, "events"), _tenth(), 3)
+    return run_now(stateful.changes_only(stream, "user_id", "ts", "event_id", meaning)).select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
+
+
+def newest_of_streams(spark, sf_dir):
+    """The ring buffer: 500 newest events of each type, kept over several batches and read from the state."""
+    folder = new_folder(spark)
+    keep_state(stateful.newest(replayed(table(spark, sf_dir, "events"), F.col("event_id") % 3, 3), "event_type", "ts", "event_id", ["ts", "event_id", "user_id"]), folder)
+    return stateful.recent(spark, folder).select("stream", F.col("key").alias("event_id"), "user_id")
+
+
+def attributed_late(spark, sf_dir):
+    """Starts are the first event of each user, and come after the observations."""
+    e = table(spark, sf_dir, "events")
+    starts = e.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 1 HOUR")).alias("begun"))
+    seen = replayed(e.select("event_id", "user_id", "ts"), F.col("event_id") % 2, 2)
+    return run_now(events.attributed_late(seen, replayed(starts, F.col("user_id") % 2, 2), "user_id", "ts", "begun", "3650 days", "'3650' DAY").select("event_id", "user_id"))
+
+
+def judged_by_batch(spark, sf_dir):
+    """Which tasks are eligible changes between batches: those of batch k have a number that leaves k modulo 3."""
+    folder = new_folder(spark)
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("source"), "ts", F.when(F.col("event_id") % 5 == 0, "api-alive-only").otherwise("active-progress").alias("level"))
+    tasks = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 25).alias("source"), F.col("c_custkey").alias("task"), F.when(F.col("c_custkey") % 2 == 0, F.lit("2999-01-01")).otherwise("1970-01-01").cast("timestamp_ntz").alias("started_at")).where("task <= 60")
+    poll(replayed(e, F.col("event_id") % 3, 3), events.attribution(lambda k: tasks.where(F.col("task") % 3 == k % 3), folder, "ts", "level"), folder).awaitTermination()
+    return polled(spark, folder, "event_id long, source long, attribution string, task long, batch int").select("event_id", "attribution", "task", "batch")
+
+
+def once_within(spark, sf_dir):
+    """Every event comes a second time, ten days later."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    stream = replayed(e.crossJoin(spark.range(2).withColumnRenamed("id", "copy")), _tenth() + F.col("copy"), 4)  # two copies
+    return run_now(events.once_within(stream, "event_id", "ts", "5 days").select("event_id"))
+
+
+def compacted_by_loop(spark, sf_dir):
+    folder = new_folder(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    poll(replayed(e, F.col("event_id") % 3, 3), events.compaction(folder, e, "user_id", "ts", "event_id", 10), folder).awaitTermination()
+    return events.compacted(spark, folder, e, "user_id").select("event_id", "user_id")
 
 
 def attributed(spark, sf_dir):
@@ -58,6 +107,18 @@ QUERIES = {
         """SELECT event_id, user_id FROM (SELECT *, event_type || '|' || CAST(value > 50 AS VARCHAR) AS k FROM events)
            QUALIFY k IS DISTINCT FROM lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id)""",
     ),
+    "r3_changes_over_batches": (changes_over_batches, """SELECT event_id, user_id FROM (SELECT *, event_type || '|' || CAST(value > 50 AS VARCHAR) AS k FROM events)
+           QUALIFY k IS DISTINCT FROM lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id)"""),
+    "s12_newest_of_streams": (newest_of_streams, "SELECT event_type AS stream, event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500"),
+    "r4_two_streams": (attributed_late, "SELECT e.event_id, e.user_id FROM events e JOIN (SELECT user_id, min(ts) + INTERVAL 1 HOUR AS begun FROM events GROUP BY user_id) s USING (user_id) WHERE ts >= begun"),
+    "r6_once_within": (once_within, "SELECT event_id FROM events"),
+    "r2_loop_of_compactions": (compacted_by_loop, "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"),
+    "r5_eligible_by_batch": (
+        judged_by_batch,
+        """WITH t AS (SELECT c_custkey % 25 AS source, c_custkey AS task, c_custkey % 2 = 0 AS later, c_custkey % 3 AS batch FROM customer WHERE c_custkey <= 60), o AS (SELECT batch, source, count(*) AS n, min(task) AS task, bool_or(later) AS later FROM t GROUP BY ALL),
+           j AS (SELECT event_id, CAST(event_id % 3 AS INT) AS batch, CASE WHEN n IS NULL OR n <> 1 THEN 'unattributed' WHEN later THEN 'stale' WHEN event_id % 5 = 0 THEN 'api-noise' ELSE 'attributed' END AS attribution, task FROM events e LEFT JOIN o ON o.source = user_id % 25 AND o.batch = event_id % 3)
+           SELECT event_id, attribution, CASE WHEN attribution = 'attributed' THEN task END AS task, batch FROM j""",
+    ),
     "r4_stream_attribution": (attributed, "SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 2 = 0"),
     "r5_single_owner": (
         owners,
