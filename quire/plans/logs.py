@@ -17,10 +17,10 @@ _SIGNAL = rf"""CASE WHEN trim(line) = '' THEN NULL WHEN regexp_matches(line, '{_
   WHEN regexp_matches(line, '(?i)Using\s+(transformers|pytorch|onnx)|hybrid\s+batch\s+ratio|batch_size\s*=|model_path\s*=') THEN 'engine-config'
   WHEN regexp_matches(line, '(?i)(GET|"GET)\s+/(health|tasks/[\w-]+)') THEN 'api-noise' END"""
 _X = lambda i, cast: f"CASE WHEN signal = 'progress' THEN CAST({'trim(' if cast == 'VARCHAR' else ''}regexp_extract(line, '{_P}', {i}){')' if cast == 'VARCHAR' else ''} AS {cast}) END"
-_ROWS = rf"""s AS (SELECT *, {_SIGNAL} AS signal FROM log_lines), p AS (SELECT *, nullif(regexp_extract(line, '(\d{{4}}-\d{{2}}-\d{{2}}[\sT]\d{{2}}:\d{{2}}:\d{{2}})', 1), '') AS stamp,
+ROWS = rf"""s AS (SELECT *, {_SIGNAL} AS signal FROM log_lines), p AS (SELECT *, nullif(regexp_extract(line, '(\d{{4}}-\d{{2}}-\d{{2}}[\sT]\d{{2}}:\d{{2}}:\d{{2}})', 1), '') AS stamp,
   {_X(1, "VARCHAR")} AS phase, {_X(2, "BIGINT")} AS percent, {_X(3, "BIGINT")} AS current, {_X(4, "BIGINT")} AS total FROM s WHERE signal IS NOT NULL),
   c AS (SELECT *, last_value(stamp IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM p)"""
-_SUM = r"""m AS (SELECT *, signal = 'progress' AND coalesce(lag(CASE WHEN signal = 'progress' THEN phase END) OVER (PARTITION BY source, signal = 'progress' ORDER BY seq) <> phase, false) AS changed,
+SUM = r"""m AS (SELECT *, signal = 'progress' AND coalesce(lag(CASE WHEN signal = 'progress' THEN phase END) OVER (PARTITION BY source, signal = 'progress' ORDER BY seq) <> phase, false) AS changed,
   nullif(regexp_extract(line, '(?i)page_count\s*=\s*(\d+)', 1), '') AS shape FROM c),
   g AS (SELECT source, count(*) FILTER (signal = 'progress') AS n_progress, count(*) FILTER (changed) AS n_changes, count(*) FILTER (signal IN ('window', 'document-shape', 'engine-config')) AS n_business,
     count(*) FILTER (signal = 'api-noise') AS n_noise, count(*) FILTER (signal = 'error') AS n_error, count(*) FILTER (signal = 'error-signal') AS n_error_signal,
@@ -81,14 +81,14 @@ def fresh(spark, sf_dir):
 
 
 QUERIES = {
-    "l1_l2_w4_line_classes": (classes, with_collections("log_lines", f"WITH {_ROWS} SELECT seq, signal, stamp, phase, percent, current, total, context FROM c")),
-    "l3_task_segment": (segments, with_collections("log_lines", f"WITH {_ROWS} SELECT source, signal, count(*) AS n FROM c WHERE CASE WHEN context IS NOT NULL THEN replace(context, 'T', ' ') >= '{_SINCE}' ELSE signal = 'api-noise' END GROUP BY source, signal")),
-    "w5_phase_changes": (changes, with_collections("log_lines", f"WITH {_ROWS} SELECT source, seq, phase FROM (SELECT *, lag(phase) OVER (PARTITION BY source ORDER BY seq) AS before FROM c WHERE signal = 'progress') WHERE before <> phase")),
+    "l1_l2_w4_line_classes": (classes, with_collections("log_lines", f"WITH {ROWS} SELECT seq, signal, stamp, phase, percent, current, total, context FROM c")),
+    "l3_task_segment": (segments, with_collections("log_lines", f"WITH {ROWS} SELECT source, signal, count(*) AS n FROM c WHERE CASE WHEN context IS NOT NULL THEN replace(context, 'T', ' ') >= '{_SINCE}' ELSE signal = 'api-noise' END GROUP BY source, signal")),
+    "w5_phase_changes": (changes, with_collections("log_lines", f"WITH {ROWS} SELECT source, seq, phase FROM (SELECT *, lag(phase) OVER (PARTITION BY source ORDER BY seq) AS before FROM c WHERE signal = 'progress') WHERE before <> phase")),
     "l4_l6_a11_activity": (
         levels,
         with_collections(
             "log_lines",
-            f"""WITH {_ROWS}, {_SUM} SELECT *, CASE WHEN n_error > 0 THEN 'log-error-signal' WHEN n_progress > 0 AND source % 3 = 0 THEN CASE WHEN n_changes > 0 THEN 'active-stage-change' WHEN n_business > 0 THEN 'active-business-log' ELSE 'suspected-stale' END
+            f"""WITH {ROWS}, {SUM} SELECT *, CASE WHEN n_error > 0 THEN 'log-error-signal' WHEN n_progress > 0 AND source % 3 = 0 THEN CASE WHEN n_changes > 0 THEN 'active-stage-change' WHEN n_business > 0 THEN 'active-business-log' ELSE 'suspected-stale' END
               WHEN n_progress > 0 THEN 'active-progress' WHEN n_changes > 0 THEN 'active-stage-change' WHEN n_business > 0 THEN 'active-business-log' WHEN n_noise > 0 THEN 'api-alive-only' ELSE 'log-observation-no-business-signal' END AS level FROM g""",
         ),
     ),
@@ -96,7 +96,7 @@ QUERIES = {
         quiet_levels,
         with_collections(
             "log_lines",
-            f"""WITH {_ROWS} SELECT source, CASE WHEN count(*) FILTER (signal IN ('window', 'document-shape', 'engine-config')) > 0 THEN 'active-business-log' WHEN count(*) FILTER (signal = 'api-noise') > 0 THEN 'api-alive-only'
+            f"""WITH {ROWS} SELECT source, CASE WHEN count(*) FILTER (signal IN ('window', 'document-shape', 'engine-config')) > 0 THEN 'active-business-log' WHEN count(*) FILTER (signal = 'api-noise') > 0 THEN 'api-alive-only'
               ELSE 'log-observation-no-business-signal' END AS level FROM c WHERE signal NOT IN ('error', 'progress') AND (source % 4 <> 1 OR signal = 'api-noise') GROUP BY source""",
         ),
     ),
@@ -104,7 +104,7 @@ QUERIES = {
         unit_types,
         with_collections(
             "log_lines",
-            f"""WITH {_ROWS}, {_SUM} SELECT source, coalesce(CASE WHEN source % 2 = 0 THEN CASE WHEN contains(lower(phase), 'predict') THEN CASE WHEN total = 4 THEN 'window-pages' WHEN total = 27 THEN 'document-pages' WHEN total = total_pages THEN 'document-pages' ELSE 'model-units' END
+            f"""WITH {ROWS}, {SUM} SELECT source, coalesce(CASE WHEN source % 2 = 0 THEN CASE WHEN contains(lower(phase), 'predict') THEN CASE WHEN total = 4 THEN 'window-pages' WHEN total = 27 THEN 'document-pages' WHEN total = total_pages THEN 'document-pages' ELSE 'model-units' END
                 WHEN contains(phase, 'OCR') THEN 'ocr-recognition-blocks' END
               ELSE CASE WHEN phase IN ('Processing pages', 'Layout') OR contains(phase, 'Predict Layout') OR contains(phase, 'Layout Predict') THEN 'document-pages' WHEN contains(phase, 'Table') THEN 'table-regions' WHEN contains(phase, 'OCR') THEN 'ocr-recognition-blocks'
                 WHEN phase = 'Seal' THEN 'seal-units' WHEN total = total_pages THEN 'document-pages' END END, 'unknown-units') AS unit FROM g""",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire import sources
+from quire.plans.logs import ROWS, SUM
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
-from quire.streaming import events, keep_state, new_folder, poll, polled, read_events, replayed, run_now, stateful
+from quire.streaming import events, keep_state, logs, new_folder, poll, polled, read_events, replayed, run_now, stateful
 
 
 def _tenth():
@@ -100,6 +102,26 @@ def tail(spark, sf_dir):
     return events.tail(collection(spark, sf_dir, "log_lines"), 5).select("source", "seq")
 
 
+def observed_in_parts(spark, sf_dir):
+    """Logs that grow in three steps: what the last observation knows, and the phase changes of all of them."""
+    folder = new_folder(spark)
+    lines = collection(spark, sf_dir, "log_lines")
+    most = lines.agg(F.max("seq")).first()[0] + 1
+    poll(replayed(lines, F.floor(F.col("seq") * 3 / most).cast("int"), 3), logs.observer(folder), folder).awaitTermination()
+    counts = polled(spark, folder, "source long, n_progress long, n_changes long, n_business long, batch int").groupBy("source").agg(*(F.sum(c).alias(c) for c in ("n_progress", "n_changes", "n_business")))
+    return counts.join(logs.state(spark, folder, "long"), "source").select("source", "n_progress", "n_changes", "n_business", "context", "phase", "total_pages")
+
+
+_TAIL = 300
+
+
+def file_tails(spark, sf_dir):
+    """Logs written as one file each; of each the last bytes are read."""
+    folder = new_folder(spark)
+    collection(spark, sf_dir, "log_lines").select("source", "seq", "line").repartition("source").sortWithinPartitions("source", "seq").select("source", "line").write.partitionBy("source").text(folder)
+    return sources.log_tail(spark, folder, _TAIL).select(F.regexp_extract("path", r"source=(\d+)/", 1).cast("long").alias("source"), "size", "text")
+
+
 QUERIES = {
     "r1_task_stream": (of_task, "SELECT event_id, event_type FROM events WHERE user_id = 3"),
     "r3_stream_changes_only": (
@@ -119,6 +141,11 @@ QUERIES = {
            j AS (SELECT event_id, CAST(event_id % 3 AS INT) AS batch, CASE WHEN n IS NULL OR n <> 1 THEN 'unattributed' WHEN later THEN 'stale' WHEN event_id % 5 = 0 THEN 'api-noise' ELSE 'attributed' END AS attribution, task FROM events e LEFT JOIN o ON o.source = user_id % 25 AND o.batch = event_id % 3)
            SELECT event_id, attribution, CASE WHEN attribution = 'attributed' THEN task END AS task, batch FROM j""",
     ),
+    "w4_w5_l6_observed_in_parts": (
+        observed_in_parts,
+        with_collections("log_lines", f"""WITH {ROWS}, {SUM}, l AS (SELECT source, arg_max(context, seq) AS context FROM c GROUP BY source) SELECT source, n_progress, n_changes, n_business, context, phase, total_pages FROM g JOIN l USING (source)"""),
+    ),
+    "s9_file_tails": (file_tails, with_collections("log_lines", f"WITH t AS (SELECT source, string_agg(line, chr(10) ORDER BY seq) || chr(10) AS text FROM log_lines GROUP BY source) SELECT source, strlen(text) AS size, right(text, {_TAIL}) AS text FROM t")),
     "r4_stream_attribution": (attributed, "SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 2 = 0"),
     "r5_single_owner": (
         owners,

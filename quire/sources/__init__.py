@@ -1,15 +1,11 @@
 """Readers of the collections."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quire.sources.tail import log_lines, log_tail
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["log_lines", "log_tail", "table"]
 
 
-def log_tail(spark: SparkSession, path: str, n_bytes: int = 8192) -> DataFrame:
-    """(path, text): the last bytes of each text file, without the damaged character that a cut may begin with."""
-    files = spark.read.format("binaryFile").load(path)
-    tail = F.expr(f"substring(content, greatest(1, length(content) - {n_bytes} + 1))")
-    return files.select("path", F.regexp_replace(F.make_valid_utf8(tail.cast("string")), "^\uFFFD+", "").alias("text"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
