@@ -48,6 +48,15 @@ ORDERS = {
 }
 
 
+#: Sort keys of the product list, each descending.
+PRODUCT_ORDERS = {"newest": "created_at", "most used": "use_count", "best rated": "rating"}
+
+
+def products_ordered(products: DataFrame, by: str) -> DataFrame:
+    """In one of ``PRODUCT_ORDERS``, equal ones by id; missing values come last; an unknown name leaves the rows as they are."""
+    return products.orderBy(F.col(PRODUCT_ORDERS[by]).desc_nulls_last(), "id") if by in PRODUCT_ORDERS else products
+
+
 def ordered(rows: DataFrame, by: str) -> DataFrame:
     """In one of ``ORDERS``; an unknown name leaves the rows as they are."""
     return rows.orderBy(*ORDERS[by]()) if by in ORDERS else rows
@@ -186,6 +195,29 @@ def statistics(materials: DataFrame, size: str, collections: dict[str, DataFrame
     return one
 
 
+#: What counts as running at a reset, and the names of stored results in the metadata.
+RESET_STATES, RESET_STAGES = ("running", "ai-running", "result-store"), ("mineru-processing", "mineru-queued")
+RESULT_NAMES = ("markdownObjectName", "zipObjectName")
+
+
+def reset_counts(materials: DataFrame, tasks: DataFrame, events: DataFrame, jobs: DataFrame, details: DataFrame, orphans: DataFrame) -> DataFrame:
+    """One row: what a reset would delete, by collection and store, orphan objects (bucket, size) with their buckets, canceled tasks in another state, and running tasks.
+
+    A material or task with a stored result counts once, whether it names one or two files.
+    """
+    meta = lambda k: truthy(F.get_json_object("metadata", f"$.{k}"))
+    result = meta(RESULT_NAMES[0]) | meta(RESULT_NAMES[1])
+    canceled = meta("canceledAt")
+    running = ~canceled & (F.coalesce(F.col("state").isin(*RESET_STATES), F.lit(False)) | F.coalesce(F.col("stage").isin(*RESET_STAGES), F.lit(False)))
+    one = materials.agg(F.count("*").alias("materials"), F.count_if(meta("objectName")).alias("originals"), F.count_if(result).alias("parsed_of_materials"))
+    one = one.crossJoin(tasks.agg(F.count("*").alias("tasks"), F.count_if(result).alias("parsed_of_tasks"), F.count_if(canceled & F.coalesce(F.col("state") != "canceled", F.lit(True))).alias("drifted"), F.count_if(running).alias("running")))
+    for name, rows in (("events", events), ("jobs", jobs), ("asset_details", details)):
+        one = one.crossJoin(rows.agg(F.count("*").alias(name)))
+    lost = orphans.agg(F.count("*").alias("orphans"), F.coalesce(F.sum("size"), F.lit(0)).alias("orphan_bytes"), F.array_join(F.array_sort(F.collect_set("bucket")), ",").alias("orphan_buckets"))
+    one = one.crossJoin(lost)  # rows of totals
+    return one.select("materials", "tasks", "events", "jobs", "asset_details", "originals", (F.col("parsed_of_materials") + F.col("parsed_of_tasks")).alias("parsed"), "orphans", "orphan_bytes", "orphan_buckets", "drifted", "running")
+
+
 def list_page(objects: DataFrame, prefix: str, after: str = "", size: int = 500) -> DataFrame:
     """One page of the keys under a prefix in rising order, those after the last key of the page before."""
     return objects.where(F.col("name").startswith(prefix) & (F.col("name") > after)).orderBy("name").limit(size)

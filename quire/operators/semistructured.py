@@ -116,12 +116,33 @@ MARKDOWN_KEYS = ("md_content", "mdcontent", "mdContent", "md_text", "markdown",
 MARKDOWN_PATHS = (*(f"$.{k}" for k in MARKDOWN_KEYS), *(f"$.data.{k}" for k in MARKDOWN_KEYS), "$.output.md_text", "$.output.markdown")
 
 
+def _at(v: Column, path: str) -> Column:
+    """The value at a path, if there is one that is no JSON null."""
+    found = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(found) != "VOID", found)
+
+
+def _first_key(json: Column, path: str) -> Column:
+    """The first key of the object at a path as scripts count them: whole numbers first, by size, then the others as they stand in the text."""
+    keys = F.json_object_keys(F.get_json_object(json, path))
+    numbers = F.filter(keys, lambda k: k.rlike("^(0|[1-9][0-9]{0,9})$") & (k.try_cast("bigint") < 4294967295))
+    least = F.array_min(F.transform(numbers, lambda k: k.try_cast("bigint"))).cast("string")
+    return F.coalesce(least, F.get(keys, F.lit(0)))
+
+
 def markdown_of(json: Column) -> Column:
-    """The trimmed Markdown of a parse result: a JSON text, that of the first named result, the text of the first listed part, else the first non-blank text at the known paths or in a list under ``data``."""
+    """The trimmed Markdown of a parse result.
+
+    In this order: a JSON text; that of the first result, by place in the object or
+    list, under the first of three keys that is not null, if it is a filled text; the
+    text of the first listed part; the first filled text at the known paths or, as the
+    first text of a list, under ``data``.
+    """
     v = F.try_parse_json(json)
-    results = F.try_variant_get(v, "$.results", "variant")
-    first = F.try_element_at(F.map_values(F.try_variant_get(results, "$", json_map.MAP)), F.lit(1))
-    named = F.when(F.schema_of_variant(results).startswith("OBJECT"), F.coalesce(*(_texts(first, f"$.{k}") for k in MARKDOWN_KEYS[:3])))
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.results", "variant"))
+    by_name = F.element_at(F.try_variant_get(v, "$.results", json_map.MAP), _first_key(json, "$.results"))
+    result = F.when(kind.startswith("OBJECT"), by_name).when(kind.startswith("ARRAY"), F.try_variant_get(v, "$.results[0]", "variant"))
+    named = json_map.let(result, lambda r: _texts(F.coalesce(*(_at(r, f"$.{k}") for k in MARKDOWN_KEYS[:3]))))
     part = F.try_element_at(_list(v), F.lit(1))
     listed = F.try_element_at(F.filter(_list(v, "$.data"), lambda x: F.schema_of_variant(x) == "STRING"), F.lit(1))
     filled = lambda c: F.when(stripped(c) != "", stripped(c))
@@ -135,17 +156,39 @@ ARTIFACT_BYTES = ("base64", "content_base64", "data_base64", "contentBase64", "d
 ARTIFACT_URLS = ("url", "download_url", "downloadUrl", "presignedUrl")
 
 
+def _counts(v: Column) -> Column:
+    """A variant, if it counts as true: no null, empty text, zero or false."""
+    kind = F.schema_of_variant(v)
+    nothing = (kind == "VOID") | ((kind == "STRING") & (F.try_variant_get(v, "$", "string") == "")) | ((kind == "BOOLEAN") & ~F.try_variant_get(v, "$", "boolean")) | (F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(1.0)) == 0) & ~(kind == "STRING")
+    return F.when(~nothing, v)
+
+
+def _items(v: Column) -> Column:
+    """The elements of a list; a value that is no list is its only element, and what counts as false gives none."""
+    kind = F.schema_of_variant(v)
+    none = F.from_json(F.lit("[]"), VARIANTS)
+    return F.when(v.isNull(), none).when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", VARIANTS)).otherwise(F.array_compact(F.array(_counts(v))))
+
+
 def artifacts_of(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """One row per artifact of a parse result (key, path, media_type, source, content): those of eight lists, one after the other, with a path and with bytes or an address."""
+    """One row per artifact of a parse result (key, path, media_type, source, content).
+
+    They come from eight places, one after the other: lists of items, or one item. Of
+    an element of ``results`` or ``data`` its ``artifacts`` count, however empty the
+    list is, else its ``files``. An item needs a name, the first of its names that
+    counts as true, which must be a filled text, and bytes or else an address.
+    """
     v = F.try_parse_json(json)
-    inner = lambda path: F.flatten(F.transform(_list(v, path), lambda r: F.when(F.size(_list(r, "$.artifacts")) > 0, _list(r, "$.artifacts")).otherwise(_list(r, "$.files"))))
-    lists = [_list(v, p) for p in ("$.artifacts", "$.files", "$.data.artifacts", "$.data.files", "$.results.artifacts", "$.results.files")]
-    every = rows.select(key, F.posexplode(F.concat(*lists, inner("$.results"), inner("$.data"))).alias("nth", "v"))
-    pick = lambda names: F.coalesce(*(F.when(_texts(F.col("v"), f"$['{n}']") != "", _texts(F.col("v"), f"$['{n}']")) for n in names))
-    found = every.select(key, "nth", pick(ARTIFACT_NAMES).alias("path"), F.nullif(F.trim(pick(ARTIFACT_TYPES)), F.lit("")).alias("media_type"), pick(ARTIFACT_BYTES).alias("bytes"), pick(ARTIFACT_URLS).alias("url"))
-    whole = F.trim("bytes") != ""
-    source = F.when(whole, "bytes").when(F.col("url").rlike(r"(?i)^https?://"), "url")
-    found = found.withColumn("source", source).where(F.col("source").isNotNull() & (F.trim("path") != ""))
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    own = lambda r: _items(F.coalesce(_counts(F.try_variant_get(r, "$.artifacts", "variant")), _counts(F.try_variant_get(r, "$.files", "variant"))))
+    inner = lambda path: F.flatten(F.transform(_list(v, path), own))
+    lists = [_items(at(p)) for p in ("$.artifacts", "$.files", "$.data.artifacts", "$.data.files", "$.results.artifacts", "$.results.files")]
+    every = rows.select(key, F.posexplode(F.concat(*lists, inner("$.results"), inner("$.data"))).alias("nth", "v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    pick = lambda names: F.coalesce(*(_counts(F.try_variant_get(F.col("v"), f"$['{n}']", "variant")) for n in names))
+    kind = F.try_variant_get(pick(ARTIFACT_TYPES), "$", "string")
+    found = every.select(key, "nth", _texts(pick(ARTIFACT_NAMES)).alias("path"), F.nullif(stripped(kind), F.lit("")).alias("media_type"), _texts(pick(ARTIFACT_BYTES)).alias("bytes"), _texts(pick(ARTIFACT_URLS)).alias("url"))
+    source = F.when(stripped(F.col("bytes")) != "", "bytes").when(F.col("url").rlike(r"(?i)^https?://"), "url")
+    found = found.withColumn("source", source).where(F.col("source").isNotNull() & (stripped(F.col("path")) != ""))
     return found.select(key, "nth", "path", "media_type", "source", F.when(F.col("source") == "bytes", F.col("bytes")).otherwise(F.col("url")).alias("content"))
 
 
@@ -160,23 +203,38 @@ def facet_values(rows: DataFrame, key: str, json: str) -> DataFrame:
     return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.name", "p.value").where(F.trim("value") != "")
 
 
+#: Fixed value: the title of a result without facets.
+FAILED_TITLE = "解析失败"
+
+
 def flattened(json: Column) -> dict[str, Column]:
-    """What the catalog shows of a classification: controlled values before raw ones, a summary, one list of tags, a confidence in percent and whether to review."""
+    """What the catalog shows of a classification: controlled values before raw ones, a summary, one list of tags, a confidence in percent and whether to review.
+
+    A result without facets has the title that says so, no subject and no grade, and
+    nothing else.
+    """
     v = F.try_parse_json(json)
     got = lambda p: F.coalesce(_texts(v, p), F.lit(""))
     zh = lambda f: text_or(got(f"$.controlled_classification.{f}.zh"), got(f"$.primary_facets.{f}.zh"))
     subject, stage, level, kind = (zh(f) for f in ("subject", "stage", "level", "resource_type"))
     summary = F.array_join(F.filter(F.array(subject, stage, level, kind), lambda x: x != ""), " · ")
-    name = lambda x: F.coalesce(_texts(x), F.nullif(_texts(x, "$.zh"), F.lit("")), _texts(x, "$.en"))
-    lists = ("$.normalized_tags.topic_tags", "$.normalized_tags.skill_tags", "$.system_tags.format_tags", "$.system_tags.engine_tags", "$.system_tags.artifact_tags")
+    plain = lambda x: F.try_variant_get(x, "$", "string")
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+    label = lambda x: F.coalesce(F.nullif(_texts(x, "$.zh"), F.lit("")), _texts(x, "$.en"))
+    name = lambda x: F.when(is_object(x), label(x)).otherwise(plain(x))
+    system = lambda x: F.when(is_object(x), F.coalesce(F.nullif(label(x), F.lit("")), plain(x))).otherwise(plain(x))
+    lists = [("$.normalized_tags.topic_tags", name), ("$.normalized_tags.skill_tags", name), *((f"$.system_tags.{k}_tags", system) for k in ("format", "engine", "artifact"))]
     level_of = got("$.governance.confidence")
     asked = F.coalesce(F.try_variant_get(v, "$.governance.human_review_required", "boolean"), F.lit(False))
-    return {
+    found = {
         "title": text_or(got("$.descriptive_metadata.series_title"), text_or(summary, subject)),
         "subject": subject, "grade": text_or(level, stage), "material_type": text_or(kind, zh("component_role")), "language": text_or(got("$.descriptive_metadata.language"), "中文"), "curriculum": zh("curriculum"),
-        "tags": F.concat(*(F.transform(_list(v, p), name) for p in lists)), "summary": summary,
+        "tags": F.concat(*(F.transform(_list(v, p), n) for p, n in lists)), "summary": summary,
         "confidence": F.when(level_of == "high", 90).when(level_of == "medium", 60).otherwise(30), "needs_review": asked | (level_of != "high"),
     }
+    some = _counts(F.try_variant_get(v, "$.primary_facets", "variant")).isNotNull()
+    failed = {"title": F.lit(FAILED_TITLE), "subject": F.lit(""), "grade": F.lit("")}
+    return {k: F.when(some, c).otherwise(failed[k]) if k in failed else F.when(some, c) for k, c in found.items()}
 
 
 def source_facts(jobs: DataFrame, materials: DataFrame, tasks: DataFrame) -> DataFrame:

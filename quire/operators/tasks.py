@@ -130,6 +130,12 @@ def waiting_tasks(tasks: DataFrame) -> DataFrame:
     return operational_sets(tasks).where("queued").orderBy(F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp")), "id")
 
 
+def current_task(tasks: DataFrame, place: str = "seq") -> DataFrame:
+    """The one task that the operational sets call current: of those processed outside, the first by ``place``, the order of the collection; no row if there is none."""
+    names = [c for c in tasks.columns]
+    return operational_sets(tasks).where("current").agg(F.min_by(F.struct(*names), place).alias("row")).where("row is not null").select("row.*")
+
+
 def active_task(tasks: DataFrame) -> DataFrame:
     """One row: the only running task, or without any the only drifting one, else null."""
     only = lambda flag: F.max(F.when(F.col(flag), F.col("id")))

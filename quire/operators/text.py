@@ -71,6 +71,31 @@ def pack_text(text: Column, name: Column, limit: int = PACK_LIMIT) -> Column:
     return F.when(F.length(pack) > limit, F.concat(F.left(pack, F.lit(limit)), F.lit(PACK_SUFFIX))).otherwise(pack)
 
 
+#: The facts at the head of a whole pack, and its sections in order.
+FACTS = ("file_name", "file_size", "mime_type", "parsed_files_count", "raw_object_name", "markdown_object_name")
+SECTIONS = ("SOURCE FACTS", "FILENAME SIGNALS", "DOCUMENT SHAPE", "TITLE / FRONT MATTER", "TOC / CONTENTS", "HEADING OUTLINE", "REPRESENTATIVE BODY SNIPPETS", "TAIL / APPENDIX / ANSWER SIGNALS", "EVIDENCE CANDIDATES")
+
+
+def whole_pack(text: Column, facts: dict[str, Column], limit: int = PACK_LIMIT) -> Column:
+    """The evidence pack with all sections, of a text and the ``FACTS`` on its source; blank names give empty lines, a missing size or count is 0."""
+    numbers = ("file_size", "parsed_files_count")
+    known = {k: F.coalesce(facts[k].cast("string"), F.lit("0" if k in numbers else "")) for k in FACTS}
+    name = text_or(known["file_name"], known["raw_object_name"])
+    outline, signals, block = headings(text), F.array_join(name_tokens(name), " | "), toc(text)
+    n, files = F.length(text), known["parsed_files_count"]
+    said = lambda label, value: F.concat(F.lit(f"{label}: "), value.cast("string"))
+    lines = lambda *parts: F.concat_ws("\n", *parts)
+    large = (n > LARGE_CHARS) | F.coalesce(files.try_cast("bigint") > LARGE_FILES, F.lit(False))
+    bodies = (
+        lines(*(said(k, name if k == "file_name" else known[k]) for k in FACTS)), signals,
+        lines(said("markdown_chars", n), said("estimated_pages", files), said("large_document", large), said("heading_count", F.size(outline)), said("toc_detected", block != "not_found")),
+        F.left(text, F.lit(3000)), block, F.array_join(outline, "\n"),
+        lines(F.lit("--- EARLY BODY ---"), snippet(text, 0.1), F.lit("\n--- MIDDLE CHAPTER ---"), snippet(text, 0.5), F.lit("\n--- LATE CHAPTER ---"), snippet(text, 0.8)), tail(text), signals,
+    )
+    pack = F.concat(F.concat_ws("\n\n", *(lines(F.lit(f"=== {title} ==="), body) for title, body in zip(SECTIONS, bodies, strict=True))), F.lit("\n"))
+    return F.when(F.length(pack) > limit, F.concat(F.left(pack, F.lit(limit)), F.lit(PACK_SUFFIX))).otherwise(pack)
+
+
 def evidence_pack(text: Column, name: Column, limit: int = PACK_LIMIT) -> dict[str, Column]:
     """Length and fingerprint of ``pack_text``."""
     pack = pack_text(text, name, limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import blank, is_flag
-from quire.operators import catalog, tasks
+from quire.operators import catalog, store, tasks
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
 
@@ -20,6 +20,26 @@ def _q(names, fields, run, body):
     return (lambda spark, sf_dir: run(collection(spark, sf_dir, first)).select(*fields), with_collections(names, body))
 
 
+#: What stands for each of the eleven collections.
+_ELEVEN = ("materials", "customer", "orders", "lineitem", "tasks", "jobs", "events", "part", "supplier", "nation", "region")
+
+
+def _eleven(spark, sf_dir):
+    return [collection(spark, sf_dir, t) if t in ("materials", "tasks", "jobs") else table(spark, sf_dir, t) for t in _ELEVEN]
+
+
+_PRODUCTS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 > 0 THEN p_partkey * 7919 % 1009 END AS created_at, p_partkey * 31 % 97 AS use_count, CASE WHEN p_partkey % 7 > 0 THEN p_retailprice END AS rating FROM part"
+
+
+def _products(spark, sf_dir):
+    return spark.sql(_PRODUCTS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+def reset(spark, sf_dir):
+    orphans = collection(spark, sf_dir, "objects").where("startswith(name, 'loose')")
+    return catalog.reset_counts(collection(spark, sf_dir, "drafts"), collection(spark, sf_dir, "runs"), table(spark, sf_dir, "events"), collection(spark, sf_dir, "jobs"), table(spark, sf_dir, "part"), orphans)
+
+
 QUERIES = {
     "s3_scan": (lambda s, d: table(s, d, "nation"), "SELECT * FROM nation"),
     "s4_point_lookup": _q("materials", ["id", "title"], lambda m: m.where(F.col("id") == "8"), "SELECT id, title FROM materials WHERE id = '8'"),
@@ -68,7 +88,7 @@ QUERIES = {
     "o9_o10_page": (lambda s, d: catalog.page(table(s, d, "part").orderBy("p_name", "p_partkey"), 3, 12).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 12 OFFSET 24"),
     "o9_page_count": (lambda s, d: catalog.page_count(_m(s, d)), with_collections("materials", "SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 12) AS BIGINT)) AS pages FROM materials")),
     "a1_status_counts": (lambda s, d: catalog.count_by(_m(s, d), F.col("status"), "unknown"), with_collections("materials", "SELECT coalesce(nullif(status, ''), 'unknown') AS value, count(*) AS n FROM materials GROUP BY 1")),
-    "a1_subject_counts": (lambda s, d: catalog.count_by(_m(s, d), F.col("subject"), "未分类"), with_collections("materials", "SELECT coalesce(nullif(subject, ''), '未分类') AS value, count(*) AS n FROM materials GROUP BY 1")),
+    "a1_subject_counts": (lambda s, d: catalog.count_by(_m(s, d), F.col("subject"), "未标注"), with_collections("materials", "SELECT coalesce(nullif(subject, ''), '未标注') AS value, count(*) AS n FROM materials GROUP BY 1")),
     "a2_a5_tab_counts": (
         lambda s, d: catalog.counts_of(_m(s, d), "status", ("processing", "completed", "failed", "reviewing", "archived")),
         with_collections("materials", "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{v}') AS n_{v}" for v in ("processing", "completed", "failed", "reviewing", "archived")) + " FROM materials"),
@@ -87,6 +107,27 @@ QUERIES = {
         lambda s, d: _m(s, d).agg(F.count("*").alias("materials"), F.count_if(~blank(F.col("ai_job_id"))).alias("with_job"), F.count_if(~F.col("object_name").startswith("originals/")).alias("path_drift")),
         with_collections("materials", "SELECT count(*) AS materials, count(*) FILTER (ai_job_id <> '') AS with_job, count(*) FILTER (NOT starts_with(object_name, 'originals/')) AS path_drift FROM materials"),
     ),
+    "a14_whole_reset_counts": (
+        reset,
+        with_collections(
+            "drafts runs jobs objects",
+            """WITH o AS (SELECT bucket, size FROM objects WHERE starts_with(name, 'loose')), m AS (SELECT metadata FROM drafts), meta AS (SELECT 'm' AS kind, NULL AS state, NULL AS stage, metadata FROM m UNION ALL SELECT 't', state, stage, metadata FROM runs),
+            f AS (SELECT kind, state, stage, coalesce(metadata ->> '$.objectName', '') <> '' AS original, coalesce(metadata ->> '$.markdownObjectName', '') <> '' OR coalesce(metadata ->> '$.zipObjectName', '') <> '' AS result, coalesce(metadata ->> '$.canceledAt', '') <> '' AS canceled FROM meta)
+            SELECT count(*) FILTER (kind = 'm') AS materials, count(*) FILTER (kind = 't') AS tasks, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM jobs) AS jobs, (SELECT count(*) FROM part) AS asset_details, count(*) FILTER (kind = 'm' AND original) AS originals,
+              count(*) FILTER (result) AS parsed, (SELECT count(*) FROM o) AS orphans, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM o) AS orphan_bytes, (SELECT coalesce(string_agg(DISTINCT bucket, ',' ORDER BY bucket), '') FROM o) AS orphan_buckets,
+              count(*) FILTER (kind = 't' AND canceled AND state <> 'canceled') AS drifted, count(*) FILTER (kind = 't' AND NOT canceled AND (state IN ('running', 'ai-running', 'result-store') OR stage IN ('mineru-processing', 'mineru-queued'))) AS running FROM f""",
+        ),
+    ),
+    "a1_all_counts": (
+        lambda s, d: catalog.statistics(_m(s, d), "size_bytes", dict(zip(store.COLLECTIONS, _eleven(s, d), strict=True))),
+        with_collections(
+            "materials tasks jobs",
+            "SELECT (SELECT CAST(coalesce(sum(coalesce(size_bytes, 0)), 0) AS BIGINT) FROM materials) AS bytes, " + ", ".join(f'(SELECT count(*) FROM {t}) AS "{c}"' for c, t in zip(store.COLLECTIONS, _ELEVEN, strict=True)),
+        ),
+    ),
+    "o3_newest_products": (lambda s, d: catalog.products_ordered(_products(s, d), "newest"), f"SELECT * FROM ({_PRODUCTS}) ORDER BY created_at DESC NULLS LAST, id"),
+    "o3_most_used_products": (lambda s, d: catalog.products_ordered(_products(s, d), "most used"), f"SELECT * FROM ({_PRODUCTS}) ORDER BY use_count DESC NULLS LAST, id"),
+    "o3_best_rated_products": (lambda s, d: catalog.products_ordered(_products(s, d), "best rated"), f"SELECT * FROM ({_PRODUCTS}) ORDER BY rating DESC NULLS LAST, id"),
     "u1_bag_union": (
         lambda s, d: table(s, d, "customer").select(F.col("c_name").alias("name"), "c_acctbal").unionByName(table(s, d, "supplier").select(F.col("s_name").alias("name")), allowMissingColumns=True),
         "SELECT c_name AS name, c_acctbal FROM customer UNION ALL SELECT s_name, NULL FROM supplier",

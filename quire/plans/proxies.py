@@ -80,6 +80,15 @@ SQL = {
             WHEN 3 THEN '{"stage":"a","metadata":{"keep":"k' || CAST(l_suppkey AS STRING) || '","extra":{"x":[1,"' || CAST(l_partkey AS STRING) || '"]}},"stage":"b' || CAST(l_partkey AS STRING) || '"}' WHEN 4 THEN '{"stage":"cut off'
             WHEN 5 THEN '{"message":"m","metadata":{"extra":1}}{"message":"second"}' WHEN 6 THEN '{"metadata":"text","unknown":1}' WHEN 7 THEN ' {"metadata":{"mineruTaskId":123456789012345678901234567890}} ' ELSE '["stage"]' END AS body
         FROM {lineitem} WHERE l_orderkey % 3 <> 0""",
+    "payloads": """
+        SELECT 'p' || CAST(o_orderkey AS STRING) AS id,
+          '{"results":' || CASE o_custkey % 6 WHEN 0 THEN '{"zeta":' WHEN 1 THEN '{"b":{"md_content":"not first"},"10":{"text":"no"},"2":' WHEN 2 THEN '[' WHEN 3 THEN '{"' || o_orderpriority || '":' WHEN 4 THEN '[null,' ELSE '{"x":{},"y":' END
+            || CASE o_orderkey % 7 WHEN 0 THEN '{"md_content":" first ' || CAST(o_orderkey AS STRING) || ' "}' WHEN 1 THEN '{"md_content":null,"mdcontent":"second ' || CAST(o_custkey AS STRING) || '"}' WHEN 2 THEN '{"md_content":5,"mdContent":"hidden"}' WHEN 3 THEN '{"mdContent":"third"}' WHEN 4 THEN '"text"' WHEN 5 THEN '{"md_content":"  "}' ELSE 'null' END
+            || CASE o_custkey % 6 WHEN 0 THEN ',"alpha":{"md_content":"not first either"}}' WHEN 1 THEN '}' WHEN 2 THEN ',{"md_content":"later"}]' WHEN 3 THEN '}' WHEN 4 THEN ']' ELSE '}' END
+            || CASE o_orderkey % 5 WHEN 0 THEN ',"text":"own ' || CAST(o_orderkey AS STRING) || '"' WHEN 1 THEN ',"md_content":"","data":{"markdown":"inner ' || CAST(o_custkey AS STRING) || '"}' WHEN 2 THEN ',"data":[1,"",{"text":"no"},"listed"]' WHEN 3 THEN ',"output":{"md_text":7,"markdown":"out"}' ELSE '' END || '}' AS parsed,
+          CASE WHEN o_orderkey % 3 = 0 THEN '{"descriptive_metadata":{"series_title":"lost"}}' WHEN o_orderkey % 3 = 1 THEN '{"primary_facets":null,"governance":{"confidence":"high"}}'
+            ELSE '{"primary_facets":{"subject":{"zh":"s' || CAST(o_custkey % 5 AS STRING) || '"}},"normalized_tags":{"topic_tags":[' || CAST(o_orderkey AS STRING) || ',"t",true,{"zh":"","en":"e"},{"en":"only"}]},"system_tags":{"format_tags":["pdf",{"en":"x"},3]},"governance":{"confidence":"high"}}' END AS result
+        FROM {orders}""",
     "drafts": """
         SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'completed' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'blob:x' ELSE 'http://p/' || CAST(c_custkey AS STRING) END AS preview,
           '{"provider":"' || CASE WHEN c_custkey % 2 = 0 THEN 'minio' ELSE 'other' END || '","objectName":"' || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'originals/' || CAST(c_custkey AS STRING) END || '","fileUrl":"f","markdownUrl":"m"'

@@ -180,6 +180,11 @@ def flat(spark, sf_dir):
     return papers(spark, sf_dir).select("id", *_fields(got))
 
 
+def unfaceted(spark, sf_dir):
+    got = semistructured.flattened(F.col("result"))
+    return collection(spark, sf_dir, "payloads").select("id", got["title"].alias("title"), F.array_join(got["tags"], ",").alias("tags"), got["confidence"].alias("confidence"))
+
+
 def facts(spark, sf_dir):
     m = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS id", "IF(c_custkey % 2 = 0, c_name, '') AS title", """IF(c_custkey % 3 = 0, concat('{"fileSize":', c_custkey, ',"objectName":"o', c_custkey, '"}'), '{"fileSize":0}') AS metadata""")
     t = collection(spark, sf_dir, "runs").select("id", "metadata", F.when(F.col("seq") % 2 == 0, F.col("message")).alias("original_filename"))
@@ -357,6 +362,31 @@ QUERIES = {
         lambda s, d: papers(s, d).select("id", semistructured.markdown_of(F.col("parsed")).alias("markdown")),
         with_collections("papers", "SELECT id, CASE WHEN k % 17 = 4 THEN '' ELSE 'text ' || k END AS markdown FROM papers"),
     ),
+    "n9_first_results": (
+        lambda s, d: collection(s, d, "payloads").select("id", semistructured.markdown_of(F.col("parsed")).alias("markdown")),
+        with_collections(
+            "payloads",
+            """WITH k AS (SELECT id, parsed, json_type(parsed, '$.results') AS kind, CASE json_type(parsed, '$.results') WHEN 'OBJECT' THEN json_keys(parsed, '$.results') ELSE [] END AS keys FROM payloads),
+            n AS (SELECT *, coalesce(CAST(list_min(list_transform(list_filter(keys, lambda x: regexp_matches(x, '^(0|[1-9][0-9]*)$')), lambda x: CAST(x AS BIGINT))) AS VARCHAR), keys[1]) AS key FROM k),
+            r AS (SELECT *, CASE kind WHEN 'ARRAY' THEN json_extract(parsed, '$.results[0]') ELSE json_extract(parsed, '$.results."' || key || '"') END AS r FROM n),
+            m AS (SELECT *, CASE WHEN coalesce(json_type(r, '$.md_content'), 'NULL') <> 'NULL' THEN json_extract(r, '$.md_content') WHEN coalesce(json_type(r, '$.mdcontent'), 'NULL') <> 'NULL' THEN json_extract(r, '$.mdcontent') ELSE json_extract(r, '$.mdContent') END AS md FROM r),
+            c AS (SELECT id, CASE WHEN json_type(md) = 'VARCHAR' THEN md ->> '$' END AS first, parsed FROM m),
+            p AS (SELECT id, first, list_transform(['$.md_content', '$.mdcontent', '$.mdContent', '$.md_text', '$.markdown', '$.text', '$.data.md_content', '$.data.mdcontent', '$.data.mdContent', '$.data.md_text', '$.data.markdown', '$.data.text', '$.output.md_text', '$.output.markdown'],
+              lambda x: CASE WHEN json_type(json_extract(parsed, x)) = 'VARCHAR' THEN json_extract_string(parsed, x) END) AS found, CASE WHEN json_type(parsed, '$.data') = 'ARRAY' THEN list_filter(from_json(json_extract(parsed, '$.data'), '["JSON"]'), lambda x: json_type(x) = 'VARCHAR')[1] ->> '$' END AS listed FROM c)
+            SELECT id, coalesce(nullif(trim(first), ''), list_filter(list_transform(found, lambda x: trim(x)), lambda x: x <> '')[1], nullif(trim(listed), ''), '') AS markdown FROM p""",
+        ),
+    ),
+    "n7_results_without_facets": (
+        unfaceted,
+        with_collections(
+            "payloads",
+            """SELECT id, CASE WHEN k THEN coalesce(result ->> '$.primary_facets.subject.zh', '') ELSE '解析失败' END AS title, CASE WHEN k THEN array_to_string(list_transform(from_json(json_extract(result, '$.normalized_tags.topic_tags'), '["JSON"]'), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(nullif(x ->> '$.zh', ''), x ->> '$.en') ELSE x ->> '$' END)
+              || list_transform(from_json(json_extract(result, '$.system_tags.format_tags'), '["JSON"]'), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(x ->> '$.zh', x ->> '$.en') ELSE x ->> '$' END), ',') END AS tags, CASE WHEN k THEN 90 END AS confidence
+            FROM (SELECT id, result, coalesce(json_type(result, '$.primary_facets') = 'OBJECT', false) AS k FROM payloads)""",
+        ),
+    ),
+    "f7_current_task": (_of("runs", lambda r: tasks.current_task(r).select("id", "seq")), with_collections("runs", f"WITH {_SETS} SELECT id, seq FROM s WHERE running_external AND stage = 'mineru-processing' ORDER BY seq LIMIT 1")),
+    "f7_whole_active_task": (_of("runs", tasks.active_task), with_collections("runs", f"WITH {_SETS}, n AS (SELECT count(*) FILTER (running_external) AS running, count(*) FILTER (drifting) AS drift, max(id) FILTER (running_external) AS a, max(id) FILTER (drifting) AS b FROM s) SELECT running, drift, CASE WHEN running = 1 THEN a WHEN running = 0 AND drift = 1 THEN b END AS active FROM n")),
     "n10_slim_historic": (
         _of("runs", historic),
         with_collections(

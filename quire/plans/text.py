@@ -66,6 +66,28 @@ def whole_packs(spark, sf_dir):
     return _d(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in got.items()))
 
 
+_FACTS_SQL = "CASE WHEN doc_id % 6 = 0 THEN '' ELSE name END AS file_name, doc_id * 10 AS file_size, CASE WHEN doc_id % 2 = 0 THEN 'application/pdf' ELSE '' END AS mime_type, CASE WHEN doc_id % 5 > 0 THEN doc_id % 2000 END AS files, 'raw/' || CAST(doc_id AS STRING) AS raw_object_name, CASE WHEN doc_id % 4 > 0 THEN 'full.md' END AS markdown_object_name"
+_NAMED = "(CASE WHEN file_name = '' THEN raw_object_name ELSE file_name END)"
+_SIGNALS = f"array_to_string({_TOKENS.replace('(name,', f'({_NAMED},')}, ' | ')"
+_WHOLE_PACK = " || chr(10) || chr(10) || ".join(
+    f"'=== {t} ===' || chr(10) || {b}"
+    for t, b in (
+        ("SOURCE FACTS", f"'file_name: ' || {_NAMED} || chr(10) || 'file_size: ' || file_size || chr(10) || 'mime_type: ' || mime_type || chr(10) || 'parsed_files_count: ' || coalesce(files, 0) || chr(10) || 'raw_object_name: ' || raw_object_name || chr(10) || 'markdown_object_name: ' || coalesce(markdown_object_name, '')"),
+        ("FILENAME SIGNALS", _SIGNALS),
+        ("DOCUMENT SHAPE", f"'markdown_chars: ' || length(text) || chr(10) || 'estimated_pages: ' || coalesce(files, 0) || chr(10) || 'large_document: ' || CAST(length(text) > 150000 OR coalesce(files, 0) > 1000 AS VARCHAR) || chr(10) || 'heading_count: ' || len({_HEADS}) || chr(10) || 'toc_detected: ' || CAST({_TOC} <> 'not_found' AS VARCHAR)"),
+        ("TITLE / FRONT MATTER", "left(text, 3000)"), ("TOC / CONTENTS", _TOC), ("HEADING OUTLINE", f"coalesce(array_to_string({_HEADS}, chr(10)), '')"),
+        ("REPRESENTATIVE BODY SNIPPETS", f"'--- EARLY BODY ---' || chr(10) || {_SNIP(0.1)} || chr(10) || chr(10) || '--- MIDDLE CHAPTER ---' || chr(10) || {_SNIP(0.5)} || chr(10) || chr(10) || '--- LATE CHAPTER ---' || chr(10) || {_SNIP(0.8)}"),
+        ("TAIL / APPENDIX / ANSWER SIGNALS", _TAIL), ("EVIDENCE CANDIDATES", _SIGNALS),
+    )
+) + " || chr(10)"
+
+
+def source_packs(spark, sf_dir):
+    d = spark.sql(f"SELECT *, {_FACTS_SQL} FROM {{d}}", d=_d(spark, sf_dir))
+    pack = text.whole_pack(F.col("text"), {k: F.col("files" if k == "parsed_files_count" else k) for k in text.FACTS})
+    return d.select("doc_id", F.length(pack).alias("pack_chars"), F.concat(F.lit("sha256:"), F.sha2(pack, 256)).alias("input_hash"))
+
+
 def whole_samples(spark, sf_dir):
     return _d(spark, sf_dir).select("doc_id", F.md5(text.sample(F.col("text"), _header())).alias("sampled"))
 
@@ -145,6 +167,11 @@ QUERIES = {
     "t13_sampler": (samples, "WITH {}, {}\n        SELECT doc_id, md5({}) AS sampled FROM b".format(_ROWS, *_sampled(_LIMIT))),
     # the caps of the reference
     "t12_whole_evidence_pack": (whole_packs, f"WITH {_ROWS}, {_packed(30_000)} SELECT doc_id, CAST(length(p) AS INT) AS pack_chars, 'sha256:' || sha256(p) AS input_hash FROM c"),
+    "t12_source_pack": (
+        source_packs,
+        f"""WITH {_ROWS}, k AS (SELECT *, {_FACTS_SQL} FROM d), p AS (SELECT doc_id, {_WHOLE_PACK} AS p FROM k), c AS (SELECT doc_id, CASE WHEN length(p) > 30000 THEN left(p, 30000) || '\\n...[Evidence Pack Truncated]' ELSE p END AS p FROM p)
+        SELECT doc_id, CAST(length(p) AS INT) AS pack_chars, 'sha256:' || sha256(p) AS input_hash FROM c""",
+    ),
     "t13_whole_sampler": (whole_samples, "WITH {}, {}\n        SELECT doc_id, md5({}) AS sampled FROM b".format(_ROWS, *_sampled(80_000))),
     "t14_sampler_choice": (
         choices,
