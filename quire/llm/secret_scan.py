@@ -2,10 +2,13 @@
 
 Three fixed patterns give the base findings. Beyond them a lexer reads
 name-literal pairs of source and configuration syntax (``name = "literal"``,
-``name: literal``, ``"name": "literal"``, ``name := other_name``; literals in
-single, double, triple quotes or backticks; ``<name>text</name>``, attributes
+``name: literal``, ``"name": "literal"``, ``name := other_name``, with a type, a
+subscript (``env["name"] = "literal"``), chained, in lists (``a, name = "x",
+"literal"``) or with a default (``get() or "literal"``); literals in single, double,
+triple quotes or backticks, with a prefix or as the argument of a call that gives
+them back, or without quotes up to the next white space; passwords in URLs; ``<name>text</name>``, attributes
 ``key="name" value="literal"``, arguments ``"name", "literal"``, calls
-``set_name("literal")``, here-documents and YAML blocks), joins literals concatenated by ``+``,
+``set_name("literal")``, CDATA, here-documents and YAML blocks), joins literals concatenated by ``+``,
 propagates constants to the names that refer to them, and scores every literal by
 the most sensitive name it ends up in and how much it looks like key material.
 Literals at ``THRESHOLD`` or more that no base finding covers are added as kind
@@ -26,6 +29,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,12 +47,31 @@ THRESHOLD = 0.5
 #: Possessive, as a character that ends a part never begins the next: no backtracking, whatever the length.
 _LITERAL_FORM = r"""(?:\"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]++|\\[\s\S]|'(?!''))*+'{3}|"(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`)"""
 _LITERAL = re.compile(_LITERAL_FORM)
-_PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?[\ \t]*+(?::=|=>|=(?!=)|:(?!:))[\ \t]*+
-        (?P<value>(?P<quoted>{_LITERAL_FORM}(?:[\ \t]*+\+[\ \t]*+{_LITERAL_FORM})*+)|[A-Za-z0-9+/_.=\-]++)""",
+_NAME_FORM = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: An assignment up to its sign: a name, perhaps with a subscript, which then is the name, or with a type.
+_TARGET = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>{_NAME_FORM})(?:\[[\ \t]*+(?P<q>["'])(?P<key>{_NAME_FORM})(?P=q)[\ \t]*+\])?["']?[\ \t]*+
+        (?:(?::[\ \t]*+[A-Za-z_][A-Za-z0-9_.\[\],|?\ \t]*+=(?![=>])|:=|=>|\?\?=|\?=|\|\|=|\+=|=(?!=)|:(?!:)))""",
     re.VERBOSE,
 )
-_NAME_FORM = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_GAP = re.compile(r"[ \t]*+")
+_PREFIXED = re.compile(rf"(?:(?<![A-Za-z0-9_])[fFbBrRuU]{{1,2}}+(?=[\"'`]))?(?P<literal>{_LITERAL_FORM})")
+_CALLED = re.compile(rf"(?:new[\ \t]++)?(?P<name>{_NAME_FORM})[\ \t]*+\((?P<gap>[\ \t\n]*+)")
+_REST_OF_CALL = re.compile(rf"""(?:[^()"'`\n]++|{_LITERAL_FORM})*+\)""")
+_JOIN = re.compile(r"[ \t]*+(?P<sign>\+(?!=)|\|\||\?\?|or\b)[ \t\n]*+")
+_COMMA = re.compile(r"[ \t]*+,")
+_REFERENCE = re.compile(rf"{_NAME_FORM}(?![A-Za-z0-9+/=])")
+_CHAIN = re.compile(rf"{_NAME_FORM}[\ \t]++=(?!=)")
+#: A value without quotes ends at white space, or where a list of pairs goes on; within a line also at what closes or separates.
+_NEXT_PAIR = r"(?![,;&][A-Za-z_][A-Za-z0-9_.\-]*+[=:])"
+_WHOLE_RUN, _RUN = re.compile(rf"(?:{_NEXT_PAIR}\S)++"), re.compile(rf"""(?:{_NEXT_PAIR}[^\s,;&()\[\]{{}}<>"'`])++""")
+_LINE_BEGIN = re.compile(r"""(?:^|\n)[ \t]*+(?:(?:export|set|setx|ENV|ARG|-)[ \t]++)?["']?$""")
+#: Calls whose argument is what they give.
+_GIVES = {"format", "bytes", "str", "string", "decode", "encode", "b64decode", "base64decode", "fromhex", "unhexlify", "atob", "btoa", "from", "valueof", "strip", "trim", "tochararray", "getbytes"}
+#: Members of something: names and never secrets.
+_MEMBER = re.compile(r"^(?:[A-Za-z_][A-Za-z_]*+\.)+[A-Za-z_][A-Za-z_]*+(?:\(\)?)?$")
+_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{1,30}+://[^\s:@/]*+:(?P<value>[^\s@/]++)@")
+_CDATA = re.compile(rf"<(?P<name>{_NAME_FORM})(?:[\ \t\n][^<>]*+)?>[\ \t\n]*+<!\[CDATA\[")
 #: Pairs that need no assignment sign: their name and their one literal.
 _CALL = re.compile(rf"(?<![A-Za-z0-9_.\-])(?P<name>{_NAME_FORM})\([\ \t\n]*+(?P<value>{_LITERAL_FORM})[\ \t\n]*+\)")
 _ARGUMENTS = re.compile(rf"""(?P<q>["'])(?P<name>{_NAME_FORM})(?P=q)[\ \t\n]*+,[\ \t\n]*+(?P<value>{_LITERAL_FORM})""")
@@ -148,33 +171,144 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _pairs(text: str) -> list[tuple[str, int, int, str]]:
-    """(name, start of the value, its end, form) of all pairs; those inside a literal are pairs as well.
+@dataclass
+class Pair:
+    """A name and what it is given: literals (each a list of parts that are joined), names of others, and a value without quotes, which is one or the other."""
+
+    name: str
+    literals: list[list[tuple[int, int]]]
+    others: list[str] = field(default_factory=list)
+    bare: tuple[int, int] | None = None
+
+
+def _inside(text: str, s: int, e: int) -> tuple[int, int]:
+    """A literal without its quotes."""
+    edge = 3 if e - s >= 6 and text[s : s + 3] in ('"""', "'''") else 1
+    return s + edge, e - edge
+
+
+def _bare(text: str, at: int, begins: bool, tight: bool) -> tuple[int, int]:
+    """The value without quotes at a place; ``begins`` if its name begins the line, ``tight`` if nothing stands between sign and value."""
+    m = (_WHOLE_RUN if begins and tight else _RUN).match(text, at)
+    if not m:
+        return at, at
+    end = m.end()
+    while end > at and text[end - 1] in (",;" if begins and tight else ".,;:!?"):
+        end -= 1
+    return at, end
+
+
+def _expression(text: str, at: int, begins: bool, tight: bool, listed: bool) -> tuple[list[Pair], int, bool]:
+    """The values from a place on, as pairs without a name (several if ``listed``), where the first operand begins, and whether it is a literal."""
+    groups, first, quoted, fresh = [Pair("", [])], None, False, True
+    while True:
+        at = _GAP.match(text, at).end()
+        here = groups[-1]
+        if m := _PREFIXED.match(text, at):
+            if fresh:
+                here.literals.append([])
+            here.literals[-1].append(_inside(text, *m.span("literal")))
+            if first is None:
+                first, quoted = m.start("literal"), True
+            at = m.end()
+        elif m := _CALLED.match(text, at):
+            first = at if first is None else first
+            at = m.end()
+            if m["name"].rsplit(".", 1)[-1].lower() in _GIVES and (k := _PREFIXED.match(text, at)):
+                here.literals.append([_inside(text, *k.span("literal"))])
+            rest = _REST_OF_CALL.match(text, at)
+            if not rest:
+                break
+            at = rest.end()
+        elif first is None:
+            first = at
+            s, e = _bare(text, at, begins, tight)
+            here.bare = (s, e) if e > s else None
+            at = max(e, at)
+            if e == s:
+                break
+        elif m := _REFERENCE.match(text, at):
+            here.others.append(m[0])
+            at = m.end()
+        else:
+            break
+        if m := _JOIN.match(text, at):
+            fresh = m["sign"] != "+" or not here.literals
+            at = m.end()
+        elif listed and (m := _COMMA.match(text, at)):
+            groups.append(Pair("", []))
+            at, fresh = m.end(), True
+        else:
+            break
+    return groups, len(text) if first is None else first, quoted
+
+
+def _cdata(text: str) -> list[tuple[str, int, int]]:
+    """(name, start, end) of the texts that elements mark as plain; one that is opened again before it ends is none."""
+    ends = [m.start() for m in re.finditer(r"\]\]>", text)]
+    opened = list(_CDATA.finditer(text))
+    found = []
+    for m, after in itertools.zip_longest(opened, opened[1:]):
+        k = bisect_left(ends, m.end())
+        if k < len(ends) and (after is None or ends[k] <= after.start()):
+            found.append((m["name"], m.end(), ends[k]))
+    return found
+
+
+def _names_before(text: str, at: int, n: int) -> list[str]:
+    """Up to ``n`` names that end before a place, each followed by a comma, the last first."""
+    found = []
+    while len(found) < n:
+        k = at
+        while k and text[k - 1] in " \t":
+            k -= 1
+        if not k or text[k - 1] != ",":
+            break
+        e = k - 1
+        while e and text[e - 1] in " \t":
+            e -= 1
+        b = e
+        while b and (text[b - 1].isalnum() or text[b - 1] in "_.-") and text[b - 1].isascii():
+            b -= 1
+        if b == e or text[b].isdigit():
+            break
+        found.append(text[b:e])
+        at = b
+    return found
+
 
-    A value is ``quoted``, ``bare`` (it may refer to another name) or ``raw`` text.
-    """
+def _pairs(text: str) -> list[Pair]:
+    """All names with what they are given; pairs inside a literal are pairs as well."""
     found, at = [], 0
     assigns = "=" in text or ":" in text
-    while assigns and (m := _PAIR.search(text, at)):
-        s, e = m.span("value")
-        quoted = m["quoted"] is not None
-        found.append((m["name"], s, e, "quoted" if quoted else "bare"))
-        at = s + 1 if quoted else e
+    while assigns and (m := _TARGET.search(text, at)):
+        place = m.start("name")
+        begins = bool(_LINE_BEGIN.search(text, max(0, place - 40), place)) if place else True
+        listed = text[max(0, place - 40) : place].rstrip(" \t").endswith(",")
+        tight = m.end() < len(text) and text[m.end()] not in " \t" and m[0].endswith("=")
+        groups, first, quoted = _expression(text, m.end(), begins, tight, listed)
+        names = [m["key"] or m["name"]]
+        if len(groups) > 1:
+            names = [*reversed(_names_before(text, place, len(groups) - 1)), *names]
+        if len(names) != len(groups):
+            names, groups = names[-1:], groups[:1]
+        for name, pair in zip(names, groups, strict=True):
+            pair.name = name
+            found.append(pair)
+        # literals are read inside as well, and a chain of names goes on with the next
+        bare = groups[0].bare
+        at = max(m.end(), first + 1 if quoted else first if bare is None or _CHAIN.match(text, first) else bare[1])
     for form, sign in ((_CALL, _OPENED), (_ARGUMENTS, _NEXT), (_ATTRIBUTES, _VALUE)):
         if sign.search(text):
-            found += [(m["name"], *m.span("value"), "quoted") for m in form.finditer(text) if form is not _CALL or _stores(m["name"])]
+            found += [Pair(m["name"], [[_inside(text, *m.span("value"))]]) for m in form.finditer(text) if form is not _CALL or _stores(m["name"])]
     raw = _blocks(text) if assigns else []
     if "</" in text:
         raw += [(m["name"], *m.span("value")) for m in _ELEMENT.finditer(text)]
-    return found + [(n, *_trimmed(text, s, e), "raw") for n, s, e in raw]
-
-
-def _parts(text: str, s: int, e: int, form: str) -> list[tuple[int, int]]:
-    """The literals of a value, without their quotes."""
-    if form != "quoted":
-        return [(s, e)]
-    edge = lambda m: 3 if m.end() - m.start() >= 6 and m[0][:3] in ('"""', "'''") else 1
-    return [(m.start() + edge(m), m.end() - edge(m)) for m in _LITERAL.finditer(text, s, e)]
+    if "<![CDATA[" in text:
+        raw += _cdata(text)
+    if "://" in text:
+        raw += [("password", *m.span("value")) for m in _URL.finditer(text)]
+    return found + [Pair(n, [[_trimmed(text, s, e)]]) for n, s, e in raw]
 
 
 def _reached(starts, steps: dict[str, set[str]], seen: set[str]) -> list[str]:
@@ -192,20 +326,22 @@ def _reached(starts, steps: dict[str, set[str]], seen: set[str]) -> list[str]:
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that sensitive names receive, directly or through constants."""
     low = text.lower()
-    if not any(w in low for w in _SEEDS):
+    if not any(w in low for w in _SEEDS) and not ("://" in low and _URL.search(text)):
         return []
     pairs = _pairs(text)
-    scores = {n: name_score(n) for n in {p[0] for p in pairs}}
+    scores = {n: name_score(n) for n in {p.name for p in pairs}}
     if not any(scores.values()):
         return []
+    known = lambda name: name if name in scores else name.rsplit(".", 1)[-1]  # noqa: E731  a member goes by its own name
     # bare values that name something with a literal are references
     gives: dict[str, set[str]] = {}
     literal = set()
-    for name, s, e, form in pairs:
-        if form == "bare" and (value := text[s:e]) in scores and value != name:
-            gives.setdefault(value, set()).add(name)
-        else:
-            literal.add(name)
+    for p in pairs:
+        for other in [*p.others, *([text[slice(*p.bare)]] if p.bare else [])]:
+            if (value := known(other)) in scores and value != p.name:
+                gives.setdefault(value, set()).add(p.name)
+        if p.literals or p.bare and known(text[slice(*p.bare)]) not in scores:
+            literal.add(p.name)
     grounded: set[str] = set()
     _reached(literal, gives, grounded)
     takes: dict[str, set[str]] = {}
@@ -218,12 +354,15 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
         for n in _reached([name], takes, seen):
             scores[n] = score
     found = set()
-    for name, s, e, form in pairs:
-        if scores[name] < THRESHOLD or form == "bare" and text[s:e] in takes.get(name, ()):
+    for p in pairs:
+        if scores[p.name] < THRESHOLD:
             continue
-        parts = _parts(text, s, e, form)
-        if scores[name] * literal_score("".join(text[i:j] for i, j in parts)) >= THRESHOLD:
-            found.update((i, 3, j) for i, j in parts if j > i)
+        values = list(p.literals)
+        if p.bare and known(text[slice(*p.bare)]) not in takes.get(p.name, ()) and not _MEMBER.match(text[slice(*p.bare)]):
+            values.append([p.bare])
+        for parts in values:
+            if scores[p.name] * literal_score("".join(text[i:j] for i, j in parts)) >= THRESHOLD:
+                found.update((i, 3, j) for i, j in parts if j > i)
     return sorted(found)
 
 

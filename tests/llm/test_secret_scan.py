@@ -95,6 +95,40 @@ def test_pairs_without_an_assignment_sign():
         assert named(clean) == [], clean
 
 
+K = "Zq8-vK2m_Lw0pRt5"
+SECRETS = [  # text, and what is found in it
+    (f'db_pwd: str = "{K}"', [K]), (f'const clientKey: string = "{K}";', [K]), (f'let client_key: Option<String> = "{K}"', None), (f'os.environ["CLIENT_KEY"] = "{K}"', [K]), (f"config['db_pwd'] = '{K}'", [K]),
+    (f'pwd = f"{K}"', [K]), (f'pwd = b"{K}"', [K]), (f"pwd = r'{K}'", [K]), (f'pwd = Rb"{K}"', [K]), (f'pwd = get() or "{K}"', [K]), (f'pwd = process.env.PWD || "{K}"', [K]), (f'pwd = input ?? "{K}"', [K]),
+    (f'pwd, user = "{K}", "bob"', [K]), (f'user, pwd = "bob", "{K}"', [K]), (f'db_pwd ?= "{K}"', [K]), (f'db_pwd ||= "{K}"', [K]), (f"<dbPwd><![CDATA[{K}]]></dbPwd>", [K]), (f'a = pwd = "{K}"', [K]), (f'pwd = a = "{K}"', [K]),
+    (f"postgres://bob:{K}@host/db", [K]), (f'url = "amqp://u:{K}@h"', [K]), (f'part = "{K}"\nclient_key = part + "Jm4+qW7r_Xc1bNd6"', [K, "Jm4+qW7r_Xc1bNd6"]), (f'String pwd = String.format("{K}");', [K]),
+    (f'BASE = "{K}"\nclient_key = settings.BASE', [K]), (f'client_key = base64.b64decode("{K}")', [K]), (f'key = bytes("{K}", "utf8")\nclient_key = key', [K]),
+    ("DB_PWD=tr0ub4dor&3xYz!Qw9", ["tr0ub4dor&3xYz!Qw9"]), ("export DB_PWD=tr0ub4dor&3xYz!Qw9\nX=1", ["tr0ub4dor&3xYz!Qw9"]), ("ENV DB_PWD=a$b(c)9Zq8vK2m", ["a$b(c)9Zq8vK2m"]), ("[db]\npwd = tr0ub4dor#3xYz\nuser = bob", ["tr0ub4dor#3xYz"]),
+    ("pwd: tr0ub4dor#3xYz", ["tr0ub4dor#3xYz"]), ("x?client_key=Zq8vK2mLw0pRt5&user=bob", ["Zq8vK2mLw0pRt5"]), ("connect(user=bob,pwd=Zq8vK2mLw0pRt5!x)", ["Zq8vK2mLw0pRt5!x"]), ("DB_PWD=Zq8vK2mLw0pRt5;USER=bob", ["Zq8vK2mLw0pRt5"]),
+    (f'conn = {{"pwd" : "{K}", "user": "bob"}}', [K]), (f"{{pwd => '{K}'}}", [K]), (f'pwd := "{K}"', [K]), (f'self.db_pwd = "{K}"', [K]), (f'pwd += "{K}"', [K]), (f'var pwd: String? = "{K}"', [K]), (f'pwd: Final[str] = "{K}"', [K]), (f"pwd = '{K}' # note", [K]),
+]
+CLEAN = [
+    "client_key = settings.BASE", 'pwd = String.format("%s of %s", a, b)', "pwd = os.environ.get", "token = get_token(user)", "token: authentication!", "The token: extraordinarily,", "password = input()", "pwd, user = load()", "secret_key: str", "client_key: Optional[str] = None",
+    'api_key = os.getenv("SERVICE_NAME_KEY")', 'pwd = ""', 'pwd = "changeme"', "pwd=${DB_PASSWORD}", "pwd=<your-password>", "see http://host:8080/path@v1", "http://user@host/x", 'user, name = "bob", "Zq8-vK2m_Lw0pRt5"', "a = b = c", 'colour = other = "Zq8-vK2m_Lw0pRt5"',
+    'env["COLOUR"] = "Zq8-vK2m_Lw0pRt5"', "pass: the ball", "key: value", "if pwd == other_value_here1:", "pwd !=  Zq8vK2mLw0pRt5", "def f(pwd: str, user: str) -> bool:", "pin=12", "auth::Zq8vK2mLw0pRt5", "monkey = 'Zq8-vK2m_Lw0pRt5'", "keynote: Zq8-vK2m_Lw0pRt5",
+]
+
+
+def test_forms_of_assignments():
+    for text, want in SECRETS:
+        if want is not None:
+            assert named(text) == want, text
+    for text in CLEAN:
+        assert named(text) == [], text
+
+
+def test_no_half_of_a_secret_stays(spark):
+    texts = [t for t, want in SECRETS if want] + ["password=tr0ub4dor&3xYz!Qw9", "token: abcdefgh$ijkl123 x", 'api_key="abcdefgh/ijk!lmn"']
+    done = ss.cleaned(spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_chars long")).collect()
+    for r in done:
+        for piece in ("tr0ub4dor", "3xYz", "Qw9", "Zq8", "vK2m", "Lw0pRt5", "Xc1bNd6", "ijkl123", "ijk!lmn", "9Zq8"):
+            assert piece not in r.text, (texts[r.doc_id], r.text)
+
+
 def test_findings_covered_by_base_ones_are_not_repeated():
     text = 'secret = "abcdefgh12" ' * 20_000 + 'db_pwd = "tr0ub4dor&3xYz"'
     at = time.perf_counter()
@@ -116,7 +150,7 @@ def test_constants_in_any_order():
 
 def test_time_follows_the_length():
     n = 200_000
-    for text in ("a" * n + "=", "a-1." * n, 'a="' * n, "a='\"" * n, 'a="""' * n, "a=`" * n, "a=" * n, 'key="x" + ' * n, 'key = "' + '\\"' * n, "key" + " " * n, "a=b\nb=a\n" * n, "<pwd>" * n, "<pwd " * n, "<pwd>x</" * n, 'set_pwd("' * n, "pwd(" * n, 'pwd, "pwd", ' * n, "pwd=<<EOF\n" * n, "pwd=<<A\nA\n" * n, "pwd: |\n" * n, "pwd: |\n x\n" * n, " " * n + "pwd", "pwd=" + "\n \t" * n, 'name="pwd" ' * n):
+    for text in ("a" * n + "=", "a-1." * n, 'a="' * n, "a='\"" * n, 'a="""' * n, "a=`" * n, "a=" * n, 'key="x" + ' * n, 'key = "' + '\\"' * n, "key" + " " * n, "a=b\nb=a\n" * n, "<pwd>" * n, "<pwd " * n, "<pwd>x</" * n, 'set_pwd("' * n, "pwd(" * n, 'pwd, "pwd", ' * n, "pwd=<<EOF\n" * n, "pwd=<<A\nA\n" * n, "pwd: |\n" * n, "pwd: |\n x\n" * n, "a, " * n + "= 1", "a,b=1," * n, "a = " * n, "pwd: a " * n, "pwd = x or " * n, "pwd=f(" * n, 'pwd=f("' * n, "a=b,a;" * n, "pwd=" + "," * n, "x://a:" * n, "<pwd><![CDATA[" * n, "<pwd><![CDATA[" * n + "]]>", "pwd[" * n, "pwd['a" * n, " " * n + "pwd", "pwd=" + "\n \t" * n, 'name="pwd" ' * n):
         at = time.perf_counter()
         ss.named_spans(text)
         assert time.perf_counter() - at < 10, text[:20]
