@@ -4,15 +4,16 @@ Word unigrams, word bigrams and character trigrams (of UTF-8 bytes) are hashed
 into tables of weights; a text's score is the sum over the three families of the
 mean weight of its n-grams. The weights are logistic regression on labelled
 quality rows, a bounded sample of ``SAMPLE`` documents, whose n-grams are hashed
-in the tasks; only these lists, of at most 3 x 2^17 entries a document, reach the
-driver. A fifth of the sample is held out to turn scores into probabilities. All
+in the tasks; only these lists, of at most ``MOST_ENTRIES`` n-grams a document (a
+sample by hash of those of a longer one), reach the driver: 330 MB at most, however
+long the texts are. A fifth of the sample is held out to turn scores into probabilities. All
 texts are scored whole, in Arrow batches, against fixed thresholds. A score is
 summed in whole numbers (units of 2^-32), so it does not depend on how the table
 is cut into batches.
 
 Defined results: a null or empty text has no words, fails the base rules and is
-not kept; without labels of both kinds the base rules alone decide; rows that
-share a doc_id are scored each for itself; a very long text is a slice of its
+not kept; without labels of both kinds the base rules alone decide, while one
+label of each kind is enough for a fit; rows that share a doc_id are scored each for itself; a very long text is a slice of its
 own. Extra columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from quire.llm import labelled, textstats
 from quire.llm import textblocks as tb
 
 SAMPLE = 2500
+MOST_ENTRIES = 1 << 14
 BITS = 17
 STEPS = 60
 KEEP_FROM = 0.5
@@ -89,6 +91,19 @@ def calibration(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if np.isfinite(w).all() and w[0] > 0 else (1.0, 0.0)
 
 
+def _bounded(row: np.ndarray, index: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By row and bucket, of each row at most ``MOST_ENTRIES`` entries: those of the smallest hashes, with shares that stand for the others too."""
+    by = np.lexsort((tb.mix(index.astype(np.uint64)), row))
+    row, index, value = row[by], index[by], value[by]
+    n = np.bincount(row, minlength=1)
+    first = np.cumsum(n) - n
+    kept = np.arange(len(row)) - first[row] < MOST_ENTRIES
+    value = (value * np.maximum(n / MOST_ENTRIES, 1.0)[row]).astype(np.float32)
+    row, index, value = row[kept], index[kept], value[kept]
+    by = np.lexsort((index, row))
+    return row[by], index[by], value[by]
+
+
 def _hashed(batches):
     """The n-grams of each text as (bucket, share of the family's n-grams)."""
     for batch in batches:
@@ -103,10 +118,10 @@ def _hashed(batches):
                 index.append(((key & ((1 << BITS) - 1)) + (family << BITS)).astype(np.int32))
                 value.append((times / n[doc]).astype(np.float32))
                 row.append(doc)
-            row = np.concatenate(row)
-            by = np.argsort(row, kind="stable")
-            bounds = pa.array(np.searchsorted(row[by], np.arange(part.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x)[by])) for x in (index, value)]
+            row, index, value = map(np.concatenate, (row, index, value))
+            row, index, value = _bounded(row, index, value)
+            bounds = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (index, value)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *lists], ["id", "y", "bucket", "share"])
 
 
@@ -114,7 +129,7 @@ def fit(rows: pa.Table) -> Model | None:
     """A model from labelled (id, y, bucket, share), or None where one of the two labels is missing."""
     rows = rows.sort_by("id").combine_chunks()
     y = rows.column("y").to_numpy().astype(float)
-    if len(y) < 10 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     index, value = (pa.concat_arrays([c.flatten() for c in rows.column(name).chunks]).to_numpy() for name in ("bucket", "share"))
     row = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(rows.column("bucket")).to_numpy())

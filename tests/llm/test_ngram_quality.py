@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from quire.llm import ngram_quality
 
 SCHEMA = "doc_id long, text string, kept string, n_words int"
@@ -64,3 +66,26 @@ def test_a_long_text_and_repeated_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = sorted((r.n_words, r.kept) for r in ngram_quality.assess(docs, labels).collect())
     assert got == [(0, False), (0, False), (600_000, False)]
+
+
+def test_few_labels_are_labels(spark):
+    """No number of labels switches the classifier off, but a missing kind does."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bad, good = (labels.where(f"quality = {k}").orderBy("doc_id") for k in (0, 1))
+    for n in (1, 4, 6):
+        got = ngram_quality.assess(docs, bad.limit(n).unionByName(good.limit(n))).where("not base_failed")
+        assert 0 < got.where("not kept").count() < got.count()
+    assert ngram_quality.assess(docs, good.limit(6)).where("not base_failed and not kept").count() == 0
+
+
+def test_entries_are_bounded_by_a_sample(monkeypatch):
+    rng = np.random.default_rng(1)
+    row = np.repeat([0, 1, 3], [5000, 40, 3000])
+    index = np.concatenate([rng.permutation(9000)[:n] for n in (5000, 40, 3000)]).astype(np.int32)
+    value = rng.random(len(row)).astype(np.float32)
+    monkeypatch.setattr(ngram_quality, "MOST_ENTRIES", 1000)
+    r, i, v = ngram_quality._bounded(row, index, value)
+    assert np.bincount(r).tolist() == [1000, 40, 0, 1000] and set(zip(r.tolist(), i.tolist())) <= set(zip(row.tolist(), index.tolist()))
+    assert all((np.diff(i[r == k]) > 0).all() for k in (0, 1, 3))
+    assert np.allclose(v[r == 1], value[row == 1][np.argsort(index[row == 1])])
+    assert abs(v[r == 0].sum() / value[row == 0].sum() - 1) < 0.1  # the kept ones stand for the others

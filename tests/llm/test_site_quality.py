@@ -63,3 +63,13 @@ def test_url_levels(spark):
     urls = spark.createDataFrame([("http://A.example.com/fr/825?page=2",), ("bad url",), (None,)], "url string")
     got = urls.select(site_quality.host_of_url(F.col("url")).alias("h"), site_quality.path_of_url(F.col("url")).alias("p")).collect()
     assert [tuple(r) for r in got] == [("a.example.com", "fr"), (None, None), (None, None)]
+
+
+def test_few_labels_are_labels(spark):
+    """No number of labels switches the evidence off, but a missing kind does."""
+    docs, labels = frames(spark, "/root/testdata/sf0.01")
+    bad, good = (labels.where(f"quality = {k}").orderBy("doc_id") for k in (0, 1))
+    for n in (1, 4, 6):
+        got = site_quality.assess(docs, bad.limit(n).unionByName(good.limit(n)))
+        assert got.where("evidence <> 0").count() > 0
+    assert site_quality.assess(docs, good.limit(6)).where("evidence <> 0 or not kept").count() == 0
