@@ -12,8 +12,10 @@ Jaccard similarity.
 Equal texts are one node. Nodes that agree in a band share a bucket. Every node
 of a bucket is first compared exactly with the bucket's lead, its smallest node:
 a bucket of m rows gives m - 1 comparisons, and those alike form classes. Only in
-buckets that still hold several classes the pairs between classes are compared
-too, in blocks of bounded size, so candidates meet through a band they share and
+buckets that still hold several classes pairs between classes are compared too, in
+blocks of bounded size and only those that share one of their rarest shingles, without
+which they cannot be alike; so documents of one template that differ enough do not meet,
+and candidates meet through a band they share and
 never through a chain of others. Similarity is at least 0.8 by default. With
 ``weights="set"`` (the production value) each distinct shingle weighs one, with
 ``"count"`` as often as it occurs.
@@ -43,6 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 BLOCK_SHINGLES = 500_000
+BLOCK_PAIRS = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _NO_ID = -(1 << 63)
 
@@ -166,39 +169,73 @@ def star_pairs(lead: int, nodes: np.ndarray, elements: np.ndarray, first: np.nda
     return [(int(x), int(lead)) for x in nodes[near]]
 
 
+def candidates(doc: np.ndarray, name: np.ndarray, often: np.ndarray, label: np.ndarray, similarity: float):
+    """Pairs (x, y) of documents of different labels that share one of their rarest elements, in runs of bounded size.
+
+    ``doc`` and ``name`` list the distinct elements of the documents, ``often`` how many
+    documents have an element. Two sets at the similarity or above share an element
+    among the first n - ceil(similarity n) + 1 of each, in any order that both follow;
+    by rising frequency these are what the documents of one template do not share.
+    """
+    order = np.lexsort((name, often[name], doc))
+    doc, name = doc[order], name[order]
+    size = np.bincount(doc, minlength=len(label))
+    place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+    head = place < (size - np.ceil(similarity * size - 1e-9) + 1)[doc]
+    doc, name = doc[head], name[head]
+    order = np.lexsort((label[doc], name))
+    doc, name = doc[order], name[order]
+    # of an element, each document meets those of later labels
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (label[doc[1:]] != label[doc[:-1]])])
+    after = np.searchsorted(name, name, side="right")
+    run = np.flatnonzero(new)
+    stop = np.concatenate([run[1:], [len(doc)]])[np.cumsum(new) - 1]
+    count = after - stop
+    upto, at = np.cumsum(count), 0
+    while at < len(doc):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_PAIRS, side="right")))
+        n = count[at:end]
+        left = np.repeat(np.arange(at, end), n)
+        right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + stop[left]
+        x, y = doc[left], doc[right]
+        pair = np.unique(np.minimum(x, y) * len(label) + np.maximum(x, y))
+        yield pair // len(label), pair % len(label)
+        at = end
+
+
 def joined_pairs(ids: np.ndarray, classes: np.ndarray, elements: np.ndarray, first: np.ndarray, similarity: float, weights: str) -> list[tuple[int, int]]:
     """Links between the given classes whose documents have at least this similarity (a spanning forest)."""
     m = len(ids)
     doc, strip = _strips(elements, first, weights)
+    if not len(doc):
+        return []
     name, inverse = np.unique(strip, return_inverse=True)
     pair = np.unique(doc * len(name) + inverse)
     doc, inverse = pair // len(name), pair % len(name)
-    often = np.bincount(inverse, minlength=len(name))
     size = np.bincount(doc, minlength=m)
-    heat = np.bincount(doc, weights=often[inverse], minlength=m) / np.maximum(size, 1)
-    order = np.argsort(-heat, kind="stable")
-    place = np.empty(m, dtype=np.int64)
-    place[order] = np.arange(m)
-    by = np.argsort(place[doc], kind="stable")
-    inverse, size = inverse[by], size[order]
     begin = np.concatenate([[0], np.cumsum(size)])
-    label = np.unique(classes, return_inverse=True)[1][order]
-    mark = np.zeros(len(name), dtype=np.int32)
+    label = np.unique(classes, return_inverse=True)[1]
+    mark = np.zeros(len(name), dtype=bool)
     links = []
-    for x in range(m - 1):
-        if not size[x] or (label[x + 1 :] == label[x]).all():
-            continue
-        own = inverse[begin[x] : begin[x + 1]]
-        mark[own] = 1
-        both = np.add.reduceat(np.append(mark[inverse[begin[x + 1] :]], 0), np.minimum(begin[x + 1 : m] - begin[x + 1], begin[m] - begin[x + 1]))
-        mark[own] = 0
-        other = size[x + 1 :]
-        both = np.where(other > 0, both, 0)
-        near = np.flatnonzero(both >= similarity * (size[x] + other - both) - 1e-9) + x + 1
-        for y in near:
-            if size[y] and label[y] != label[x]:
-                links.append((int(ids[order[x]]), int(ids[order[y]])))
-                label[label == label[y]] = label[x]
+    for left, right in candidates(doc, inverse, np.bincount(inverse, minlength=len(name)), label.copy(), similarity):
+        near = np.minimum(size[left], size[right]) >= similarity * np.maximum(size[left], size[right]) - 1e-9
+        left, right = left[near], right[near]
+        cuts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]])) if len(left) else np.zeros(1, np.int64)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            x, others = left[s], right[s:e]
+            others = others[label[others] != label[x]]
+            if not len(others):
+                continue
+            own = inverse[begin[x] : begin[x + 1]]
+            mark[own] = True
+            n = size[others]
+            at = np.repeat(begin[others] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            both = np.add.reduceat(mark[inverse[at]].astype(np.int64), np.cumsum(n) - n)
+            mark[own] = False
+            for y in others[both >= similarity * (len(own) + n - both) - 1e-9]:
+                if label[y] != label[x]:
+                    links.append((int(ids[x]), int(ids[y])))
+                    label[label == label[y]] = label[x]
     return links
 
 

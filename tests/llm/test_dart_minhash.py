@@ -129,3 +129,48 @@ def test_recall_of_planted_copies_above_the_limit(spark):
             pairs.append((2 * i, 2 * i + 1))
     got = {r.doc_id: r.class_id for r in dm.near_classes(frame(spark, rows)).collect()}
     assert len(pairs) > 100 and all(got[a] == got[b] for a, b in pairs)
+
+
+def template(n, seed=1):
+    """Pages of one template: seven shingles of ten are shared, so bands are, but no two are alike."""
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(0, 2**63, 140).astype(np.uint64)
+    sets = [np.concatenate([shared, rng.integers(0, 2**63, 60).astype(np.uint64)]) for _ in range(n)]
+    return np.concatenate(sets), np.arange(n + 1) * 200
+
+
+def test_pages_of_one_template_do_not_meet():
+    """What is compared grows with the pages, not with their square; those alike are found among them."""
+    seen = {}
+    for n in (500, 1000, 4000):
+        elements, first = template(n)
+        elements = elements.copy()
+        elements[200:400] = elements[:200]  # the second page is nearly the first
+        elements[200:220] = np.arange(20)
+        doc = np.repeat(np.arange(n), 200)
+        name, inverse = np.unique(elements, return_inverse=True)
+        pairs = sum(len(x) for x, _ in dm.candidates(doc, inverse, np.bincount(inverse), np.arange(n), 0.8))
+        seen[n] = pairs
+        got = dm.joined_pairs(np.arange(n) + 7, np.arange(n), elements, first, 0.8, "set")
+        assert got == [(7, 8)]
+    assert seen[4000] <= seen[500] * 8**1.2
+
+
+def test_candidates_hold_every_pair(monkeypatch):
+    """Against all pairs, for sets of many sizes around the limit and several similarities."""
+    rng = np.random.default_rng(3)
+    for limit in (10**6, 20):
+        monkeypatch.setattr(dm, "BLOCK_PAIRS", limit)
+        for similarity in (0.5, 0.8, 0.9, 1.0):
+            sets = []
+            for _ in range(60):
+                base = rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)
+                sets += [np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 60, len(base)).astype(np.uint64), base)) for _ in range(3)]
+            label = rng.integers(0, 100, len(sets))
+            doc, name = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets).astype(np.int64)
+            found = {(int(x), int(y)) for a, b in dm.candidates(doc, name, np.bincount(name), label, similarity) for x, y in zip(a, b, strict=True)}
+            for i in range(len(sets)):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if label[i] != label[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                        assert (j, i) in found
