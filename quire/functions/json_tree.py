@@ -1,4 +1,4 @@
-"""Open JSON of any depth: redaction and key checks as small Arrow-batched helpers."""
+"""Open JSON of any depth: redaction as a small Arrow-batched helper, the check of keys as expressions."""
 
 from __future__ import annotations
 
@@ -23,14 +23,6 @@ def _redact(v):
     return v
 
 
-def _dangerous(v, depth: int = 0) -> bool:
-    if depth > DEPTH or not isinstance(v, (dict, list)):
-        return False
-    if isinstance(v, list):
-        return any(_dangerous(x, depth + 1) for x in v)
-    return any(k in DANGEROUS_KEYS or _dangerous(x, depth + 1) for k, x in v.items())
-
-
 def _parsed(text):
     try:
         return json.loads(text)
@@ -43,15 +35,38 @@ def _redacted(texts: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else json.dumps(_redact(v), ensure_ascii=False, separators=(",", ":")) for v in found], dtype=object)
 
 
-def _checked(texts: pd.Series) -> pd.Series:
-    return pd.Series([_dangerous(_parsed(t)) for t in texts], dtype=bool)
-
-
 def redacted(c: Column | str) -> Column:
     """JSON with the values of sensitive keys replaced; null where the text is no JSON."""
     return F.pandas_udf(_redacted, "string")(c)
 
 
+#: Every text of a JSON, and those of them that are keys: a colon follows only a key.
+_TEXTS, _KEY = r'"(?:[^"\\]|\\.)*"(?:\s*:)?', r'^"(.*)"\s*:$'
+
+
+def _inner(v: Column) -> Column:
+    """The values in an object or a list."""
+    kind = F.schema_of_variant(v)
+    none = F.from_json(F.lit("[]"), "array<variant>")
+    return F.when(kind.startswith("OBJECT"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))).when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(none)
+
+
+def _own_keys(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))).otherwise(F.array().cast("array<string>"))
+
+
 def has_dangerous_key(c: Column | str) -> Column:
-    """Whether a key that could change prototypes occurs down to ``DEPTH`` levels."""
-    return F.pandas_udf(_checked, "boolean")(c)
+    """Whether a key that could change prototypes occurs down to ``DEPTH`` levels below the top; false where the text is no JSON.
+
+    The tree is walked level by level. Where keys are repeated, which the walk cannot
+    read, a dangerous key at any depth counts.
+    """
+    text = F.col(c) if isinstance(c, str) else c
+    v = F.try_parse_json(text)
+    bad = lambda v: F.arrays_overlap(_own_keys(v), F.array(*map(F.lit, sorted(DANGEROUS_KEYS))))
+    start = F.struct(F.array(v).alias("level"), F.lit(False).alias("hit"))
+    step = lambda s, _: F.struct(F.when(s["hit"], F.from_json(F.lit("[]"), "array<variant>")).otherwise(F.flatten(F.transform(s["level"], _inner))).alias("level"), (s["hit"] | F.coalesce(F.exists(s["level"], bad), F.lit(False))).alias("hit"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(DEPTH)), start, step, lambda s: s["hit"])
+    repeated = v.isNull() & (F.json_object_keys(text).isNotNull() | F.json_array_length(text).isNotNull())
+    keys = F.transform(F.regexp_extract_all(text, F.lit(_TEXTS), F.lit(0)), lambda k: F.regexp_extract(k, _KEY, 1))
+    return F.when(v.isNotNull(), walked).when(repeated, F.arrays_overlap(keys, F.array(*map(F.lit, sorted(DANGEROUS_KEYS))))).otherwise(False)

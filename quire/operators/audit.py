@@ -24,10 +24,16 @@ def _findings(rows: DataFrame, *found: Column) -> DataFrame:
     return rows.select(F.inline(F.array_compact(F.array(*found))))
 
 
-def _flagged(rows: DataFrame, key: str, known: DataFrame, flag: str) -> DataFrame:
-    """Rows with ``flag`` true where ``key`` is among the first column of ``known``, else null; no row is repeated."""
-    keys = known.select(F.col(known.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    return rows.join(keys, key, "left")
+def _flagged(rows: DataFrame, key: str, known: DataFrame, flag: str, blanks: bool = False) -> DataFrame:
+    """Rows with ``flag`` true where ``key`` is among the first column of ``known``, else null; no row is repeated.
+
+    Rows with a null or, unless ``blanks`` count as keys, an empty key find nothing, so
+    instead of meeting in one task they are dealt out by names that no key has.
+    """
+    none = F.col(key).isNull() if blanks else blank(F.col(key))
+    keys = known.select(F.col(known.columns[0]).alias("key_")).where("key_ is not null").distinct().withColumn(flag, F.lit(True))
+    dealt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*rows.columns), F.lit(1024)).cast("string"))
+    return rows.withColumn("key_", F.when(none, dealt).otherwise(F.col(key))).join(keys, "key_", "left").drop("key_")
 
 
 def _lacks(key: str, flag: str) -> Column:
@@ -128,7 +134,7 @@ def dangling_jobs(materials: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def idle_ai_tasks(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
-    return _findings(_flagged(tasks.where("state = 'ai-running'"), "id", _live(jobs), "_live"), _idle_task())
+    return _findings(_flagged(tasks.where("state = 'ai-running'"), "id", _live(jobs), "_live", blanks=True), _idle_task())
 
 
 def bad_prefixes(materials: DataFrame) -> DataFrame:

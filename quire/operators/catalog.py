@@ -137,6 +137,48 @@ def migration(owners: DataFrame, objects: DataFrame, entries: DataFrame | None =
     return rows.withColumn("safe", mixed & (F.col("not_in_archive") == 0))
 
 
+#: Why a result is not safe to migrate, and how many missing files are named.
+NOTHING_PARSED, NO_ARCHIVE = "No parsed artifacts found", "No mineru-result.zip found"
+NAMED_MISSING = 3
+
+
+def migration_details(owners: DataFrame, objects: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per owner (id) the whole dry run of a migration: kind, what is there, archive entries, whether ``full.md`` repeats the archive's, what could be removed with its first names, and why that is unsafe.
+
+    ``objects`` (name, size) lie under ``parsed/<id>/``; ``entries`` (id, entry) are
+    what the archives hold, folders end with a slash. Both meet once, by owner and
+    file; the first names are of bounded number, so no owner's files are collected.
+    """
+    place = r"^parsed/([^/]+)/(.+)$"
+    stored = objects.select(F.regexp_extract("name", place, 1).alias("id"), F.regexp_extract("name", place, 2).alias("file"), F.coalesce("size", F.lit(0)).alias("size")).where("id <> ''")
+    sides = stored.select("id", "file", "size", F.lit(True).alias("s"), F.lit(False).alias("e")).unionByName(archive_files(entries).select("id", F.col("entry").alias("file"), F.lit(0).alias("size"), F.lit(False).alias("s"), F.lit(True).alias("e")))
+    files = sides.groupBy("id", "file").agg(F.sum("size").alias("size"), F.bool_or("s").alias("stored"), F.bool_or("e").alias("inside"))
+    expanded = F.col("stored") & ~F.col("file").isin(ARCHIVE, MAIN_FILE, MANIFEST)
+    files = files.withColumns({"expanded": expanded, "lost": expanded & ~F.col("inside")})
+    here = lambda name: F.coalesce(F.bool_or(F.col("stored") & (F.col("file") == name)), F.lit(False))
+    found = files.groupBy("id").agg(
+        F.bool_or("stored").alias("any"), here(ARCHIVE).alias("has_archive"), here(MAIN_FILE).alias("has_main"), F.count_if("expanded").alias("expanded"), F.count_if("inside").alias("entries"),
+        F.coalesce(F.sum(F.when(F.col("expanded"), F.col("size"))), F.lit(0)).alias("bytes"), F.count_if("lost").alias("lost"),
+    )
+
+    def first(flag: str, n: int) -> DataFrame:
+        rows = files.where(flag).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("file"))).where(F.col("nth") <= n)
+        return rows.groupBy("id").agg(F.array_sort(F.collect_list("file")).alias(f"first_{flag}"))
+
+    rows = owners.select("id").join(found, "id", "left").join(first("expanded", SAMPLES), "id", "left").join(first("lost", NAMED_MISSING), "id", "left")
+    kind = F.when(~F.coalesce("any", F.lit(False)), "missing-artifacts").when(~F.col("has_archive"), "expanded-only").when(F.col("expanded") == 0, "zip-source").otherwise("legacy-mixed")
+    mixed, gone = F.col("kind") == "legacy-mixed", F.col("kind") == "missing-artifacts"
+    of_mixed = lambda c, name: F.when(mixed, F.col(c)).otherwise(0).alias(name)
+    missing = F.concat(F.lit("Found "), F.col("lost").cast("string"), F.lit(" expanded objects missing in zip (e.g. "), F.array_join("first_lost", ", "), F.lit(")"))
+    reason = F.when(gone, NOTHING_PARSED).when(F.col("kind") == "expanded-only", NO_ARCHIVE).when(mixed & (F.col("lost") > 0), missing)
+    names = F.transform("first_expanded", lambda f: F.concat(F.lit("parsed/"), F.col("id"), F.lit("/"), f))
+    return rows.withColumn("kind", kind).select(
+        "id", "kind", F.coalesce("has_archive", F.lit(False)).alias("has_archive"), F.coalesce("has_main", F.lit(False)).alias("has_main"), F.when(gone, 0).otherwise(F.col("expanded")).alias("expanded"), of_mixed("entries", "archive_entries"),
+        mixed.alias("main_repeats_archive"), of_mixed("expanded", "removable"), F.when(mixed, names).otherwise(F.array().cast("array<string>")).alias("samples"), of_mixed("bytes", "removable_bytes"), (mixed & (F.col("lost") == 0)).alias("safe"),
+        F.array_compact(F.array(reason)).alias("reasons"),
+    )
+
+
 def migration_summary(rows: DataFrame) -> DataFrame:
     """Counts of each kind and what could safely be removed, from ``migration`` with archive entries."""
     n = lambda kind: F.count_if(F.col("kind") == kind)
@@ -244,3 +286,19 @@ def unpacked_check(entries: DataFrame, objects: DataFrame) -> DataFrame:
     both = sides.groupBy("id", "file").agg(F.max("o").alias("o"), F.max("e").alias("e"))
     rows = both.groupBy("id").agg(F.count_if((F.col("o") == 1) & (F.col("e") == 0)).alias("only_objects"), F.count_if((F.col("o") == 0) & (F.col("e") == 1)).alias("only_entries"))
     return rows.withColumn("safe", F.col("only_objects") == 0)
+
+
+def bad_paths(materials: DataFrame) -> DataFrame:
+    """Materials (id) with whether their stored original, or the parsed file that they name, lies outside their own folder."""
+    outside = lambda c, top: ~under_prefix(F.col(c), top, F.col("id"))
+    return materials.select("id", outside("object_name", "originals").alias("bad_original"), (~blank(F.col("markdown_object_name")) & outside("markdown_object_name", "parsed")).alias("bad_parsed"))
+
+
+def manifest(objects: DataFrame, owner: str = "owner") -> DataFrame:
+    """Per owner the list of its files (nr, name, size) as one text, in order; an owner has the files of one result."""
+    return objects.groupBy(owner).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "nr", "name", "size"))), "|").alias("manifest"))
+
+
+def first_provider(providers: DataFrame, enabled: Column, priority: Column, name: str, last: int = 999) -> DataFrame:
+    """The enabled provider of the lowest priority, those without one at ``last``, then by name; no row if none is enabled."""
+    return providers.where(enabled).orderBy(F.coalesce(priority, F.lit(last)), name).limit(1)

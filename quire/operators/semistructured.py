@@ -271,9 +271,12 @@ def source_facts(jobs: DataFrame, materials: DataFrame, tasks: DataFrame) -> Dat
     return rows.select(F.col("id").alias("job_id"), "material_id", *(c.alias(k) for k, c in facts.items()))
 
 
-def skeleton(reason: Column, parsed: Column, level: Column, source: dict[str, Column]) -> Column:
-    """The whole result that stands for a failed classification, as a struct; ``source`` has the facts on the file.
+def skeleton(reason: Column, parsed: Column, level: Column, source: dict[str, Column], versions: tuple[str, str] = ("unknown", "unknown"), tags: dict[str, Column] | None = None) -> Column:
+    """The whole result that stands for a failed classification, as a struct.
 
+    ``source`` has the facts on the file, ``versions`` those of the taxonomy and of its
+    rules, ``tags`` the lists of system tags that are known. To write it as JSON keep
+    null fields (``ignoreNullFields`` false): the controlled facets are null.
     Fixed values: the names of its parts and their contents.
     """
     failed = F.coalesce((level == "low") & (reason != ""), F.lit(False))
@@ -283,19 +286,23 @@ def skeleton(reason: Column, parsed: Column, level: Column, source: dict[str, Co
     empty = lambda *names: F.struct(*(F.lit("").alias(n) for n in names))
     lists = lambda *names: F.struct(*(none.alias(n) for n in names))
     said = F.struct(F.lit("system").alias("type"), F.lit("AI provider failed; fallback skeleton generated").alias("quote_or_summary"), F.array(F.lit("human_review_required")).alias("supports"))
+    system = F.struct(*((tags or {}).get(k, none).alias(k) for k in ("format_tags", "artifact_tags", "engine_tags")))
     return F.struct(
+        F.lit(versions[0]).alias("taxonomy_version"), F.lit(versions[1]).alias("rules_version"),
         F.struct(*(c.alias(k) for k, c in source.items())).alias("source"),
         F.struct(*(empty("zh", "en").alias(f) for f in FACET_NAMES)).alias("primary_facets"),
         empty("series_title", "edition", "year", "publisher_org", "language").alias("descriptive_metadata"),
         lists("topic_tags", "skill_tags").alias("search_tags"),
+        F.struct(*(F.lit(None).cast("string").alias(f) for f in FACET_NAMES)).alias("controlled_classification"),
         lists("topic_tags", "skill_tags").alias("normalized_tags"),
         none.alias("proposed_new_tags"),
-        F.struct(F.lit(True).alias("required"), F.array(F.lit("skeleton_fallback")).alias("reasons")).alias("classification_review"),
+        F.struct(F.lit(True).alias("required"), F.array(F.lit("skeleton_fallback")).alias("reasons"), F.from_json(F.lit("{}"), "map<string,string>").alias("unmatched_facets")).alias("classification_review"),
         F.struct(
             level.alias("confidence"), F.lit(True).alias("human_review_required"), F.coalesce(reason, F.lit("")).alias("human_review_reason"), F.lit("partial").alias("markdown_quality"), F.lit(False).alias("duplicate_candidate"),
             F.lit("keep_pending_review").alias("retention_policy"), F.when(failed, got["risk_flags"]).otherwise(none).alias("risk_flags"),
         ).alias("governance"),
         F.when(failed, F.array(said)).otherwise(F.array().cast("array<struct<type:string,quote_or_summary:string,supports:array<string>>>")).alias("evidence"),
+        system.alias("system_tags"),
         F.struct(F.when(F.coalesce(parsed, F.lit(0)) == 0, F.array(F.lit("no_parsed_artifacts"))).otherwise(none).alias("quality"), none.alias("relationship"), none.alias("retention"), signals.alias("risk")).alias("governance_signals"),
         F.lit("").alias("recommended_catalog_path"), F.lit("needs_human_review").alias("catalog_change_type"),
     )

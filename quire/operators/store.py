@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ RUN_KEYS = (
 )
 RECOVERED_STATES = ("completed", "review-pending", "ai-pending", "running")
 RUNNING_STATES = ("running", "mineru-processing", "ai-running")
-_DONE = "_COMPLETE"
+_CLAIM, _DONE = "_CLAIMED", "_COMPLETE"
 
 
 def _in_order(changes: DataFrame, order: str | None) -> DataFrame:
@@ -264,17 +265,32 @@ def versions(spark, folder: str, name: str | None = None) -> list[int]:
     return [v for v in numbers if name is None or files.exists(path(f"{folder}/v{v:08d}/{name}"))]
 
 
+def _claimed(spark, folder: str) -> int:
+    """A number for a version that no other writer has: a file that only one of them can create."""
+    files, path = _files(spark, folder)
+    started = [s.getPath().getName() for s in files.listStatus(path(folder))] if files.exists(path(folder)) else []
+    number = 1 + max((int(f[1:]) for f in started if f[:1] == "v" and f[1:].isdigit()), default=0)
+    while True:
+        try:
+            files.create(path(f"{folder}/v{number:08d}/{_CLAIM}"), False).close()
+            return number
+        except Py4JJavaError as taken:
+            if not files.exists(path(f"{folder}/v{number:08d}/{_CLAIM}")):
+                raise taken
+            number += 1
+
+
 def save(collections: dict[str, DataFrame], folder: str) -> int:
     """The collections as the next version of the store; its number.
 
     A version is written beside the others and counts once its marker is there,
     so what is being read is never overwritten, a failed write changes nothing and
-    the version before is the backup.
+    the version before is the backup. Writers that save at the same time get numbers
+    of their own; the higher one is the newer.
     """
     spark = next(iter(collections.values())).sparkSession
     files, path = _files(spark, folder)
-    started = [s.getPath().getName() for s in files.listStatus(path(folder))] if files.exists(path(folder)) else []
-    number = 1 + max((int(f[1:]) for f in started if f[:1] == "v" and f[1:].isdigit()), default=0)
+    number = _claimed(spark, folder)
     for name, rows in collections.items():
         rows.write.mode("error").parquet(f"{folder}/v{number:08d}/{name}")
     files.create(path(f"{folder}/v{number:08d}/{_DONE}"), False).close()

@@ -174,7 +174,7 @@ def failure(text: Column) -> dict[str, Column]:
 
 
 def adjudicated(raw: Column, startup: bool = False) -> dict[str, Column]:
-    """What an external status makes of a stale task and its material; null where nothing changes.
+    """What an external status makes of a stale task and of its material (status, parse and AI status); null where nothing changes.
 
     At start-up a finished task goes straight to storing its result, and an
     unknown status fails like a lost one.
@@ -190,6 +190,8 @@ def adjudicated(raw: Column, startup: bool = False) -> dict[str, Column]:
         "task_stage": F.when(working, external_stage(status)).when(done, "store" if startup else "result-fetching").when(status == "failed", "mineru-failed"),
         "external": F.when(done, "completed").when(status == "failed", "failed").when(lost, F.lower(raw)).otherwise(status if startup else F.when(working, F.lower(raw))),
         "material_status": F.when(status == "failed", "failed").when((working | done) & F.lit(not startup), "processing"),
+        "material_parse": F.when(status == "failed", "failed").when(done & F.lit(not startup), "completed").when(working & F.lit(not startup), status),
+        "material_ai": F.when(status == "failed", "pending"),
     }
 
 
@@ -207,3 +209,20 @@ def overdue(updated: Column, now: Column, timeout_seconds: Column | int, grace_s
     """Whether the last update is longer ago than the timeout and the grace."""
     limit = timeout_seconds if isinstance(timeout_seconds, Column) else F.lit(timeout_seconds)
     return F.unix_timestamp(now) - F.unix_timestamp(updated) > limit + grace_seconds
+
+
+def jobs_of_tasks(jobs: DataFrame) -> DataFrame:
+    """Per task that has jobs: their ids in order, and whether any of them is waiting or running; a task has few jobs."""
+    return jobs.where(truthy(F.col("parse_task_id"))).groupBy("parse_task_id").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.bool_or(F.col("state").isin("pending", "running")).alias("active"))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Progress in whole percent; 0 without a positive total."""
+    return F.coalesce(F.round(F.try_divide(done, F.when(total > 0, total)) * 100).cast("bigint"), F.lit(0))
+
+
+def confirmed_at_startup(materials: DataFrame, tasks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(id, task_id, job_id) of materials to bring up to date: of completed tasks whose last job, by ``seq``, is confirmed."""
+    last = jobs.where(truthy(F.col("parse_task_id"))).groupBy(F.col("parse_task_id").alias("task_id")).agg(F.max_by(F.struct("id", "state"), "seq").alias("job")).where("job.state = 'confirmed'")
+    done = tasks.where("state = 'completed'").select(F.col("id").alias("task_id"), F.col("material_id").alias("id"))
+    return last.join(done, "task_id").join(materials.select("id"), "id").select("id", "task_id", F.col("job.id").alias("job_id"))

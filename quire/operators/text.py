@@ -210,3 +210,9 @@ def timeout_ms(value: Column) -> Column:
 
 def confidence(label: Column) -> Column:
     return F.when(label == "high", 90).when(label == "medium", 60).otherwise(30)
+
+
+def url_expiry(url: Column) -> Column:
+    """When a signed address expires, in seconds since 1970; null where it does not say."""
+    part = lambda name: F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
+    return F.unix_timestamp(F.try_to_timestamp(part("X-Amz-Date"), F.lit("yyyyMMdd'T'HHmmss'Z'"))) + part("X-Amz-Expires").try_cast("bigint")

@@ -64,7 +64,7 @@ QUERIES = {
         with_collections("materials", "SELECT id, CAST(CASE WHEN tags = '' THEN 0 ELSE len(string_split(tags, ',')) END AS INT) AS n_tags FROM materials"),
     ),
     "f15_key_prefix": _q(
-        "materials", ["*"], lambda m: m.select("id", (~F.col("object_name").startswith(F.concat(F.lit("originals/"), "id", F.lit("/")))).alias("bad_original"), (~blank(F.col("markdown_object_name")) & ~F.col("markdown_object_name").startswith(F.concat(F.lit("parsed/"), "id", F.lit("/")))).alias("bad_parsed")),
+        "materials", ["*"], catalog.bad_paths,
         "SELECT id, NOT starts_with(object_name, 'originals/' || id || '/') AS bad_original, coalesce(markdown_object_name, '') <> '' AND NOT starts_with(markdown_object_name, 'parsed/' || id || '/') AS bad_parsed FROM materials",
     ),
     "f16_f17_allow_lists": _q("objects", ["name", "nr", "owner"], lambda o: o.where(F.lower(F.substring_index("name", ".", -1)).isin("pdf", "md")), "SELECT name, nr, owner FROM objects WHERE lower(list_extract(string_split(name, '.'), -1)) IN ('pdf', 'md')"),
@@ -82,7 +82,7 @@ QUERIES = {
     "o5_events_of_task": (lambda s, d: table(s, d, "events").where("user_id = 3").orderBy("ts", "event_id").select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE user_id = 3"),
     "o6_numeric_ids": (lambda s, d: table(s, d, "supplier").orderBy(F.col("s_suppkey").desc()).limit(9).select("s_suppkey"), "SELECT s_suppkey FROM supplier ORDER BY s_suppkey DESC LIMIT 9"),
     "o8_provider_pick": (
-        lambda s, d: table(s, d, "nation").where("n_regionkey <> 0").orderBy(F.coalesce(F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")), F.lit(999)), "n_name").limit(1).select("n_name"),
+        lambda s, d: catalog.first_provider(table(s, d, "nation"), F.col("n_regionkey") != 0, F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")), "n_name").select("n_name"),
         "SELECT n_name FROM nation WHERE n_regionkey <> 0 ORDER BY coalesce(CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END, 999), n_name LIMIT 1",
     ),
     "o9_o10_page": (lambda s, d: catalog.page(table(s, d, "part").orderBy("p_name", "p_partkey"), 3, 12).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 12 OFFSET 24"),
@@ -100,7 +100,7 @@ QUERIES = {
     "a7_storage": (lambda s, d: catalog.storage(collection(s, d, "objects")), with_collections("objects", "SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM objects GROUP BY ROLLUP (bucket)")),
     "a12_facet_values": (lambda s, d: catalog.facet(_m(s, d), "subject"), with_collections("materials", "SELECT DISTINCT trim(subject) AS value FROM materials WHERE trim(subject) <> ''")),
     "a13_grouped_any": (
-        lambda s, d: collection(s, d, "jobs").where("parse_task_id <> ''").groupBy("parse_task_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.bool_or(F.col("state").isin("pending", "running")).alias("active")),
+        lambda s, d: tasks.jobs_of_tasks(collection(s, d, "jobs")).withColumn("ids", F.array_join("ids", ",")),
         with_collections("jobs", "SELECT parse_task_id, string_agg(id, ',' ORDER BY id) AS ids, bool_or(state IN ('pending', 'running')) AS active FROM jobs WHERE parse_task_id <> '' GROUP BY parse_task_id"),
     ),
     "a14_reset_counts": (

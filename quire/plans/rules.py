@@ -132,6 +132,15 @@ def migration(spark, sf_dir):
     return catalog.migration(owners, files.where("stored"), entries)
 
 
+def migration_details(spark, sf_dir):
+    """All owners; the archives also hold a folder each."""
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    files = collection(spark, sf_dir, "results")
+    entries = files.where("inside").select("id", F.col("file").alias("entry")).unionByName(files.where("file = 'full.md'").select("id", F.lit("images/").alias("entry")))
+    got = catalog.migration_details(owners, files.where("stored"), entries)
+    return got.withColumn("samples", F.array_join("samples", ",")).withColumn("reasons", F.array_join("reasons", ";"))
+
+
 _MIGRATION = """w AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey <= 450), f AS (SELECT *, file NOT IN ('mineru-result.zip', 'full.md', 'artifact-manifest.json') AS e FROM results WHERE stored),
   g AS (SELECT id, bool_or(file = 'mineru-result.zip') AS z, bool_or(file = 'full.md') AS main, count(*) FILTER (e) AS n, coalesce(sum(size) FILTER (e), 0) AS b, count(*) FILTER (e AND NOT inside) AS lost FROM f GROUP BY id),
   s AS (SELECT id, string_agg(file, ',' ORDER BY file) AS samples FROM (SELECT * FROM f WHERE e QUALIFY row_number() OVER (PARTITION BY id ORDER BY file) <= 5) GROUP BY id),
@@ -161,7 +170,8 @@ def _adjudicated(startup):
         SELECT id, CASE WHEN raw IS NULL THEN NULL WHEN w THEN 'running' WHEN raw = 'Done' THEN '{"result-store" if startup else "running"}' WHEN raw = 'strange' THEN {"'failed'" if startup else "NULL"} ELSE 'failed' END AS task_state,
           CASE WHEN raw IN ('queued', 'pending') THEN 'mineru-queued' WHEN raw = 'running' THEN 'mineru-processing' WHEN raw = 'Done' THEN '{"store" if startup else "result-fetching"}' WHEN raw IN ('error', 'cancelled') THEN 'mineru-failed' END AS task_stage,
           CASE WHEN raw = 'Done' THEN 'completed' WHEN raw IN ('error', 'cancelled') THEN 'failed' WHEN raw = 'not_found' THEN raw {"WHEN raw = 'strange' THEN raw WHEN raw = 'running' THEN 'processing' WHEN w THEN 'queued'" if startup else "WHEN w THEN raw"} END AS external,
-          CASE WHEN raw IN ('error', 'cancelled') THEN 'failed' {"" if startup else "WHEN w OR raw = 'Done' THEN 'processing'"} END AS material_status FROM s""",
+          CASE WHEN raw IN ('error', 'cancelled') THEN 'failed' {"" if startup else "WHEN w OR raw = 'Done' THEN 'processing'"} END AS material_status,
+          CASE WHEN raw IN ('error', 'cancelled') THEN 'failed' {"" if startup else "WHEN raw = 'Done' THEN 'completed' WHEN raw = 'running' THEN 'processing' WHEN w THEN 'queued'"} END AS material_parse, CASE WHEN raw IN ('error', 'cancelled') THEN 'pending' END AS material_ai FROM s""",
     )
 
 
@@ -287,6 +297,19 @@ QUERIES = {
         with_collections("runs", "WITH k AS (SELECT CASE WHEN state IN ('failed', 'canceled') THEN 'failed' WHEN state = 'completed' THEN 'completed' WHEN state = 'pending' OR (state = 'running' AND stage = 'mineru-queued') THEN 'pending' ELSE 'processing' END AS k FROM runs) SELECT count(*) AS total, count(*) FILTER (k = 'pending') AS n_pending, count(*) FILTER (k = 'processing') AS n_processing, count(*) FILTER (k = 'failed') AS n_failed, count(*) FILTER (k = 'completed') AS n_completed FROM k"),
     ),
     "a9_migration_estimate": (migration, with_collections("results", f"WITH {_MIGRATION} SELECT * FROM r")),
+    "a9_migration_details": (
+        migration_details,
+        with_collections(
+            "results",
+            """WITH w AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer), f AS (SELECT *, stored AND file NOT IN ('mineru-result.zip', 'full.md', 'artifact-manifest.json') AS e FROM results),
+            g AS (SELECT id, bool_or(stored) AS there, bool_or(stored AND file = 'mineru-result.zip') AS z, bool_or(stored AND file = 'full.md') AS main, count(*) FILTER (e) AS n, count(*) FILTER (inside) AS i, coalesce(sum(size) FILTER (e), 0) AS b, count(*) FILTER (e AND NOT inside) AS lost,
+              array_to_string(list(file ORDER BY file) FILTER (e AND NOT inside)[1:3], ', ') AS missing, list_transform(list(file ORDER BY file) FILTER (e)[1:5], lambda x: 'parsed/' || id || '/' || x) AS names FROM f GROUP BY id),
+            k AS (SELECT w.id AS id, CASE WHEN NOT coalesce(there, false) THEN 'missing-artifacts' WHEN NOT z THEN 'expanded-only' WHEN n = 0 THEN 'zip-source' ELSE 'legacy-mixed' END AS kind, * EXCLUDE (id) FROM w LEFT JOIN g USING (id))
+            SELECT id, kind, coalesce(z, false) AS has_archive, coalesce(main, false) AS has_main, CASE WHEN kind = 'missing-artifacts' THEN 0 ELSE n END AS expanded, CASE WHEN kind = 'legacy-mixed' THEN i ELSE 0 END AS archive_entries, kind = 'legacy-mixed' AS main_repeats_archive,
+              CASE WHEN kind = 'legacy-mixed' THEN n ELSE 0 END AS removable, CASE WHEN kind = 'legacy-mixed' THEN array_to_string(names, ',') ELSE '' END AS samples, CAST(CASE WHEN kind = 'legacy-mixed' THEN b ELSE 0 END AS BIGINT) AS removable_bytes, kind = 'legacy-mixed' AND lost = 0 AS safe,
+              CASE WHEN kind = 'missing-artifacts' THEN 'No parsed artifacts found' WHEN kind = 'expanded-only' THEN 'No mineru-result.zip found' WHEN kind = 'legacy-mixed' AND lost > 0 THEN 'Found ' || lost || ' expanded objects missing in zip (e.g. ' || missing || ')' ELSE '' END AS reasons FROM k""",
+        ),
+    ),
     "a9_migration_summary": (
         lambda s, d: catalog.migration_summary(migration(s, d)),
         with_collections("results", f"WITH {_MIGRATION} SELECT count(*) AS scanned, count(*) FILTER (kind = 'legacy-mixed') AS legacy_mixed, count(*) FILTER (kind = 'zip-source') AS zip_source, count(*) FILTER (kind = 'expanded-only') AS expanded_only, CAST(coalesce(sum(removable) FILTER (safe), 0) AS BIGINT) AS removable, CAST(coalesce(sum(removable_bytes) FILTER (safe), 0) AS BIGINT) AS removable_bytes FROM r"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.json_tree import has_dangerous_key, redacted
 from quire.operators import semistructured as semi
-from quire.operators import taxonomy
+from quire.operators import tasks, taxonomy
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
 
@@ -137,7 +137,17 @@ def skeletons(spark, sf_dir):
 
 def percent(spark, sf_dir):
     done, total = F.col("o_orderkey") % 40, F.col("o_custkey") % 4 * 16
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.round(F.try_divide(done, F.when(total > 0, total)) * 100).cast("bigint"), F.lit(0)).alias("percent"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tasks.percent(done, total).alias("percent"))
+
+
+#: Orders as nested JSON: a sensitive key in a third of them, a dangerous one as a key or, which does not matter, as a value.
+_DEEP_SQL = """SELECT o_orderkey AS id, o_orderkey AS k, '{"a":[1,{"' || CASE WHEN o_orderkey % 3 = 0 THEN 'userToken' ELSE 'user' END || '":' AS head,
+  '{"x":[{"' || CASE WHEN o_orderkey % 5 = 0 THEN '__proto__' ELSE 'y' END || '":"constructor"}]}' AS inner_json, '},null],"b":{"c":{"' || CASE WHEN o_orderkey % 7 = 0 THEN 'prototype' ELSE 'type' END || '":"' || o_orderpriority || '"}}}' AS tail FROM orders"""
+
+
+def _deep(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_as_json")
+    return spark.sql(_DEEP_SQL.replace("FROM orders", "FROM orders_as_json")).select("id", F.concat("head", "inner_json", "tail").alias("j"))
 
 
 QUERIES = {
@@ -146,6 +156,8 @@ QUERIES = {
         """SELECT n_nationkey, '{"a":{"apiKey":"<redacted>","list":[{"Token_x":"<redacted>","b":"' || n_name || '"}]},"id":' || n_nationkey || '}' AS json FROM nation""",
     ),
     "f13_dangerous_keys": (dangerous, "SELECT n_nationkey, n_nationkey % 3 = 0 AS dangerous FROM nation"),
+    "f12_whole_redaction": (lambda s, d: _deep(s, d).select("id", redacted("j").alias("json")), f"SELECT id, CASE WHEN k % 3 = 0 THEN head || '\"<redacted>\"' || tail ELSE head || inner_json || tail END AS json FROM ({_DEEP_SQL})"),
+    "f13_whole_dangerous_keys": (lambda s, d: _deep(s, d).select("id", has_dangerous_key("j").alias("dangerous")), f"SELECT id, k % 5 = 0 OR k % 7 = 0 AS dangerous FROM ({_DEEP_SQL})"),
     "n5_fallback_skeleton": (
         skeletons,
         """WITH f AS (SELECT *, 'skeleton_fallback' || CASE n_nationkey % 3 WHEN 0 THEN ',ai_provider_json_parse_failed' WHEN 1 THEN ',ai_provider_json_repair_failed' ELSE '' END AS risk_flags FROM nation)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import catalog, store
+from quire.operators import catalog, store, tasks
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
 
@@ -127,7 +127,7 @@ QUERIES = {
         "SELECT 'customer' AS collection, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events",
     ),
     "s11_manifest": (
-        lambda s, d: collection(s, d, "objects").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "nr", "name", "size"))), "|").alias("manifest")),
+        lambda s, d: catalog.manifest(collection(s, d, "objects")),
         with_collections("objects", "SELECT owner, string_agg(nr || ':' || name || ':' || size, '|' ORDER BY nr || ':' || name || ':' || size) AS manifest FROM objects GROUP BY owner"),
     ),
     "s10_archive_entries": (
@@ -135,7 +135,7 @@ QUERIES = {
         with_collections("objects", "SELECT owner, name AS entry FROM objects WHERE NOT ends_with(name, '/') AND contains(name, '/')"),
     ),
     "j9_startup_sync": (
-        lambda s, d: _sync(s, d),
+        lambda s, d: tasks.confirmed_at_startup(*(collection(s, d, n) for n in ("materials", "tasks", "jobs"))),
         with_collections(
             "materials tasks jobs",
             """SELECT m.id, t.id AS task_id, j.id AS job_id FROM (SELECT * FROM jobs WHERE parse_task_id <> '' QUALIFY row_number() OVER (PARTITION BY parse_task_id ORDER BY seq DESC) = 1) j
@@ -143,14 +143,3 @@ QUERIES = {
         ),
     ),
 }
-
-
-def _sync(spark, sf_dir):
-    """Completed tasks whose last job is confirmed, with their material."""
-    from pyspark.sql import Window
-
-    m, t, j = (collection(spark, sf_dir, n) for n in ("materials", "tasks", "jobs"))
-    last = j.where("parse_task_id <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("parse_task_id").orderBy(F.col("seq").desc()))).where("_n = 1 and state = 'confirmed'")
-    last = last.select(F.col("id").alias("job_id"), F.col("parse_task_id").alias("task_id"))
-    done = t.where("state = 'completed'").select(F.col("id").alias("task_id"), F.col("material_id").alias("id"))
-    return last.join(done, "task_id").join(m.select("id"), "id").select("id", "task_id", "job_id")

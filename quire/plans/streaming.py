@@ -8,7 +8,7 @@ from quire import sources
 from quire.plans.logs import ROWS, SUM
 from quire.plans.proxies import collection, with_collections
 from quire.sources import table
-from quire.streaming import events, keep_state, logs, new_folder, poll, polled, read_events, replayed, run_now, stateful
+from quire.streaming import Replay, events, keep_state, logs, new_folder, poll, polled, read_events, run_now, stateful
 
 
 def _tenth():
@@ -31,23 +31,28 @@ def changes(spark, sf_dir):
 
 def changes_over_batches(spark, sf_dir):
     meaning = F.concat_ws("|", "event_type", (F.col("value") > 50).cast("string"))
-    stream = replayed(table(spark, sf_dir, "events"), _tenth(), 3)
-    return run_now(stateful.changes_only(stream, "user_id", "ts", "event_id", meaning)).select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
+    replay, folder = Replay(table(spark, sf_dir, "events"), _tenth(), 3), new_folder(spark)
+    for _ in replay.steps():
+        found = run_now(stateful.changes_only(replay.stream(), "user_id", "ts", "event_id", meaning), folder=folder)
+    return found.select(F.col("key").alias("event_id"), F.col("task").alias("user_id"))
 
 
 def newest_of_streams(spark, sf_dir):
     """The ring buffer: 500 newest events of each type, kept over several batches and read from the state."""
-    folder = new_folder(spark)
-    keep_state(stateful.newest(replayed(table(spark, sf_dir, "events"), F.col("event_id") % 3, 3), "event_type", "ts", "event_id", ["ts", "event_id", "user_id"]), folder)
+    replay, folder = Replay(table(spark, sf_dir, "events"), F.col("event_id") % 3, 3), new_folder(spark)
+    for _ in replay.steps():
+        keep_state(stateful.newest(replay.stream(), "event_type", "ts", "event_id", ["ts", "event_id", "user_id"]), folder)
     return stateful.recent(spark, folder).select("stream", F.col("key").alias("event_id"), "user_id")
 
 
 def attributed_late(spark, sf_dir):
-    """Starts are the first event of each user, and come after the observations."""
+    """Starts are an hour after the first event of each user; half of the observations and of the starts come later than the others."""
     e = table(spark, sf_dir, "events")
     starts = e.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 1 HOUR")).alias("begun"))
-    seen = replayed(e.select("event_id", "user_id", "ts"), F.col("event_id") % 2, 2)
-    return run_now(events.attributed_late(seen, replayed(starts, F.col("user_id") % 2, 2), "user_id", "ts", "begun", "3650 days", "'3650' DAY").select("event_id", "user_id"))
+    seen, begun, folder = Replay(e.select("event_id", "user_id", "ts"), F.col("event_id") % 2, 2), Replay(starts, F.col("user_id") % 2, 2), new_folder(spark)
+    for _ in zip(seen.steps(), begun.steps(), strict=True):
+        found = run_now(events.attributed_late(seen.stream(), begun.stream(), "user_id", "ts", "begun", "3650 days", "'3650' DAY").select("event_id", "user_id"), folder=folder)
+    return found
 
 
 def judged_by_batch(spark, sf_dir):
@@ -55,21 +60,27 @@ def judged_by_batch(spark, sf_dir):
     folder = new_folder(spark)
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("source"), "ts", F.when(F.col("event_id") % 5 == 0, "api-alive-only").otherwise("active-progress").alias("level"))
     tasks = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 25).alias("source"), F.col("c_custkey").alias("task"), F.when(F.col("c_custkey") % 2 == 0, F.lit("2999-01-01")).otherwise("1970-01-01").cast("timestamp_ntz").alias("started_at")).where("task <= 60")
-    poll(replayed(e, F.col("event_id") % 3, 3), events.attribution(lambda k: tasks.where(F.col("task") % 3 == k % 3), folder, "ts", "level"), folder).awaitTermination()
+    replay = Replay(e, F.col("event_id") % 3, 3)
+    for _ in replay.steps():
+        poll(replay.stream(), events.attribution(lambda k: tasks.where(F.col("task") % 3 == k % 3), folder, "ts", "level"), folder).awaitTermination()
     return polled(spark, folder, "event_id long, source long, attribution string, task long, batch int").select("event_id", "attribution", "task", "batch")
 
 
 def once_within(spark, sf_dir):
     """Every event comes a second time, ten days later."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts")
-    stream = replayed(e.crossJoin(spark.range(2).withColumnRenamed("id", "copy")), _tenth() + F.col("copy"), 4)  # two copies
-    return run_now(events.once_within(stream, "event_id", "ts", "5 days").select("event_id"))
+    e = table(spark, sf_dir, "events").select("event_id", "ts").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    replay, folder = Replay(e, _tenth() + F.col("copy"), 4), new_folder(spark)
+    for _ in replay.steps():
+        found = run_now(events.once_within(replay.stream(), "event_id", "ts", "5 days").select("event_id"), folder=folder)
+    return found
 
 
 def compacted_by_loop(spark, sf_dir):
     folder = new_folder(spark)
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    poll(replayed(e, F.col("event_id") % 3, 3), events.compaction(folder, e, "user_id", "ts", "event_id", 10), folder).awaitTermination()
+    replay = Replay(e, F.col("event_id") % 3, 3)
+    for _ in replay.steps():
+        poll(replay.stream(), events.compaction(folder, e, "user_id", "ts", "event_id", 10), folder).awaitTermination()
     return events.compacted(spark, folder, e, "user_id").select("event_id", "user_id")
 
 
@@ -107,7 +118,9 @@ def observed_in_parts(spark, sf_dir):
     folder = new_folder(spark)
     lines = collection(spark, sf_dir, "log_lines")
     most = lines.agg(F.max("seq")).first()[0] + 1
-    poll(replayed(lines, F.floor(F.col("seq") * 3 / most).cast("int"), 3), logs.observer(folder), folder).awaitTermination()
+    replay = Replay(lines, F.floor(F.col("seq") * 3 / most).cast("int"), 3)
+    for _ in replay.steps():
+        poll(replay.stream(), logs.observer(folder), folder).awaitTermination()
     counts = polled(spark, folder, "source long, n_progress long, n_changes long, n_business long, batch int").groupBy("source").agg(*(F.sum(c).alias(c) for c in ("n_progress", "n_changes", "n_business")))
     return counts.join(logs.state(spark, folder, "long"), "source").select("source", "n_progress", "n_changes", "n_business", "context", "phase", "total_pages")
 

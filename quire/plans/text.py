@@ -135,8 +135,7 @@ def numbers(spark, sf_dir):
 
 def expiry(spark, sf_dir):
     url = F.concat(F.lit("https://s/x?X-Amz-Date=2026"), F.lpad((F.col("o_orderkey") % 12 + 1).cast("string"), 2, "0"), F.lit("05T101500Z&X-Amz-Expires="), (F.col("o_orderkey") % 5000).cast("string"))
-    at = F.to_timestamp(F.parse_url(url, F.lit("QUERY"), F.lit("X-Amz-Date")), "yyyyMMdd'T'HHmmss'Z'")
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.unix_timestamp(at) + F.parse_url(url, F.lit("QUERY"), F.lit("X-Amz-Expires")).try_cast("bigint")).alias("expires"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.url_expiry(url).alias("expires"))
 
 
 

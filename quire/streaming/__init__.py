@@ -25,13 +25,20 @@ def read_events(spark: SparkSession, path: str, files: int = BATCH_FILES) -> Dat
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def replayed(rows: DataFrame, nth: Column, parts: int) -> DataFrame:
-    """A table as a stream of ``parts`` micro-batches, a row in that of its number ``nth`` (from 0), through one file each in the shared folder."""
-    spark = rows.sparkSession
-    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    for k in range(parts):
-        rows.where(nth == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+class Replay:
+    """A table that comes in steps: each writes the rows of its number ``nth`` (from 0) to a folder in the shared one, whose ``stream`` is run after it."""
+
+    def __init__(self, rows: DataFrame, nth: Column, parts: int):
+        self.rows, self.nth, self.parts = rows, nth, parts
+        self.folder = f"{shared_folder(rows.sparkSession)}/replay-{uuid.uuid4().hex}"
+
+    def stream(self) -> DataFrame:
+        return self.rows.sparkSession.readStream.schema(self.rows.schema).parquet(self.folder)
+
+    def steps(self) -> Iterator[int]:
+        for k in range(self.parts):
+            self.rows.where(self.nth == k).write.mode("append").parquet(self.folder)
+            yield k
 
 
 @contextmanager

@@ -119,3 +119,20 @@ def test_flattened_results(spark):
     for r in rows[:3]:
         assert (r.title, r.subject, r.grade) == ("解析失败", "", "") and r.tags is None and r.confidence is None and r.needs_review is None
     assert (rows[3].title, rows[3].tags, rows[3].confidence, rows[3].needs_review) == ("", ["1", "t", "true", "e", "x", '{"other":1}', "pdf"], 30, True)
+
+
+def test_whole_skeleton(spark):
+    """Every part of the result that stands for a failed one."""
+    facts = {"material_id": F.lit("7"), "file_name": F.lit("a.pdf"), "file_size": F.lit(0)}
+    made = semistructured.skeleton(F.lit("json_parse_failed"), F.lit(0), F.lit("low"), facts, ("v0.1", "r2"), {"format_tags": F.array(F.lit("pdf"))})
+    got = json.loads(spark.range(1).select(F.to_json(made, {"ignoreNullFields": "false"}).alias("j")).first().j)
+    names = ("domain", "collection", "curriculum", "stage", "level", "subject", "resource_type", "component_role")
+    flags = ["skeleton_fallback", "ai_provider_json_parse_failed"]
+    assert got == {
+        "taxonomy_version": "v0.1", "rules_version": "r2", "source": {"material_id": "7", "file_name": "a.pdf", "file_size": 0}, "primary_facets": {n: {"zh": "", "en": ""} for n in names},
+        "descriptive_metadata": {"series_title": "", "edition": "", "year": "", "publisher_org": "", "language": ""}, "search_tags": {"topic_tags": [], "skill_tags": []}, "controlled_classification": dict.fromkeys(names),
+        "normalized_tags": {"topic_tags": [], "skill_tags": []}, "proposed_new_tags": [], "classification_review": {"required": True, "reasons": ["skeleton_fallback"], "unmatched_facets": {}},
+        "governance": {"confidence": "low", "human_review_required": True, "human_review_reason": "json_parse_failed", "markdown_quality": "partial", "duplicate_candidate": False, "retention_policy": "keep_pending_review", "risk_flags": flags},
+        "evidence": [{"type": "system", "quote_or_summary": "AI provider failed; fallback skeleton generated", "supports": ["human_review_required"]}], "system_tags": {"format_tags": ["pdf"], "artifact_tags": [], "engine_tags": []},
+        "governance_signals": {"quality": ["no_parsed_artifacts"], "relationship": [], "retention": [], "risk": [*flags, "skeleton_fallback", "low_confidence", "needs_human_review"]}, "recommended_catalog_path": "", "catalog_change_type": "needs_human_review",
+    }

@@ -111,3 +111,16 @@ def test_markdown_of(spark):
     cases = {'" x\\n"': "x", '{"results":{"k":{"mdcontent":" a "}}}': "a", '{"results":{},"text":"t"}': "t", '[{"text":" l "}]': "l", '{"data":[1," s "]}': "s", '{"md_content":"","data":{"markdown":"m"}}': "m", "{}": "", "not json": ""}
     df = spark.createDataFrame([(k,) for k in cases], "j string")
     assert {r.j: r.m for r in df.select("j", semistructured.markdown_of(F.col("j")).alias("m")).collect()} == cases
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """Each gets a version of its own, and both are whole."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "store")
+    store.save({"materials": rows(spark, 1)}, folder)
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: store.save({"materials": rows(spark, n)}, folder), (2, 3, 4, 5)))
+    assert sorted(numbers) == [2, 3, 4, 5] and store.versions(spark, folder) == [1, 2, 3, 4, 5]
+    written = {n: k for n, k in zip(numbers, (2, 3, 4, 5), strict=True)}
+    assert store.load(spark, folder, ("materials",))["materials"].count() == written[5]
