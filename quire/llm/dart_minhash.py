@@ -45,7 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 BLOCK_SHINGLES = 500_000
-BLOCK_PAIRS = 1 << 20
+BLOCK_PAIRS = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
 _NO_ID = -(1 << 63)
 
