@@ -91,15 +91,13 @@ VARIANTS = "array<variant>"
 
 
 def _texts(v: Column, path: str = "$") -> Column:
-    """The value at a path if it is a string."""
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
+    """The value at a path if it is a string: no other value of a variant can be cast to bytes."""
+    return F.try_variant_get(v, path, "binary").cast("string")
 
 
 def _list(v: Column, path: str = "$") -> Column:
     """The value at a path if it is an array, else an empty array."""
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind.startswith("ARRAY"), F.try_variant_get(v, path, VARIANTS)).otherwise(F.from_json(F.lit("[]"), VARIANTS))
+    return F.coalesce(F.try_variant_get(v, path, VARIANTS), F.from_json(F.lit("[]"), VARIANTS))
 
 
 def evidence_of(json: Column, most: int = 20) -> Column:
@@ -158,16 +156,14 @@ ARTIFACT_URLS = ("url", "download_url", "downloadUrl", "presignedUrl")
 
 def _counts(v: Column) -> Column:
     """A variant, if it counts as true: no null, empty text, zero or false."""
-    kind = F.schema_of_variant(v)
-    nothing = (kind == "VOID") | ((kind == "STRING") & (F.try_variant_get(v, "$", "string") == "")) | ((kind == "BOOLEAN") & ~F.try_variant_get(v, "$", "boolean")) | (F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(1.0)) == 0) & ~(kind == "STRING")
-    return F.when(~nothing, v)
+    plain = lambda kind: F.try_variant_get(v, "$", kind)
+    nothing = lambda kind: F.when(kind == "VOID", True).when(kind == "STRING", plain("string") == "").otherwise(F.coalesce(plain("double") == 0, F.lit(False)))
+    return F.when(json_map.let(F.schema_of_variant(v), lambda kind: ~nothing(kind)), v)
 
 
-def _items(v: Column) -> Column:
-    """The elements of a list; a value that is no list is its only element, and what counts as false gives none."""
-    kind = F.schema_of_variant(v)
-    none = F.from_json(F.lit("[]"), VARIANTS)
-    return F.when(v.isNull(), none).when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", VARIANTS)).otherwise(F.array_compact(F.array(_counts(v))))
+def _items(v: Column, path: str) -> Column:
+    """The elements of the list at a path; a value that is no list is its only element, and what is not there or counts as false gives null."""
+    return F.coalesce(F.try_variant_get(v, path, VARIANTS), json_map.let(_counts(F.try_variant_get(v, path, "variant")), lambda x: F.when(x.isNotNull(), F.array(x))))
 
 
 def artifacts_of(rows: DataFrame, key: str, json: str) -> DataFrame:
@@ -176,20 +172,33 @@ def artifacts_of(rows: DataFrame, key: str, json: str) -> DataFrame:
     They come from eight places, one after the other: lists of items, or one item. Of
     an element of ``results`` or ``data`` its ``artifacts`` count, however empty the
     list is, else its ``files``. An item needs a name, the first of its names that
-    counts as true, which must be a filled text, and bytes or else an address.
+    counts as true, which must be a filled text, and bytes or else an address. All is
+    one expression under one generator, so a result is read once.
     """
-    v = F.try_parse_json(json)
-    at = lambda path: F.try_variant_get(v, path, "variant")
-    own = lambda r: _items(F.coalesce(_counts(F.try_variant_get(r, "$.artifacts", "variant")), _counts(F.try_variant_get(r, "$.files", "variant"))))
-    inner = lambda path: F.flatten(F.transform(_list(v, path), own))
-    lists = [_items(at(p)) for p in ("$.artifacts", "$.files", "$.data.artifacts", "$.data.files", "$.results.artifacts", "$.results.files")]
-    every = rows.select(key, F.posexplode(F.concat(*lists, inner("$.results"), inner("$.data"))).alias("nth", "v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    pick = lambda names: F.coalesce(*(_counts(F.try_variant_get(F.col("v"), f"$['{n}']", "variant")) for n in names))
-    kind = F.try_variant_get(pick(ARTIFACT_TYPES), "$", "string")
-    found = every.select(key, "nth", _texts(pick(ARTIFACT_NAMES)).alias("path"), F.nullif(stripped(kind), F.lit("")).alias("media_type"), _texts(pick(ARTIFACT_BYTES)).alias("bytes"), _texts(pick(ARTIFACT_URLS)).alias("url"))
-    source = F.when(stripped(F.col("bytes")) != "", "bytes").when(F.col("url").rlike(r"(?i)^https?://"), "url")
-    found = found.withColumn("source", source).where(F.col("source").isNotNull() & (stripped(F.col("path")) != ""))
-    return found.select(key, "nth", "path", "media_type", "source", F.when(F.col("source") == "bytes", F.col("bytes")).otherwise(F.col("url")).alias("content"))
+    let = json_map.let
+    none = F.from_json(F.lit("[]"), VARIANTS)
+    inner = lambda v, path: F.flatten(F.transform(_list(v, path), lambda r: F.coalesce(_items(r, "$.artifacts"), _items(r, "$.files"), none)))
+    places = ("$.artifacts", "$.files", "$.data.artifacts", "$.data.files", "$.results.artifacts", "$.results.files")
+    every = lambda v: F.concat(*(F.coalesce(_items(v, p), none) for p in places), inner(v, "$.results"), inner(v, "$.data"))
+
+    def one(item: Column, name: str) -> Column:
+        """(text, any): the value as a text if it is one, and whatever it is; null if it does not count as true."""
+        pair = lambda text, any: F.struct(text.alias("text"), any.alias("any"))
+        some = lambda x: (x != "false") & F.coalesce(x.try_cast("double") != 0, F.lit(True))
+        other = let(F.try_variant_get(item, f"$['{name}']", "string"), lambda x: F.when(some(x), pair(F.lit(None).cast("string"), x)))
+        return let(_texts(item, f"$['{name}']"), lambda t: F.when(t != "", pair(t, t)).when(t.isNull(), other))
+
+    def read(item: Column) -> Column:
+        first = lambda names: F.coalesce(*(one(item, n) for n in names))
+        return F.struct(first(ARTIFACT_NAMES)["text"].alias("path"), F.nullif(stripped(first(ARTIFACT_TYPES)["any"]), F.lit("")).alias("media_type"), first(ARTIFACT_BYTES)["text"].alias("bytes"), first(ARTIFACT_URLS)["text"].alias("url"))
+
+    def row(nth: Column, r: Column) -> Column:
+        source = F.when(stripped(r["bytes"]) != "", "bytes").when(r["url"].rlike(r"(?i)^https?://"), "url")
+        return F.struct(nth.alias("nth"), r["path"].alias("path"), r["media_type"].alias("media_type"), source.alias("source"), F.when(stripped(r["bytes"]) != "", r["bytes"]).otherwise(r["url"]).alias("content"))
+
+    found = lambda v: F.transform(every(v), lambda x, i: let(read(x), lambda r: row(i, r)))
+    whole = F.filter(let(F.try_parse_json(json), found), lambda r: r["source"].isNotNull() & (stripped(r["path"]) != ""))
+    return rows.select(key, F.inline(whole))
 
 
 FACET_NAMES = ("domain", "collection", "curriculum", "stage", "level", "subject", "resource_type", "component_role")

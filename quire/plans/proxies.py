@@ -119,14 +119,16 @@ SQL = {
 }
 
 
-def collection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def collection(spark: SparkSession, sf_dir: str, name: str, spread: str | None = None) -> DataFrame:
+    """A stand-in; ``spread`` names a unique column by which its small source rows are dealt to the tasks before the long texts are made, as a small file is one task."""
     used = [t for t in ("customer", "orders", "lineitem") if "{" + t + "}" in SQL[name]]
     query = SQL[name]
     for brace in "{}":
         query = query.replace(brace, brace * 2)
     for t in used:
         query = query.replace("{{" + t + "}}", "{" + t + "}")
-    return spark.sql(query, **{t: table(spark, sf_dir, t) for t in used})
+    rows = {t: table(spark, sf_dir, t) for t in used}
+    return spark.sql(query, **{t: df.repartition(spread) if spread else df for t, df in rows.items()})
 
 
 def with_collections(names: str, body: str) -> str:

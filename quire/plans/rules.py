@@ -176,7 +176,7 @@ def _adjudicated(startup):
 
 
 def papers(spark, sf_dir):
-    return collection(spark, sf_dir, "papers")
+    return collection(spark, sf_dir, "papers", "o_orderkey")
 
 
 def evidence(spark, sf_dir):
