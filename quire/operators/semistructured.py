@@ -222,28 +222,53 @@ def flattened(json: Column) -> dict[str, Column]:
     A result without facets has the title that says so, no subject and no grade, and
     nothing else.
     """
-    v = F.try_parse_json(json)
-    got = lambda p: F.coalesce(_texts(v, p), F.lit(""))
-    zh = lambda f: text_or(got(f"$.controlled_classification.{f}.zh"), got(f"$.primary_facets.{f}.zh"))
-    subject, stage, level, kind = (zh(f) for f in ("subject", "stage", "level", "resource_type"))
-    summary = F.array_join(F.filter(F.array(subject, stage, level, kind), lambda x: x != ""), " · ")
+    found = _flat(json)
+    return {k: found[k] for k in FLAT}
+
+
+#: Fixed value: the columns of a flattened result.
+FLAT = ("title", "subject", "grade", "material_type", "language", "curriculum", "tags", "summary", "confidence", "needs_review")
+
+
+def flat_rows(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, the columns of ``flattened``) of each row; every result is read once."""
+    return rows.select(key, F.inline(F.array(_flat(F.col(json)))))
+
+
+def _flat(json: Column) -> Column:
+    """What ``flattened`` gives, as one struct."""
+    let = json_map.let
     plain = lambda x: F.try_variant_get(x, "$", "string")
     is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
     label = lambda x: F.coalesce(F.nullif(_texts(x, "$.zh"), F.lit("")), _texts(x, "$.en"))
     name = lambda x: F.when(is_object(x), label(x)).otherwise(plain(x))
     system = lambda x: F.when(is_object(x), F.coalesce(F.nullif(label(x), F.lit("")), plain(x))).otherwise(plain(x))
     lists = [("$.normalized_tags.topic_tags", name), ("$.normalized_tags.skill_tags", name), *((f"$.system_tags.{k}_tags", system) for k in ("format", "engine", "artifact"))]
-    level_of = got("$.governance.confidence")
-    asked = F.coalesce(F.try_variant_get(v, "$.governance.human_review_required", "boolean"), F.lit(False))
-    found = {
-        "title": text_or(got("$.descriptive_metadata.series_title"), text_or(summary, subject)),
-        "subject": subject, "grade": text_or(level, stage), "material_type": text_or(kind, zh("component_role")), "language": text_or(got("$.descriptive_metadata.language"), "中文"), "curriculum": zh("curriculum"),
-        "tags": F.concat(*(F.transform(_list(v, p), n) for p, n in lists)), "summary": summary,
-        "confidence": F.when(level_of == "high", 90).when(level_of == "medium", 60).otherwise(30), "needs_review": asked | (level_of != "high"),
-    }
-    some = _counts(F.try_variant_get(v, "$.primary_facets", "variant")).isNotNull()
+    filled = lambda v, p: let(_texts(v, p), lambda t: F.when(t != "", t))
+    zh = lambda v, f: F.coalesce(filled(v, f"$.controlled_classification.{f}.zh"), _texts(v, f"$.primary_facets.{f}.zh"), F.lit(""))
+    facets = ("subject", "stage", "level", "resource_type", "component_role", "curriculum")
+
+    def texts(v: Column) -> Column:
+        said = {"series": "$.descriptive_metadata.series_title", "spoken": "$.descriptive_metadata.language", "sure": "$.governance.confidence"}
+        return F.struct(*(zh(v, f).alias(f) for f in facets), *(F.coalesce(_texts(v, p), F.lit("")).alias(k) for k, p in said.items()))
+
+    def shown(v: Column, t: Column) -> Column:
+        summary = F.array_join(F.filter(F.array(*(t[f] for f in facets[:4])), lambda x: x != ""), " · ")
+        asked = F.coalesce(F.try_variant_get(v, "$.governance.human_review_required", "boolean"), F.lit(False))
+        tags = F.concat(*(F.transform(_list(v, p), n) for p, n in lists))
+        made = lambda summary: {
+            "title": text_or(t["series"], text_or(summary, t["subject"])),
+            "subject": t["subject"], "grade": text_or(t["level"], t["stage"]), "material_type": text_or(t["resource_type"], t["component_role"]), "language": text_or(t["spoken"], "中文"), "curriculum": t["curriculum"],
+            "tags": tags, "summary": summary,
+            "confidence": F.when(t["sure"] == "high", 90).when(t["sure"] == "medium", 60).otherwise(30), "needs_review": asked | (t["sure"] != "high"),
+        }
+        return let(summary, lambda s: F.struct(*(c.alias(k) for k, c in made(s).items())))
+
     failed = {"title": F.lit(FAILED_TITLE), "subject": F.lit(""), "grade": F.lit("")}
-    return {k: F.when(some, c).otherwise(failed[k]) if k in failed else F.when(some, c) for k, c in found.items()}
+    kinds = {"tags": "array<string>", "confidence": "int", "needs_review": "boolean"}
+    without = F.struct(*(failed.get(k, F.lit(None).cast(kinds.get(k, "string"))).alias(k) for k in FLAT))
+    some = lambda v: _counts(F.try_variant_get(v, "$.primary_facets", "variant")).isNotNull()
+    return let(F.try_parse_json(json), lambda v: F.when(some(v), let(texts(v), lambda t: shown(v, t))).otherwise(without))
 
 
 def source_facts(jobs: DataFrame, materials: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -185,14 +185,12 @@ def evidence(spark, sf_dir):
 
 
 def flat(spark, sf_dir):
-    got = semistructured.flattened(F.col("body"))
-    got["tags"] = F.array_join(got["tags"], ",")
-    return papers(spark, sf_dir).select("id", *_fields(got))
+    return semistructured.flat_rows(papers(spark, sf_dir), "id", "body").withColumn("tags", F.array_join("tags", ","))
 
 
 def unfaceted(spark, sf_dir):
-    got = semistructured.flattened(F.col("result"))
-    return collection(spark, sf_dir, "payloads").select("id", got["title"].alias("title"), F.array_join(got["tags"], ",").alias("tags"), got["confidence"].alias("confidence"))
+    got = semistructured.flat_rows(collection(spark, sf_dir, "payloads", "o_orderkey"), "id", "result")
+    return got.select("id", "title", F.array_join("tags", ",").alias("tags"), "confidence")
 
 
 def facts(spark, sf_dir):

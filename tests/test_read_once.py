@@ -13,3 +13,7 @@ def reads(spark, name, what):
 
 def test_artifacts(spark):
     assert reads(spark, "n11_artifact_rows", "parseJson") == 1
+
+
+def test_flattened_results(spark):
+    assert reads(spark, "n7_flattened_result", "parseJson") == reads(spark, "n7_results_without_facets", "parseJson") == 1
