@@ -206,10 +206,10 @@ FACET_NAMES = ("domain", "collection", "curriculum", "stage", "level", "subject"
 
 def facet_values(rows: DataFrame, key: str, json: str) -> DataFrame:
     """(key, name, value) of the facets of a result, whose values are texts or {zh, en}."""
-    v = F.try_parse_json(json)
-    path = lambda f, end="": F.nullif(_texts(v, f"$.primary_facets.{f}{end}"), F.lit(""))
-    pairs = F.array(*(F.struct(F.lit(f).alias("name"), F.coalesce(path(f), path(f, ".zh"), path(f, ".en")).alias("value")) for f in FACET_NAMES))
-    return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.name", "p.value").where(F.trim("value") != "")
+    facets = F.try_variant_get(F.try_parse_json(json), "$.primary_facets", json_map.MAP)
+    text = lambda path: F.nullif(_texts(F.col("v"), path), F.lit(""))
+    found = rows.select(key, F.explode(facets).alias("name", "v")).where(F.col("name").isin(*FACET_NAMES))
+    return found.select(key, "name", F.coalesce(text("$"), text("$.zh"), text("$.en")).alias("value")).where(F.trim("value") != "")
 
 
 #: Fixed value: the title of a result without facets.

@@ -17,3 +17,7 @@ def test_artifacts(spark):
 
 def test_flattened_results(spark):
     assert reads(spark, "n7_flattened_result", "parseJson") == reads(spark, "n7_results_without_facets", "parseJson") == 1
+
+
+def test_facet_values(spark):
+    assert reads(spark, "x1_facet_values", "parseJson") == 1
