@@ -201,12 +201,14 @@ def facts(spark, sf_dir):
 
 
 def skeletons(spark, sf_dir):
-    r = collection(spark, sf_dir, "runs")
+    r = collection(spark, sf_dir, "runs", "o_orderkey")
     level = F.expr("IF(seq % 3 = 0, 'medium', 'low')")
     whole = F.to_json(semistructured.skeleton(F.expr("CASE seq % 4 WHEN 0 THEN 'json_parse_failed' WHEN 1 THEN 'Repair error' WHEN 2 THEN '' END"), F.get_json_object("metadata", "$.parsedFilesCount").cast("int"), level, {"material_id": F.col("material_id"), "file_name": F.col("message")}))
-    return r.select("id", whole.alias("s")).select(
-        "id", *(F.get_json_object("s", f"$.{p}").alias(n) for n, p in (("material", "source.material_id"), ("domain", "primary_facets.domain"), ("confidence", "governance.confidence"), ("flags", "governance.risk_flags"), ("risk", "governance_signals.risk"), ("quality", "governance_signals.quality"), ("change", "catalog_change_type"))),
-        F.coalesce(F.json_array_length(F.get_json_object("s", "$.evidence")), F.lit(0)).alias("n_evidence"),
+    parts = ("source", "primary_facets", "governance", "governance_signals", "catalog_change_type", "evidence")
+    s = r.select("id", F.json_tuple(whole, *parts).alias(*parts))  # the text is made and read once
+    return s.select(
+        "id", *(F.get_json_object(c, f"$.{p}").alias(n) for n, c, p in (("material", "source", "material_id"), ("domain", "primary_facets", "domain"), ("confidence", "governance", "confidence"), ("flags", "governance", "risk_flags"), ("risk", "governance_signals", "risk"), ("quality", "governance_signals", "quality"))),
+        F.col("catalog_change_type").alias("change"), F.coalesce(F.json_array_length("evidence"), F.lit(0)).alias("n_evidence"),
     )
 
 

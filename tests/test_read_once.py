@@ -21,3 +21,7 @@ def test_flattened_results(spark):
 
 def test_facet_values(spark):
     assert reads(spark, "x1_facet_values", "parseJson") == 1
+
+
+def test_whole_skeleton(spark):
+    assert reads(spark, "n5_whole_skeleton", "to_json") == reads(spark, "n5_whole_skeleton", "json_tuple") == 1
