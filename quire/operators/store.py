@@ -101,20 +101,23 @@ def _bodies(changes: DataFrame, key: str, body: str, metadata: str, insert: bool
     what the last value of the metadata that is no object puts in its place (null if
     none does, as with ``insert``), ``added`` the metadata keys that came after it, and ``touched`` whether an object did. Values are told apart
     before they are grouped, so a key with many changes is summed up like any other.
+    A body is read once, into rows (level, name, value) that need no order of their own.
     """
-    read = _in_order(changes, order).withColumn("_map", json_map.entries(F.col(body))).where(F.col("_map").isNotNull())
-    top = read.select(key, "order_", F.explode("_map").alias("name", "value")).withColumn("value", F.to_json("value"))
-    is_object = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-    resets = F.when(~is_object & F.lit(not insert), F.col("order_"))
-    whole = top.where(F.col("name") == metadata).groupBy(key).agg(F.max(resets).alias("_reset"), F.max_by("value", resets).alias("replaced"), F.max(F.when(is_object, F.col("order_"))).alias("_object"))
-    whole = whole.withColumn("touched", F.col("_object").isNotNull() & (F.col("_reset").isNull() | (F.col("_object") > F.col("_reset")))).drop("_object")
-    inner = top.where((F.col("name") == metadata) & is_object).select(key, "order_", F.explode(json_map.entries(F.col("value"))).alias("name", "value")).withColumn("value", F.to_json("value"))
-    inner = inner.join(whole.select(key, "_reset"), key, "left").where(F.col("_reset").isNull() | (F.col("order_") > F.col("_reset"))).drop("_reset")
-    flat = top.where(F.col("name") != metadata).withColumn("level", F.lit("given")).unionByName(inner.withColumn("level", F.lit("added")))
-    last = flat.groupBy(key, "level", "name").agg(F.max_by("value", "order_").alias("value"))
-    pair = F.struct("name", "value")
-    maps = last.groupBy(key).agg(*(F.map_from_entries(F.collect_list(F.when(F.col("level") == level, pair))).alias(level) for level in ("given", "added")))
-    return read.select(key).distinct().withColumn("changed_", F.lit(True)).join(maps, key, "left").join(whole.drop("_reset"), key, "left")
+    row = lambda level, name=None, value=None: F.struct(F.lit(level).alias("level"), (F.lit(None).cast("string") if name is None else name).alias("name"), (F.lit(None).cast("string") if value is None else value).alias("value"))
+    inner = lambda v: F.transform(F.map_entries(F.try_variant_get(v, "$", json_map.MAP)), lambda e: row("added", e["key"], F.to_json(e["value"])))
+    other = lambda v: F.array_compact(F.array(F.when(F.lit(not insert), row("replaced", None, F.to_json(v)))))
+    # what is no object is no map
+    of_metadata = lambda v: json_map.let(inner(v), lambda rows: F.when(rows.isNotNull(), F.concat(F.array(row("object")), rows)).otherwise(other(v)))
+    of_entry = lambda e: F.when(e["key"] == metadata, of_metadata(e["value"])).otherwise(F.array(row("given", e["key"], F.to_json(e["value"]))))
+    of_body = json_map.let(F.flatten(F.transform(F.map_entries(json_map.entries(F.col(body))), of_entry)), lambda rows: F.when(F.size(rows) == 0, F.array(row("changed"))).otherwise(rows))
+    flat = _in_order(changes, order).select(key, "order_", F.inline(of_body))
+    last = flat.groupBy(key, "level", "name").agg(F.max_by("value", "order_").alias("value"), F.max("order_").alias("order_"))
+    of = lambda level, c: F.when(F.col("level") == level, c)
+    pairs = lambda level: F.collect_list(of(level, F.struct("name", "value", "order_"))).alias(level)
+    whole = last.groupBy(key).agg(F.max(of("replaced", F.col("order_"))).alias("_reset"), F.max(of("replaced", F.col("value"))).alias("replaced"), F.max(of("object", F.col("order_"))).alias("_object"), pairs("given"), pairs("added"))
+    late = lambda at: F.col("_reset").isNull() | (at > F.col("_reset"))
+    as_map = lambda found: F.map_from_entries(F.transform(found, lambda x: F.struct(x["name"], x["value"])))
+    return whole.select(key, F.lit(True).alias("changed_"), as_map(F.col("given")).alias("given"), as_map(F.filter("added", lambda x: late(x["order_"]))).alias("added"), "replaced", (F.col("_object").isNotNull() & late(F.col("_object"))).alias("touched"))
 
 
 def patch_json(rows: DataFrame, changes: DataFrame, key: str = "id", body: str = "body", metadata: str = "metadata", insert: bool = False, order: str | None = None) -> DataFrame:

@@ -24,4 +24,10 @@ def test_facet_values(spark):
 
 
 def test_whole_skeleton(spark):
-    assert reads(spark, "n5_whole_skeleton", "to_json") == reads(spark, "n5_whole_skeleton", "json_tuple") == 1
+    assert reads(spark, "n5_whole_skeleton", "json_tuple") == 1
+
+
+def test_patches_in_order(spark):
+    """The metadata and every body once."""
+    for name in ("m2_json_patches_in_order", "m2_json_patch"):
+        assert reads(spark, name, "from_json(MapType") + reads(spark, name, "from_json(ArrayType(MapType") == 2, name
