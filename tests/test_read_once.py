@@ -29,5 +29,5 @@ def test_whole_skeleton(spark):
 
 def test_patches_in_order(spark):
     """The metadata and every body once."""
-    for name in ("m2_json_patches_in_order", "m2_json_patch"):
+    for name in ("m2_json_patches_in_order", "m2_json_patch", "m4_json_puts_in_order", "m4_json_merge_put"):
         assert reads(spark, name, "from_json(MapType") + reads(spark, name, "from_json(ArrayType(MapType") == 2, name
