@@ -164,7 +164,8 @@ class WordEncoder:
         mixed = {s for s in other if not self._exotic.search(s)}
         other -= mixed
         plain.update(map(str.lower, mixed))
-        fresh, strange = list(plain - self.stretches.keys()), list(other - self.stretches.keys())
+        known = self.stretches  # a difference of sets would walk through the whole cache
+        fresh, strange = [s for s in plain if s not in known], [s for s in other if s not in known]
         self._learn(fresh, strange)
         capital = [s for s in mixed if s not in self.stretches]
         self.stretches.update([(s, self.stretches[s.lower()]) for s in capital])
@@ -214,16 +215,21 @@ class Chains:
         keep, drop, shift, came, worth = queue.append, queue.pop, queue.popleft, back.append, keys.append
         j = len(points)
         points.extend(at)
+        i, last = queue[0], keys[queue[-1]]
+        head, base = points[i], keys[i] + window  # the padding takes off what the point adds
         for here, price in zip(at, cost, strict=True):
-            while here - points[queue[0]] > window:
+            while here - head > window:
                 shift()
-            i = queue[0]
-            key = keys[i] + window + price  # the padding takes off what the point adds
+                i = queue[0]
+                head, base = points[i], keys[i] + window
+            key = base + price
             came(i)
             worth(key)
-            while queue and keys[queue[-1]] >= key:
+            while last >= key:  # never the first, whose key is smaller by a window
                 drop()
+                last = keys[queue[-1]]
             keep(j)
+            last = key
             j += 1
 
     def _chain(self, j: int) -> list[int]:
