@@ -34,7 +34,9 @@ def _last_of_each(pairs: Column) -> Column:
 def entries(json: Column) -> Column:
     """A JSON object as a map: empty for null or blank, null for what is no readable object. A JSON null stays a value of its key."""
     # as the only element of a list, so that nothing may follow the object
-    given = F.when(blank(F.trim(json)), F.lit("[{}]")).otherwise(F.concat(F.lit("["), json, F.lit("]")))
+    bare = F.btrim(json, F.lit(" \t\n\r"))
+    # what has no braces at its ends is not read at all: to fail at a text costs more than to read it
+    given = F.when(blank(F.trim(json)), F.lit("[{}]")).when(bare.startswith("{") & bare.endswith("}"), F.concat(F.lit("["), json, F.lit("]")))
     return let(F.from_json(given, f"array<{MAP}>"), lambda found: F.when(F.size(found) == 1, let(F.get(found, F.lit(0)), _last_of_each)))
 
 

@@ -94,30 +94,44 @@ def insert_unless_active(incoming: DataFrame, tasks: DataFrame, active: tuple[st
     return found.select(*incoming.columns, (F.coalesce("refused_", F.lit(False)) & F.col("there_").isNull()).alias("conflict"))
 
 
-def _bodies(changes: DataFrame, key: str, body: str, metadata: str, insert: bool, order: str | None) -> DataFrame:
-    """All bodies of a key as one, applied one after another: (key, given, replaced, added, touched), maps of JSON texts.
-
-    ``given`` are the top keys but the metadata with their last values. ``replaced`` is
-    what the last value of the metadata that is no object puts in its place (null if
-    none does, as with ``insert``), ``added`` the metadata keys that came after it, and ``touched`` whether an object did. Values are told apart
-    before they are grouped, so a key with many changes is summed up like any other.
-    A body is read once, into rows (level, name, value) that need no order of their own.
+def _bodies(changes: DataFrame, columns: list[str], key: str, body: str, metadata: str, insert: bool, order: str | None) -> DataFrame:
+    """All bodies of a key as one, applied one after another: (key, ``_new_<column>``, replaced, added, touched), values as variants.
+
+    ``_new_<column>`` is the last value that a body gives a column (null if none does; a
+    JSON null is a value). ``replaced`` is what the last value of the metadata that is no
+    object puts in its place (null if none does, as with ``insert``), ``added`` the
+    metadata keys that came after it as a map, and ``touched`` whether an object did.
+    Values are told apart before they are grouped, so a key with many changes is summed
+    up like any other. A body is read once, into rows (level, name, value) that need no
+    order of their own.
     """
-    row = lambda level, name=None, value=None: F.struct(F.lit(level).alias("level"), (F.lit(None).cast("string") if name is None else name).alias("name"), (F.lit(None).cast("string") if value is None else value).alias("value"))
-    inner = lambda v: F.transform(F.map_entries(F.try_variant_get(v, "$", json_map.MAP)), lambda e: row("added", e["key"], F.to_json(e["value"])))
-    other = lambda v: F.array_compact(F.array(F.when(F.lit(not insert), row("replaced", None, F.to_json(v)))))
+    no_keys = F.create_map(F.lit(""), F.lit(None).cast("variant"))  # one row for a body without keys: no value in JSON is null itself
+    read = _in_order(changes, order).select(key, "order_", json_map.entries(F.col(body)).alias("_map"))
+    top = read.select(key, "order_", F.explode_outer(F.when(F.size("_map") == 0, no_keys).otherwise(F.col("_map"))).alias("_top", "_value"))
+    of_metadata = F.col("_top") == metadata
     # what is no object is no map
-    of_metadata = lambda v: json_map.let(inner(v), lambda rows: F.when(rows.isNotNull(), F.concat(F.array(row("object")), rows)).otherwise(other(v)))
-    of_entry = lambda e: F.when(e["key"] == metadata, of_metadata(e["value"])).otherwise(F.array(row("given", e["key"], F.to_json(e["value"]))))
-    of_body = json_map.let(F.flatten(F.transform(F.map_entries(json_map.entries(F.col(body))), of_entry)), lambda rows: F.when(F.size(rows) == 0, F.array(row("changed"))).otherwise(rows))
-    flat = _in_order(changes, order).select(key, "order_", F.inline(of_body))
-    last = flat.groupBy(key, "level", "name").agg(F.max_by("value", "order_").alias("value"), F.max("order_").alias("order_"))
-    of = lambda level, c: F.when(F.col("level") == level, c)
-    pairs = lambda level: F.collect_list(of(level, F.struct("name", "value", "order_"))).alias(level)
-    whole = last.groupBy(key).agg(F.max(of("replaced", F.col("order_"))).alias("_reset"), F.max(of("replaced", F.col("value"))).alias("replaced"), F.max(of("object", F.col("order_"))).alias("_object"), pairs("given"), pairs("added"))
+    both = top.select(key, "order_", "_top", "_value", F.explode_outer(F.when(of_metadata, F.try_variant_get("_value", "$", json_map.MAP))).alias("_inner", "_inside"))
+    level = (
+        F.when(F.col("_inner").isNotNull(), "added")
+        .when(F.col("_value").isNull(), F.when(F.col("_top").isNotNull(), "changed"))
+        .when(of_metadata, F.when(F.schema_of_variant("_value").startswith("OBJECT"), "object").otherwise("changed" if insert else "replaced"))
+        .when(F.col("_top").isin(*columns), "given")
+        .otherwise("changed")
+    )
+    flat = both.select(key, "order_", level.alias("level"), "_inner", "_top", F.coalesce("_inside", "_value").alias("value")).where("level is not null")
+    told = flat.select(key, "order_", "level", F.when(F.col("level") == "added", F.col("_inner")).when(F.col("level") == "given", F.col("_top")).alias("name"), F.when(F.col("level").isin("given", "added", "replaced"), F.col("value")).alias("value"))
+    last = told.groupBy(key, "level", "name").agg(F.max_by("value", "order_").alias("value"), F.max("order_").alias("order_"))
+    of = lambda is_it, c: F.when(is_it, F.col(c))
+    at = lambda *levels: F.col("level").isin(*levels)
+    only = lambda is_it: F.first(of(is_it, "value"), ignorenulls=True)
+    whole = last.groupBy(key).agg(
+        *(only(at("given") & (F.col("name") == c)).alias(f"_new_{c}") for c in columns),
+        F.max(of(at("replaced"), "order_")).alias("_reset"), only(at("replaced")).alias("replaced"), F.max(of(at("added", "object"), "order_")).alias("_object"),
+        F.collect_list(F.when(at("added"), F.struct(F.struct("name", "value").alias("entry"), "order_"))).alias("_added"),
+    )
     late = lambda at: F.col("_reset").isNull() | (at > F.col("_reset"))
-    as_map = lambda found: F.map_from_entries(F.transform(found, lambda x: F.struct(x["name"], x["value"])))
-    return whole.select(key, F.lit(True).alias("changed_"), as_map(F.col("given")).alias("given"), as_map(F.filter("added", lambda x: late(x["order_"]))).alias("added"), "replaced", (F.col("_object").isNotNull() & late(F.col("_object"))).alias("touched"))
+    since = F.when(F.col("_reset").isNull(), F.col("_added")).otherwise(F.filter("_added", lambda x: late(x["order_"])))
+    return whole.select(key, F.lit(True).alias("changed_"), *(f"_new_{c}" for c in columns), F.map_from_entries(since["entry"]).alias("added"), "replaced", (F.col("_object").isNotNull() & late(F.col("_object"))).alias("touched"))
 
 
 def patch_json(rows: DataFrame, changes: DataFrame, key: str = "id", body: str = "body", metadata: str = "metadata", insert: bool = False, order: str | None = None) -> DataFrame:
@@ -129,16 +143,14 @@ def patch_json(rows: DataFrame, changes: DataFrame, key: str = "id", body: str =
     ``order``. Nothing is lost to what cannot be read: such a body changes nothing, and
     metadata that cannot be read keeps its text; ``unreadable`` lists both.
     """
-    joined = rows.join(_bodies(changes, key, body, metadata, insert, order), key, "full" if insert else "left")
-    empty = F.from_json(F.lit("{}"), "map<string,string>")
-    given, added = (F.coalesce(F.col(c), empty) for c in ("given", "added"))
-    more = F.transform_values(added, lambda _, v: F.parse_json(v))
+    columns = [c for c in rows.columns if c not in (key, metadata)]
+    joined = rows.join(_bodies(changes, columns, key, body, metadata, insert, order), key, "full" if insert else "left")
     base = F.when(F.col("replaced").isNotNull(), F.from_json(F.lit("{}"), json_map.MAP)).otherwise(json_map.entries(F.col(metadata)))
-    as_text = lambda v: F.try_variant_get(F.parse_json(v), "$", "string")
-    changed = F.when(F.col("touched"), json_map.kept(F.col(metadata), json_map.over(base, more))).when(F.col("replaced").isNotNull(), as_text(F.col("replaced"))).otherwise(F.col(metadata))
+    as_text = lambda v: F.try_variant_get(v, "$", "string")
+    changed = F.when(F.col("touched"), json_map.kept(F.col(metadata), json_map.over(base, F.col("added")))).when(F.col("replaced").isNotNull(), as_text(F.col("replaced"))).otherwise(F.col(metadata))
     if insert:
         changed = F.coalesce(changed, F.when(F.col("changed_"), "{}"))
-    pick = lambda c: F.when(F.map_contains_key(given, F.lit(c)), as_text(F.element_at(given, c))).otherwise(F.col(c))
+    pick = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), as_text(F.col(f"_new_{c}"))).otherwise(F.col(c))
     return joined.select(*(F.col(c) if c == key else changed.alias(c) if c == metadata else pick(c).alias(c) for c in rows.columns))
 
 

@@ -67,7 +67,10 @@ def _patches_in_order(spark, sf_dir, insert):
     r = collection(spark, sf_dir, "runs").select("id", "seq", "stage", "message", F.expr("IF(seq % 13 = 0, left(metadata, 9), metadata)").alias("metadata"))
     base = (r.where("seq % 6 <> 3") if insert else r).drop("seq")
     got = store.patch_json(base, collection(spark, sf_dir, "patches"), insert=insert, order="nr")
-    return got.select("id", "stage", "message", F.when(F.get_json_object("metadata", "$").isNull(), F.col("metadata")).alias("unread"), *(F.get_json_object("metadata", f"$.{k}").alias(k) for k in _META))
+    shown = got.select("id", "stage", "message", "metadata", F.json_tuple("metadata", *_META).alias(*_META))
+    # metadata that gave a field was read to its end
+    unread = F.when(F.coalesce(*_META).isNull() & F.get_json_object("metadata", "$").isNull(), F.col("metadata"))
+    return shown.select("id", "stage", "message", unread.alias("unread"), *_META)
 
 
 def _in_order_sql(insert):
